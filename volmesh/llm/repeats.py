@@ -30,7 +30,7 @@ U = np.uint64
 #: Of the hashes; any odd number serves as base.
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Windows in a piece of a document, tokens hashed at a time, runs kept before a batch is combined and sent.
-PIECE, CHUNK, BATCH = 1 << 19, 1 << 20, 1 << 21
+PIECE, CHUNK, BATCH = 1 << 18, 1 << 19, 1 << 20
 #: Windows in a run at most; the bit above tells that a run may repeat windows of its own.
 LONGEST_RUN, OWN_REPEATS = 30_000, 1 << 15
 
@@ -129,8 +129,9 @@ def runs(tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: Rule)
 class Batch:
     """Runs of a number of documents, combined and dealt out to buckets when there are enough."""
 
-    def __init__(self, rule: Rule, buckets: int) -> None:
-        self.rule, self.buckets = rule, buckets
+    def __init__(self, rule: Rule, buckets: int, *, single: bool = False) -> None:
+        """single: every run is one window."""
+        self.rule, self.buckets, self.single = rule, buckets, single
         self.reset()
 
     def reset(self) -> None:
@@ -164,7 +165,8 @@ class Batch:
             sources = (ids[doc[source], 0], ids[doc[source], 1], start[source]) if self.rule.sources else (None,) * 3
             by = np.lexsort((start[gone], doc[gone]))
             yield sent(np.full(len(gone), int(ids[0, 1] % self.buckets), np.int32), True, ids, doc[gone][by], (start[gone][by], windows[gone][by] % OWN_REPEATS, None, None, *(x if x is None else x[by] for x in sources)))
-        yield sent(bucket[order], False, ids, doc[order], (start[order], windows[order], digit[order], digests[order], None, None, None))
+        fields = (start[order], None, None, digests[order]) if self.single else (start[order], windows[order], digit[order], digests[order])
+        yield sent(bucket[order], False, ids, doc[order], (*fields, None, None, None))
 
 
 def repeats(ids: np.ndarray, doc: np.ndarray, digests: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +184,31 @@ SENT = "bucket int, is_repeat boolean, doc_ids binary, keys binary, runs binary,
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("is_repeat", pa.bool_()), *((n, pa.binary()) for n in ("doc_ids", "keys", "runs", *(f for f, _ in (*FIELDS, *SOURCE))))])
 
 
+#: Bytes of a digest that are sent beside a digit; a run of one window has no digit and sends the whole digest.
+DIGEST_BYTES = 6
+
+
+def planes(x: np.ndarray) -> bytes:
+    """First all low bytes, then all next ones and so on: the high ones are mostly zeros and shrink in the shuffle."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def _fields(row: dict) -> list[np.ndarray]:
+    """FIELDS of a row of SENT that isn't one of repeats."""
+    start, raw = unplaned(row["start"], np.int32), np.frombuffer(row["digest"], np.uint8)
+    if row["digit"] is None:
+        digests = raw.view(np.uint64)
+        return [start, np.ones(len(start), np.uint16), (digests >> U(32)).astype(np.uint32), digests]
+    digests = np.zeros((len(start), 8), np.uint8)
+    digests[:, :DIGEST_BYTES] = raw.reshape(-1, DIGEST_BYTES)
+    return [start, unplaned(row["windows"], np.uint16), np.frombuffer(row["digit"], np.uint32), digests.view(np.uint64).reshape(-1)]
+
+
 def sent(bucket: np.ndarray, is_repeat: bool, ids: np.ndarray, doc: np.ndarray, fields: tuple) -> pa.RecordBatch:
     """Rows of SENT of runs sorted by bucket, document and start."""
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -190,7 +217,13 @@ def sent(bucket: np.ndarray, is_repeat: bool, ids: np.ndarray, doc: np.ndarray,
         head = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
         own = ids[doc[a:b][head]]
         values = [int(bucket[a]), is_repeat, own[:, 0].tobytes(), own[:, 1].tobytes(), np.diff(head, append=b - a).astype(np.int32).tobytes()]
-        values += [None if x is None else x[a:b].astype(kind).tobytes() for x, (_, kind) in zip(fields, (*FIELDS, *SOURCE), strict=True)]
+        values += [None if x is None else x[a:b].astype(kind) for x, (_, kind) in zip(fields, (*FIELDS, *SOURCE), strict=True)]
+        start, windows, digit, digests = values[5:9]
+        values[5] = planes(start)
+        values[6] = None if windows is None else planes(windows)
+        values[7] = None if digit is None else digit.tobytes()
+        values[8] = None if digests is None else digests.tobytes() if digit is None else digests.view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES].tobytes()
+        values[9:] = [None if x is None else x.tobytes() for x in values[9:]]
         for r, v in zip(rows, values, strict=True):
             r.append(v)
     return batch_of(SENT_ARROW, rows)
@@ -231,13 +264,12 @@ def _resolver(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for row in batch.to_pylist():
                 own = np.stack([np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["keys"], np.int64)], axis=1)
                 own_doc = np.repeat(np.arange(len(own)), np.frombuffer(row["runs"], np.int32))
-                values = [np.frombuffer(row[f] or b"", kind) for f, kind in FIELDS]
                 if row["is_repeat"]:
-                    yield _found(own, own_doc, values[0], values[1], True, tuple(np.frombuffer(row[f], kind) for f, kind in SOURCE) if rule.sources else ())
+                    yield _found(own, own_doc, unplaned(row["start"], np.int32), unplaned(row["windows"], np.uint16), True, tuple(np.frombuffer(row[f], kind) for f, kind in SOURCE) if rule.sources else ())
                     continue
                 ids.append(own)
-                doc.append(own_doc + n)
-                fields.append(values)
+                doc.append((own_doc + n).astype(np.int32))
+                fields.append(_fields(row))
                 n += len(own)
         if not ids:
             return
@@ -245,7 +277,8 @@ def _resolver(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         start, windows, digit, digests = (np.concatenate(x) for x in zip(*fields, strict=True))
         # Documents are numbered anew by doc_id and key.
         ids, number = np.unique(ids, axis=0, return_inverse=True)
-        at = number.reshape(-1)[at]
+        at = number.reshape(-1).astype(np.int32)[at]
+        del fields, doc
         order = np.lexsort((start, at, digests, digit))
         at, start, windows, digit, digests = at[order], start[order], windows[order], digit[order], digests[order]
         # The digit's order keeps equal digests together: only a digest under one digit counts as equal.
@@ -302,13 +335,15 @@ def _runs_of(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         offsets: list[int] = []
         size = 0
 
-        def hashed() -> None:
+        def hashed() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if tokens:
                 stops = np.cumsum([len(t) for t in tokens])
                 starts = stops - [len(t) for t in tokens]
                 piece, first, count, least, digests = runs(np.concatenate(tokens), starts, stops, rule)
-                batch.add(owners[:], piece, (first - starts[piece] + np.array(offsets)[piece]), count, least, digests)
+                batch.add(owners[:], piece.astype(np.int32), (first - starts[piece] + np.array(offsets)[piece]).astype(np.int32), count.astype(np.uint16), least, digests)
+                if batch.size >= BATCH:
+                    yield from batch.send()
             tokens.clear(), owners.clear(), offsets.clear()
             size = 0
 
@@ -324,10 +359,8 @@ def _runs_of(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                         offsets.append(at)
                         size += len(tokens[-1])
                         if size >= CHUNK:
-                            hashed()
-                if batch.size >= BATCH:
-                    yield from batch.send()
-        hashed()
+                            yield from hashed()
+        yield from hashed()
         yield from batch.send()
 
     return keyed_texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, SENT)
@@ -338,7 +371,7 @@ def _windows_of(open_runs: DataFrame, texts: DataFrame, rule: Rule, buckets: int
     joined = by_document(open_runs).join(texts, ["doc_id", TEXT_KEY]).select("doc_id", TEXT_KEY, "start", "windows", "n_bytes", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = Batch(rule, buckets)
+        batch = Batch(rule, buckets, single=True)
         for whole in batches:
             for part in slices(whole):
                 for row in part.to_pylist():
@@ -348,15 +381,15 @@ def _windows_of(open_runs: DataFrame, texts: DataFrame, rule: Rule, buckets: int
                     place = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
                     prefix = sums(tokens)
                     digests = digest(prefix, place, place + rule.length)
-                    batch.add([(row["doc_id"], row[TEXT_KEY])], np.zeros(len(place), np.int64), place, np.ones(len(place), np.int64), mixed(digests), digests)
-                if batch.size >= BATCH:
-                    yield from batch.send()
+                    batch.add([(row["doc_id"], row[TEXT_KEY])], np.zeros(len(place), np.int32), place.astype(np.int32), np.ones(len(place), np.uint16), mixed(digests), digests)
+                    if batch.size >= BATCH:
+                        yield from batch.send()
         yield from batch.send()
 
     return joined.mapInArrow(run, SENT)
 
 
-def _bucket_count(docs: DataFrame, bytes_each: int = 32 << 20) -> int:
+def _bucket_count(docs: DataFrame, bytes_each: int = 24 << 20) -> int:
     """Buckets of about as many bytes of text each, so that a bucket fits a task whatever the input's size."""
     total = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     return max(8, -(-total // bytes_each))

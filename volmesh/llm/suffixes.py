@@ -26,7 +26,7 @@ def byte_tokens(data: bytes) -> np.ndarray:
 
 
 def _rule(depth: int) -> Rule:
-    return Rule(depth, max(1, depth // 3), False, byte_tokens)
+    return Rule(depth, max(1, 2 * depth // 5), False, byte_tokens)
 
 
 def remove_repeated_bytes(docs: DataFrame, depth: int = 50) -> DataFrame:
