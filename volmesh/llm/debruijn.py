@@ -63,6 +63,10 @@ def _edges(found: DataFrame) -> DataFrame:
 
 def _compacted(edges: DataFrame) -> DataFrame:
     """Maximal paths: stretches whose next edge in the document is the next edge of the source."""
+    # Repeated rows give the same stretches; one of each start is enough.
+    rest = [c for c in edges.columns if c not in ("doc_id", TEXT_KEY, "start")]
+    longest = F.max_by(F.struct(*rest), F.struct("windows", "source_doc", "source_start")).alias("s")
+    edges = edges.repartition("doc_id", TEXT_KEY).groupBy("doc_id", TEXT_KEY, "start").agg(longest).select("doc_id", TEXT_KEY, "start", "s.*")
     in_order = Window.partitionBy("doc_id", TEXT_KEY).orderBy("start")
     before = F.lag(F.struct(F.expr("start + windows AS stop"), "source_doc", "source_key", F.expr("source_start + windows AS source_stop"))).over(in_order)
     goes_on = F.struct(F.col("start").alias("stop"), "source_doc", "source_key", F.col("source_start").alias("source_stop")) == F.col("before")
@@ -105,7 +109,7 @@ def _verified(paths: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 yield batch_of(arrow, [[x[i] for x in rows] for i in range(len(arrow))])
 
     read = joined.mapInArrow(run, "at long, at_key long, at_start int, windows int, words binary")
-    same = reads.join(read, ["at", "at_key", "at_start", "windows"]).groupBy("place").agg(F.count("*").alias("n"), F.min("words").alias("a"), F.max("words").alias("b")).where("a = b AND n = 2")
+    same = reads.join(read, ["at", "at_key", "at_start", "windows"]).groupBy("place").agg(F.count("*").alias("n"), F.min("words").alias("a"), F.max("words").alias("b")).where("a = b AND n > 1")
     return paths.join(same.select("place.*"), ["doc_id", TEXT_KEY, "start"], "left_semi")
 
 

@@ -80,14 +80,14 @@ def fuzzy_spans(low: str, notices: tuple) -> list[tuple[str, int, int, int]]:
             while at >= 0:
                 places.add(at - offset)
                 at = low.find(seed, at + 1)
-        done = -1
+        done = -n.edits - 1
         for place in sorted(places):
-            if place - n.edits <= done:
+            if place <= done:
                 continue
             start, stop = max(0, place - n.edits), place + len(n.text) + 2 * n.edits
             if m := n.pattern.search(low, start, stop):
                 out.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                done = m.end() - 1
+                done = m.end() - 1 - n.edits
     return out
 
 

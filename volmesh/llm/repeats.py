@@ -157,7 +157,7 @@ class Batch:
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((ids[:, 1], ids[:, 0]))] = np.arange(len(ids))
         order = np.lexsort((start, rank[doc], digests))
-        repeat, first = repeats(ids, doc[order], digests[order], self.rule)
+        repeat, first = repeats(ids, doc[order], start[order], digests[order], self.rule)
         gone, source = order[repeat], order[first[repeat]]
         order = order[~repeat]
         order = order[np.lexsort((start[order], doc[order], bucket[order]))]
@@ -169,12 +169,15 @@ class Batch:
         yield sent(bucket[order], False, ids, doc[order], (*fields, None, None, None))
 
 
-def repeats(ids: np.ndarray, doc: np.ndarray, digests: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def repeats(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, digests: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Which of the runs, sorted by digest, document and start, repeat the first of their digest; that first one."""
     new = np.ones(len(doc), bool)
     new[1:] = digests[1:] != digests[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return (~new if rule.same_document else ids[doc, 0] != ids[doc[first], 0]), first
+    if not rule.same_document:
+        return ids[doc, 0] != ids[doc[first], 0], first
+    # A row that is there twice doesn't repeat itself.
+    return (start != start[first]) | (ids[doc] != ids[doc[first]]).any(axis=1), first
 
 
 #: Of a repeat, if wanted: where an earlier occurrence stands.
@@ -216,7 +219,7 @@ def sent(bucket: np.ndarray, is_repeat: bool, ids: np.ndarray, doc: np.ndarray,
     for a, b in zip(cut, np.append(cut, len(bucket))[1:], strict=True):
         head = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
         own = ids[doc[a:b][head]]
-        values = [int(bucket[a]), is_repeat, own[:, 0].tobytes(), own[:, 1].tobytes(), np.diff(head, append=b - a).astype(np.int32).tobytes()]
+        values = [int(bucket[a]), is_repeat, planes(np.ascontiguousarray(own[:, 0])), own[:, 1].tobytes(), planes(np.diff(head, append=b - a).astype(np.int32))]
         values += [None if x is None else x[a:b].astype(kind) for x, (_, kind) in zip(fields, (*FIELDS, *SOURCE), strict=True)]
         start, windows, digit, digests = values[5:9]
         values[5] = planes(start)
@@ -262,8 +265,8 @@ def _resolver(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         ids, doc, fields, n = [], [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                own = np.stack([np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["keys"], np.int64)], axis=1)
-                own_doc = np.repeat(np.arange(len(own)), np.frombuffer(row["runs"], np.int32))
+                own = np.stack([unplaned(row["doc_ids"], np.int64), np.frombuffer(row["keys"], np.int64)], axis=1)
+                own_doc = np.repeat(np.arange(len(own)), unplaned(row["runs"], np.int32))
                 if row["is_repeat"]:
                     yield _found(own, own_doc, unplaned(row["start"], np.int32), unplaned(row["windows"], np.uint16), True, tuple(np.frombuffer(row[f], kind) for f, kind in SOURCE) if rule.sources else ())
                     continue
@@ -282,7 +285,7 @@ def _resolver(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         order = np.lexsort((start, at, digests, digit))
         at, start, windows, digit, digests = at[order], start[order], windows[order], digit[order], digests[order]
         # The digit's order keeps equal digests together: only a digest under one digit counts as equal.
-        repeat, first = repeats(ids, at, np.where(np.r_[True, digit[1:] != digit[:-1]].cumsum() % 2 == 0, digests, ~digests), rule)
+        repeat, first = repeats(ids, at, start, np.where(np.r_[True, digit[1:] != digit[:-1]].cumsum() % 2 == 0, digests, ~digests), rule)
         source = first[repeat]
         windows, own = windows % OWN_REPEATS, windows >= OWN_REPEATS
         yield _found(ids, at[repeat], start[repeat], windows[repeat], True, (ids[at[source], 0], ids[at[source], 1], start[source]) if rule.sources else ())
@@ -389,10 +392,14 @@ def _windows_of(open_runs: DataFrame, texts: DataFrame, rule: Rule, buckets: int
     return joined.mapInArrow(run, SENT)
 
 
+#: Buckets that even small inputs are dealt to; with fewer, a document's rows would grow with the input.
+LEAST_BUCKETS = 48
+
+
 def _bucket_count(docs: DataFrame, bytes_each: int = 24 << 20) -> int:
     """Buckets of about as many bytes of text each, so that a bucket fits a task whatever the input's size."""
     total = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(8, -(-total // bytes_each))
+    return max(LEAST_BUCKETS, -(-total // bytes_each))
 
 
 def found_repeats(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
