@@ -2,10 +2,400 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from volmesh.functions import geometry as geo
+from volmesh.operators import blocks, fields, lod, mesh, nodevalues, probe, reports, sampling, structured, tree
+from volmesh.plans import fixtures as fx
+from volmesh.plans.oracles import SQL
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+#: Leaf size and depth of the trees over the volume; the iso-value of the selections.
+MAX_CELLS, MAX_DEPTH, ISO = 1024, 7, 20.0
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _tree(spark: SparkSession, strategy: str = tree.NODE_MEDIAN, max_cells: int = MAX_CELLS, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return tree.build_tree(structured.grid_cell_bounds(spark, fx.SIZE), fx.BOX, strategy, max_cells, MAX_DEPTH, points)
+
+
+def _cells(spark: SparkSession) -> DataFrame:
+    return structured.grid_tets(spark, fx.SIZE, 6).select("cell_id", *mesh.VERTICES)
+
+
+def _geometry(spark: SparkSession) -> DataFrame:
+    return sampling.geometry_of(_cells(spark), structured.grid_points(spark, fx.SIZE))
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, leaf_cells = _tree(spark)
+    leaf = nodevalues.leaf_ranges(leaf_cells, _cells(spark), fx.volume_fields(spark, sf_dir), nodes.where("is_leaf"))
+    return nodes, leaf_cells, nodevalues.node_ranges(nodes, leaf)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iso_leaves(spark, sf_dir)
+
+
+@query
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.volume(spark, sf_dir)
+
+
+@query
+def tets6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose vertices carry values, with the sum of these."""
+    return _cell_sums(spark, sf_dir, 6)
+
+
+@query
+def tets5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cell_sums(spark, sf_dir, 5)
+
+
+def _cell_sums(spark: SparkSession, sf_dir: str, tets: int) -> DataFrame:
+    cells = structured.grid_tets(spark, fx.SIZE, tets)
+    long = cells.select("cell_id", *mesh.VERTICES, F.explode(F.array(*mesh.VERTICES)).alias("point_id"))
+    return long.join(fx.volume_fields(spark, sf_dir), "point_id").groupBy("cell_id", *mesh.VERTICES).agg(F.sum("value").alias("total"))
+
+
+@query
+def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.downsample(fx.volume(spark, sf_dir), fx.SIZE, 2)[0]
+
+
+@query
+def mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the cloud and their mirror images at x = 0.5 and z = -0.25."""
+    points = fx.cloud(spark, sf_dir).select("point_id", "x", "y", "z")
+    cells = spark.createDataFrame([], "cell_id long, v0 long, v1 long, v2 long, v3 long")
+    out, _, _ = mesh.mirrored(points, cells, points.select("point_id"), {"x": 0.5, "z": -0.25})
+    return out.select("point_id", *(F.round(a, 6).alias(a) for a in "xyz"))
+
+
+@query
+def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.bounding_box(fx.cloud(spark, sf_dir))
+
+
+@query
+def field_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fx.volume_fields(spark, sf_dir).union(fx.cloud(spark, sf_dir).select("point_id", F.lit("embedding").alias("name"), "value"))
+    return mesh.limits(both)
+
+
+@query
+def select_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = fx.telemetry(spark, sf_dir).select(F.col("seq").alias("point_id"), F.col("metric").alias("name"), "value")
+    return mesh.select_scalars(metrics, ["click", "view", "missing"]).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query
+def cell_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds by joins on points, for tetrahedra that hold data, with their box's middle and volume."""
+    held = fx.volume_fields(spark, sf_dir).where(f"value > {ISO}")
+    long = _cells(spark).select("*", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id", *mesh.VERTICES).distinct()
+    b = mesh.cell_bounds(long, structured.grid_points(spark, fx.SIZE))
+    low, high = tuple(F.col(c) for c in geo.LOW), tuple(F.col(c) for c in geo.HIGH)
+    return b.select("*", geo.box_volume(low, high).alias("volume"), F.greatest(*geo.box_size(low, high)).alias("longest"))
+
+
+@query
+def boundary_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower faces (z = 0) of cubes, in parts by the sign of their value."""
+    sx, sy, _ = fx.SIZE
+    faces = fx.volume(spark, sf_dir).where(f"z = 0 AND x < {sx - 1} AND y < {sy - 1}").select(F.when(F.col("value") > ISO, "wall").otherwise("symmetry").alias("name"), fx.point_id().alias("p"))
+    tris = faces.select("name", F.explode(F.array(F.struct((F.col("p") * 2).alias("tri_id"), F.array(F.col("p"), F.col("p") + 1, F.col("p") + 1 + sx).alias("verts")), F.struct((F.col("p") * 2 + 1).alias("tri_id"), F.array(F.col("p"), F.col("p") + 1 + sx, F.col("p") + sx).alias("verts")))).alias("t")).select("name", "t.*")
+    return mesh.boundary_geometry(tris)[0]
+
+
+@query
+def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that stay when a tenth of the volume's vertices collapse, with their values' sum."""
+    moved = structured.resolved_map(structured.decimation_map(spark, fx.SIZE, 0.1))
+    cells = structured.collapsed(_cells(spark), moved)
+    return cells.select("*", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(fx.volume_fields(spark, sf_dir), "point_id").groupBy("cell_id", *mesh.VERTICES).agg(F.sum("value").alias("total"))
+
+
+@query
+def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume's field at the points of the cloud, whose space [-1, 1] is mapped onto the volume."""
+    points = fx.cloud(spark, sf_dir).select("point_id", "x", "y", "z")
+    out = structured.transfer(points, ((-1.0,) * 3, (1.0,) * 3), fx.volume(spark, sf_dir), fx.SIZE)
+    return out.select("point_id", F.round("value", 6).alias("value"))
+
+
+@query
+def trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.trilinear(fx.probes(spark, sf_dir), fx.volume(spark, sf_dir), fx.SIZE).select("probe_id", F.round("sample", 6).alias("sample"))
+
+
+@query
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with the order lines that lie in their leaves' boxes' cells."""
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    return nodes.select("node_key", "parent_key", "depth", "is_leaf", "cell_count", *tree.BOUNDS).join(ranges.select("node_key", "hi"), "node_key")
+
+
+@query
+def node_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir)[2]
+
+
+@query
+def iso_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves whose range holds the iso-value, and their cells."""
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    return lod.active_nodes(ranges, ISO).join(nodes.where("is_leaf").select("node_key", "cell_count"), "node_key").select("node_key", "lo", "hi", "cell_count")
+
+
+@query
+def leaf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaf: its cells, and the sum of their vertices' values; cells count in every leaf they are in."""
+    _, leaf_cells = _tree(spark)
+    sums = _cell_sums(spark, sf_dir, 6).select("cell_id", "total")
+    return leaf_cells.join(sums, "cell_id").groupBy("leaf_key").agg(F.count("*").alias("cells"), F.sum("total").alias("total"))
+
+
+@query
+def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the tree over the part of the volume that holds more than the iso-value."""
+    return tree.statistics(_held_tree(spark, sf_dir)[0]).withColumn("avg_cells", F.round("avg_cells", 6))
+
+
+def _held_tree(spark: SparkSession, sf_dir: str, strategy: str = tree.NODE_MEDIAN, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A tree over the cells that touch a voxel over the iso-value."""
+    held = fx.volume_fields(spark, sf_dir).where(f"value > {ISO}").select("point_id")
+    touched = _cells(spark).select("cell_id", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id").distinct()
+    bounds = structured.grid_cell_bounds(spark, fx.SIZE).join(touched, "cell_id", "left_semi")
+    return tree.build_tree(bounds, fx.BOX, strategy, 256, MAX_DEPTH, points)
+
+
+@query
+def serialised_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.serialised(_held_tree(spark, sf_dir)[0])
+
+
+@query
+def vert_median_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_tree(spark, sf_dir, tree.VERT_MEDIAN, fx.volume(spark, sf_dir).where(f"value > {ISO}"))[0]
+
+
+@query
+def vert_average_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_tree(spark, sf_dir, tree.VERT_AVERAGE, fx.volume(spark, sf_dir).where(f"value > {ISO}"))[0]
+
+
+@query
+def surface_area_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_tree(spark, sf_dir, tree.SURFACE_AREA)[0]
+
+
+@query
+def volume_heuristic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_tree(spark, sf_dir, tree.VOLUME)[0]
+
+
+@query
+def leaf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.sweep(_held_tree(spark, sf_dir)[0], [8192, 4096, 2048, 1024, 512, 256])
+
+
+@query
+def corner_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, leaf_cells = _tree(spark)
+    corners = nodevalues.leaf_corners(nodes.where("is_leaf"), leaf_cells, _geometry(spark), fx.volume_fields(spark, sf_dir))
+    return nodevalues.corner_values(nodes, corners).select("node_key", "name", "corner", F.round("value", 6).alias("value"))
+
+
+@query
+def node_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of the values of the vertices of each leaf's cells, and of all nodes above."""
+    nodes, leaf_cells = _tree(spark)
+    points, _ = blocks.split_blocks(leaf_cells, _cells(spark))
+    leaf = blocks.block_values(points, fx.volume_fields(spark, sf_dir)).groupBy("leaf_key", "name").agg(F.avg("value").alias("average"))
+    return nodevalues.node_averages(nodes, leaf).select("node_key", "name", F.round("average", 6).alias("average"))
+
+
+@query
+def block_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, leaf_cells = _tree(spark)
+    points, _ = blocks.split_blocks(leaf_cells, _cells(spark))
+    return blocks.block_values(points, fx.volume_fields(spark, sf_dir)).select("leaf_key", "local_id", "value")
+
+
+@query
+def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the leaves that hold the iso-value, as a view would fetch them."""
+    _, leaf_cells, ranges = _ranges(spark, sf_dir)
+    _, cells = blocks.split_blocks(leaf_cells, _cells(spark))
+    return blocks.fetch(cells, lod.active_nodes(ranges, ISO).select(F.col("node_key").alias("leaf_key")))
+
+
+@query
+def padded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, leaf_cells = _held_tree(spark, sf_dir)
+    _, cells = blocks.split_blocks(leaf_cells, _cells(spark))
+    stride = blocks.block_sizes(nodes, leaf_cells, _cells(spark)).agg(F.max("cells")).first()[0] or 0
+    return blocks.padded(cells, stride).select("leaf_key", F.size("connectivity").alias("length"), F.aggregate("connectivity", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query
+def filled_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, leaf_cells = _held_tree(spark, sf_dir)
+    return blocks.block_sizes(nodes, leaf_cells, _cells(spark))
+
+
+@query
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.overview(filled_slots(spark, sf_dir), structured.grid_points(spark, fx.SIZE).count(), _cells(spark).count(), 256)
+
+
+@query
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, leaf_cells = _held_tree(spark, sf_dir)
+    return reports.duplicates(leaf_cells, blocks.split_blocks(leaf_cells, _cells(spark))[0])
+
+
+@query
+def buffer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.buffer_sizes(filled_slots(spark, sf_dir))
+
+
+@query
+def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.locate(fx.probes(spark, sf_dir), _tree(spark)[0]).select("probe_id", "leaf_key")
+
+
+@query
+def sample_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell that holds each probe and the interpolated value there."""
+    nodes, leaf_cells = _tree(spark)
+    at = sampling.locate(fx.probes(spark, sf_dir), nodes)
+    shapes = _geometry(spark)
+    held = sampling.containing_cell(at, leaf_cells, shapes)
+    return sampling.sampled(held, shapes, fx.volume_fields(spark, sf_dir)).join(held.select("probe_id", "cell_id"), "probe_id").select("probe_id", "cell_id", F.round("sample", 6).alias("sample"))
+
+
+@query
+def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, leaf_cells = _tree(spark)
+    at = sampling.locate(fx.probes(spark, sf_dir), nodes)
+    return sampling.nearest_in_leaf(at, leaf_cells, _geometry(spark)).select("probe_id", "point_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.grid_derivative(fx.volume(spark, sf_dir), "x").select("x", "y", "z", "d")
+
+
+@query
+def derived_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a flow made of the volume: its value along x, minus x along y, z along z."""
+    v = fx.volume(spark, sf_dir)
+    flow = v.withColumns({"vx": F.col("value"), "vy": -F.col("x").cast("double"), "vz": F.col("z") * F.col("value"), "sound2": F.col("value") + 1})
+    names = fields.possible(flow.columns)
+    return fields.derive(flow, names).select("x", "y", "z", *(F.round(n, 6).alias(n) for n in names))
+
+
+@query
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fx.volume(spark, sf_dir)
+    t = geo.normalised(F.col("value"), F.lit(0.0), F.lit(2 * ISO))
+    ramp = geo.colour_ramp(t, [(0, 0, 1), (1, 1, 1), (1, 0, 0)])
+    return v.select("x", "y", "z", *(F.round(F.element_at(ramp, i + 1), 6).alias(n) for i, n in enumerate(("red", "green", "blue"))))
+
+
+def _views(spark: SparkSession) -> DataFrame:
+    unit = [float(v) for v in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 60)]
+    return spark.createDataFrame([(1, 1, -20.0, 5.0, 4.0, unit, "count", ISO), (2, 1, 60.0, 5.0, -9.0, unit, "count", 2 * ISO)], "view_id long, seq long, ex double, ey double, ez double, mat array<double>, iso_name string, iso double")
+
+
+@query
+def node_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    return lod.scores(_views(spark), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir))).withColumn("score", F.round("score", 9))
+
+
+@query
+def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lod.frontier(_held_tree(spark, sf_dir)[0], 9)
+
+
+@query
+def frontier_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontiers of two views after one update."""
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    scored = lod.scores(_views(spark), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir)))
+    front = lod.frontier(nodes, 15).select("node_key")
+    now = scored.join(front, "node_key", "left_semi").withColumn("state", F.lit("NONE"))
+    return lod.applied(now, *lod.step(now, 15))
+
+
+@query
+def blocks_to_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    scored = lod.scores(_views(spark), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir)))
+    resident = nodes.where("is_leaf AND node_key % 5 = 0").select(F.lit(1).cast("long").alias("view_id"), F.col("node_key").alias("leaf_key"))
+    return lod.blocks_to_load(scored, resident, 10).withColumn("score", F.round("score", 9))
+
+
+@query
+def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.frame_table(fx.telemetry(spark, sf_dir), list(fx.METRICS))
+
+
+@query
+def job_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A benchmark job for each market segment's customers' nations and three budgets."""
+    jobs = fx.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.sort_array(F.collect_set("c_nationkey")).alias("nation")).select("name", "nation", F.array(F.lit(10), F.lit(30), F.lit(90)).alias("budget"))
+    return reports.expanded_jobs(jobs, ["nation", "budget"])
+
+
+@query
+def camera_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = fx.table(spark, sf_dir, "part").select((F.col("p_partkey") % 400 / 10.0).alias("t")).distinct()
+    segments = spark.createDataFrame([(0.0, 10.0, 2.0, 1.0, 0.0, 3.0, 0.0, 0.5), (10.0, 30.0, 1.0, 4.0, 3.0, 1.0, 0.5, -0.5)], "t0 double, t1 double, r0 double, r1 double, az0 double, az1 double, el0 double, el1 double")
+    return reports.camera_at(times, segments).select("t", *(F.round(a, 6).alias(a) for a in "xyz"))
+
+
+def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values along x for every row of voxels."""
+    v = fx.volume(spark, sf_dir)
+    return v.select((F.col("y") + 100 * F.col("z")).cast("long").alias("ray_id"), F.col("x").alias("step"), "value")
+
+
+@query
+def iso_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe.first_crossing(_rays(spark, sf_dir), ISO, 1.0).withColumn("t", F.round("t", 6))
+
+
+@query
+def light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe.gathered(_rays(spark, sf_dir), 1.0).select("ray_id", F.round("light", 6).alias("light"), F.round("transmittance", 9).alias("transmittance"))
+
+
+@query
+def line_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trilinear values along slanting lines from the volume's side, one for each part."""
+    p = fx.table(spark, sf_dir, "part")
+    rays = p.select(F.col("p_partkey").alias("ray_id"), F.lit(0.0).alias("ox"), (F.col("p_partkey") % 11).cast("double").alias("oy"), F.lit(0.0).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.125).alias("dz"))
+    near, far = probe.box_interval(*fx.BOX)
+    points = probe.steps(rays, 60, 1.0).select(F.col("ray_id"), "step", "x", "y", "z")
+    return structured.trilinear(points, fx.volume(spark, sf_dir), fx.SIZE).where("sample IS NOT NULL").select("ray_id", "step", F.round("sample", 6).alias("sample"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, sql in SQL.items() if name in _QUERIES}
