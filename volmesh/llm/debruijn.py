@@ -23,7 +23,7 @@ from .common import TEXT_KEY, batch_of, checkpointed, column, slices
 from .repeats import FOUND_FIELDS, Rule, found_repeats, removed_tokens, rewritten, unpacked
 
 #: Word hashes that a worker remembers at a time.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 class _WordHashes(dict):

@@ -30,7 +30,7 @@ U = np.uint64
 #: Of the hashes; any odd number serves as base.
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Windows in a piece of a document, tokens hashed at a time, runs kept before a batch is combined and sent.
-PIECE, CHUNK, BATCH = 1 << 18, 1 << 19, 1 << 20
+PIECE, CHUNK, BATCH = 1 << 17, 1 << 17, 1 << 19
 #: Windows in a run at most; the bit above tells that a run may repeat windows of its own.
 LONGEST_RUN, OWN_REPEATS = 30_000, 1 << 15
 
