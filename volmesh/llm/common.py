@@ -28,8 +28,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session sets none: each side buffers a whole batch.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES, unless it has a size of its own: batches of the default
+    size hold 10,000 texts, or 64 MB, on both sides of every running task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id (long) and text (string) alone, so that no other column can clash with a result's."""
+    """doc_id (long) and text (string) alone, so that no other column can clash with a result's.
+
+    They go to Python tasks, so batches are bounded here.
+    """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -46,7 +62,7 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``max_bytes``, so that Python objects of few long texts exist at a time."""
     rows = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
     for start in range(0, batch.num_rows, rows):
