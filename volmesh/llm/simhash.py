@@ -35,17 +35,22 @@ def votes(hashes: np.ndarray) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """SimHash over shingles of so many words; of all words if there are fewer; 0 without words."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Hashes of all shingles of so many words; of all words if there are fewer; none without words."""
     tokens = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
     hash_of, seed = xxhash.xxh64_intdigest, SEED
-    return votes(np.array([hash_of(s, seed) for s in shingles], np.uint64))
+    return np.array([hash_of(s, seed) for s in shingles], np.uint64)
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """SimHash over shingles of so many words; of all words if there are fewer; 0 without words."""
+    return votes(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
