@@ -54,3 +54,10 @@ def test_near_duplicates_against_all_pairs(spark):
         least[g] = min(i, least.get(g, i))
     assert got == set(least.values())
     assert len(got) < len(rows) / 2
+
+
+def test_texts_under_null_and_repeated_ids_stay(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " end"), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("d")), (None, text("e")), (None, None)]
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in pipeline.near_duplicates_stage(spark, frame(spark, rows), "").collect()), key=repr)
+    assert got == sorted([(None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (None, "")], key=repr)
