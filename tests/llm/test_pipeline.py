@@ -1,11 +1,15 @@
 """The pipeline's stages against brute force."""
 
+import hashlib
 import random
+import re
+from collections import Counter
 
-import pytest
-from pyspark.sql import functions as F
+import numpy as np
 
 import corpus_pipeline as pipeline
+from volmesh.llm import bpe, mixing, quality, textstats
+from volmesh.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +65,96 @@ def test_texts_under_null_and_repeated_ids_stay(spark):
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " end"), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("d")), (None, text("e")), (None, None)]
     got = sorted(((r.doc_id, (r.text or "")[:1]) for r in pipeline.near_duplicates_stage(spark, frame(spark, rows), "").collect()), key=repr)
     assert got == sorted([(None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (None, "")], key=repr)
+
+
+def good_texts(spark, rows, labels):
+    """The classifier's network is fitted by the library; its features, scores and threshold are applied here."""
+    net = quality.train(textstats.text_statistics(frame(spark, [r[:2] for r in rows])), labels)
+    return [r for r in rows if net.score(textstats.statistics(r[1] or "")[1].astype(np.float64)[None])[0] >= quality.THRESHOLD]
+
+
+def least_of_groups(rows):
+    best = {}
+    for r, g in zip(rows, groups([r[:2] for r in rows]), strict=True):
+        best[g] = min(r, best.get(g, r), key=lambda r: r[0])
+    return list(best.values())
+
+
+def unrepeated(rows):
+    seen, out = {}, []
+    for i, t, lang, source, n in sorted(rows, key=lambda r: r[0]):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = [False] * len(words)
+        for p in range(len(words) - 19):
+            if seen.setdefault(tuple(words[p : p + 20]), (i, p)) != (i, p):
+                gone[p : p + 20] = [True] * 20
+        if any(gone):
+            t = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+            n = len(t)
+        if not any(gone) or t:
+            out.append((i, t, lang, source, n))
+    return out
+
+
+def topic(t):
+    if re.search("[Ll]icen[sc]e|[Cc]opyright", t):
+        return "notice"
+    return "record" if 50 * t.count("|") > len(t) else "contact" if "@" in t else "note" if len(t) < 1000 else "article"
+
+
+def mixed(rows):
+    cell = lambda r: (r[3] or "", r[2] or "", topic(r[1] or ""))
+    tokens = Counter()
+    for r in rows:
+        tokens[cell(r)] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    total, weight, shares = sum(tokens.values()), dict(tokens), []
+    for d in range(3):
+        sums = Counter()
+        for c, n in tokens.items():
+            sums[c[d]] += n
+        powers = {v: n**mixing.TEMPERATURE for v, n in sums.items() if n}
+        shares.append({v: p / sum(powers.values()) for v, p in powers.items()})
+    for _ in range(mixing.ROUNDS):
+        for d in range(3):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: w * shares[d].get(c[d], 0) * total / sums[c[d]] if sums[c[d]] else 0 for c, w in weight.items()}
+    keep = mixing.KEEP
+    chance = lambda i: int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    return [r for r in rows if chance(r[0]) < round(min(1.0, keep * weight[cell(r)] / tokens[cell(r)]) if tokens[cell(r)] else keep, 9)]
+
+
+def encoded(rows):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    with open(path, "rb") as f:
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(f.read()), special_tokens={})
+    out = []
+    for i, t, *_ in rows:
+        ids = own.encode_ordinary(t or "")
+        data = np.array(ids, "<u4").tobytes()
+        out.append((i, len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), data))
+    return out
+
+
+def test_stages_and_run_against_brute_force(spark, tmp_path):
+    passage = " ".join(f"passage{i}" for i in range(30))
+    rows = [(i, t) for i, t in planted(9, 30, 3)]
+    rows += [(50000 + i, " ".join(f"own{i}x{j}" for j in range(40 * i)) + " " + passage) for i in range(4)]
+    rows += [(60000 + i, f"entry{i} é日本 | a@b.c | licence {i}" * (1 + i % 5)) for i in range(12)] + [(70000, "| - " * 80), (70001, passage)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 60000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    want = [tuple(r) for r in docs.collect()]
+    brute = [lambda r: good_texts(spark, r, labels), least_of_groups, unrepeated, mixed, encoded]
+    for (name, stage), plain in zip(pipeline.STAGES, brute, strict=True):
+        here = spark.createDataFrame(want, SCHEMA)
+        want = plain(want)
+        assert sorted(map(tuple, stage(spark, here, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr), name
+        assert want
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -203,3 +203,14 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()
 
     return _map(docs, vocabulary, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", arrow, row)
+
+
+def round_trip_with_ids(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``round_trip`` and the ids themselves: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
+
+    def row(enc: Encoder, text: str) -> tuple[int, str, str, bytes]:
+        ids = enc.encode(text)
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest(), ids
+
+    return _map(docs, vocabulary, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary", arrow, row)
