@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from volmesh.llm import bpe, mixing, quality, textstats
@@ -120,7 +121,7 @@ def mixed(rows):
             for c, w in weight.items():
                 sums[c[d]] += w
             weight = {c: w * shares[d].get(c[d], 0) * total / sums[c[d]] if sums[c[d]] else 0 for c, w in weight.items()}
-    keep = mixing.KEEP
+    keep = min(mixing.KEEP, *(n / weight[c] for c, n in tokens.items() if n))
     chance = lambda i: int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:8], 16) / 2**32
     return [r for r in rows if chance(r[0]) < round(min(1.0, keep * weight[cell(r)] / tokens[cell(r)]) if tokens[cell(r)] else keep, 9)]
 
@@ -158,3 +159,17 @@ def test_stages_and_run_against_brute_force(spark, tmp_path):
     got = pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_mixing_stage_keeps_the_target_shares(spark):
+    rows = [(i, ("mail@x " if i % 20 == 0 else "w ") * (300 if i % 3 else 2000), "en" if i % 7 else "de", f"s{(i % 11) // 10}", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mix = mixing.mix(docs)
+    cells = mixing.with_cells(docs).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
+    assert {r.doc_id for r in pipeline.mixing_stage(spark, docs, "").collect()} == {r.doc_id for r in mix.where("mix_kept").collect()}
+    for d in mixing.DIMENSIONS:
+        expected = {r[0]: r[1] for r in mix.groupBy(f"mix_{d}").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).collect()}
+        kept = {r[0]: r[1] for r in mix.where("mix_kept").groupBy(f"mix_{d}").agg(F.sum("mix_tokens")).collect()}
+        for value, share in mixing.targets(cells, d).collect():
+            assert abs(expected[value] / sum(expected.values()) - share) < 1e-4
+            assert abs(kept[value] / sum(kept.values()) - share) < 0.04

@@ -17,7 +17,7 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 10
 #: Target shares are the present ones to this power (1: as they are, 0: all alike), made to sum to 1.
 TEMPERATURE = 0.7
-#: Share of the tokens that is kept if no cell's probability has to be cut at 1.
+#: Share of the tokens that is kept, if no cell's probability comes over 1 by that.
 KEEP = 0.9
 #: Up to so many cells their probabilities are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 20_000
@@ -77,18 +77,23 @@ def chance(doc_id: Column, seed: int) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).cast("double") / 4294967296, F.lit(0.0))
 
 
-def mix(docs: DataFrame, marginals: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, marginals: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 1, cut: bool = False) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability and mix_kept.
 
     marginals: per dimension mix_<dimension>, share; by default ``targets``. A cell's probability is keep times
-    its weight over its tokens, at most 1. Cells without tokens (empty texts) have probability keep. Repeated
-    rows share their fate. Columns of docs with these names are replaced.
+    its weight over its tokens. keep is lowered until no probability is over 1, so that the expected shares of what
+    is kept are the raked ones; with cut, probabilities over 1 are cut to 1 instead, and upweighted cells fall
+    short of their targets. Cells without tokens (empty texts) have probability keep. Repeated rows share their
+    fate. Columns of docs with these names are replaced.
     """
     rows = with_cells(docs.drop(*(f"mix_{x}" for x in (*DIMENSIONS, "tokens", "probability", "kept"))))
     names = [f"mix_{d}" for d in DIMENSIONS]
     cells = checkpointed(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")))
     marginals = {d: targets(cells, d) for d in DIMENSIONS} if marginals is None else marginals
     raked = rake(cells, marginals, rounds)
+    if not cut:
+        most = raked.where("tokens > 0").agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 0.0
+        keep = min(keep, 1 / most) if most > 0 else keep
     chances = raked.select(*names, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(keep)).alias("mix_probability"))
     small = cells.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     joined = rows.join(F.broadcast(chances) if small else chances, names)
