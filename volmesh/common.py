@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,3 +14,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="volmesh-"))
     return df.checkpoint()
+
+
+def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, broadcast if a count shows at most so many rows; else, and for streams, the join is left to Spark."""
+    return F.broadcast(df) if not df.isStreaming and df.limit(most + 1).count() <= most else df

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volmesh.common import broadcast_if_few
+
 
 def iso_score(lo: Column, hi: Column, iso: Column, limit_lo: Column, limit_hi: Column) -> Column:
     """1 where the range holds the iso-value, else a tenth of how near it comes within the limits."""
@@ -39,9 +41,9 @@ def box_score(eye: tuple[Column, ...], matrix: Column) -> Column:
 def scores(views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame) -> DataFrame:
     """view_id, node_key, is_leaf, score: views (view_id, ex, ey, ez, mat, iso_name, iso) against all nodes.
 
-    Views are a stated set of requests, broadcast up to 10 000 of them.
+    Up to 10 000 views are broadcast; more are joined by a shuffle.
     """
-    few = F.broadcast(views.limit(10_000))
+    few = broadcast_if_few(views, 10_000)
     base = nodes.select("node_key", "is_leaf", *(f"{a}{i}" for a in "xyz" for i in "01")).join(ranges, "node_key").join(few, F.col("name") == F.col("iso_name")).join(F.broadcast(limits.select(F.col("name").alias("iso_name"), F.col("lo").alias("limit_lo"), F.col("hi").alias("limit_hi"))), "iso_name")
     score = box_score((F.col("ex"), F.col("ey"), F.col("ez")), F.col("mat")) * iso_score(F.col("lo"), F.col("hi"), F.col("iso"), F.col("limit_lo"), F.col("limit_hi"))
     return base.select("view_id", "node_key", "is_leaf", score.alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volmesh.common import broadcast_if_few
 from volmesh.operators.sampling import containing_cell, nearest_in_leaf, sampled
 
 
@@ -13,7 +14,7 @@ def leaf_ranges(leaf_cells: DataFrame, cells: DataFrame, fields: DataFrame, leav
     vertices = leaf_cells.join(cells, "cell_id").select("leaf_key", F.explode(F.array("v0", "v1", "v2", "v3")).alias("point_id")).distinct()
     found = vertices.join(fields, "point_id").groupBy("leaf_key", "name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     names = fields.select("name").distinct()
-    every = leaves.select(F.col("node_key").alias("leaf_key")).join(F.broadcast(names.limit(1000)))
+    every = leaves.select(F.col("node_key").alias("leaf_key")).join(broadcast_if_few(names, 1000))
     return every.join(found, ["leaf_key", "name"], "left").select("leaf_key", "name", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
 
 
@@ -44,7 +45,7 @@ def leaf_corners(leaves: DataFrame, leaf_cells: DataFrame, geometry: DataFrame,
     )
     held = containing_cell(corners, leaf_cells, geometry, eps)
     got = sampled(held, geometry, values).select("probe_id", "name", "sample")
-    names = F.broadcast(values.select("name").distinct().limit(1000))
+    names = broadcast_if_few(values.select("name").distinct(), 1000)
     every = corners.join(names)
     if missing == "nearest":
         near = nearest_in_leaf(corners, leaf_cells, geometry).join(values, "point_id").select("probe_id", "name", F.col("value").alias("near"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volmesh.common import broadcast_if_few
 from volmesh.functions.geometry import spherical
 
 #: Newest frames that are kept, and metrics of a frame; fixed values.
@@ -51,7 +52,7 @@ def camera_at(times: DataFrame, segments: DataFrame) -> DataFrame:
     """t, x, y, z: cameras move evenly from segment start to stop (t0, t1, r0, r1, az0, az1, el0, el1)."""
     part = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     now = lambda n: F.col(f"{n}0") + (F.col(f"{n}1") - F.col(f"{n}0")) * part
-    found = times.join(F.broadcast(segments.limit(10_000)), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
+    found = times.join(broadcast_if_few(segments, 10_000), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     return found.select("t", *(c.alias(a) for a, c in zip("xyz", spherical(now("r"), now("az"), now("el")), strict=True)))
 
 
