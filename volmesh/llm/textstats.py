@@ -14,6 +14,8 @@ from .repeats import digest, sums
 
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 WHITE = np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8)
+#: Of each byte: 0 white space, 2 a letter, a digit or beyond ASCII, 1 any other.
+KIND = np.array([0 if bytes([b]).isspace() else 2 if b > 127 or bytes([b]).isalnum() else 1 for b in range(256)], np.uint8)
 #: Words in a window that counts as repeated.
 REPEAT_WORDS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,6 +44,13 @@ def repeat_words(tokens: np.ndarray) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[: len(tokens)]))
 
 
+def named_words(data: bytes) -> int:
+    """Words with a letter, a digit or a byte over 127."""
+    kind = KIND[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero((kind > 0) & (np.concatenate([[0], kind[:-1]]) == 0))
+    return int(np.count_nonzero(np.maximum.reduceat(kind, starts) == 2)) if len(starts) else 0
+
+
 def statistics(text: str) -> tuple[tuple[int, ...], np.ndarray]:
     """COUNTS and SHARES of a whole text; an empty one has zeros."""
     data = text.encode()
@@ -66,8 +75,7 @@ def statistics(text: str) -> tuple[tuple[int, ...], np.ndarray]:
     letters = int(by_byte[65:91].sum() + by_byte[97:123].sum() + by_byte[128:].sum())
     punctuation = int(by_byte[33:48].sum() + by_byte[58:65].sum() + by_byte[91:97].sum() + by_byte[123:127].sum())
     named = n_symbols + int(by_byte[33] + by_byte[44] + by_byte[46])
-    # Words without a letter or digit: rare first bytes are looked at only where there are symbols.
-    bare = sum(1 for w in words if not w.isalnum() and not any(b > 127 or 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 for b in w)) if by_byte[124] or by_byte[45] else 0
+    bare = n - named_words(data)
     shares = (
         np.log1p(n), lengths.mean(), lengths.std(), len(heads) / n ** 0.8, np.diff(heads, append=n).max() / (n + 10), np.count_nonzero(tokens[1:] == tokens[:-1]) / n,
         repeated / n, n_dup / max(1, len(full)), np.log1p(n / max(1, len(full))),
