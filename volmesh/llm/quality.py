@@ -18,7 +18,7 @@ from .common import TEXT_KEY, batch_of, checkpointed
 from .textstats import SHARES, matrix, text_statistics
 
 FOLDS = 5
-#: Positives and unlabelled texts that are fitted at most, chosen by a hash of doc_id over the whole table.
+#: Positives and unlabelled texts that are fitted at most, chosen by a hash of doc_id and text over the whole table.
 MOST_POSITIVE, MOST_UNLABELLED = 20_000, 40_000
 THRESHOLD = 0.3
 
@@ -46,14 +46,16 @@ def constant(value: float) -> Network:
     return Network(np.zeros(n), np.ones(n), [np.zeros((n, 1)), np.zeros(1), np.zeros(1), np.array(np.log(value / (1 - value)))])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, units: int = 24, epochs: int = 60, rate: float = 0.01, seed: int = 1) -> Network:
-    """Adam over mini-batches that hold both kinds in their proportion; logistic loss."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, units: int = 24, epochs: int = 60, rate: float = 0.01, seed: int = 1, moments_of_all: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
+    """Adam over mini-batches that hold both kinds in their proportion; logistic loss.
+
+    moments_of_all: mean and deviation of the statistics over all unlabelled texts, if ``unlabelled`` is a sample.
+    """
     prior = min(max(prior, 0.01), 0.99)
     if not len(positive) or not len(unlabelled):
         return constant(prior)
     rng, d = np.random.default_rng(seed), positive.shape[1]
-    centre = unlabelled.mean(axis=0)
-    scale = unlabelled.std(axis=0)
+    centre, scale = (unlabelled.mean(axis=0), unlabelled.std(axis=0)) if moments_of_all is None else moments_of_all
     net = Network(centre, np.where(scale > 1e-9, scale, 1), [rng.normal(0, 1 / np.sqrt(d), (d, units)), np.zeros(units), rng.normal(0, 1 / np.sqrt(units), units), np.zeros(())])
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights]
     batches, step = max(1, len(unlabelled) // 2000), 0
@@ -93,8 +95,16 @@ def labels_of(labels: DataFrame, name: str = "quality") -> DataFrame:
 
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows (of doc_id and others), chosen evenly from all by a hash."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most)
+    """At most so many rows (of doc_id, text_key and others), chosen evenly from all by a hash."""
+    return rows.orderBy(F.xxhash64("doc_id", TEXT_KEY, F.lit(17)), "doc_id", TEXT_KEY).limit(most)
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each of the SHARES over all rows; zeros without rows."""
+    share = lambda i: F.col("shares")[i].cast("double")
+    found = rows.agg(*(F.avg(share(i)) for i in range(len(SHARES))), *(F.stddev_pop(share(i)) for i in range(len(SHARES)))).first()
+    both = np.array([0.0 if v is None else v for v in found], np.float64)
+    return both[: len(SHARES)], both[len(SHARES) :]
 
 
 def shares_of(rows: DataFrame) -> np.ndarray:
@@ -108,7 +118,7 @@ def train(stats: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIV
     positive = shares_of(sampled(usable.join(known.where("label = 1"), "doc_id"), most_positive))
     unlabelled = shares_of(sampled(usable, most_unlabelled))
     prior = known.agg(F.avg("label")).first()[0]
-    return fit(positive, unlabelled, 0.5 if prior is None else prior)
+    return fit(positive, unlabelled, 0.5 if prior is None else prior, moments_of_all=moments(usable))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
