@@ -1,52 +1,31 @@
-"""Windows of tokens that occur before: what the suffix and graph deduplicators share.
+"""What the two operators on repeated passages share: hashes of stretches, minimizers, packed rows, and rewriting.
 
-Every window of ``length`` tokens has a digit of its own content: the least hash of its ``gram``-token pieces
-(its minimizer). Neighbouring windows mostly share it, so a document falls into runs of windows with one digit,
-and a run travels as one row: its digit, a digest of all its tokens, document, start, number of windows.
-Equal windows have equal digits; inside a passage that two documents share, whole runs are equal.
-
-1. Runs go to buckets by digit. Within a bucket, runs of equal digit and digest are repeats of the first of
-   them. First runs that share their digit with other ones may still hold repeated windows at passages' ends.
-2. Windows of the latter are dealt out and compared in the same way, each as a run of its own.
-
-Both steps combine before the shuffle: of equal runs in a batch of documents only the first (for the rule
-"smaller document", those of the first document) is sent, so a passage that a third of all documents hold comes
-once from each batch. Digests have 64 bits and are compared only under equal digits.
+Both deal stretches of neighbouring windows out by a digit of their own content, the least hash of the windows'
+pieces (their minimizer), so that equal windows meet and neighbours travel as one. Many small stretches are packed
+into one row for each batch of documents and bucket. The number of buckets of a pass is fixed, so rows grow with
+the input and not with its square; larger inputs take another pass over the next bits (``dealt_in_passes``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
+from .common import TEXT_KEY, batch_of, keyed_texts, slices
 
 U = np.uint64
 #: Of the hashes; any odd number serves as base.
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: Windows in a piece of a document, tokens hashed at a time, runs kept before a batch is combined and sent.
-PIECE, CHUNK, BATCH = 1 << 17, 1 << 17, 1 << 19
-#: Windows in a run at most; the bit above tells that a run may repeat windows of its own.
-LONGEST_RUN, OWN_REPEATS = 30_000, 1 << 15
-
-
-@dataclass(frozen=True)
-class Rule:
-    """length: tokens in a window. gram: tokens in a minimizer. same_document: whether an earlier start in the
-    same document makes a repeat. tokens: a text's bytes to its tokens' 64-bit hashes. sources: whether repeats
-    carry the place of an earlier occurrence; they are then joined only where their sources follow on as well."""
-
-    length: int
-    gram: int
-    same_document: bool
-    tokens: Callable[[bytes], np.ndarray]
-    sources: bool = False
-
+#: Bits of the 32-bit digit that a pass deals by, bytes of text that a bucket of the last pass may have, and passes
+#: at most (enough for 500 TB).
+PASS_BITS, BUCKET_BYTES, MOST_PASSES = 8, 32 << 20, 3
+#: Tokens hashed at a time, runs in a batch that is combined and sent, windows in a run at most.
+CHUNK, BATCH, LONGEST_RUN = 1 << 17, 1 << 19, 30_000
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
@@ -81,6 +60,11 @@ def digest(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
     return mixed((prefix[stop] - prefix[start]) * powers(len(prefix))[1][start])
 
 
+def digests_of_all(prefix: np.ndarray, length: int) -> np.ndarray:
+    """The digest of every stretch of so many tokens."""
+    return mixed((prefix[length:] - prefix[:-length]) * powers(len(prefix) - length)[1])
+
+
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     reach = 1
@@ -91,352 +75,144 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-#: A set of runs: parallel arrays. doc: index of a document; start; windows; digit (32 bits); digest.
-FIELDS = (("start", np.int32), ("windows", np.uint16), ("digit", np.uint32), ("digest", np.uint64))
-
-
-def runs(tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """Runs (piece, start in tokens, windows with OWN_REPEATS, digit, digest) of the pieces [starts, stops) of ``tokens``."""
-    n = len(tokens)
-    prefix = sums(tokens)
-    places = n - rule.gram + 1
-    grams = mixed((prefix[rule.gram :] - prefix[:-rule.gram]) * powers(places)[1])
-    least = sliding_least(grams, rule.length - rule.gram + 1)
-    piece = np.repeat(np.arange(len(starts)), stops - starts)[: len(least)]
-    valid = np.arange(len(least)) + rule.length <= stops[piece]
+def runs_of(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of the neighbouring places with one value in ``least``; places that aren't valid are left out."""
     change = np.ones(len(least), bool)
     change[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
     first = np.flatnonzero(change)
     count = np.diff(first, append=len(least))
-    keep = valid[first]
-    first, count = first[keep], count[keep]
+    first, count = first[valid[first]], count[valid[first]]
     if len(count) and count.max() > LONGEST_RUN:
         parts = -(-count // LONGEST_RUN)
-        first = np.repeat(first, parts) + LONGEST_RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        ends = np.repeat(first[np.cumsum(parts) - parts] + count, parts)
+        head = np.cumsum(parts) - parts
+        ends = np.repeat(first + count, parts)
+        first = np.repeat(first, parts) + LONGEST_RUN * (np.arange(parts.sum()) - np.repeat(head, parts))
         count = np.minimum(LONGEST_RUN, ends - first)
-    marked = count
-    if rule.same_document and len(first):
-        # Equal windows of one run have their minimizers at different places: is it there more than once?
-        span = count + rule.length - rule.gram
-        ends = np.cumsum(span)
-        places = np.repeat(first - ends + span, span) + np.arange(ends[-1])
-        often = np.add.reduceat((grams[places] == np.repeat(least[first], span)).astype(np.int32), ends - span) > 1
-        marked = count + OWN_REPEATS * often
-    return piece[first], first, marked, least[first], digest(prefix, first, first + count + rule.length - 1)
-
-
-class Batch:
-    """Runs of a number of documents, combined and dealt out to buckets when there are enough."""
-
-    def __init__(self, rule: Rule, buckets: int, *, single: bool = False) -> None:
-        """single: every run is one window."""
-        self.rule, self.buckets, self.single = rule, buckets, single
-        self.reset()
-
-    def reset(self) -> None:
-        self.docs: list[tuple[int, int]] = []
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
-
-    def add(self, docs: list[tuple[int, int]], doc: np.ndarray, *fields: np.ndarray) -> None:
-        self.parts.append((doc + len(self.docs), *fields))
-        self.docs += docs
-        self.size += len(doc)
-
-    def send(self) -> Iterator[pa.RecordBatch]:
-        """Rows of SENT: runs by bucket, and what is a repeat within this batch."""
-        if not self.size:
-            self.reset()
-            return
-        ids = np.array(self.docs, np.int64).reshape(-1, 2)
-        doc, start, windows, least, digests = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.reset()
-        digit = (least & U(0xFFFFFFFF)).astype(np.uint32)
-        bucket = ((least >> U(32)) % U(self.buckets)).astype(np.int32)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((ids[:, 1], ids[:, 0]))] = np.arange(len(ids))
-        order = np.lexsort((start, rank[doc], digests))
-        repeat, first = repeats(ids, doc[order], start[order], digests[order], self.rule)
-        gone, source = order[repeat], order[first[repeat]]
-        order = order[~repeat]
-        order = order[np.lexsort((start[order], doc[order], bucket[order]))]
-        if len(gone):
-            sources = (ids[doc[source], 0], ids[doc[source], 1], start[source]) if self.rule.sources else (None,) * 3
-            by = np.lexsort((start[gone], doc[gone]))
-            yield sent(np.full(len(gone), int(ids[0, 1] % self.buckets), np.int32), True, ids, doc[gone][by], (start[gone][by], windows[gone][by] % OWN_REPEATS, None, None, *(x if x is None else x[by] for x in sources)))
-        fields = (start[order], None, None, digests[order]) if self.single else (start[order], windows[order], digit[order], digests[order])
-        yield sent(bucket[order], False, ids, doc[order], (*fields, None, None, None))
-
-
-def repeats(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, digests: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the runs, sorted by digest, document and start, repeat the first of their digest; that first one."""
-    new = np.ones(len(doc), bool)
-    new[1:] = digests[1:] != digests[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    if not rule.same_document:
-        return ids[doc, 0] != ids[doc[first], 0], first
-    # A row that is there twice doesn't repeat itself.
-    return (start != start[first]) | (ids[doc] != ids[doc[first]]).any(axis=1), first
-
-
-#: Of a repeat, if wanted: where an earlier occurrence stands.
-SOURCE = (("source_doc", np.int64), ("source_key", np.int64), ("source_start", np.int32))
-#: doc_ids, keys: of the documents; runs: how many runs each has. Then FIELDS. is_repeat: the runs are repeats.
-SENT = "bucket int, is_repeat boolean, doc_ids binary, keys binary, runs binary, " + ", ".join(f"{f} binary" for f, _ in (*FIELDS, *SOURCE))
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("is_repeat", pa.bool_()), *((n, pa.binary()) for n in ("doc_ids", "keys", "runs", *(f for f, _ in (*FIELDS, *SOURCE))))])
-
-
-#: Bytes of a digest that are sent beside a digit; a run of one window has no digit and sends the whole digest.
-DIGEST_BYTES = 6
-
-
-def planes(x: np.ndarray) -> bytes:
-    """First all low bytes, then all next ones and so on: the high ones are mostly zeros and shrink in the shuffle."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
-
-
-def _fields(row: dict) -> list[np.ndarray]:
-    """FIELDS of a row of SENT that isn't one of repeats."""
-    start, raw = unplaned(row["start"], np.int32), np.frombuffer(row["digest"], np.uint8)
-    if row["digit"] is None:
-        digests = raw.view(np.uint64)
-        return [start, np.ones(len(start), np.uint16), (digests >> U(32)).astype(np.uint32), digests]
-    digests = np.zeros((len(start), 8), np.uint8)
-    digests[:, :DIGEST_BYTES] = raw.reshape(-1, DIGEST_BYTES)
-    return [start, unplaned(row["windows"], np.uint16), np.frombuffer(row["digit"], np.uint32), digests.view(np.uint64).reshape(-1)]
-
-
-def sent(bucket: np.ndarray, is_repeat: bool, ids: np.ndarray, doc: np.ndarray, fields: tuple) -> pa.RecordBatch:
-    """Rows of SENT of runs sorted by bucket, document and start."""
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rows: list[list] = [[] for _ in SENT_ARROW]
-    for a, b in zip(cut, np.append(cut, len(bucket))[1:], strict=True):
-        head = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-        own = ids[doc[a:b][head]]
-        values = [int(bucket[a]), is_repeat, planes(np.ascontiguousarray(own[:, 0])), own[:, 1].tobytes(), planes(np.diff(head, append=b - a).astype(np.int32))]
-        values += [None if x is None else x[a:b].astype(kind) for x, (_, kind) in zip(fields, (*FIELDS, *SOURCE), strict=True)]
-        start, windows, digit, digests = values[5:9]
-        values[5] = planes(start)
-        values[6] = None if windows is None else planes(windows)
-        values[7] = None if digit is None else digit.tobytes()
-        values[8] = None if digests is None else digests.tobytes() if digit is None else digests.view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES].tobytes()
-        values[9:] = [None if x is None else x.tobytes() for x in values[9:]]
-        for r, v in zip(rows, values, strict=True):
-            r.append(v)
-    return batch_of(SENT_ARROW, rows)
-
-
-#: What is known of a document's runs: repeats, or first ones whose windows are to be compared one by one.
-FOUND_FIELDS = (("start", np.int32), ("windows", np.int32), *SOURCE)
-FOUND = f"doc_id long, {TEXT_KEY} long, is_repeat boolean, " + ", ".join(f"{f} binary" for f, _ in FOUND_FIELDS)
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("is_repeat", pa.bool_()), *((f, pa.binary()) for f, _ in FOUND_FIELDS)])
-
-
-def _found(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, is_repeat: bool, source: tuple = ()) -> pa.RecordBatch:
-    """Rows of FOUND; repeats that follow on each other or overlap are joined, with sources only if these follow on too."""
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order].astype(np.int64), start[order].astype(np.int64) + windows[order]
-    source = [x[order] for x in source]
-    if is_repeat and len(doc):
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
-        if source:
-            new[1:] |= (source[0][1:] != source[0][:-1]) | (source[1][1:] != source[1][:-1]) | (np.diff(source[2].astype(np.int64)) != np.diff(start))
-        first = np.flatnonzero(new)
-        doc, start, stop, source = doc[first], start[first], np.maximum.reduceat(stop, first), [x[first] for x in source]
-    head = np.flatnonzero(np.diff(doc, prepend=-1))
-    own, ends = ids[doc[head]], np.append(head, len(doc))[1:]
-    fields = [start, stop - start, *source]
-    columns = [[x[a:b].astype(kind).tobytes() for a, b in zip(head, ends, strict=True)] for x, (_, kind) in zip(fields, FOUND_FIELDS, strict=False)]
-    columns += [[None] * len(head)] * (len(FOUND_FIELDS) - len(fields))
-    return batch_of(FOUND_ARROW, [own[:, 0].tolist(), own[:, 1].tolist(), [is_repeat] * len(head), *columns])
-
-
-def _resolver(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For all rows of a bucket: FOUND."""
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, doc, fields, n = [], [], [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = np.stack([unplaned(row["doc_ids"], np.int64), np.frombuffer(row["keys"], np.int64)], axis=1)
-                own_doc = np.repeat(np.arange(len(own)), unplaned(row["runs"], np.int32))
-                if row["is_repeat"]:
-                    yield _found(own, own_doc, unplaned(row["start"], np.int32), unplaned(row["windows"], np.uint16), True, tuple(np.frombuffer(row[f], kind) for f, kind in SOURCE) if rule.sources else ())
-                    continue
-                ids.append(own)
-                doc.append((own_doc + n).astype(np.int32))
-                fields.append(_fields(row))
-                n += len(own)
-        if not ids:
-            return
-        ids, at = np.concatenate(ids), np.concatenate(doc)
-        start, windows, digit, digests = (np.concatenate(x) for x in zip(*fields, strict=True))
-        # Documents are numbered anew by doc_id and key.
-        ids, number = np.unique(ids, axis=0, return_inverse=True)
-        at = number.reshape(-1).astype(np.int32)[at]
-        del fields, doc
-        order = np.lexsort((start, at, digests, digit))
-        at, start, windows, digit, digests = at[order], start[order], windows[order], digit[order], digests[order]
-        # The digit's order keeps equal digests together: only a digest under one digit counts as equal.
-        repeat, first = repeats(ids, at, start, np.where(np.r_[True, digit[1:] != digit[:-1]].cumsum() % 2 == 0, digests, ~digests), rule)
-        source = first[repeat]
-        windows, own = windows % OWN_REPEATS, windows >= OWN_REPEATS
-        yield _found(ids, at[repeat], start[repeat], windows[repeat], True, (ids[at[source], 0], ids[at[source], 1], start[source]) if rule.sources else ())
-        at, start, windows, digit, digests, own = (x[~repeat] for x in (at, start, windows, digit, digests, own))
-        head = np.flatnonzero(np.diff(digit, prepend=~digit[:1]))
-        size = np.diff(head, append=len(digit))
-        several = np.add.reduceat(np.r_[True, digests[1:] != digests[:-1]].astype(np.int64), head) > 1 if len(head) else np.zeros(0, bool)
-        if not rule.same_document and len(head):
-            several &= np.minimum.reduceat(ids[at, 0], head) != np.maximum.reduceat(ids[at, 0], head)
-        several = np.repeat(several, size) | own
-        if several.any():
-            yield _found(ids, at[several], start[several], windows[several], False)
-
-    return resolve
-
-
-def _resolved(sent_rows: DataFrame, rule: Rule) -> DataFrame:
-    resolve = _resolver(rule)
-
-    def group(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(resolve(iter(table.to_batches()))), FOUND_ARROW)
-
-    return sent_rows.groupBy("bucket").applyInArrow(group, FOUND)
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_bytes, packed: texts compressed for their way through shuffles."""
-    arrow = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("n_bytes", pa.int64()), ("packed", pa.binary())])
+    return first, count
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                raw = [t.encode() for t in column(batch, "text")]
-                yield batch_of(arrow, [batch.column(0), batch.column(2), [len(r) for r in raw], [pa.compress(r, "zstd", asbytes=True) if r else b"" for r in raw]])
 
-    return keyed_texts(docs).mapInArrow(run, f"doc_id long, {TEXT_KEY} long, n_bytes long, packed binary")
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of every stretch, one stretch after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def unpacked(data: bytes, n_bytes: int) -> bytes:
-    return pa.decompress(data, n_bytes, "zstd", asbytes=True) if n_bytes else b""
+def heads_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by these keys, are the first of their group."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = False
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
 
 
-def _runs_of(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """SENT for all windows of all documents; rows without doc_id take no part."""
+def pack(arrays: Sequence[np.ndarray]) -> bytes:
+    """The arrays, each as a plane for each of its bytes (high ones are mostly zeros and shrink), compressed."""
+    body = b"".join(np.int64(len(a)).tobytes() + np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else bytes(8) for a in arrays)
+    return np.int64(len(body)).tobytes() + pa.compress(body, "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = Batch(rule, buckets)
-        tokens: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []
-        offsets: list[int] = []
-        size = 0
-
-        def hashed() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if tokens:
-                stops = np.cumsum([len(t) for t in tokens])
-                starts = stops - [len(t) for t in tokens]
-                piece, first, count, least, digests = runs(np.concatenate(tokens), starts, stops, rule)
-                batch.add(owners[:], piece.astype(np.int32), (first - starts[piece] + np.array(offsets)[piece]).astype(np.int32), count.astype(np.uint16), least, digests)
-                if batch.size >= BATCH:
-                    yield from batch.send()
-            tokens.clear(), owners.clear(), offsets.clear()
-            size = 0
 
-        for whole in batches:
-            for part in slices(whole):
-                for doc_id, key, text in zip(column(part, "doc_id"), column(part, TEXT_KEY), column(part, "text"), strict=True):
-                    if len(text) * 4 < rule.length:
-                        continue
-                    all_tokens = rule.tokens(text.encode())
-                    for at in range(0, len(all_tokens) - rule.length + 1, PIECE):
-                        tokens.append(all_tokens[at : at + PIECE + rule.length - 1])
-                        owners.append((doc_id, key))
-                        offsets.append(at)
-                        size += len(tokens[-1])
-                        if size >= CHUNK:
-                            yield from hashed()
-        yield from hashed()
-        yield from batch.send()
+def unpack(data: bytes, kinds: Sequence[type]) -> list[np.ndarray]:
+    body = pa.decompress(memoryview(data)[8:], int(np.frombuffer(data[:8], np.int64)[0]), "zstd", asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        n, size = int(np.frombuffer(body, np.int64, 1, at)[0]), np.dtype(kind).itemsize
+        raw = np.frombuffer(body, np.uint8, n * size, at + 8)
+        out.append(raw.reshape(size, n).T.copy().view(kind).reshape(-1) if size > 1 else raw.view(kind))
+        at += 8 + n * size
+    return out
 
-    return keyed_texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, SENT)
 
+def compared(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Whether the bytes of ``buffer`` from a and from b on are the same, for each length."""
+    same = np.ones(len(a), bool)
+    cuts = np.flatnonzero(np.diff(np.cumsum(length) // at_once, prepend=-1))
+    for i, j in zip(cuts, np.append(cuts, len(a))[1:], strict=True):
+        n = length[i:j]
+        equal = buffer[spread(a[i:j], n)] == buffer[spread(b[i:j], n)]
+        same[i:j] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return same
 
-def _windows_of(open_runs: DataFrame, texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """SENT for the single windows of the runs that are to be compared."""
-    joined = by_document(open_runs).join(texts, ["doc_id", TEXT_KEY]).select("doc_id", TEXT_KEY, "start", "windows", "n_bytes", "packed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = Batch(rule, buckets, single=True)
-        for whole in batches:
-            for part in slices(whole):
-                for row in part.to_pylist():
-                    tokens = rule.tokens(unpacked(row["packed"], row["n_bytes"]))
-                    start = np.frombuffer(b"".join(row["start"]), np.int32).astype(np.int64)
-                    count = np.frombuffer(b"".join(row["windows"]), np.int32).astype(np.int64)
-                    place = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    prefix = sums(tokens)
-                    digests = digest(prefix, place, place + rule.length)
-                    batch.add([(row["doc_id"], row[TEXT_KEY])], np.zeros(len(place), np.int32), place.astype(np.int32), np.ones(len(place), np.uint16), mixed(digests), digests)
-                    if batch.size >= BATCH:
-                        yield from batch.send()
-        yield from batch.send()
+#: bucket: the digit's leading bits. kind 0: packed rows of that bucket; other kinds only go along.
+DEALT = "bucket int, kind int, data binary"
+DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
-    return joined.mapInArrow(run, SENT)
 
+def passes(docs: DataFrame) -> int:
+    """How many passes leave at most about BUCKET_BYTES of text in a bucket."""
+    total = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return next(n for n in range(1, MOST_PASSES + 1) if total <= BUCKET_BYTES << PASS_BITS * n or n == MOST_PASSES)
 
-#: Buckets that even small inputs are dealt to; with fewer, a document's rows would grow with the input.
-LEAST_BUCKETS = 48
 
+def bucket_of(digit: np.ndarray, n_pass: int) -> np.ndarray:
+    """A 32-bit digit's bucket in a pass, from 1 on: the most significant bits."""
+    return (digit.astype(np.int64) >> (32 - PASS_BITS * n_pass)).astype(np.int32)
 
-def _bucket_count(docs: DataFrame, bytes_each: int = 24 << 20) -> int:
-    """Buckets of about as many bytes of text each, so that a bucket fits a task whatever the input's size."""
-    total = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(LEAST_BUCKETS, -(-total // bytes_each))
+
+def dealt_in_passes(rows: DataFrame, n_passes: int, split: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """rows (DEALT, by the buckets of pass 1) dealt by those of the last pass, and sorted by them within partitions.
+
+    split: from a pass's number and packed rows of one bucket to rows by the buckets of that pass.
+    """
+
+    def redeal(n_pass: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, bucket, size = [], None, 0
+            for batch in batches:
+                for at, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if kind:
+                        yield batch_of(DEALT_ARROW, [[at], [kind], [data]])
+                        continue
+                    if held and (at != bucket or size > BUCKET_BYTES):
+                        yield from split(n_pass, held)
+                        held, size = [], 0
+                    bucket = at
+                    held.append(data)
+                    size += len(data)
+            if held:
+                yield from split(n_pass, held)
+
+        return run
+
+    for n_pass in range(2, n_passes + 1):
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(redeal(n_pass), DEALT)
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def found_repeats(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(texts of ``packed``; rows of FOUND with all repeats)."""
-    buckets = _bucket_count(docs)
-    texts = packed(docs)
-    found = checkpointed(_resolved(_runs_of(docs, rule, buckets), rule))
-    again = _resolved(_windows_of(found.where("NOT is_repeat"), texts, rule, buckets), rule)
-    return texts, found.union(again).where("is_repeat")
+#: Windows in a span, as its low bits; its start in the higher ones.
+SPAN_BITS = 31
 
 
-def by_document(spans: DataFrame) -> DataFrame:
-    """Per doc_id and text_key the starts and numbers of repeated windows, as lists of binaries."""
-    return spans.groupBy("doc_id", TEXT_KEY).agg(F.collect_list("start").alias("start"), F.collect_list("windows").alias("windows"))
+def spans_of(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << SPAN_BITS) | windows.astype(np.int64)
 
 
-def removed_tokens(start: list[bytes], windows: list[bytes], n_tokens: int, length: int) -> np.ndarray:
-    """Which tokens the windows cover."""
+def removed_tokens(spans: np.ndarray, n_tokens: int, length: int) -> np.ndarray:
+    """Which tokens the windows of the spans cover."""
     edge = np.zeros(n_tokens + 1, np.int64)
-    if start:
-        first = np.frombuffer(b"".join(start), np.int32)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + np.frombuffer(b"".join(windows), np.int32) + length - 1, -1)
+    if len(spans):
+        start, windows = spans >> SPAN_BITS, spans & ((1 << SPAN_BITS) - 1)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + windows + length - 1, -1)
     return np.cumsum(edge)[:n_tokens] > 0
 
 
-def rewritten(texts: DataFrame, spans: DataFrame, row: Callable[[int, bytes, list, list], tuple], arrow: pa.Schema, schema: str) -> DataFrame:
-    """``row`` (doc_id, text_key, text's bytes, starts, windows) of every document, as columns of ``schema``.
+def rewritten(docs: DataFrame, spans: DataFrame, row: Callable[[int, int, bytes, np.ndarray], tuple], arrow: pa.Schema, schema: str) -> DataFrame:
+    """``row`` (doc_id, text_key, text's bytes, spans) of every row of docs, as columns of ``schema``.
 
-    spans: rows of doc_id, text_key, start, windows, the latter two binaries of 32-bit integers.
+    spans: rows of doc_id, text_key, span.
     """
-    joined = texts.join(by_document(spans), ["doc_id", TEXT_KEY], "left").select("doc_id", TEXT_KEY, "n_bytes", "packed", "start", "windows")
+    of_documents = spans.groupBy("doc_id", TEXT_KEY).agg(F.collect_list("span").alias("spans"))
+    joined = keyed_texts(docs).join(of_documents, ["doc_id", TEXT_KEY], "left").select("doc_id", TEXT_KEY, "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
-                rows = [row(r["doc_id"], r[TEXT_KEY], unpacked(r["packed"], r["n_bytes"]), r["start"] or [], r["windows"] or []) for r in part.to_pylist()]
+                ids, keys, texts = (part.column(i).to_pylist() for i in range(3))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy(zero_copy_only=False))
+                flat = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                rows = [row(i, k, t.encode(), flat[a:b]) for i, k, t, a, b in zip(ids, keys, texts, [0, *ends.tolist()], ends.tolist(), strict=False)]
                 yield batch_of(arrow, [[r[i] for r in rows] for i in range(len(arrow))])
 
     return joined.mapInArrow(run, schema)
