@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from volmesh.llm import bpe, mixing, quality, textstats
+from volmesh.llm import bpe, mixing, quality, similar, textstats
 from volmesh.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -173,3 +173,25 @@ def test_mixing_stage_keeps_the_target_shares(spark):
         for value, share in mixing.targets(cells, d).collect():
             assert abs(expected[value] / sum(expected.values()) - share) < 1e-4
             assert abs(kept[value] / sum(kept.values()) - share) < 0.04
+
+
+def test_links_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(similar, "MATRIX", 500)
+    base = rng.integers(0, 2**62, 120)
+    sets = [np.unique(np.where(rng.random(120) < rng.choice((0.02, 0.08, 0.15)), rng.integers(0, 2**62, 120), base)) for _ in range(50)]
+    share = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    assert all(similar.shared_counts(sets)[i, j] == share(i, j) for i in range(50) for j in range(i))
+    shapes, groups, blocks = np.arange(50) + 100, np.arange(50) // 2, np.arange(50) % 2
+
+    def joined(links):
+        g = groups.copy()
+        for i, j in links:
+            g[g == max(g[i], g[j])] = min(g[i], g[j])
+        return g.tolist()
+
+    for labels, fits in ((np.zeros(50, int), lambda i, j: True), (blocks, lambda i, j: blocks[i] != blocks[j])):
+        links = similar.joining_links(shapes, groups, labels, sets)
+        all_pairs = [(i, j) for i in range(50) for j in range(i) if fits(i, j) and 9 * share(i, j) >= 4 * (len(sets[i]) + len(sets[j]))]
+        assert joined([(a - 100, b - 100) for a, b in links]) == joined(all_pairs)
+        assert len(links) == 25 - len(set(joined(all_pairs))) < len(all_pairs)
