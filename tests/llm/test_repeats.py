@@ -95,6 +95,13 @@ def test_a_passage_is_one_path(spark, parts):
     assert len(paths) == 299 and {(r.start, r.windows, r.source_doc, r.source_start) for r in paths} == {(30, 101, 0, 30)}
 
 
+def test_words_around_a_cycle_are_one_path(spark):
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(25)) + " one two" * (30 + i)) for i in range(20)]
+    paths = debruijn.repeated_paths(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    assert len(paths) <= 3 * 20
+    assert sum(r.windows for r in paths if r.doc_id == 19) >= 2 * 49 - 19
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffixes.remove_repeated_bytes(none).count() == 0 == debruijn.remove_repeated_words(none).count()

@@ -6,9 +6,10 @@ A window of ``length`` words is an edge from the vertex of its first length - 1
    row, with the vertices before and after them. So a bucket sees every occurrence of its vertices with the edges
    that lead in and out, and each edge in the bucket of the vertex it leaves. In each batch of documents, rows with
    the same words are sent once; the other occurrences refer to the first.
-2. A bucket finds each edge's first occurrence, its source. Edges in a row whose sources follow on are a path: at the
-   vertices between them the document's walk and the source's don't part. Inside a row a path can only begin or end
-   at a vertex with several ways in or out, one of which the document takes and another its source.
+2. A bucket finds each edge's source: where it occurs before in its document, else where it occurs first. Edges in a row
+   whose sources follow on are a path: at the vertices between them the document's walk and the source's don't part.
+   Inside a row a path can only begin or end at a vertex with several ways in or out, one of which the document takes
+   and another its source. A walk around and around a cycle (words that repeat at once) has itself as its source.
 3. Spark joins compact: occurrences take the paths of the row they refer to, and paths are joined to those that go
    on at the vertex where they end.
 4. In the end each path is read at both of its coordinates. Where the words differ, hashes have collided: its windows
@@ -225,11 +226,15 @@ def _paths_in(data: list[bytes]) -> pa.RecordBatch:
     vertex = sent[place] | (digit[row].astype(U) << U(8 * VERTEX_BYTES))
     order = np.lexsort((edge, rank[doc[row]], sent[place + 1], vertex))
     row, edge, place, vertex = row[order], edge[order], place[order], vertex[order]
-    new = heads_of(vertex, sent[place + 1])
+    new, of = heads_of(vertex, sent[place + 1]), rank[doc[row]]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    itself = (rank[doc[row]] == rank[doc[row[first]]]) & (edge == edge[first])
+    # An edge's source is the one before it in its document; there, walks around a cycle are one path.
+    here = heads_of(np.cumsum(new), of, edge)
+    here = np.flatnonzero(here)[np.cumsum(here) - 1]
+    before = np.where((here > first) & (of[here - 1] == of), here - 1, first)
+    itself = here == first
     wanted = ~itself | referred[row]
-    source_row, source = row[first][wanted], edge[first][wanted]
+    source_row, source = row[before][wanted], edge[before][wanted]
     row, edge, itself = row[wanted], edge[wanted], itself[wanted]
     order = np.lexsort((edge, row))
     row, edge, itself, source, source_row = row[order], edge[order], itself[order], source[order], source_row[order]
@@ -339,11 +344,13 @@ def _verified(paths: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     offset = F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("offset")
     single = bad.select("*", offset).withColumns({"start": F.col("start") + F.col("offset"), "source_start": F.col("source_start") + F.col("offset"), "windows": F.lit(1)}).select(names)
     windows = checkpointed(_compared(single, docs, length))
-    # All windows with the words of one that differs from its source have the same hash, so they are all here.
-    in_order = Window.partitionBy("words").orderBy("doc_id", TEXT_KEY, "start")
-    place = F.struct(F.col("doc_id").alias("d"), F.col(TEXT_KEY).alias("k"), F.col("start").alias("s"))
-    others = windows.where("words <> source_words").withColumn("first", F.first(place).over(in_order)).where(F.col("first") != place)
-    others = others.select("doc_id", TEXT_KEY, "start", "windows", F.col("first.d").alias("source_doc"), F.col("first.k").alias("source_key"), F.col("first.s").alias("source_start"))
+    # Of windows with one hash, the first with certain words is such a window itself or the source of one.
+    failed = windows.where("words <> source_words")
+    known = failed.select("words", "doc_id", TEXT_KEY, "start").unionByName(failed.select(F.col("source_words").alias("words"), F.col("source_doc").alias("doc_id"), F.col("source_key").alias(TEXT_KEY), F.col("source_start").alias("start")))
+    first = known.groupBy("words").agg(F.min(F.struct("doc_id", TEXT_KEY, "start")).alias("first"))
+    place = F.struct("doc_id", TEXT_KEY, "start")
+    others = failed.join(first, "words").where(F.col("first") != place)
+    others = others.select("doc_id", TEXT_KEY, "start", "windows", F.col("first.doc_id").alias("source_doc"), F.col(f"first.{TEXT_KEY}").alias("source_key"), F.col("first.start").alias("source_start"))
     return good.unionByName(windows.where("words = source_words").select(names)).unionByName(others.select(names))
 
 
@@ -352,7 +359,7 @@ def repeated_paths(docs: DataFrame, length: int = 20, hash_bits: int = 64) -> Da
 
     A path stands for windows + length - 1 words from word ``start`` on, which also stand at the source: in a
     document with a smaller doc_id, or earlier in the same document. Sources are first occurrences over the whole
-    table, so a passage is one path of a document however the table is dealt. Rows without doc_id have no paths; rows
+    table, or the one before in the same document, so a passage is one path of a document however the table is dealt. Rows without doc_id have no paths; rows
     that share a doc_id but not a text count as documents ordered by their texts' hashes, repeated rows as one.
     hash_bits: of words; with fewer, more windows collide and are told apart by their words.
     """
