@@ -25,7 +25,7 @@ BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: at most (enough for 500 TB).
 PASS_BITS, BUCKET_BYTES, MOST_PASSES = 8, 32 << 20, 3
 #: Tokens hashed at a time, runs in a batch that is combined and sent, windows in a run at most.
-CHUNK, BATCH, LONGEST_RUN = 1 << 17, 1 << 19, 30_000
+CHUNK, BATCH, LONGEST_RUN = 1 << 17, 1 << 17, 30_000
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
