@@ -1,8 +1,9 @@
 """Licence scans: exact phrases, and short notices found with a bounded number of edits.
 
 A notice that may differ in e edits is cut into e + 1 pieces; whatever lies within e edits holds one of them
-unchanged. Those exact seeds locate candidates, and the regex library's bounded-error matching verifies the
-stretch around each, counts its edits and gives its span.
+unchanged. One automaton finds those exact seeds, they locate candidates, and the regex library's bounded-error
+matching verifies the stretch around each, counts its edits and gives its span. How lines are wrapped and commented
+makes no difference; the words that tell licences apart allow no edits.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,24 +23,43 @@ from .common import TEXT_KEY, batch_of, column, keyed_texts, slices
 #: Phrases of consecutive words and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Short notices and their labels (fixed values, in lower case and with single spaces).
+#: Short notices and their labels (fixed values, in lower case and with single spaces). What stands in braces tells
+#: one licence from another and allows no edits.
 NOTICES = (
-    ("permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
-    ("released under the mit license", "mit"),
-    ("licensed under the apache license, version 2.0", "apache"),
-    ("licensed under the gnu general public license", "gpl"),
-    ("the terms of the gnu general public license", "gpl"),
-    ("the terms of the gnu lesser general public license", "lgpl"),
-    ("the terms of the gnu affero general public license", "agpl"),
-    ("redistribution and use in source and binary forms", "bsd"),
-    ("permission to use, copy, modify, and distribute this software", "isc"),
-    ("subject to the terms of the mozilla public license", "mpl"),
-    ("free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under cc by-nc 4.0", "cc-by-nc"),
-    ("licensed under a creative commons attribution", "cc-by"),
+    ("permission is hereby granted, free of charge, to any person {obtaining a copy} of this software", "mit"),
+    ("released under the {mit} license", "mit"),
+    ("licensed under the {mit} license", "mit"),
+    ("licensed under the {apache} license, version 2.0", "apache"),
+    ("licensed under the gnu {general} public license", "gpl"),
+    ("under the terms of the gnu {general} public license", "gpl"),
+    ("licensed under the gnu {lesser} general public license", "lgpl"),
+    ("under the terms of the gnu {lesser} general public license", "lgpl"),
+    ("licensed under the gnu {affero} general public license", "agpl"),
+    ("under the terms of the gnu {affero} general public license", "agpl"),
+    ("redistribution and use in {source and binary} forms, with or without modification, are permitted", "bsd"),
+    ("licensed under the {bsd} license", "bsd"),
+    ("permission to use, copy, modify, and/or {distribute this software} for any purpose", "isc"),
+    ("permission to use, copy, modify, and {distribute this software} for any purpose", "isc"),
+    ("subject to the terms of the {mozilla} public license", "mpl"),
+    ("made available under the terms of the {eclipse} public license", "epl"),
+    ("distributed under the {boost} software license, version 1.0", "bsl"),
+    ("free and unencumbered software released into the {public domain}", "unlicense"),
+    ("licensed under {cc0} 1.0 universal", "cc0"),
+    ("licensed under cc {by} 4.0", "cc-by"),
+    ("licensed under cc {by-sa} 4.0", "cc-by-sa"),
+    ("licensed under cc {by-nc} 4.0", "cc-by-nc"),
+    ("licensed under cc {by-nd} 4.0", "cc-by-nd"),
+    ("licensed under cc {by-nc-sa} 4.0", "cc-by-nc-sa"),
+    ("licensed under cc {by-nc-nd} 4.0", "cc-by-nc-nd"),
+    ("creative commons {attribution} 4.0 international", "cc-by"),
+    ("creative commons {attribution-sharealike} 4.0 international", "cc-by-sa"),
+    ("creative commons {attribution-noncommercial} 4.0 international", "cc-by-nc"),
+    ("creative commons {attribution-noderivatives} 4.0 international", "cc-by-nd"),
 )
-#: One edit is allowed for so many characters of a notice.
+#: One edit is allowed for so many characters of a notice, before and after what has to be exact.
 CHARS_AN_EDIT = 12
+#: White space counts as one space; after a line's end, so do marks that begin a comment's line.
+GAP = re.compile(r"[ \t\r\x0b\x0c]*\n(?:[\s]|//+|/?\*+/?|#+|;+|%+|--+|>+)*|[ \t\r\x0b\x0c]+")
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -50,45 +71,72 @@ class Notice:
     text: str
     label: str
     edits: int
-    seeds: tuple[tuple[int, str], ...]
     pattern: regex.Pattern
 
 
 def notice(text: str, label: str) -> Notice:
-    edits = max(1, len(text) // CHARS_AN_EDIT)
-    cuts = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
-    seeds = tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
-    return Notice(text, label, edits, seeds, regex.compile(f"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}"))
+    parts = re.split(r"[{}]", text)
+    allowed = [0 if i % 2 or len(p) < 6 else max(1, len(p) // CHARS_AN_EDIT) for i, p in enumerate(parts)]
+    exact = lambda p: f"(?<![0-9a-z-]){regex.escape(p, literal_spaces=True)}(?![0-9a-z-])"
+    fuzzy = lambda p, e: f"(?:{regex.escape(p, literal_spaces=True)}){{e<={e}}}" if e else regex.escape(p, literal_spaces=True)
+    pattern = "".join(exact(p) if i % 2 else fuzzy(p, e) for i, (p, e) in enumerate(zip(parts, allowed, strict=True)))
+    return Notice("".join(parts), label, sum(allowed), regex.compile(f"(?b){pattern}"))
 
 
-_notices: dict[tuple, list[Notice]] = {}
+_notices: dict[tuple, tuple[list[Notice], ahocorasick.Automaton]] = {}
 
 
-def compiled(notices: tuple) -> list[Notice]:
+def compiled(notices: tuple) -> tuple[list[Notice], ahocorasick.Automaton]:
+    """The notices, and an automaton of their seeds: to each its length, notices and offsets in them."""
     if notices not in _notices:
-        _notices[notices] = [notice(*n) for n in notices]
+        own, seeds = [notice(*n) for n in notices], {}
+        for i, n in enumerate(own):
+            cuts = [round(k * len(n.text) / (n.edits + 1)) for k in range(n.edits + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                seeds.setdefault(n.text[a:b], []).append((i, a))
+        automaton = ahocorasick.Automaton()
+        for seed, places in seeds.items():
+            automaton.add_word(seed, (len(seed), places))
+        automaton.make_automaton()
+        _notices[notices] = own, automaton
     return _notices[notices]
 
 
+def _offsets(low: str) -> np.ndarray:
+    """Of each character that GAP leaves, and of the end, where it stands in ``low``."""
+    out, at = [], 0
+    for gap in GAP.finditer(low):
+        out += range(at, gap.start() + 1)
+        at = gap.end()
+    return np.array([*out, *range(at, len(low) + 1)])
+
+
 def fuzzy_spans(low: str, notices: tuple) -> list[tuple[str, int, int, int]]:
-    """(label, start, stop, edits) of notices in a text in lower case with spaces for white space."""
-    out = []
-    for n in compiled(notices):
-        places = set()
-        for offset, seed in n.seeds:
-            at = low.find(seed)
-            while at >= 0:
-                places.add(at - offset)
-                at = low.find(seed, at + 1)
-        done = -n.edits - 1
-        for place in sorted(places):
+    """(label, start, stop, edits) of notices in a text in lower case, by characters of the text; of notices that
+    overlap, the one with the fewest edits for its length."""
+    own, automaton = compiled(notices)
+    plain = GAP.sub(" ", low)
+    places: dict[int, set[int]] = {}
+    for end, (size, seeds) in automaton.iter(plain):
+        for i, offset in seeds:
+            places.setdefault(i, set()).add(end + 1 - size - offset)
+    found = []
+    for i, starts in places.items():
+        n, done = own[i], -1
+        for place in sorted(starts):
             if place <= done:
                 continue
             start, stop = max(0, place - n.edits), place + len(n.text) + 2 * n.edits
-            if m := n.pattern.search(low, start, stop):
-                out.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts)))
+            if m := n.pattern.search(plain, start, stop):
+                found.append((sum(m.fuzzy_counts) / len(n.text), -len(n.text), m.start(), m.end(), n.label, sum(m.fuzzy_counts)))
                 done = m.end() - 1 - n.edits
-    return out
+    if not found:
+        return []
+    at, kept = _offsets(low), []
+    for _, _, start, stop, label, edits in sorted(found):
+        if all(stop <= a or start >= b for a, b, *_ in kept):
+            kept.append((start, stop, label, edits))
+    return [(label, int(at[a]), int(at[b - 1]) + 1, edits) for a, b, label, edits in sorted(kept)]
 
 
 def _phrase_pattern(phrases: tuple) -> re.Pattern:
@@ -109,13 +157,11 @@ def scan_text(text: str, phrases: tuple, notices: tuple, pattern: re.Pattern) ->
                 places.append(int(np.searchsorted(starts, m.start())))
                 base.add(label)
         at = m.start() + 1
-    low = data.decode().translate(_SPACES)
-    spans = fuzzy_spans(low, notices)
+    spans = fuzzy_spans(data.decode(), notices)
     score = 1.0 if base else max((1 - edits / max(1, stop - start) for _, start, stop, edits in spans), default=0.0)
     return len(starts), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(base | {s[0] for s in spans}), max(0.0, score), spans
 
 
-_SPACES = {c: " " for c in map(ord, "\t\n\x0b\x0c\r")}
 SCHEMA = f"doc_id long, {TEXT_KEY} long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:int,stop:int,edits:int>>"
 
 
@@ -124,8 +170,9 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) ->
     start in words), base_labels, labels (the notices' as well), score (1 for a phrase, else the best notice's
     share of unchanged characters, else 0), spans (notices: label, start and stop in characters, edits).
 
-    Null texts are empty and have no words; repeated rows give repeated rows. A phrase that is the beginning of
-    another at the same place hides behind the one that is listed first.
+    Null texts are empty and have no words; repeated rows give repeated rows, an empty table none. Texts of any length
+    are scanned whole. Other columns of docs take no part, whatever their names. A phrase that is the beginning of
+    another at the same place hides behind the one that is listed first; of notices that overlap the closest counts.
     """
     pattern = _phrase_pattern(phrases)
     names = pa.list_(pa.string())

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import TEXT_KEY, batch_of, checkpointed
 from .textstats import SHARES, matrix, text_statistics
 
@@ -96,7 +97,7 @@ def labels_of(labels: DataFrame, name: str = "quality") -> DataFrame:
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:
     """At most so many rows (of doc_id, text_key and others), chosen evenly from all by a hash."""
-    return rows.orderBy(F.xxhash64("doc_id", TEXT_KEY, F.lit(17)), "doc_id", TEXT_KEY).limit(most)
+    return common.sampled(rows, most, rows.count(), "doc_id", TEXT_KEY)
 
 
 def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sampled
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,8 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], most_fitted: int = MOST_FI
 
     URLs that a rule fits are the labelled ones: their verdict is the rule's, and the trees learn from them.
     All others get the trees' verdict. If the labelled URLs know but one verdict, it is everyone's; without
-    labelled URLs everything is allowed. Null URLs have empty parts; repeated rows are judged alike.
+    labelled URLs everything is allowed. Null URLs have empty parts, null page_ids stay; repeated rows are judged alike,
+    URLs of any length whole. An empty table gives no rows; other columns of pages take no part, whatever their names.
     """
     urls = with_features(with_parts(pages)).withColumn("fit", rule_of(rules))
     urls = urls.withColumn("blocked", (F.col("fit.verdict") == "block").cast("double"))
@@ -107,11 +108,17 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], most_fitted: int = MOST_FI
     if not 0 < blocks < pages_in:
         return result(urls, F.lit(1.0 if blocks else 0.0))
     mean = blocks / pages_in
-    stats = by_suffix.select("suffix", ((F.col("blocks") + SMOOTHING * mean) / (F.col("pages") + SMOOTHING)).alias("suffix_blocked"), F.log1p(F.col("pages").cast("double")).alias("suffix_pages"))
-    full = _joined(urls, stats).fillna({"suffix_blocked": mean, "suffix_pages": 0.0})
+    smoothed = lambda blocks, pages: (blocks + SMOOTHING * mean) / (pages + SMOOTHING)
+    # A labelled URL's own verdict takes no part in its suffix's statistics.
+    own, one = F.coalesce("blocked", F.lit(0.0)), F.when(F.col("blocked").isNull(), 0.0).otherwise(1.0)
+    full = _joined(urls, by_suffix).withColumns({
+        "suffix_blocked": smoothed(F.coalesce("blocks", F.lit(0.0)) - own, F.coalesce("pages", F.lit(0)) - one),
+        "suffix_pages": F.log1p(F.coalesce("pages", F.lit(0)) - one),
+    })
     full = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
-    labelled = full.where("blocked IS NOT NULL").select("blocked", "features", F.xxhash64("url").alias("at"), "url")
-    parts = [labelled.where(F.col("blocked") == v).orderBy("at", "url").limit(most_fitted) for v in (0.0, 1.0)]
+    labelled = full.where("blocked IS NOT NULL").select("blocked", "features", "url")
+    sizes = {0.0: pages_in - int(blocks), 1.0: int(blocks)}
+    parts = [sampled(labelled.where(F.col("blocked") == v), most_fitted, n, "url") for v, n in sizes.items()]
     sample = checkpointed(parts[0].union(parts[1]).select("blocked", "features"))
     model = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=32).fit(sample)
     from pyspark.ml.functions import vector_to_array
