@@ -63,7 +63,7 @@ def docs(spark):
 def test_suffixes(docs, monkeypatch, held, bucket):
     monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
     assert repeats.passes(docs) == (1 if bucket > 3 else 3)
-    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeated_bytes(docs, held_bytes=held).collect()}
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeated_bytes(docs, held_bytes=held, held_runs=max(50, held // 100)).collect()}
     assert got == without_bytes(texts())
 
 

@@ -1,17 +1,21 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Only the order of suffixes through ``depth`` bytes matters: suffixes that agree so far form a group, and the groups
-of two or more are exactly the repeated windows. Passes go from the most significant digit on:
-
-1. Spark deals suffixes out by their window's minimizer, which neighbours share: they travel as one run, with the
-   bytes that they span. Equal windows have equal minimizers.
-2. In a bucket, runs with the very same bytes are one; only the first goes on. Every suffix of the others is then
-   sorted by its own bytes, eight at a time, from the first on. After each pass only groups with suffixes of several
-   documents stay, so few suffixes are compared through the full depth. All of this compares bytes, not hashes.
-
-Runs with the same bytes are also made one in each batch of documents, before they are moved: a passage that a third
-of all documents hold comes once from each batch. A bucket's memory is bounded: where one digit's runs would exceed
-it, their suffixes are dealt out once more, each by a hash of all of its window's bytes.
+of two or more are the repeated windows. Passes go from the most significant digit on:
+
+1. Spark deals suffixes out by their window's minimizer, which neighbours share: they travel as one run. Equal windows
+   have equal minimizers. Digits that only one document has are done. Runs of one digit that have one digest of their
+   bytes are the same; all but the first document's are repeats. (These digests have 64 bits and are only compared
+   within a digit of 32: of 100 TB, 2e-4 pairs of different runs are expected to be taken for the same.)
+2. What is left are mostly runs at the ends of passages. They are dealt out again by their digits, with the bytes that
+   they span. In a bucket, runs with the very same bytes are one. Every suffix of the others is sorted by its own
+   bytes, eight at a time, from the first on. After each pass only groups with suffixes of several documents stay, so
+   few suffixes are compared through the full depth. All of this compares bytes, not hashes.
+
+Runs with the same bytes are made one in each batch of documents, before they are moved: a passage that a third of all
+documents hold comes once from each batch. A bucket's memory is bounded: where one digit's runs would exceed it, they go
+from the first step to the second as they are, and there their suffixes are dealt out once more, each by a hash of all
+of its window's bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
-from .repeats import BATCH, CHUNK, DEALT, DEALT_ARROW, PASS_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, passes, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack
+from .repeats import BATCH, CHUNK, DEALT, DEALT_ARROW, PASS_BITS, SPAN_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, passes, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack
 
 #: Windows of a document that are hashed as one piece; suffixes that are sorted at a time.
 PIECE, SORTED = 1 << 17, 1 << 20
@@ -137,8 +142,50 @@ def _runs_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth: int
     return piece[first], first, count, least[first].astype(np.uint32), digest(prefix, first, first + count + depth - 1)
 
 
+#: Packed: ids and keys of documents, the number of runs of each; start, windows, digit and digest of the runs.
+SIFTED = (np.int64, np.int64, np.int32, np.int32, np.uint16, np.uint32, np.uint64)
+#: A span that is repeated; with a digit, a run whose suffixes have to be sorted.
+KNOWN = f"doc_id long, {TEXT_KEY} long, span long, digit long"
+KNOWN_ARROW = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("span", pa.int64()), ("digit", pa.int64())])
+#: Runs without their bytes that a bucket may hold in a task.
+HELD_RUNS = 1 << 22
+
+
+def _repeats_row(runs: Runs, repeated: np.ndarray, depth: int) -> pa.RecordBatch:
+    gone = runs[np.flatnonzero(repeated)]
+    gone = gone[np.argsort(gone.doc, kind="stable")]
+    return batch_of(DEALT_ARROW, [[int(gone.ids[gone.doc[0], 1]) % (1 << PASS_BITS)], [REPEATS], [gone.packed(depth, with_bytes=False)]])
+
+
+def _sifting_rows(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray, digests: np.ndarray, n_pass: int) -> pa.RecordBatch:
+    """Rows of SIFTED by the buckets of a pass."""
+    bucket = bucket_of(digit, n_pass)
+    order = np.lexsort((start, doc, bucket))
+    cut = np.flatnonzero(heads_of(bucket[order]))
+    data = []
+    for a, b in zip(cut, np.append(cut, len(order))[1:], strict=True):
+        own = order[a:b]
+        head = np.flatnonzero(heads_of(doc[own]))
+        of = ids[doc[own[head]]]
+        data.append(pack((of[:, 0].copy(), of[:, 1].copy(), np.diff(head, append=len(own)).astype(np.int32), start[own].astype(np.int32), windows[own].astype(np.uint16), digit[own], digests[own])))
+    return batch_of(DEALT_ARROW, [bucket[order][cut], np.full(len(cut), RUNS, np.int32), data])
+
+
+def _unsifted(data: list[bytes]) -> tuple[np.ndarray, ...]:
+    """ids; document, start, windows, digit, digest of runs."""
+    ids, doc, fields, n = [], [], [], 0
+    for d in data:
+        own, keys, runs, *rest = unpack(d, SIFTED)
+        ids.append(np.stack([own, keys], axis=1))
+        doc.append(np.repeat(np.arange(n, n + len(own)), runs))
+        n += len(own)
+        fields.append(rest)
+    start, windows, digit, digests = (np.concatenate(x) for x in zip(*fields, strict=True))
+    return np.concatenate(ids), np.concatenate(doc), start.astype(np.int64), windows.astype(np.int64), digit, digests
+
+
 def _dealt(docs: DataFrame, depth: int) -> DataFrame:
-    """DEALT of all suffixes of all documents; rows without doc_id take no part."""
+    """DEALT of the runs of all documents, without their bytes; rows without doc_id take no part."""
     gram = max(1, 2 * depth // 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +216,9 @@ def _dealt(docs: DataFrame, depth: int) -> DataFrame:
                 runs = Runs(np.array(ids, np.int64).reshape(-1, 2), doc, start, count, digit, at, np.concatenate(bodies))
                 repeated = same_bytes(runs, digests, depth)
                 if repeated.any():
-                    gone = runs[np.flatnonzero(repeated)]
-                    gone = gone[np.argsort(gone.doc, kind="stable")]
-                    yield batch_of(DEALT_ARROW, [[int(gone.ids[gone.doc[0], 1]) % (1 << PASS_BITS)], [REPEATS], [gone.packed(depth, with_bytes=False)]])
-                yield runs[np.flatnonzero(~repeated)].dealt(depth, 1)
+                    yield _repeats_row(runs, repeated, depth)
+                rest = ~repeated
+                yield _sifting_rows(runs.ids, doc[rest], start[rest], count[rest], digit[rest], digests[rest], 1)
             ids.clear(), parts.clear(), bodies.clear()
             n_runs = 0
 
@@ -197,6 +243,127 @@ def _dealt(docs: DataFrame, depth: int) -> DataFrame:
     return keyed_texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, DEALT)
 
 
+def _known(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray | None = None) -> pa.RecordBatch:
+    own = ids[doc]
+    return batch_of(KNOWN_ARROW, [own[:, 0], own[:, 1], spans_of(start, windows), [None] * len(doc) if digit is None else digit.astype(np.int64)])
+
+
+def _sifted(dealt: DataFrame, depth: int, held_runs: int) -> DataFrame:
+    """KNOWN of sorted rows of DEALT: runs that repeat another document's, and runs of digits that several have."""
+
+    def settled(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(doc):
+            return
+        order = np.lexsort((start, ids[doc, 1], ids[doc, 0], digests, digit))
+        doc, start, windows, digit, digests = doc[order], start[order], windows[order], digit[order], digests[order]
+        new = heads_of(digit, digests)
+        own = ids[doc, 0]
+        repeated = own != own[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        yield _known(ids, doc[repeated], start[repeated], windows[repeated])
+        doc, start, windows, digit, own = (x[~repeated] for x in (doc, start, windows, digit, own))
+        head = np.flatnonzero(heads_of(digit))
+        several = np.repeat(np.minimum.reduceat(own, head) < np.maximum.reduceat(own, head), np.diff(head, append=len(own)))
+        yield _known(ids, doc[several], start[several], windows[several], digit[several])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        hot = np.zeros(0, np.uint32)
+        bucket, n = None, 0
+
+        def without_hot(runs: tuple[np.ndarray, ...]) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+            """Runs of hot digits all have their suffixes sorted; the others."""
+            ids, *rest = runs
+            gone = np.isin(rest[3], hot)
+            return _known(ids, *(x[gone] for x in rest[:4])), (ids, *(x[~gone] for x in rest))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, hot
+            if held:
+                sent, rest = without_hot(_unsifted(held))
+                yield sent
+                yield from settled(*rest)
+            held, n, hot = [], 0, hot[:0]
+
+        for batch in batches:
+            for at, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == REPEATS:
+                    own = unpacked([data], depth)
+                    yield _known(own.ids, own.doc, own.start, own.windows)
+                    continue
+                if at != bucket:
+                    yield from close()
+                    bucket = at
+                held.append(data)
+                n += int(np.frombuffer(data[:8], np.int64)[0]) // 18
+                if n > held_runs:
+                    runs = _unsifted(held)
+                    digits, count = np.unique(runs[4], return_counts=True)
+                    order = np.argsort(-count)
+                    # Largest first, until half of what may be held is left.
+                    hot = np.union1d(hot, digits[order[: int(np.searchsorted(np.cumsum(count[order]), len(runs[1]) - held_runs // 2)) + 1]])
+                    sent, rest = without_hot(runs)
+                    yield sent
+                    ids, doc, start, windows, digit, digests = rest
+                    own, doc = np.unique(doc, return_inverse=True)
+                    held, n = [], len(doc)
+                    if n:
+                        head = np.flatnonzero(heads_of(doc))
+                        of = ids[own]
+                        held = [pack((of[:, 0].copy(), of[:, 1].copy(), np.diff(head, append=n).astype(np.int32), start.astype(np.int32), windows.astype(np.uint16), digit, digests))]
+        yield from close()
+
+    return dealt.mapInArrow(run, KNOWN)
+
+
+def _ends_key(runs: Runs, depth: int) -> np.ndarray:
+    """Equal wherever the digits and bytes of runs are."""
+    words = np.ndarray((len(runs.bytes) - 7,), ">u8", np.ascontiguousarray(runs.bytes), 0, (1,))
+    ends = np.maximum(runs.at, runs.at + runs.windows + depth - 9)
+    key = mixed(words[runs.at].astype(U)) + words[(runs.at + ends) // 2].astype(U) * U(3) + mixed(words[ends].astype(U) ^ runs.digit.astype(U))
+    return mixed(key ^ runs.windows.astype(U))
+
+
+def _with_bytes(open_: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
+    """DEALT of the open runs (of KNOWN), with their bytes."""
+    of_documents = open_.groupBy("doc_id", TEXT_KEY).agg(F.collect_list(F.struct("span", "digit")).alias("runs"))
+    joined = of_documents.join(keyed_texts(docs), ["doc_id", TEXT_KEY]).select("doc_id", TEXT_KEY, "text", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[tuple[int, int]] = []
+        bodies: list[bytes] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        n = size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal n, size
+            if n:
+                doc, start, windows, digit, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                runs = Runs(np.array(ids, np.int64).reshape(-1, 2), doc, start, windows, digit, at, np.frombuffer(b"".join([*bodies, bytes(8)]), np.uint8))
+                repeated = same_bytes(runs, _ends_key(runs, depth), depth)
+                if repeated.any():
+                    yield _repeats_row(runs, repeated, depth)
+                yield runs[np.flatnonzero(~repeated)].dealt(depth, 1)
+            ids.clear(), bodies.clear(), parts.clear()
+            n = size = 0
+
+        for whole in batches:
+            for part in slices(whole):
+                for doc_id, key, text, runs in zip(*(part.column(i) for i in range(4)), strict=True):
+                    span = runs.values.field("span").to_numpy()
+                    data = text.as_py().encode()
+                    ids.append((doc_id.as_py(), key.as_py()))
+                    start = span >> SPAN_BITS
+                    parts.append((np.full(len(span), len(ids) - 1), start, span & ((1 << SPAN_BITS) - 1), runs.values.field("digit").to_numpy().astype(np.uint32), start + size))
+                    bodies.append(data)
+                    size += len(data)
+                    n += len(span)
+                    if n >= BATCH or size >= 16 * BATCH:
+                        yield from send()
+        yield from send()
+
+    return joined.mapInArrow(run, DEALT)
+
+
 def _spans(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
     """FOUND of repeated windows; those that follow on each other are joined."""
     order = np.lexsort((start, doc))
@@ -218,10 +385,8 @@ def _suffixes(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def resolved(runs: Runs, depth: int) -> Iterator[pa.RecordBatch]:
     """FOUND of all runs of some digits."""
     buffer = np.append(runs.bytes, np.zeros(8, np.uint8))
-    words = np.ndarray((len(buffer) - 7,), ">u8", buffer, 0, (1,))
-    ends = np.maximum(runs.at, runs.at + runs.windows + depth - 9)
-    key = mixed(words[runs.at].astype(U)) + words[(runs.at + ends) // 2].astype(U) * U(3) + mixed(words[ends].astype(U) ^ runs.digit.astype(U))
-    repeated = same_bytes(runs, mixed(key ^ runs.windows.astype(U)), depth)
+    runs = Runs(runs.ids, runs.doc, runs.start, runs.windows, runs.digit, runs.at, buffer)
+    repeated = same_bytes(runs, _ends_key(runs, depth), depth)
     if repeated.any():
         gone = runs[repeated]
         yield _spans(runs.ids, gone.doc, gone.start, gone.windows)
@@ -321,20 +486,25 @@ def _resolved(dealt: DataFrame, depth: int, held_bytes: int) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-def repeated_suffixes(docs: DataFrame, depth: int = 50, held_bytes: int = HELD_BYTES) -> DataFrame:
+def repeated_suffixes(docs: DataFrame, depth: int = 50, held_bytes: int = HELD_BYTES, held_runs: int = HELD_RUNS) -> DataFrame:
     """doc_id, text_key, span: places of strings of ``depth`` bytes that start in a document with a smaller doc_id."""
     n = passes(docs)
 
     def split(n_pass: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield unpacked(data, depth).dealt(depth, n_pass)
 
-    found = checkpointed(_resolved(dealt_in_passes(_dealt(docs, depth), n, split), depth, held_bytes))
+    def split_sifting(n_pass: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        yield _sifting_rows(*_unsifted(data), n_pass)
+
+    known = checkpointed(_sifted(dealt_in_passes(_dealt(docs, depth), n, split_sifting), depth, held_runs))
+    opened = _with_bytes(known.where("digit IS NOT NULL"), docs, depth)
+    found = checkpointed(_resolved(dealt_in_passes(opened, n, split), depth, held_bytes))
     anew = found.where("data IS NOT NULL").select("bucket", F.lit(RUNS).alias("kind"), "data")
     again = _resolved(dealt_in_passes(anew, n, split), depth, 1 << 62)
-    return found.where("data IS NULL").union(again).select("doc_id", TEXT_KEY, "span")
+    return reduce(DataFrame.union, (x.select("doc_id", TEXT_KEY, "span") for x in (known.where("digit IS NULL"), found.where("data IS NULL"), again)))
 
 
-def remove_repeated_bytes(docs: DataFrame, depth: int = 50, held_bytes: int = HELD_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, depth: int = 50, held_bytes: int = HELD_BYTES, held_runs: int = HELD_RUNS) -> DataFrame:
     """doc_id, text_key, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 per row of docs.
 
     A byte goes if a string of ``depth`` bytes that covers it also starts in a document with a smaller doc_id;
@@ -352,4 +522,4 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 50, held_bytes: int = HE
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         return doc_id, key, len(data), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept, hashlib.sha256(kept).hexdigest()
 
-    return rewritten(docs, repeated_suffixes(docs, depth, held_bytes), row, arrow, f"doc_id long, {TEXT_KEY} long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rewritten(docs, repeated_suffixes(docs, depth, held_bytes, held_runs), row, arrow, f"doc_id long, {TEXT_KEY} long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
