@@ -81,6 +81,15 @@ def colour_ramp(t: Column, stops: list[tuple[float, float, float]]) -> Column:
     return F.array(*(channel(c) for c in range(3)))
 
 
+#: Cells in a leaf at which the ramp of leaf counts ends; fixed value.
+FULL_LEAF = 128
+
+
+def leaf_count_ramp(cells: Column, stops: list[tuple[float, float, float]]) -> Column:
+    """The colour of a leaf by the number of its cells."""
+    return colour_ramp(normalised(cells.cast("double"), F.lit(0.0), F.lit(float(FULL_LEAF))), stops)
+
+
 def spherical(radius: Column, azimuth: Column, elevation: Column) -> list[Column]:
     return [radius * F.cos(elevation) * F.sin(azimuth), radius * F.sin(elevation), radius * F.cos(elevation) * F.cos(azimuth)]
 
@@ -91,6 +100,11 @@ def polynomial(c: Column, x: Column, y: Column, z: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.element_at(c, i + 1) * t for i, t in enumerate(terms)))
 
 
+def hashed_number(*key: Column) -> Column:
+    """A number from 0 to 2 ** 32 - 1 that depends on the key alone, in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in key))), 1, 8), 16, 10).cast("long")
+
+
 def hashed_unit(*key: Column) -> Column:
     """A number in [0, 1) that depends on the key alone."""
-    return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / float(1 << 52)
+    return hashed_number(*key) / float(1 << 32)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volmesh.common import checkpointed
+from volmesh.functions.geometry import in_box
+
 #: Blocks in a request at most; fixed value.
 BATCH = 1000
 
@@ -31,22 +34,62 @@ def block_sizes(nodes: DataFrame, leaf_cells: DataFrame, cells: DataFrame) -> Da
     return nodes.where("is_leaf").select(F.col("node_key").alias("leaf_key"), "depth", F.col("cell_count").alias("cells")).join(verts, "leaf_key", "left").withColumn("verts", F.coalesce("verts", F.lit(0)))
 
 
-def fetch(blocks: DataFrame, wanted: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows of the blocks whose leaf_key is wanted; only the columns that are needed are read."""
+def interior_vertices(block_points: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """leaf_key, interior: how many of a block's vertices lie inside its leaf's box."""
+    boxes = nodes.where("is_leaf").select(F.col("node_key").alias("leaf_key"), *(f"{a}{i}" for a in "xyz" for i in "01"))
+    inside = in_box(tuple(F.col(a) for a in "xyz"), tuple(F.col(f"{a}0") for a in "xyz"), tuple(F.col(f"{a}1") for a in "xyz"))
+    return block_points.join(points.select("point_id", "x", "y", "z"), "point_id").join(boxes, "leaf_key").groupBy("leaf_key").agg(F.count_if(inside).alias("interior"))
+
+
+def fetch(blocks: DataFrame, wanted: DataFrame, columns: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Rows of the blocks whose leaf_key is wanted; only the columns that are needed are read.
+
+    known: leaf_key of all leaves; with it, ids that aren't among them are an error.
+    """
+    if known is not None:
+        missing = [r.leaf_key for r in wanted.select("leaf_key").distinct().join(known, "leaf_key", "left_anti").limit(10).collect()]
+        if missing:
+            raise KeyError(f"no such blocks: {missing}")
     return (blocks if columns is None else blocks.select("leaf_key", *columns)).join(wanted.select("leaf_key").distinct(), "leaf_key", "left_semi")
 
 
+def _filled(flat: Column, filler: Column, length: int) -> Column:
+    return F.slice(F.concat(flat, F.array_repeat(filler, length)), 1, length)
+
+
 def padded(block_cells: DataFrame, stride: int) -> DataFrame:
     """leaf_key, connectivity: the local vertices of all cells in order, filled with 0 up to 4 * stride."""
     ordered = block_cells.groupBy("leaf_key").agg(F.sort_array(F.collect_list(F.struct("local_cell", F.array("v0", "v1", "v2", "v3").alias("v")))).alias("c"))
-    flat = F.flatten(F.transform("c", lambda s: s["v"]))
-    return ordered.select("leaf_key", F.slice(F.concat(flat, F.array_repeat(F.lit(0), 4 * stride)), 1, 4 * stride).alias("connectivity"))
+    return ordered.select("leaf_key", _filled(F.flatten(F.transform("c", lambda s: s["v"])), F.lit(0), 4 * stride).alias("connectivity"))
+
+
+def padded_positions(block_points: DataFrame, points: DataFrame, stride: int) -> DataFrame:
+    """leaf_key, positions: x, y, z of all vertices in their local order, filled with 0 up to 3 * stride."""
+    placed = block_points.join(points.select("point_id", "x", "y", "z"), "point_id").groupBy("leaf_key").agg(F.sort_array(F.collect_list(F.struct("local_id", F.array("x", "y", "z").alias("p")))).alias("c"))
+    return placed.select("leaf_key", _filled(F.flatten(F.transform("c", lambda s: s["p"])), F.lit(0.0), 3 * stride).alias("positions"))
+
+
+def padded_values(values: DataFrame, stride: int) -> DataFrame:
+    """leaf_key, name, values: of ``block_values``, in the vertices' local order, filled with 0 up to stride."""
+    ordered = values.groupBy("leaf_key", "name").agg(F.sort_array(F.collect_list(F.struct("local_id", F.col("value").cast("double").alias("value")))).alias("c"))
+    return ordered.select("leaf_key", "name", _filled(F.transform("c", lambda s: s["value"]), F.lit(0.0), stride).alias("values"))
 
 
-def response_bytes(blocks: int, max_verts: int, max_cells: int, scalars: int, geometry: bool) -> int:
-    return blocks * 4 * ((3 * max_verts + 4 * max_cells if geometry else 0) + max_verts * scalars)
+def response_bytes(blocks: int | Column, max_verts: int, max_cells: int, scalars: int, geometry: bool) -> int | Column:
+    return blocks * (4 * ((3 * max_verts + 4 * max_cells if geometry else 0) + max_verts * scalars))
 
 
 def batches(wanted: DataFrame) -> DataFrame:
-    """leaf_key, batch: ids in order, BATCH to a request."""
-    return wanted.select("leaf_key", F.floor((F.row_number().over(Window.orderBy("leaf_key")) - 1) / BATCH).alias("batch"))
+    """leaf_key, batch: ids in order, BATCH to a request. Ranks are those within ranges of ids plus what stands before,
+    so no task ranks all of them."""
+    ids = checkpointed(wanted.select("leaf_key").distinct().repartitionByRange("leaf_key").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ids.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("leaf_key"))
+    return ids.join(starts, "part").select("leaf_key", F.floor((F.col("start") + rank - 1) / BATCH).alias("batch"))
+
+
+def requests(wanted: DataFrame, max_verts: int, max_cells: int, scalars: int, geometry: bool) -> DataFrame:
+    """batch, blocks, bytes of each request for the wanted blocks."""
+    sizes = batches(wanted).groupBy("batch").agg(F.count("*").alias("blocks"))
+    return sizes.select("batch", "blocks", response_bytes(F.col("blocks"), max_verts, max_cells, scalars, geometry).alias("bytes"))

@@ -36,7 +36,7 @@ def registry(vector: tuple[str, str, str] = ("vx", "vy", "vz"), scalar: str = "v
     out = (
         Derived("magnitude", vector, (), _length(v)),
         Derived("gradient_magnitude", (scalar,), tuple((scalar, a) for a in "xyz"), _length([_d(scalar, a) for a in "xyz"])),
-        Derived("mach", (*vector, sound), (), F.sqrt(reduce(lambda a, b: a + b, (c * c for c in v)) / F.col(sound))),
+        Derived("mach", (*vector, sound), (), F.sqrt(F.try_divide(reduce(lambda a, b: a + b, (c * c for c in v)), F.col(sound)))),
         Derived("divergence", vector, ((x, "x"), (y, "y"), (z, "z")), _d(x, "x") + _d(y, "y") + _d(z, "z")),
         Derived("vorticity", vector, all_nine, _length([_d(z, "y") - _d(y, "z"), _d(x, "z") - _d(z, "x"), _d(y, "x") - _d(x, "y")])),
         Derived("q_criterion", vector, all_nine, (_d(x, "x") * _d(y, "y") + _d(x, "x") * _d(z, "z") + _d(y, "y") * _d(z, "z")) - (_d(x, "y") * _d(y, "x") + _d(x, "z") * _d(z, "x") + _d(y, "z") * _d(z, "y"))),
@@ -56,3 +56,9 @@ def derive(grid: DataFrame, names: list[str], known: dict[str, Derived] | None =
     for field, axis in needed:
         grid = grid_derivative(grid.withColumn("value_", F.col("value") if "value" in grid.columns else F.lit(0.0)).withColumn("value", F.col(field).cast("double")), axis).withColumn(f"d{field}_d{axis}", F.col("d")).drop("d").withColumn("value", F.col("value_")).drop("value_")
     return grid.withColumns({n: known[n].formula for n in names}).drop(*(f"d{f}_d{a}" for f, a in needed))
+
+
+def limits(grid: DataFrame, names: list[str]) -> DataFrame:
+    """name, lo, hi of the named columns of a wide grid."""
+    long = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))).alias("f")
+    return grid.select(long).select("f.*").groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))

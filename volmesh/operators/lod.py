@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volmesh.common import broadcast_if_few
+from volmesh.functions.geometry import hashed_unit
 
 
 def iso_score(lo: Column, hi: Column, iso: Column, limit_lo: Column, limit_hi: Column) -> Column:
     """1 where the range holds the iso-value, else a tenth of how near it comes within the limits."""
-    below = 0.1 * (hi - limit_lo) / (iso - limit_lo)
-    above = 0.1 * (limit_hi - lo) / (limit_hi - iso)
+    below = F.try_divide(0.1 * (hi - limit_lo), iso - limit_lo)
+    above = F.try_divide(0.1 * (limit_hi - lo), limit_hi - iso)
     return F.when((lo <= iso) & (iso <= hi), 1.0).when(hi < iso, F.coalesce(below, F.lit(0.0))).otherwise(F.coalesce(above, F.lit(0.0)))
 
 
@@ -27,35 +28,53 @@ def visible(matrix: Column) -> Column:
     for c in range(8):
         p = [F.col(f"{a}{c >> i & 1}") for i, a in enumerate("xyz")]
         x, y, z, w = (sum((F.element_at(matrix, 4 * k + r + 1) * p[k] for k in range(3)), F.element_at(matrix, 12 + r + 1)) for r in range(4))
-        seen = seen | F.coalesce((F.abs(x / w) <= 1) & (F.abs(y / w) <= 1) & (z / w >= 0), F.lit(False))
+        seen = seen | F.coalesce((F.abs(F.try_divide(x, w)) <= 1) & (F.abs(F.try_divide(y, w)) <= 1) & (F.try_divide(z, w) >= 0), F.lit(False))
     return seen
 
 
 def box_score(eye: tuple[Column, ...], matrix: Column) -> Column:
-    """(largest extent / distance from the eye to the middle) squared; 0 out of sight."""
+    """(largest extent / distance from the eye to the middle) squared; 0 out of sight, infinite at the middle."""
     extent = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"))
-    away = sum((F.pow((F.col(f"{a}0") + F.col(f"{a}1")) / 2 - e, F.lit(2.0)) for a, e in zip("xyz", eye, strict=True)), F.lit(0.0))
-    return F.when(visible(matrix), extent * extent / away).otherwise(0.0)
+    away = sum((((F.col(f"{a}0") + F.col(f"{a}1")) / 2 - e) * ((F.col(f"{a}0") + F.col(f"{a}1")) / 2 - e) for a, e in zip("xyz", eye, strict=True)), F.lit(0.0))
+    return F.when(visible(matrix), F.coalesce(F.try_divide(extent * extent, away), F.lit(float("inf")))).otherwise(0.0)
 
 
-def scores(views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame) -> DataFrame:
+def scores(views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame, seed: int = 1) -> DataFrame:
     """view_id, node_key, is_leaf, score: views (view_id, ex, ey, ez, mat, iso_name, iso) against all nodes.
 
-    Up to 10 000 views are broadcast; more are joined by a shuffle.
+    A score is that of the node's box in the view, times that of its range of the view's field. The fields x, y and z
+    are the axes themselves: a node's range is its box's extent. Without a field, or if the nodes have no ranges of it,
+    the box alone counts; without a field and a matrix the score is a number that depends on view and node alone. Few
+    views are broadcast; more are joined by a shuffle.
     """
+    box = [f"{a}{i}" for a in "xyz" for i in "01"]
+    axes = nodes.select("node_key", F.explode(F.array(*(F.struct(F.lit(a).alias("iso_name"), F.col(f"{a}0").alias("lo"), F.col(f"{a}1").alias("hi")) for a in "xyz"))).alias("r")).select("node_key", "r.*")
+    whole = axes.where("node_key = 1").select("iso_name", F.col("lo").alias("limit_lo"), F.col("hi").alias("limit_hi"))
+    every = ranges.select("node_key", F.col("name").alias("iso_name"), "lo", "hi").where(~F.col("iso_name").isin(list("xyz"))).unionByName(axes)
+    bounds = limits.select(F.col("name").alias("iso_name"), F.col("lo").alias("limit_lo"), F.col("hi").alias("limit_hi")).where(~F.col("iso_name").isin(list("xyz"))).unionByName(whole)
     few = broadcast_if_few(views, 10_000)
-    base = nodes.select("node_key", "is_leaf", *(f"{a}{i}" for a in "xyz" for i in "01")).join(ranges, "node_key").join(few, F.col("name") == F.col("iso_name")).join(F.broadcast(limits.select(F.col("name").alias("iso_name"), F.col("lo").alias("limit_lo"), F.col("hi").alias("limit_hi"))), "iso_name")
-    score = box_score((F.col("ex"), F.col("ey"), F.col("ez")), F.col("mat")) * iso_score(F.col("lo"), F.col("hi"), F.col("iso"), F.col("limit_lo"), F.col("limit_hi"))
+    base = nodes.select("node_key", "is_leaf", *box).crossJoin(few)
+    base = base.join(every, ["node_key", "iso_name"], "left").join(F.broadcast(bounds), "iso_name", "left")
+    of_box = box_score((F.col("ex"), F.col("ey"), F.col("ez")), F.col("mat"))
+    of_field = F.when(F.col("lo").isNull(), 1.0).otherwise(iso_score(F.col("lo"), F.col("hi"), F.col("iso"), F.col("limit_lo"), F.col("limit_hi")))
+    score = F.when(F.col("iso_name").isNull() & F.col("mat").isNull(), hashed_unit(F.lit(seed), F.col("view_id"), F.col("node_key"))).otherwise(of_box * of_field)
     return base.select("view_id", "node_key", "is_leaf", score.alias("score"))
 
 
-def frontier(nodes: DataFrame, budget: int) -> DataFrame:
-    """node_key, is_leaf: the breadth-first frontier of at most ``budget`` nodes, left to right.
+def sorted_scores(frontier_scores: DataFrame) -> DataFrame:
+    """view_id, node_key, score, place: the nodes of each view's frontier, lowest score first."""
+    return frontier_scores.select("view_id", "node_key", "score", F.row_number().over(Window.partitionBy("view_id").orderBy("score", "node_key")).alias("place"))
 
-    Heap order is breadth-first order, so the first ceil((budget - 3) / 2) inner nodes are expanded.
+
+def frontier(nodes: DataFrame, budget: int, *, depth_first: bool = False) -> DataFrame:
+    """node_key, is_leaf: the frontier of at most ``budget`` nodes that expanding from the root leaves.
+
+    ceil((budget - 3) / 2) inner nodes are expanded, two or more if the budget allows: breadth first in heap order, left to
+    right; depth first in pre-order with right subtrees first.
     """
     expand = max(0, math.ceil((budget - 3) / 2))
-    inner = nodes.where("NOT is_leaf").orderBy("node_key").limit(expand).select("node_key")
+    order = [F.translate(F.substring(F.bin("node_key"), 2, 64), "01", "10")] if depth_first else ["node_key"]
+    inner = nodes.where("NOT is_leaf").orderBy(*order).limit(expand).select("node_key")
     children = inner.select(F.explode(F.array(F.col("node_key") * 2, F.col("node_key") * 2 + 1)).alias("node_key"))
     root = nodes.where("node_key = 1").select("node_key")
     return nodes.select("node_key", "is_leaf").join(root.union(children).distinct().join(inner, "node_key", "left_anti"), "node_key", "left_semi")
@@ -88,8 +107,27 @@ def applied(frontiers: DataFrame, splits: DataFrame, merges: DataFrame) -> DataF
     return stay.union(new).union(merges.select("view_id", F.col("parent_key").alias("node_key"), F.lit("MERGED").alias("state")))
 
 
-def blocks_to_load(scored: DataFrame, resident: DataFrame, budget: int) -> DataFrame:
-    """view_id, leaf_key, score: the best true leaves within the budget that aren't resident."""
+def reset(frontiers: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """view_id, node_key, state: all states of a view are NONE again once its camera or iso-value has changed.
+
+    before, now: view_id and what a view looks like; a view that is new, or differs in any column, has changed.
+    """
+    names = [c for c in now.columns if c != "view_id" and c in before.columns]
+    same = before.select("view_id", *(F.col(c).alias(f"was_{c}") for c in names)).join(now, "view_id")
+    for c in names:
+        same = same.where(F.col(f"was_{c}").eqNullSafe(F.col(c)))
+    kept = frontiers.join(same.select("view_id", F.lit(True).alias("same")).distinct(), "view_id", "left")
+    return kept.select("view_id", "node_key", F.when(F.col("same"), F.col("state")).otherwise("NONE").alias("state"))
+
+
+def blocks_to_load(frontier_scores: DataFrame, resident: DataFrame, budget: int) -> DataFrame:
+    """view_id, leaf_key, score: the best true leaves of each view's frontier within the budget that aren't resident."""
     best = Window.partitionBy("view_id").orderBy(F.desc("score"), "node_key")
-    wanted = scored.where("is_leaf AND score > 0").withColumn("r", F.row_number().over(best)).where(F.col("r") <= budget).select("view_id", F.col("node_key").alias("leaf_key"), "score")
+    wanted = frontier_scores.where("is_leaf AND score > 0").withColumn("r", F.row_number().over(best)).where(F.col("r") <= budget).select("view_id", F.col("node_key").alias("leaf_key"), "score")
     return wanted.join(resident, ["view_id", "leaf_key"], "left_anti")
+
+
+def refreshed(resident: DataFrame, frontier_scores: DataFrame) -> DataFrame:
+    """view_id, leaf_key, score of resident blocks: the present one, minus infinity for what left the frontier."""
+    now = frontier_scores.select("view_id", F.col("node_key").alias("leaf_key"), "score")
+    return resident.select("view_id", "leaf_key").join(now, ["view_id", "leaf_key"], "left").select("view_id", "leaf_key", F.coalesce("score", F.lit(float("-inf"))).alias("score"))

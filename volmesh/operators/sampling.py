@@ -8,12 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volmesh.common import broadcast_if_few
 from volmesh.functions.geometry import tet_volume
 from volmesh.operators.mesh import VERTICES, all_of, cell_corners
 
-#: Up to so many leaves their boxes are broadcast; beyond, points and leaves meet through a grid.
-MOST_BROADCAST = 500_000
-
 
 def geometry_of(cells: DataFrame, points: DataFrame) -> DataFrame:
     return cells.select("cell_id", F.array(*VERTICES).alias("v")).join(cell_corners(cells, points), "cell_id")
@@ -43,39 +41,81 @@ def _divided(parts: Column) -> Column:
     return F.when(parts[4] != 0, F.array(*(parts[i] / parts[4] for i in range(4))))
 
 
-def _weights(eps: float) -> tuple[Column, Column]:
-    """(the four weights as an array, whether the point is inside) from x, y, z and corners."""
+def _weights() -> Column:
+    """The four weights of the point x, y, z in the cell of ``corners`` as an array; null in a cell without volume."""
     p = tuple(F.col(a) for a in "xyz")
     v = [tuple(F.element_at("corners", i + 1)[a] for a in "xyz") for i in range(4)]
     parts = [tet_volume(*(p if i == j else v[j] for j in range(4))) for i in range(4)]
-    weights = F.element_at(F.transform(F.array(F.array(*parts, tet_volume(*v))), _divided), 1)
-    return weights, F.coalesce(F.forall(weights, lambda w: w >= -eps), F.lit(False))
+    return F.element_at(F.transform(F.array(F.array(*parts, tet_volume(*v))), _divided), 1)
+
+
+def cells_of_leaves(leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
+    """leaf_key, cell_id, v, corners and low and high (arrays): where a weight of -eps may lie at most."""
+    least = lambda a: F.array_min(F.transform("corners", lambda c: c[a]))
+    most = lambda a: F.array_max(F.transform("corners", lambda c: c[a]))
+    # A weight of -eps lies within eps times the cell's extent of its bounds, three times over at the corners.
+    wide = geometry.select("cell_id", "v", "corners", F.array(*(least(a) for a in "xyz")).alias("l"), F.array(*(most(a) for a in "xyz")).alias("h"))
+    low, high = (F.zip_with("l", "h", f) for f in (lambda l, h: l - 4 * eps * (h - l), lambda l, h: h + 4 * eps * (h - l)))
+    return leaf_cells.join(wide.select("cell_id", "v", "corners", low.alias("low"), high.alias("high")), "cell_id").select("leaf_key", "cell_id", "v", "corners", "low", "high")
 
 
 def containing_cell(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
-    """probe_id, cell_id, weights of the cell with the smallest id that holds each probe (with leaf_key).
+    """probe_id, cell_id, v, weights of the cell with the smallest id that holds each probe (with leaf_key).
 
-    eps: how far below zero a barycentric weight may be. Cells without volume hold nothing.
+    eps: how far below zero a barycentric weight may be. Cells without volume hold nothing. Cells are brought to
+    their leaves first; the box test is part of the join of probes and leaves, so only cells near a probe come out.
     """
-    candidates = probes.select("probe_id", "leaf_key", "x", "y", "z").join(leaf_cells, "leaf_key").join(geometry, "cell_id")
-    # A weight of -eps lies within eps times the cell's extent of its bounds, three times over at the corners.
-    least = lambda a: F.least(*(F.element_at("corners", i + 1)[a] for i in range(4)))
-    most = lambda a: F.greatest(*(F.element_at("corners", i + 1)[a] for i in range(4)))
-    near = all_of([(F.col(a) >= least(a) - 4 * eps * (most(a) - least(a))) & (F.col(a) <= most(a) + 4 * eps * (most(a) - least(a))) for a in "xyz"])
-    weights, inside = _weights(eps)
-    held = candidates.where(near).withColumn("weights", weights).where(inside)
-    return held.groupBy("probe_id").agg(F.min(F.struct("cell_id", "weights")).alias("m")).select("probe_id", "m.cell_id", "m.weights")
+    cells = cells_of_leaves(leaf_cells, geometry, eps)
+    p = probes.select("probe_id", F.col("leaf_key").alias("in_leaf"), "x", "y", "z")
+    near = all_of([F.col(a).between(F.element_at("low", i + 1), F.element_at("high", i + 1)) for i, a in enumerate("xyz")])
+    # The weights are generated, not filtered, so that they are computed once and after the box test of the join.
+    inside = F.filter(F.array(_weights()), lambda w: F.forall(w, lambda x: x >= -eps))
+    held = p.join(cells, (F.col("in_leaf") == F.col("leaf_key")) & near).select("probe_id", "cell_id", "v", F.explode(inside).alias("weights"))
+    return held.groupBy("probe_id").agg(F.min(F.struct("cell_id", "v", "weights")).alias("m")).select("probe_id", "m.cell_id", "m.v", "m.weights")
 
 
-def sampled(held: DataFrame, geometry: DataFrame, fields: DataFrame) -> DataFrame:
+def sampled(held: DataFrame, fields: DataFrame) -> DataFrame:
     """probe_id, name, sample: the vertices' values by the weights."""
-    long = held.join(geometry.select("cell_id", "v"), "cell_id").select("probe_id", F.explode(F.arrays_zip("v", "weights")).alias("z")).select("probe_id", F.col("z.v").alias("point_id"), F.col("z.weights").alias("w"))
+    long = held.select("probe_id", F.explode(F.arrays_zip("v", "weights")).alias("z")).select("probe_id", F.col("z.v").alias("point_id"), F.col("z.weights").alias("w"))
     return long.join(fields, "point_id").groupBy("probe_id", "name").agg(F.sum(F.col("w") * F.col("value")).alias("sample"))
 
 
+def sampled_or_nearest(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, eps: float = 0.005) -> DataFrame:
+    """probe_id, name, sample, found: the value in the cell that holds a probe (found: cell), else that of the nearest
+    vertex in its leaf (vertex), else 0 (none), for every probe and field."""
+    inside = sampled(containing_cell(probes, leaf_cells, geometry, eps), fields)
+    near = nearest_in_leaf(probes, leaf_cells, geometry).join(fields, "point_id").select("probe_id", "name", F.col("value").alias("near"))
+    every = probes.select("probe_id").join(broadcast_if_few(fields.select("name").distinct(), 1000))
+    both = every.join(inside, ["probe_id", "name"], "left").join(near, ["probe_id", "name"], "left")
+    found = F.when(F.col("sample").isNotNull(), "cell").when(F.col("near").isNotNull(), "vertex").otherwise("none")
+    return both.select("probe_id", "name", F.coalesce("sample", "near", F.lit(0.0)).alias("sample"), found.alias("found"))
+
+
+def leaves_at(located: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """located (of ``locate``) with depth, cell_count, box (x0 .. z1) and leaf_index (of tree.leaf_index) of the leaf."""
+    about = nodes.join(index.select("node_key", "leaf_index"), "node_key").select(F.col("node_key").alias("leaf_key"), "depth", "cell_count", "leaf_index", *(f"{a}{i}" for i in "01" for a in "xyz"))
+    return located.join(about, "leaf_key", "left")
+
+
+def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """left_id, right_id: boxes (id, x0 .. z1) that overlap, touching included.
+
+    Boxes meet in the cells of a grid that they cover; a pair comes from the first cell that both cover, once.
+    """
+    def covered(df: DataFrame, name: str) -> DataFrame:
+        over = lambda a: F.sequence(F.floor(F.col(f"{a}0") / cell), F.floor(F.col(f"{a}1") / cell))
+        wide = df.select(F.col("id").alias(f"{name}_id"), *(F.col(f"{a}{i}").alias(f"{name}_{a}{i}") for a in "xyz" for i in "01"), *(over(a).alias(f"g{a}") for a in "xyz"))
+        for a in "xyz":
+            wide = wide.withColumn(f"g{a}", F.explode(f"g{a}"))
+        return wide
+
+    meet = all_of([(F.col(f"l_{a}0") <= F.col(f"r_{a}1")) & (F.col(f"r_{a}0") <= F.col(f"l_{a}1")) & (F.col(f"g{a}") == F.floor(F.greatest(f"l_{a}0", f"r_{a}0") / cell)) for a in "xyz"])
+    return covered(left, "l").join(covered(right, "r"), ["gx", "gy", "gz"]).where(meet).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
+
+
 def nearest_in_leaf(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame) -> DataFrame:
     """probe_id, point_id, distance of the nearest vertex among the cells of the probe's leaf."""
     vertices = leaf_cells.join(geometry, "cell_id").select("leaf_key", F.explode(F.arrays_zip("v", "corners")).alias("c")).select("leaf_key", F.col("c.v").alias("point_id"), *(F.col(f"c.corners.{a}").alias(f"v{a}") for a in "xyz")).distinct()
-    away = F.sqrt(sum((F.pow(F.col(a) - F.col(f"v{a}"), F.lit(2.0)) for a in "xyz"), F.lit(0.0)))
+    away = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) * (F.col(a) - F.col(f"v{a}")) for a in "xyz"), F.lit(0.0)))
     pairs = probes.select("probe_id", "leaf_key", "x", "y", "z").join(vertices, "leaf_key").withColumn("distance", away)
     return pairs.groupBy("probe_id").agg(F.min(F.struct("distance", "point_id")).alias("m")).select("probe_id", "m.point_id", "m.distance")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volmesh.common import checkpointed
+from volmesh.functions.geometry import hashed_number
 
 Size = tuple[int, int, int]
 
@@ -96,8 +97,10 @@ def trilinear(points: DataFrame, voxels: DataFrame, size: Size, *, swapped_weigh
 
 
 def transfer(points: DataFrame, box: tuple[tuple, tuple], voxels: DataFrame, size: Size, *, swapped_weights: bool = False) -> DataFrame:
-    """point_id, value: a volume's field at points of a mesh, its box mapped onto the whole volume."""
-    mapped = points.select("point_id", *(((F.col(a) - float(lo)) / float(hi - lo) * (s - 1)).alias(a) for a, lo, hi, s in zip("xyz", *box, size, strict=True)))
+    """point_id, value: a volume's field at points of a mesh, its box mapped onto the whole volume; of an axis along
+    which the box is flat, onto the volume's near side."""
+    along = lambda a, lo, hi, s: (F.col(a) - float(lo)) / float(hi - lo) * (s - 1) if hi > lo else F.lit(0.0)
+    mapped = points.select("point_id", *(along(a, lo, hi, s).alias(a) for a, lo, hi, s in zip("xyz", *box, size, strict=True)))
     return trilinear(mapped, voxels, size, swapped_weights=swapped_weights).select("point_id", F.col("sample").alias("value"))
 
 
@@ -115,13 +118,13 @@ def decimation_map(spark: SparkSession, size: Size, share: float, seed: int = 1)
         x, y, z = at(i)
         return (x > 0) & (x < sx - 1) & (y > 0) & (y < sy - 1) & (z > 0) & (z < sz - 1)
 
-    rank = lambda i: F.when(inner(i), F.abs(F.xxhash64(F.lit(seed), i.cast("long")) / 2)).otherwise(F.lit(-1.0))
+    rank = lambda i: F.when(inner(i), hashed_number(F.lit(seed), i.cast("long"))).otherwise(F.lit(-1).cast("long"))
     points = spark.range(sx * sy * sz).select(F.col("id").alias("src")).where(inner(F.col("src")))
     choices = F.array(*(F.col("src") + s for s in steps))
     lower = F.filter(choices, lambda n: rank(n) < rank(F.col("src")))
-    pick = F.element_at("lower", (F.pmod(F.xxhash64(F.lit(seed + 1), "src"), F.size("lower")) + 1).cast("int"))
+    pick = F.element_at("lower", (hashed_number(F.lit(seed + 1), F.col("src")) % F.size("lower") + 1).cast("int"))
     chosen = points.withColumn("lower", lower).where("size(lower) > 0").select("src", pick.alias("dst"))
-    return chosen.orderBy(F.xxhash64(F.lit(seed + 2), "src"), "src").limit(round(sx * sy * sz * share))
+    return chosen.orderBy(hashed_number(F.lit(seed + 2), F.col("src")), "src").limit(round(sx * sy * sz * share))
 
 
 def resolved_map(collapses: DataFrame) -> DataFrame:
@@ -151,3 +154,38 @@ def grid_derivative(voxels: DataFrame, axis: str) -> DataFrame:
     along = Window.partitionBy(*others).orderBy(axis)
     after, before = F.lead("value").over(along), F.lag("value").over(along)
     return voxels.withColumn("d", F.coalesce(after - F.col("value"), F.col("value") - before, F.lit(0.0)))
+
+
+def _shifted(points: DataFrame, voxels: DataFrame, size: Size, moves: list[tuple[str, float]]) -> DataFrame:
+    """points with s0, s1 ...: the volume's value at each point and moved along an axis by so much; null outside."""
+    key, rest = points.columns[0], list(points.columns)
+    at = lambda a, m: F.col(a) + m[1] if m and m[0] == a else F.col(a)
+    every = F.array(*(F.struct(F.lit(i).alias("move"), *(at(a, m).alias(a) for a in "xyz")) for i, m in enumerate([None, *moves])))
+    long = points.select(key, F.explode(every).alias("p")).select(key, "p.move", "p.x", "p.y", "p.z")
+    found = trilinear(long, voxels, size).groupBy(key).agg(*(F.max(F.when(F.col("move") == i, F.col("sample"))).alias(f"s{i}") for i in range(len(moves) + 1)))
+    return points.select(*rest).join(found, key)
+
+
+#: Steps of the derivative at points, and of the gradient that shades surfaces; fixed values.
+DERIVATIVE_STEP, GRADIENT_STEP = 2.0**-6, 0.5
+
+
+def derivative_at(points: DataFrame, voxels: DataFrame, size: Size, axis: str) -> DataFrame:
+    """points (a key, x, y, z) with d: the forward difference; where that leaves the volume, the backward one; where
+    neither is there, 0."""
+    found = _shifted(points, voxels, size, [(axis, DERIVATIVE_STEP), (axis, -DERIVATIVE_STEP)])
+    return found.withColumn("d", F.coalesce((F.col("s1") - F.col("s0")) / DERIVATIVE_STEP, (F.col("s0") - F.col("s2")) / DERIVATIVE_STEP, F.lit(0.0))).drop("s0", "s1", "s2")
+
+
+def gradient_at(points: DataFrame, voxels: DataFrame, size: Size) -> DataFrame:
+    """points (a key, x, y, z) with gx, gy, gz for normals: along each axis the difference from a step before; close to
+    the near side, that to a step after, which keeps its sign turned (value here less value there)."""
+    moves = [(a, s * GRADIENT_STEP) for a in "xyz" for s in (-1, 1)]
+    found = _shifted(points, voxels, size, moves)
+    parts = {f"g{a}": F.when(F.col(a) > GRADIENT_STEP, (F.col(f"s{2 * i + 1}") - F.col("s0"))).otherwise(F.col("s0") - F.col(f"s{2 * i + 2}")) / GRADIENT_STEP for i, a in enumerate("xyz")}
+    return found.withColumns(parts).drop(*(f"s{i}" for i in range(7)))
+
+
+def axis_source(points: DataFrame, axis: str) -> DataFrame:
+    """point_id, name, value: a coordinate as a field of that name."""
+    return points.select("point_id", F.lit(axis).alias("name"), F.col(axis).cast("double").alias("value"))

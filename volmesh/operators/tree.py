@@ -16,9 +16,12 @@ from volmesh.common import checkpointed
 from volmesh.functions.geometry import HIGH, LOW, box_surface, box_volume
 
 NODE_MEDIAN, VERT_MEDIAN, VERT_AVERAGE, SURFACE_AREA, VOLUME = "NODE_MEDIAN", "VERT_MEDIAN", "VERT_AVERAGE", "SURFACE_AREA_HEURISTIC", "VOLUME_HEURISTIC"
+STRATEGIES = (NODE_MEDIAN, VERT_MEDIAN, VERT_AVERAGE, SURFACE_AREA, VOLUME)
 BOUNDS = (*LOW, *HIGH)
 #: Split places that the surface-area heuristic tries, evenly spaced; the cost of a step down; fixed values.
 SURFACE_TRIALS, STEP_COST = 5, 1 / 16
+#: Nodes of a serialised tree that are ranked together.
+LEAF_PART = 1 << 16
 #: Up to so many nodes of a level their decisions are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -77,6 +80,10 @@ def build_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str = NODE
 
     points (point_id, x, y, z): needed by the strategies that split at vertices. Nodes without cells are kept.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no such strategy: {strategy}; there are {', '.join(STRATEGIES)}")
+    if points is None and strategy in (VERT_MEDIAN, VERT_AVERAGE):
+        raise ValueError(f"{strategy} needs points")
     spark = bounds.sparkSession
     root = [(1, *(float(v) for v in (*box[0], *box[1])))]
     nodes = spark.createDataFrame(root, "node_key long, " + ", ".join(f"{b} double" for b in BOUNDS))
@@ -113,8 +120,7 @@ def build_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str = NODE
         at = near(split.select("node_key", F.col("split_val").cast("double").alias("s")))
         go = F.array_compact(F.array(F.when(F.col(LOW[axis]) <= F.col("s"), F.col("node_key") * 2), F.when(F.col(HIGH[axis]) > F.col("s"), F.col("node_key") * 2 + 1)))
         active = active.join(at, "node_key").select(F.explode(go).alias("node_key"), "cell_id", *BOUNDS)
-        if depth % 4 == 3:
-            active = checkpointed(active)
+        active = checkpointed(active)
         if vertices is not None:
             side = F.col("node_key") * 2 + (F.col("xyz"[axis]) > F.col("s")).cast("long")
             vertices = checkpointed(vertices.join(at, "node_key").select(side.alias("node_key"), "x", "y", "z"))
@@ -170,3 +176,61 @@ def sweep(nodes: DataFrame, targets: list[int]) -> DataFrame:
     both = nodes.join(above, "parent_key", "left").select("*", F.explode(F.array(*map(F.lit, targets))).alias("target"))
     is_leaf = (F.coalesce("parent_cells", F.lit(1 << 62)) > F.col("target")) & ((F.col("cell_count") <= F.col("target")) | F.col("is_leaf"))
     return both.where(is_leaf).groupBy("target").agg(F.count("*").alias("leaves"), F.sum("cell_count").alias("leaf_cells"), F.max("cell_count").alias("max_cells"))
+
+
+def leaf_index(buffer: DataFrame) -> DataFrame:
+    """node_key, this_ptr, leaf_index: leaves of a serialised tree, numbered in the order of their nodes.
+
+    The number of a leaf is that of the leaves before it in its part of nodes, plus those of the parts before.
+    """
+    part = F.floor(F.col("this_ptr") / LEAF_PART)
+    leaves = buffer.where("right_ptr = 0").select("node_key", "this_ptr", part.alias("part"))
+    counts = leaves.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("this_ptr"))
+    return leaves.join(starts, "part").select("node_key", "this_ptr", (F.col("start") + rank - 1).alias("leaf_index"))
+
+
+def rebuilt(buffer: DataFrame, box: tuple[tuple, tuple]) -> DataFrame:
+    """node_key, this_ptr, depth, is_leaf, x0 .. z1 from pointers and split values alone (this_ptr, split_val, left_ptr,
+    right_ptr): a level a round, each joining the children to their parents. Only inner nodes have a right_ptr."""
+    nodes = buffer.select("this_ptr", "split_val", "left_ptr", "right_ptr")
+    level = nodes.where("this_ptr = 0").withColumns({"node_key": F.lit(1).cast("long"), **{b: F.lit(float(v)) for b, v in zip(BOUNDS, (*box[0], *box[1]), strict=True)}})
+    done, depth = [], 0
+    while True:
+        level = checkpointed(level)
+        done.append(level.select("node_key", "this_ptr", F.lit(depth).alias("depth"), (F.col("right_ptr") == 0).alias("is_leaf"), *BOUNDS))
+        inner = level.where("right_ptr <> 0")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        children = F.explode(F.array(*(F.struct(F.col(p).alias("ptr"), _child(side, depth % 3).alias("c")) for side, p in enumerate(("left_ptr", "right_ptr")))))
+        below = inner.select(children.alias("n")).select(F.col("n.ptr").alias("this_ptr"), "n.c.*")
+        level = nodes.join(below, "this_ptr")
+        depth += 1
+
+
+def treelets(nodes: DataFrame, leaf_cells: DataFrame, bounds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(leaf_key, node_key, depth, split_val, cell_count, x0 .. z1 of 2 ** (depth + 1) - 2 nodes below each leaf;
+    leaf_key, node_key, cell_id of the lowest ones).
+
+    Every leaf's cells are split at their boxes' middles to that depth, however few they are. Axes go on from the
+    leaf's depth, and node keys go on from the leaf's key. The lowest nodes have no split_val.
+    """
+    level = nodes.where("is_leaf").select(F.col("node_key").alias("leaf_key"), "node_key", "depth", *BOUNDS)
+    cells = leaf_cells.join(bounds, "cell_id").select("leaf_key", F.col("leaf_key").alias("node_key"), "cell_id", *BOUNDS)
+    pick = lambda names: F.element_at(F.array(*(F.col(n) for n in names)), (F.col("depth") % 3 + 1).cast("int"))
+    done = []
+    for step in range(depth + 1):
+        level = level.withColumn("split_val", ((pick(LOW) + pick(HIGH)) / 2).cast("float") if step < depth else F.lit(None).cast("float"))
+        if step:
+            counts = cells.groupBy("node_key").agg(F.count("*").alias("cell_count"))
+            done.append(level.join(counts, "node_key", "left").select("leaf_key", "node_key", "depth", "split_val", F.coalesce("cell_count", F.lit(0)).alias("cell_count"), *BOUNDS))
+        if step == depth:
+            break
+        at = level.select("node_key", F.col("split_val").cast("double").alias("s"), "depth")
+        sides = F.array_compact(F.array(F.when(pick(LOW) <= F.col("s"), F.col("node_key") * 2), F.when(pick(HIGH) > F.col("s"), F.col("node_key") * 2 + 1)))
+        cells = checkpointed(cells.join(at, "node_key").select("leaf_key", F.explode(sides).alias("node_key"), "cell_id", *BOUNDS))
+        child = lambda side: F.struct((F.col("node_key") * 2 + side).alias("node_key"), *(F.when(F.col("depth") % 3 == i, F.col("split_val").cast("double")).otherwise(F.col(b)).alias(b) if (b in LOW) == bool(side) else F.col(b).alias(b) for names in (LOW, HIGH) for i, b in enumerate(names)))
+        level = level.select("leaf_key", (F.col("depth") + 1).alias("d"), F.explode(F.array(child(0), child(1))).alias("c")).select("leaf_key", F.col("d").alias("depth"), "c.*")
+    return reduce(DataFrame.unionByName, done), cells.select("leaf_key", "node_key", "cell_id")

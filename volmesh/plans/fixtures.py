@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from volmesh.operators.structured import grid_points
 
-#: x: quantity, y: discount, z: tax of an order line.
-SIZE = (50, 11, 9)
-BOX = ((0.0, 0.0, 0.0), (49.0, 10.0, 8.0))
+#: Steps of quantity, discount and tax; order lines for which the grid has one step along x in each of quantity.
+QUANTITIES, DISCOUNTS, TAXES, LINES = 50, 11, 9, 60_000
 METRICS = ("click", "error", "purchase", "signup", "view")
 
 
@@ -17,19 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def steps(spark: SparkSession, sf_dir: str) -> int:
+    """Steps along x in each step of quantity: more, the more order lines there are."""
+    return max(1, table(spark, sf_dir, "lineitem").count() // LINES)
+
+
+def size(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    return QUANTITIES * steps(spark, sf_dir), DISCOUNTS, TAXES
+
+
+def box(spark: SparkSession, sf_dir: str) -> tuple[tuple, tuple]:
+    return (0.0, 0.0, 0.0), tuple(float(s - 1) for s in size(spark, sf_dir))
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x, y, z, value: how many order lines fall on each voxel."""
-    lines = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") - 1).cast("int").cast("double").alias("x"), F.round(F.col("l_discount") * 100).cast("int").cast("double").alias("y"), F.round(F.col("l_tax") * 100).cast("int").cast("double").alias("z"))
+    """x (quantity, and within it the part), y (discount), z (tax), value: how many order lines fall on each voxel."""
+    k = steps(spark, sf_dir)
+    x = (F.col("l_quantity") - 1).cast("int") * k + F.col("l_partkey") % k
+    lines = table(spark, sf_dir, "lineitem").select(x.cast("double").alias("x"), F.round(F.col("l_discount") * 100).cast("int").cast("double").alias("y"), F.round(F.col("l_tax") * 100).cast("int").cast("double").alias("z"))
     counts = lines.groupBy("x", "y", "z").agg(F.count("*").alias("n"))
-    return grid_points(spark, SIZE).join(F.broadcast(counts), ["x", "y", "z"], "left").select(*(F.col(a).cast("int").alias(a) for a in "xyz"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    return grid_points(spark, size(spark, sf_dir)).join(counts, ["x", "y", "z"], "left").select(*(F.col(a).cast("int").alias(a) for a in "xyz"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+
+
+def iso_value(spark: SparkSession, sf_dir: str) -> float:
+    """Two deviations over the mean of the volume."""
+    return volume(spark, sf_dir).agg(F.round(F.avg("value") + 2 * F.stddev_pop("value"), 3)).first()[0]
 
 
-def point_id():
-    return (F.col("x") + F.col("y") * SIZE[0] + F.col("z") * SIZE[0] * SIZE[1]).cast("long")
+def point_id(size_: tuple[int, int, int]):
+    return (F.col("x") + F.col("y") * size_[0] + F.col("z") * size_[0] * size_[1]).cast("long")
 
 
 def volume_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume(spark, sf_dir).select(point_id().alias("point_id"), F.lit("count").alias("name"), "value")
+    return volume(spark, sf_dir).select(point_id(size(spark, sf_dir)).alias("point_id"), F.lit("count").alias("name"), "value")
 
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +64,6 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """probe_id, x, y, z: order lines as points between the voxels, a quarter of a step off."""
+    """probe_id, x, y, z: parts as points of the volume, in quarters of a step."""
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("probe_id"), ((F.col("p_partkey") * 7) % 196 / 4.0).alias("x"), ((F.col("p_partkey") * 3) % 40 / 4.0).alias("y"), (F.col("p_partkey") % 32 / 4.0).alias("z"))
+    return p.select(F.col("p_partkey").alias("probe_id"), ((F.col("p_partkey") * 7) % (4 * (size(spark, sf_dir)[0] - 1)) / 4.0).alias("x"), ((F.col("p_partkey") * 3) % 40 / 4.0).alias("y"), (F.col("p_partkey") % 32 / 4.0).alias("z"))

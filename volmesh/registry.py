@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volmesh.common import checkpointed
 from volmesh.functions import geometry as geo
 from volmesh.operators import blocks, fields, lod, mesh, nodevalues, probe, reports, sampling, structured, tree
+from volmesh.operators import ingest as _ingest
 from volmesh.plans import fixtures as fx
-from volmesh.plans.oracles import SQL
+from volmesh.plans import node_oracles, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-#: Leaf size and depth of the trees over the volume; the iso-value of the selections.
-MAX_CELLS, MAX_DEPTH, ISO = 1024, 7, 20.0
+#: Leaf size and depth of the trees over the volume.
+MAX_CELLS, MAX_DEPTH = 1024, 7
 
 
 def query(f: Query) -> Query:
@@ -23,21 +26,21 @@ def query(f: Query) -> Query:
     return f
 
 
-def _tree(spark: SparkSession, strategy: str = tree.NODE_MEDIAN, max_cells: int = MAX_CELLS, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    return tree.build_tree(structured.grid_cell_bounds(spark, fx.SIZE), fx.BOX, strategy, max_cells, MAX_DEPTH, points)
+def _tree(spark: SparkSession, sf_dir: str, strategy: str = tree.NODE_MEDIAN, max_cells: int = MAX_CELLS, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return tree.build_tree(structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)), fx.box(spark, sf_dir), strategy, max_cells, MAX_DEPTH, points)
 
 
-def _cells(spark: SparkSession) -> DataFrame:
-    return structured.grid_tets(spark, fx.SIZE, 6).select("cell_id", *mesh.VERTICES)
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.grid_tets(spark, fx.size(spark, sf_dir), 6).select("cell_id", *mesh.VERTICES)
 
 
-def _geometry(spark: SparkSession) -> DataFrame:
-    return sampling.geometry_of(_cells(spark), structured.grid_points(spark, fx.SIZE))
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.geometry_of(_cells(spark, sf_dir), structured.grid_points(spark, fx.size(spark, sf_dir)))
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, leaf_cells = _tree(spark)
-    leaf = nodevalues.leaf_ranges(leaf_cells, _cells(spark), fx.volume_fields(spark, sf_dir), nodes.where("is_leaf"))
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    leaf = nodevalues.leaf_ranges(leaf_cells, _cells(spark, sf_dir), fx.volume_fields(spark, sf_dir), nodes.where("is_leaf"))
     return nodes, leaf_cells, nodevalues.node_ranges(nodes, leaf)
 
 
@@ -62,14 +65,14 @@ def tets5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cell_sums(spark: SparkSession, sf_dir: str, tets: int) -> DataFrame:
-    cells = structured.grid_tets(spark, fx.SIZE, tets)
+    cells = structured.grid_tets(spark, fx.size(spark, sf_dir), tets)
     long = cells.select("cell_id", *mesh.VERTICES, F.explode(F.array(*mesh.VERTICES)).alias("point_id"))
     return long.join(fx.volume_fields(spark, sf_dir), "point_id").groupBy("cell_id", *mesh.VERTICES).agg(F.sum("value").alias("total"))
 
 
 @query
 def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.downsample(fx.volume(spark, sf_dir), fx.SIZE, 2)[0]
+    return structured.downsample(fx.volume(spark, sf_dir), fx.size(spark, sf_dir), 2)[0]
 
 
 @query
@@ -101,9 +104,9 @@ def select_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cell_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds by joins on points, for tetrahedra that hold data, with their box's middle and volume."""
-    held = fx.volume_fields(spark, sf_dir).where(f"value > {ISO}")
-    long = _cells(spark).select("*", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id", *mesh.VERTICES).distinct()
-    b = mesh.cell_bounds(long, structured.grid_points(spark, fx.SIZE))
+    held = fx.volume_fields(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}")
+    long = _cells(spark, sf_dir).select("*", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id", *mesh.VERTICES).distinct()
+    b = mesh.cell_bounds(long, structured.grid_points(spark, fx.size(spark, sf_dir)))
     low, high = tuple(F.col(c) for c in geo.LOW), tuple(F.col(c) for c in geo.HIGH)
     return b.select("*", geo.box_volume(low, high).alias("volume"), F.greatest(*geo.box_size(low, high)).alias("longest"))
 
@@ -111,8 +114,8 @@ def cell_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def boundary_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower faces (z = 0) of cubes, in parts by the sign of their value."""
-    sx, sy, _ = fx.SIZE
-    faces = fx.volume(spark, sf_dir).where(f"z = 0 AND x < {sx - 1} AND y < {sy - 1}").select(F.when(F.col("value") > ISO, "wall").otherwise("symmetry").alias("name"), fx.point_id().alias("p"))
+    sx, sy, _ = fx.size(spark, sf_dir)
+    faces = fx.volume(spark, sf_dir).where(f"z = 0 AND x < {sx - 1} AND y < {sy - 1}").select(F.when(F.col("value") > fx.iso_value(spark, sf_dir), "wall").otherwise("symmetry").alias("name"), fx.point_id(fx.size(spark, sf_dir)).alias("p"))
     tris = faces.select("name", F.explode(F.array(F.struct((F.col("p") * 2).alias("tri_id"), F.array(F.col("p"), F.col("p") + 1, F.col("p") + 1 + sx).alias("verts")), F.struct((F.col("p") * 2 + 1).alias("tri_id"), F.array(F.col("p"), F.col("p") + 1 + sx, F.col("p") + sx).alias("verts")))).alias("t")).select("name", "t.*")
     return mesh.boundary_geometry(tris)[0]
 
@@ -120,8 +123,8 @@ def boundary_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that stay when a tenth of the volume's vertices collapse, with their values' sum."""
-    moved = structured.resolved_map(structured.decimation_map(spark, fx.SIZE, 0.1))
-    cells = structured.collapsed(_cells(spark), moved)
+    moved = structured.resolved_map(structured.decimation_map(spark, fx.size(spark, sf_dir), 0.1))
+    cells = structured.collapsed(_cells(spark, sf_dir), moved)
     return cells.select("*", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(fx.volume_fields(spark, sf_dir), "point_id").groupBy("cell_id", *mesh.VERTICES).agg(F.sum("value").alias("total"))
 
 
@@ -129,13 +132,13 @@ def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volume's field at the points of the cloud, whose space [-1, 1] is mapped onto the volume."""
     points = fx.cloud(spark, sf_dir).select("point_id", "x", "y", "z")
-    out = structured.transfer(points, ((-1.0,) * 3, (1.0,) * 3), fx.volume(spark, sf_dir), fx.SIZE)
+    out = structured.transfer(points, ((-1.0,) * 3, (1.0,) * 3), fx.volume(spark, sf_dir), fx.size(spark, sf_dir))
     return out.select("point_id", F.round("value", 6).alias("value"))
 
 
 @query
 def trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.trilinear(fx.probes(spark, sf_dir), fx.volume(spark, sf_dir), fx.SIZE).select("probe_id", F.round("sample", 6).alias("sample"))
+    return structured.trilinear(fx.probes(spark, sf_dir), fx.volume(spark, sf_dir), fx.size(spark, sf_dir)).select("probe_id", F.round("sample", 6).alias("sample"))
 
 
 @query
@@ -154,13 +157,13 @@ def node_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iso_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves whose range holds the iso-value, and their cells."""
     nodes, _, ranges = _ranges(spark, sf_dir)
-    return lod.active_nodes(ranges, ISO).join(nodes.where("is_leaf").select("node_key", "cell_count"), "node_key").select("node_key", "lo", "hi", "cell_count")
+    return lod.active_nodes(ranges, fx.iso_value(spark, sf_dir)).join(nodes.where("is_leaf").select("node_key", "cell_count"), "node_key").select("node_key", "lo", "hi", "cell_count")
 
 
 @query
 def leaf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per leaf: its cells, and the sum of their vertices' values; cells count in every leaf they are in."""
-    _, leaf_cells = _tree(spark)
+    _, leaf_cells = _tree(spark, sf_dir)
     sums = _cell_sums(spark, sf_dir, 6).select("cell_id", "total")
     return leaf_cells.join(sums, "cell_id").groupBy("leaf_key").agg(F.count("*").alias("cells"), F.sum("total").alias("total"))
 
@@ -173,10 +176,10 @@ def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _held_tree(spark: SparkSession, sf_dir: str, strategy: str = tree.NODE_MEDIAN, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A tree over the cells that touch a voxel over the iso-value."""
-    held = fx.volume_fields(spark, sf_dir).where(f"value > {ISO}").select("point_id")
-    touched = _cells(spark).select("cell_id", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id").distinct()
-    bounds = structured.grid_cell_bounds(spark, fx.SIZE).join(touched, "cell_id", "left_semi")
-    return tree.build_tree(bounds, fx.BOX, strategy, 256, MAX_DEPTH, points)
+    held = fx.volume_fields(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}").select("point_id")
+    touched = _cells(spark, sf_dir).select("cell_id", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id").distinct()
+    bounds = structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)).join(touched, "cell_id", "left_semi")
+    return tree.build_tree(bounds, fx.box(spark, sf_dir), strategy, 256, MAX_DEPTH, points)
 
 
 @query
@@ -186,12 +189,12 @@ def serialised_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vert_median_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _held_tree(spark, sf_dir, tree.VERT_MEDIAN, fx.volume(spark, sf_dir).where(f"value > {ISO}"))[0]
+    return _held_tree(spark, sf_dir, tree.VERT_MEDIAN, fx.volume(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}"))[0]
 
 
 @query
 def vert_average_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _held_tree(spark, sf_dir, tree.VERT_AVERAGE, fx.volume(spark, sf_dir).where(f"value > {ISO}"))[0]
+    return _held_tree(spark, sf_dir, tree.VERT_AVERAGE, fx.volume(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}"))[0]
 
 
 @query
@@ -211,24 +214,24 @@ def leaf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corner_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, leaf_cells = _tree(spark)
-    corners = nodevalues.leaf_corners(nodes.where("is_leaf"), leaf_cells, _geometry(spark), fx.volume_fields(spark, sf_dir))
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    corners = nodevalues.leaf_corners(nodes.where("is_leaf"), leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir))
     return nodevalues.corner_values(nodes, corners).select("node_key", "name", "corner", F.round("value", 6).alias("value"))
 
 
 @query
 def node_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages of the values of the vertices of each leaf's cells, and of all nodes above."""
-    nodes, leaf_cells = _tree(spark)
-    points, _ = blocks.split_blocks(leaf_cells, _cells(spark))
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    points, _ = blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))
     leaf = blocks.block_values(points, fx.volume_fields(spark, sf_dir)).groupBy("leaf_key", "name").agg(F.avg("value").alias("average"))
     return nodevalues.node_averages(nodes, leaf).select("node_key", "name", F.round("average", 6).alias("average"))
 
 
 @query
 def block_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, leaf_cells = _tree(spark)
-    points, _ = blocks.split_blocks(leaf_cells, _cells(spark))
+    _, leaf_cells = _tree(spark, sf_dir)
+    points, _ = blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))
     return blocks.block_values(points, fx.volume_fields(spark, sf_dir)).select("leaf_key", "local_id", "value")
 
 
@@ -236,33 +239,33 @@ def block_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of the leaves that hold the iso-value, as a view would fetch them."""
     _, leaf_cells, ranges = _ranges(spark, sf_dir)
-    _, cells = blocks.split_blocks(leaf_cells, _cells(spark))
-    return blocks.fetch(cells, lod.active_nodes(ranges, ISO).select(F.col("node_key").alias("leaf_key")))
+    _, cells = blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))
+    return blocks.fetch(cells, lod.active_nodes(ranges, fx.iso_value(spark, sf_dir)).select(F.col("node_key").alias("leaf_key")))
 
 
 @query
 def padded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, leaf_cells = _held_tree(spark, sf_dir)
-    _, cells = blocks.split_blocks(leaf_cells, _cells(spark))
-    stride = blocks.block_sizes(nodes, leaf_cells, _cells(spark)).agg(F.max("cells")).first()[0] or 0
+    _, cells = blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))
+    stride = blocks.block_sizes(nodes, leaf_cells, _cells(spark, sf_dir)).agg(F.max("cells")).first()[0] or 0
     return blocks.padded(cells, stride).select("leaf_key", F.size("connectivity").alias("length"), F.aggregate("connectivity", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
 @query
 def filled_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, leaf_cells = _held_tree(spark, sf_dir)
-    return blocks.block_sizes(nodes, leaf_cells, _cells(spark))
+    return blocks.block_sizes(nodes, leaf_cells, _cells(spark, sf_dir))
 
 
 @query
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.overview(filled_slots(spark, sf_dir), structured.grid_points(spark, fx.SIZE).count(), _cells(spark).count(), 256)
+    return reports.overview(filled_slots(spark, sf_dir), structured.grid_points(spark, fx.size(spark, sf_dir)).count(), _cells(spark, sf_dir).count(), 256)
 
 
 @query
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, leaf_cells = _held_tree(spark, sf_dir)
-    return reports.duplicates(leaf_cells, blocks.split_blocks(leaf_cells, _cells(spark))[0])
+    return reports.duplicates(leaf_cells, blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))[0])
 
 
 @query
@@ -272,24 +275,23 @@ def buffer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.locate(fx.probes(spark, sf_dir), _tree(spark)[0]).select("probe_id", "leaf_key")
+    return sampling.locate(fx.probes(spark, sf_dir), _tree(spark, sf_dir)[0]).select("probe_id", "leaf_key")
 
 
 @query
 def sample_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell that holds each probe and the interpolated value there."""
-    nodes, leaf_cells = _tree(spark)
+    nodes, leaf_cells = _tree(spark, sf_dir)
     at = sampling.locate(fx.probes(spark, sf_dir), nodes)
-    shapes = _geometry(spark)
-    held = sampling.containing_cell(at, leaf_cells, shapes)
-    return sampling.sampled(held, shapes, fx.volume_fields(spark, sf_dir)).join(held.select("probe_id", "cell_id"), "probe_id").select("probe_id", "cell_id", F.round("sample", 6).alias("sample"))
+    held = checkpointed(sampling.containing_cell(at, leaf_cells, _geometry(spark, sf_dir)))
+    return sampling.sampled(held, fx.volume_fields(spark, sf_dir)).join(held.select("probe_id", "cell_id"), "probe_id").select("probe_id", "cell_id", F.round("sample", 6).alias("sample"))
 
 
 @query
 def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, leaf_cells = _tree(spark)
+    nodes, leaf_cells = _tree(spark, sf_dir)
     at = sampling.locate(fx.probes(spark, sf_dir), nodes)
-    return sampling.nearest_in_leaf(at, leaf_cells, _geometry(spark)).select("probe_id", "point_id", F.round("distance", 6).alias("distance"))
+    return sampling.nearest_in_leaf(at, leaf_cells, _geometry(spark, sf_dir)).select("probe_id", "point_id", F.round("distance", 6).alias("distance"))
 
 
 @query
@@ -309,20 +311,19 @@ def derived_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.volume(spark, sf_dir)
-    t = geo.normalised(F.col("value"), F.lit(0.0), F.lit(2 * ISO))
+    t = geo.normalised(F.col("value"), F.lit(0.0), F.lit(2 * fx.iso_value(spark, sf_dir)))
     ramp = geo.colour_ramp(t, [(0, 0, 1), (1, 1, 1), (1, 0, 0)])
     return v.select("x", "y", "z", *(F.round(F.element_at(ramp, i + 1), 6).alias(n) for i, n in enumerate(("red", "green", "blue"))))
 
 
-def _views(spark: SparkSession) -> DataFrame:
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = [float(v) for v in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 60)]
-    return spark.createDataFrame([(1, 1, -20.0, 5.0, 4.0, unit, "count", ISO), (2, 1, 60.0, 5.0, -9.0, unit, "count", 2 * ISO)], "view_id long, seq long, ex double, ey double, ez double, mat array<double>, iso_name string, iso double")
+    return spark.createDataFrame([(1, 1, -20.0, 5.0, 4.0, unit, "count", fx.iso_value(spark, sf_dir)), (2, 1, 60.0, 5.0, -9.0, unit, "count", 2 * fx.iso_value(spark, sf_dir))], "view_id long, seq long, ex double, ey double, ez double, mat array<double>, iso_name string, iso double")
 
 
 @query
 def node_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, ranges = _ranges(spark, sf_dir)
-    return lod.scores(_views(spark), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir))).withColumn("score", F.round("score", 9))
+    return _scored(spark, sf_dir)[1].withColumn("score", F.round("score", 9))
 
 
 @query
@@ -333,19 +334,16 @@ def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def frontier_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frontiers of two views after one update."""
-    nodes, _, ranges = _ranges(spark, sf_dir)
-    scored = lod.scores(_views(spark), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir)))
-    front = lod.frontier(nodes, 15).select("node_key")
-    now = scored.join(front, "node_key", "left_semi").withColumn("state", F.lit("NONE"))
+    now = checkpointed(_frontier_scores(spark, sf_dir)[1].withColumn("state", F.lit("NONE")))
     return lod.applied(now, *lod.step(now, 15))
 
 
 @query
 def blocks_to_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, ranges = _ranges(spark, sf_dir)
-    scored = lod.scores(_views(spark), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir)))
+    """The best leaves of a frontier that holds the nodes with even keys, without the resident ones."""
+    nodes, scored = _scored(spark, sf_dir)
     resident = nodes.where("is_leaf AND node_key % 5 = 0").select(F.lit(1).cast("long").alias("view_id"), F.col("node_key").alias("leaf_key"))
-    return lod.blocks_to_load(scored, resident, 10).withColumn("score", F.round("score", 9))
+    return lod.blocks_to_load(scored.where("node_key % 2 = 0"), resident, 10).withColumn("score", F.round("score", 9))
 
 
 @query
@@ -362,8 +360,10 @@ def job_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def camera_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = fx.table(spark, sf_dir, "part").select((F.col("p_partkey") % 400 / 10.0).alias("t")).distinct()
-    segments = spark.createDataFrame([(0.0, 10.0, 2.0, 1.0, 0.0, 3.0, 0.0, 0.5), (10.0, 30.0, 1.0, 4.0, 3.0, 1.0, 0.5, -0.5)], "t0 double, t1 double, r0 double, r1 double, az0 double, az1 double, el0 double, el1 double")
+    times = fx.table(spark, sf_dir, "events").select((F.col("event_id") % 3_000_000 / 100_000.0).alias("t")).distinct()
+    n = F.col("n_nationkey")
+    turn = lambda name, f: (f(n).cast("double").alias(f"{name}0"), f(n + 1).cast("double").alias(f"{name}1"))
+    segments = fx.table(spark, sf_dir, "nation").select(*turn("t", lambda i: i * 1.2), *turn("r", lambda i: 1 + i % 5), *turn("az", lambda i: i * 0.5), *turn("el", lambda i: i % 3 * 0.25))
     return reports.camera_at(times, segments).select("t", *(F.round(a, 6).alias(a) for a in "xyz"))
 
 
@@ -375,7 +375,7 @@ def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def iso_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.first_crossing(_rays(spark, sf_dir), ISO, 1.0).withColumn("t", F.round("t", 6))
+    return probe.first_crossing(_rays(spark, sf_dir), fx.iso_value(spark, sf_dir), 1.0).withColumn("t", F.round("t", 6))
 
 
 @query
@@ -388,9 +388,309 @@ def line_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trilinear values along slanting lines from the volume's side, one for each part."""
     p = fx.table(spark, sf_dir, "part")
     rays = p.select(F.col("p_partkey").alias("ray_id"), F.lit(0.0).alias("ox"), (F.col("p_partkey") % 11).cast("double").alias("oy"), F.lit(0.0).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.125).alias("dz"))
-    near, far = probe.box_interval(*fx.BOX)
-    points = probe.steps(rays, 60, 1.0).select(F.col("ray_id"), "step", "x", "y", "z")
-    return structured.trilinear(points, fx.volume(spark, sf_dir), fx.SIZE).where("sample IS NOT NULL").select("ray_id", "step", F.round("sample", 6).alias("sample"))
+    points = probe.steps(rays, fx.box(spark, sf_dir), 1.0)
+    return structured.trilinear(points, fx.volume(spark, sf_dir), fx.size(spark, sf_dir)).where("sample IS NOT NULL").select("ray_id", "step", F.round("sample", 6).alias("sample"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    return nodes, lod.scores(_views(spark, sf_dir), nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir)))
+
+
+def _frontier_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes; the scores of a frontier of 15 nodes."""
+    nodes, scored = _scored(spark, sf_dir)
+    return nodes, scored.join(lod.frontier(nodes, 15).select("node_key"), "node_key", "left_semi")
+
+
+@query
+def decimation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.decimation_map(spark, fx.size(spark, sf_dir), 0.1)
+
+
+@query
+def resolved_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.resolved_map(decimation_map(spark, sf_dir))
+
+
+@query
+def removed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells a decimation makes degenerate."""
+    cells = _cells(spark, sf_dir)
+    whole = structured.collapsed(cells, resolved_map(spark, sf_dir))
+    both = cells.agg(F.count("*").alias("cells")).join(whole.agg(F.count("*").alias("whole")))
+    return both.select("cells", (F.col("cells") - F.col("whole")).alias("removed"), F.round(1 - F.col("whole") / F.col("cells"), 9).alias("share"))
+
+
+@query
+def plane_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    middle = F.lit((fx.size(spark, sf_dir)[0] - 1) / 2)
+    return structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)).select("cell_id", geo.plane_side(F.col("x0"), F.col("x1"), middle).alias("side"))
+
+
+@query
+def function_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.function_volume(spark, fx.size(spark, sf_dir), 20 - F.col("x") + 0.5 * F.col("y") * F.col("z"))
+
+
+@query
+def unstructured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with their values of the volume as an unstructured mesh of voxels of 2 x 0.5 x 1."""
+    points, _, values = structured.to_unstructured(fx.volume(spark, sf_dir), fx.size(spark, sf_dir))
+    return structured.scaled(points, (2.0, 0.5, 1.0)).join(values, "point_id").select("point_id", "x", "y", "z", "value")
+
+
+@query
+def axis_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = structured.grid_points(spark, fx.size(spark, sf_dir))
+    return mesh.limits(reduce(DataFrame.unionByName, (structured.axis_source(points, a) for a in "xyz")))
+
+
+@query
+def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).agg(F.count("*").alias("n"))
+    return cells.select(mesh.size_label(F.array(*map(F.lit, fx.size(spark, sf_dir)))).alias("structured"), mesh.size_label(None, F.col("n")).alias("unstructured"))
+
+
+@query
+def scalar_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), F.col("event_type").alias("name"), "value")
+    return reduce(DataFrame.unionByName, (mesh.select_scalars(metrics, c).groupBy("name").agg(F.count("*").alias("n")).select(F.lit(c).alias("choice"), "name", "n") for c in ("all", "first", "none")))
+
+
+@query
+def derived_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fx.volume(spark, sf_dir)
+    flow = v.withColumns({"vx": F.col("value"), "vy": -F.col("x").cast("double"), "vz": F.col("z") * F.col("value")})
+    return fields.limits(fields.derive(flow, ["magnitude"]), ["magnitude"]).select("name", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query
+def rebuilt_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.rebuilt(serialised_nodes(spark, sf_dir), fx.box(spark, sf_dir))
+
+
+@query
+def leaf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.leaf_index(serialised_nodes(spark, sf_dir))
+
+
+@query
+def treelets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, leaf_cells = _held_tree(spark, sf_dir)
+    return tree.treelets(nodes, leaf_cells, structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)), 2)[0]
+
+
+@query
+def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = nodevalues.random_points(_tree(spark, sf_dir)[0].where("is_leaf"), 3)
+    return at.select("probe_id", "leaf_key", "i", *(F.round(a, 6).alias(a) for a in "xyz"))
+
+
+@query
+def random_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, leaf_cells = _held_tree(spark, sf_dir)
+    return nodevalues.random_vertices(blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))[0])
+
+
+@query
+def sampled_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of ten random samples in each leaf, and of all nodes above."""
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    leaf = nodevalues.sampled_averages(nodes.where("is_leaf"), leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir))
+    return nodevalues.node_averages(nodes, leaf).select("node_key", "name", F.round("average", 5).alias("average"))
+
+
+@query
+def polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polynomials fitted to random samples of each leaf, refitted upwards, evaluated at the nodes' middles."""
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    at = nodevalues.random_points(nodes.where("is_leaf"), 32)
+    samples = sampling.sampled_or_nearest(at, leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir)).withColumnRenamed("sample", "value").join(at, "probe_id")
+    fitted = nodevalues.refitted(nodes, nodevalues.fit_polynomials(samples))
+    middle = [(F.col(f"{a}0") + F.col(f"{a}1")) / 2 for a in "xyz"]
+    return fitted.join(nodes, "node_key").select("node_key", "name", F.round(geo.polynomial(F.col("coefficients"), *middle), 3).alias("value"))
+
+
+def _corners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    return nodes, nodevalues.corner_values(nodes, nodevalues.leaf_corners(nodes.where("is_leaf"), leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir)))
+
+
+@query
+def node_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, corners = _corners(spark, sf_dir)
+    at = sampling.locate(fx.probes(spark, sf_dir), nodes)
+    return nodevalues.interpolated(at, nodes, corners).withColumn("sample", F.round(F.col("sample") + 1e-7, 4))
+
+
+@query
+def continuous_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node interpolation that is smoothed across faces, with every third leaf's cells loaded."""
+    nodes, corners = _corners(spark, sf_dir)
+    loaded = nodes.where("is_leaf AND node_key % 3 = 0").select("node_key")
+    return nodevalues.continuous(sampling.locate(fx.probes(spark, sf_dir), nodes), nodes, corners, loaded).withColumn("sample", F.round(F.col("sample") + 1e-7, 4))
+
+
+@query
+def frontier_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, corners = _corners(spark, sf_dir)
+    return nodevalues.frontier_corners(lod.frontier(nodes, 15), corners, "count").select("node_key", F.transform("corners", lambda c: F.round(c, 6)).alias("corners"))
+
+
+@query
+def sample_or_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at the probes in a mesh with holes."""
+    nodes, leaf_cells = _held_tree(spark, sf_dir)
+    at = sampling.locate(fx.probes(spark, sf_dir), nodes)
+    return sampling.sampled_or_nearest(at, leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir)).withColumn("sample", F.round("sample", 6))
+
+
+@query
+def locate_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _held_tree(spark, sf_dir)[0]
+    at = sampling.locate(fx.probes(spark, sf_dir), nodes)
+    return sampling.leaves_at(at, nodes, tree.leaf_index(tree.serialised(nodes))).select("probe_id", "leaf_key", "depth", "cell_count", "leaf_index", *tree.BOUNDS)
+
+
+@query
+def derivative_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structured.derivative_at(fx.probes(spark, sf_dir), fx.volume(spark, sf_dir), fx.size(spark, sf_dir), "x")
+    return found.select("probe_id", F.round("d", 6).alias("d"))
+
+
+@query
+def gradient_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structured.gradient_at(fx.probes(spark, sf_dir), fx.volume(spark, sf_dir), fx.size(spark, sf_dir))
+    return found.select("probe_id", *(F.round(f"g{a}", 6).alias(f"g{a}") for a in "xyz"))
+
+
+@query
+def points_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes in the middle half of the volume."""
+    high = fx.box(spark, sf_dir)[1]
+    return fx.probes(spark, sf_dir).where(geo.in_box(tuple(F.col(a) for a in "xyz"), tuple(F.lit(h / 4) for h in high), tuple(F.lit(3 * h / 4) for h in high))).select("probe_id")
+
+
+@query
+def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that a box of one voxel around each probe touches."""
+    around = fx.probes(spark, sf_dir).select(F.col("probe_id").alias("id"), *((F.col(a) + (i - 0.5)).alias(f"{a}{i}") for a in "xyz" for i in (0, 1)))
+    leaves = _held_tree(spark, sf_dir)[0].where("is_leaf").select(F.col("node_key").alias("id"), *tree.BOUNDS)
+    return sampling.overlapping(around, leaves, 8.0)
+
+
+@query
+def leaf_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ramp = geo.leaf_count_ramp(F.col("cell_count"), [(0, 0, 1), (1, 1, 1), (1, 0, 0)])
+    leaves = _held_tree(spark, sf_dir)[0].where("is_leaf")
+    return leaves.select("node_key", *(F.round(F.element_at(ramp, i + 1), 6).alias(n) for i, n in enumerate(("red", "green", "blue"))))
+
+
+@query
+def camera_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays of a camera for each supplier, with images of 8 x 6 pixels."""
+    k = F.col("s_suppkey")
+    of = lambda **c: [v.cast("double").alias(n) for n, v in c.items()]
+    cameras = fx.table(spark, sf_dir, "supplier").select(k.alias("camera_id"), *of(px0=k % 7, py0=k % 5, pz0=F.lit(-20), ux=F.lit(0), uy=F.lit(1), uz=F.lit(0), rx=F.lit(1), ry=F.lit(0), rz=k % 3 / 10, fovx=F.lit(1), fovy=F.lit(0.75)))
+    rays = probe.camera_rays(cameras, 8, 6)
+    return rays.select("camera_id", "px", "py", "ox", "oy", "oz", *(F.round(f"d{a}", 6).alias(f"d{a}") for a in "xyz"))
+
+
+@query
+def ray_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where rays enter and leave the volume, some of them parallel to an axis; one for each part."""
+    k = F.col("p_partkey")
+    of = lambda **c: [v.cast("double").alias(n) for n, v in c.items()]
+    rays = fx.table(spark, sf_dir, "part").select(k.alias("ray_id"), *of(ox=k % 60 - 5, oy=k % 13 - 1, oz=F.lit(-4), dx=k % 3 - 1, dy=k % 2, dz=F.lit(0.5)))
+    near, far = probe.box_interval(*fx.box(spark, sf_dir))
+    hit = rays.select("ray_id", near.alias("near"), far.alias("far")).where("near <= far AND far >= 0")
+    return hit.select("ray_id", F.round("near", 6).alias("near"), F.round("far", 6).alias("far"))
+
+
+@query
+def axis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of nodes for iso-values of the y axis."""
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    views = _views(spark, sf_dir).withColumns({"iso_name": F.lit("y"), "iso": F.col("view_id") * 3.0})
+    return lod.scores(views, nodes, ranges, mesh.limits(fx.volume_fields(spark, sf_dir))).withColumn("score", F.round("score", 9))
+
+
+@query
+def sorted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lod.sorted_scores(_frontier_scores(spark, sf_dir)[1]).withColumn("score", F.round("score", 9))
+
+
+@query
+def frontier_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lod.frontier(_held_tree(spark, sf_dir)[0], 9, depth_first=True)
+
+
+@query
+def states_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of two views' frontiers after the second one's camera has moved."""
+    nodes = _tree(spark, sf_dir)[0]
+    views = _views(spark, sf_dir)
+    front = lod.frontier(nodes, 15).select("node_key", F.lit("SPLIT").alias("state")).crossJoin(F.broadcast(views.select("view_id")))
+    return lod.reset(front, views.drop("seq"), views.drop("seq").withColumn("ex", F.when(F.col("view_id") == 2, 9.0).otherwise(F.col("ex"))))
+
+
+@query
+def resident_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, scored = _frontier_scores(spark, sf_dir)
+    resident = nodes.where("is_leaf").select(F.lit(1).cast("long").alias("view_id"), F.col("node_key").alias("leaf_key"))
+    return lod.refreshed(resident, scored).withColumn("score", F.round("score", 9))
+
+
+def _held_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Nodes, block points, sizes, and the most vertices of a block."""
+    nodes, leaf_cells = _held_tree(spark, sf_dir)
+    cells = _cells(spark, sf_dir)
+    sizes = checkpointed(blocks.block_sizes(nodes, leaf_cells, cells))
+    return nodes, blocks.split_blocks(leaf_cells, cells)[0], sizes, sizes.agg(F.max("verts")).first()[0] or 0
+
+
+def _weighted(values: str) -> Column:
+    """The sum of an array's values times their places from 1 on."""
+    return F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
+@query
+def padded_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, points, _, stride = _held_blocks(spark, sf_dir)
+    out = blocks.padded_positions(points, structured.grid_points(spark, fx.size(spark, sf_dir)), stride)
+    return out.select("leaf_key", F.size("positions").alias("length"), _weighted("positions").alias("total"))
+
+
+@query
+def padded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, points, _, stride = _held_blocks(spark, sf_dir)
+    out = blocks.padded_values(blocks.block_values(points, fx.volume_fields(spark, sf_dir)), stride)
+    return out.select("leaf_key", "name", F.size("values").alias("length"), _weighted("values").alias("total"))
+
+
+@query
+def interior_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, points, _, _ = _held_blocks(spark, sf_dir)
+    return blocks.interior_vertices(points, structured.grid_points(spark, fx.size(spark, sf_dir)), nodes)
+
+
+@query
+def block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with geometry and two fields for a block for each customer, of the sizes of the whole tree's blocks."""
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    most = blocks.block_sizes(nodes, leaf_cells, _cells(spark, sf_dir)).agg(F.max("verts"), F.max("cells")).first()
+    wanted = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("leaf_key"))
+    return blocks.requests(wanted, most[0] or 0, most[1] or 0, 2, True)
+
+
+@query
+def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and limits of a volume that is downsampled and made an unstructured mesh with a tree and blocks."""
+    out = _ingest.ingest(fx.volume(spark, sf_dir), fx.size(spark, sf_dir), _ingest.Options(down_sample=2, force_unstructured=True, leaf_cells=64, max_depth=5, block_mesh=True)).tables
+    blocks_of = out["block_points"].join(out["block_values"], ["leaf_key", "local_id"])
+    sizes = blocks_of.agg(F.countDistinct("point_id").alias("points"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return sizes.join(out["leaf_cells"].agg(F.countDistinct("cell_id").alias("cells"))).select("points", "cells", "lo", "hi")
 
 
 def queries() -> dict[str, Query]:
@@ -398,4 +698,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in SQL.items() if name in _QUERIES}
+    return {name: sql for name, sql in {**oracles.SQL, **node_oracles.SQL}.items() if name in _QUERIES}
