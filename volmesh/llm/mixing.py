@@ -7,14 +7,17 @@ it. Everything is DataFrame operations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Rounds of raking; each fits all three marginals in turn.
-ROUNDS = 10
+#: Rounds of raking between two looks at the gaps (each fits all three marginals in turn), looks at most, and the gap
+#: of a share at which raking ends.
+ROUNDS, LOOKS, TOLERANCE = 10, 10, 1e-3
 #: Target shares are the present ones to this power (1: as they are, 0: all alike), made to sum to 1.
 TEMPERATURE = 0.7
 #: Share of the tokens that is kept, if no cell's probability comes over 1 by that.
@@ -54,46 +57,57 @@ def rake(cells: DataFrame, marginals: dict[str, DataFrame], rounds: int = ROUNDS
     """cells (mix_source, mix_lang, mix_topic, tokens) with weight: raked to the shares in marginals.
 
     Values without a share, or with share 0, get weight 0. A round's sums are made of weights alone, so cells
-    that a marginal can't reach stay as far from it as they are.
+    that a marginal can't reach stay as far from it as they are. After so many rounds the largest gap is looked at:
+    raking goes on until it is small, or hardly shrinks any more.
     """
     names = [f"mix_{d}" for d in DIMENSIONS]
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.select(*names, "tokens", F.col("tokens").cast("double").alias("weight"))
     for d in DIMENSIONS:
         now = now.join(marginals[d].select(f"mix_{d}", F.col("share").alias(f"{d}_share")), f"mix_{d}", "left").fillna({f"{d}_share": 0.0})
-    now = checkpointed(now)
-    for round_ in range(rounds):
-        for d in DIMENSIONS:
-            sum_here = F.sum("weight").over(Window.partitionBy(f"mix_{d}"))
-            now = now.withColumn("weight", F.when(sum_here > 0, F.col("weight") * F.col(f"{d}_share") * F.lit(float(total)) / sum_here).otherwise(0.0))
-        if round_ % 5 == 4 or round_ == rounds - 1:
-            now = checkpointed(now)
+    now, before = checkpointed(now), None
+    for _ in range(LOOKS):
+        for round_ in range(rounds):
+            for d in DIMENSIONS:
+                sum_here = F.sum("weight").over(Window.partitionBy(f"mix_{d}"))
+                now = now.withColumn("weight", F.when(sum_here > 0, F.col("weight") * F.col(f"{d}_share") * F.lit(float(total)) / sum_here).otherwise(0.0))
+            if round_ % 5 == 4 or round_ == rounds - 1:
+                now = checkpointed(now)
+        gap = largest_gap(now, total)
+        if gap <= TOLERANCE or before is not None and gap > 0.9 * before:
+            break
+        before = gap
     return now.select(*names, "tokens", "weight")
 
 
+def largest_gap(raked: DataFrame, total: int) -> float:
+    """How far a value's share of the weights is from its target at most."""
+    gaps = [raked.groupBy(f"mix_{d}").agg(F.abs(F.sum("weight") / max(1, total) - F.max(f"{d}_share")).alias("gap")).select("gap") for d in DIMENSIONS]
+    return reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
+
+
 def chance(doc_id: Column, seed: int) -> Column:
     """A number in [0, 1) that a document keeps whatever it is sampled for; a null doc_id has 0."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))), 1, 8)
     return F.coalesce(F.conv(digits, 16, 10).cast("double") / 4294967296, F.lit(0.0))
 
 
-def mix(docs: DataFrame, marginals: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 1, cut: bool = False) -> DataFrame:
+def mix(docs: DataFrame, marginals: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability and mix_kept.
 
-    marginals: per dimension mix_<dimension>, share; by default ``targets``. A cell's probability is keep times
-    its weight over its tokens. keep is lowered until no probability is over 1, so that the expected shares of what
-    is kept are the raked ones; with cut, probabilities over 1 are cut to 1 instead, and upweighted cells fall
-    short of their targets. Cells without tokens (empty texts) have probability keep. Repeated rows share their
-    fate. Columns of docs with these names are replaced.
+    marginals: per dimension mix_<dimension>, share; by default ``targets``. A cell's probability is keep times its
+    weight over its tokens. keep is lowered until no probability is over 1, so that the expected shares of what is kept
+    are the raked ones. Cells without tokens (empty texts) have probability keep. Repeated rows share their fate.
+    Null sources, languages and texts count as ''. An empty table gives no rows. Columns of docs with these names are
+    replaced.
     """
     rows = with_cells(docs.drop(*(f"mix_{x}" for x in (*DIMENSIONS, "tokens", "probability", "kept"))))
     names = [f"mix_{d}" for d in DIMENSIONS]
     cells = checkpointed(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")))
     marginals = {d: targets(cells, d) for d in DIMENSIONS} if marginals is None else marginals
-    raked = rake(cells, marginals, rounds)
-    if not cut:
-        most = raked.where("tokens > 0").agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 0.0
-        keep = min(keep, 1 / most) if most > 0 else keep
+    raked = checkpointed(rake(cells, marginals, rounds))
+    most = raked.where("tokens > 0").agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 0.0
+    keep = min(keep, 1 / most) if most > 0 else keep
     chances = raked.select(*names, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(keep)).alias("mix_probability"))
     small = cells.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     joined = rows.join(F.broadcast(chances) if small else chances, names)

@@ -19,15 +19,18 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; null texts are empty."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, linked within two bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id", "class_size")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts; labels of the held-out fold take no part."""
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
@@ -42,32 +45,39 @@ URL_RULES = (
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 50-byte strings that stand in documents before it."""
     return suffixes.remove_repeated_bytes(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every text."""
     joined = lambda c: F.array_join(c, ",").alias(c)
     return licenses.scan(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"), cut=True)  # the query's SQL fixes the cut
+    """Every document's probability of being sampled, and whether it is."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 20-word windows that stand before."""
     return debruijn.remove_repeated_words(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the forest's verdict on every text."""
     judged = rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
@@ -78,7 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _mixing_sql() -> str:
-    """Raking unrolled: every step divides the weights by their sum over one dimension's value."""
+    """Raking unrolled: every step divides the weights by their sum over one dimension's value. After this many rounds
+    the given tables' shares are within the tolerance of their targets."""
     steps, last = [], "r0"
     for i in range(mixing.ROUNDS):
         for d in mixing.DIMENSIONS:
@@ -100,7 +111,8 @@ WITH d AS (
 ), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL),
 {shares}, r0 AS MATERIALIZED (SELECT c.*, {share}, tokens::DOUBLE AS weight FROM cells AS c),
 {", ".join(steps)},
-chances AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, {mixing.KEEP}::DOUBLE * weight / tokens) ELSE {mixing.KEEP}::DOUBLE END AS p FROM {last})
+k AS MATERIALIZED (SELECT least({mixing.KEEP}::DOUBLE, 1 / max(weight / tokens)) AS keep FROM {last} WHERE tokens > 0),
+chances AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0::DOUBLE, keep * weight / tokens) ELSE keep END AS p FROM {last}, k)
 SELECT doc_id, source, lang, topic, rows.tokens, round(p, 6) AS probability,
   coalesce(('0x' || substr(md5('1:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 0) < round(p, 9) AS kept
 FROM rows JOIN chances USING (source, lang, topic)
