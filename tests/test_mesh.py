@@ -53,7 +53,7 @@ def test_linear_field_is_exact(spark, grid):
     assert at.where("leaf_key IS NULL").count() == 1
     shapes = sampling.geometry_of(cells, points)
     held = sampling.containing_cell(at, leaf_cells, shapes)
-    got = sampling.sampled(held, shapes, values).join(probes, "probe_id").collect()
+    got = sampling.sampled(held, values).join(probes, "probe_id").collect()
     assert len(got) == 40
     assert all(r["sample"] == pytest.approx(1 + 2 * r.x + 3 * r.y + 5 * r.z) for r in got)
     corners = nodevalues.corner_values(nodes, nodevalues.leaf_corners(nodes.where("is_leaf"), leaf_cells, shapes, values))
