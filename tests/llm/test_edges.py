@@ -1,0 +1,159 @@
+"""Text operators on empty tables, long texts, ties and repeated rows; queries against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from volmesh.llm import bpe, common, mixing, neighbours, quality, rules, similar, simhash, textstats, urlfilter
+from volmesh.llm.queries import URL_RULES, tokenizer
+
+SCHEMA = "doc_id long, text string"
+
+
+def test_simhash_components_against_all_pairs(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(60)}"
+    bases = [" ".join(word() for _ in range(rng.randrange(1, 400))) for _ in range(40)]
+    rows = [(i, rng.choice(bases) + (" " + word()) * rng.randrange(3)) for i in range(150)] + [(150, None), (151, ""), (152, "\n "), (None, bases[0]), (7, bases[1]), (7, bases[1]), (153, "Word " * 200_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"fp": F.lit("clash"), "component": F.lit(1)})
+    fps = [simhash.fingerprint(t or "") for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and group[i] != group[j]:
+                x, y = group[i], group[j]
+                group = [y if g == x else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    want = sorted(((i, f"{f:016x}", least.get(g)) for (i, _), f, g in zip(rows, fps, group, strict=True)), key=repr)
+    found = simhash.near_duplicates(docs).select("doc_id", simhash.hex_of(F.col("fp")).alias("h"), "component_id")
+    assert sorted(map(tuple, found.collect()), key=repr) == want
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 == similar.near_copies(docs.limit(0)).count()
+
+
+def test_neighbours_in_rank_and_ties(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 16))
+    x[600:640] = x[50]
+    x[700] = x[100] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist())]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit("clash"), "kind": F.lit(5), "query_id": F.lit(1)}).repartition(6)
+    got = {}
+    for r in neighbours.nearest(docs).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5]
+        assert [r for r, *_ in got[q]] == [1, 2, 3, 4, 5]
+        assert all(abs(s[v] - score) < 1e-12 for _, v, score in got[q])
+        assert all(a >= b - 1e-15 for (_, _, a), (_, _, b) in zip(got[q], got[q][1:], strict=False))
+        hits += len(set(best.tolist()) & {v for _, v, _ in got[q]})
+    assert hits >= 0.9 * 250
+    assert [v for _, v, _ in got[50]] == [600, 601, 602, 603, 604] and got[100][0][1] == 700
+    assert neighbours.nearest(docs.limit(0)).count() == 0
+
+
+def test_neighbours_in_several_blocks(monkeypatch, spark):
+    monkeypatch.setattr(neighbours, "ROWS", 300)
+    x = np.random.default_rng(4).normal(size=(1500, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert len(got[q]) == 5
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hits >= 0.9 * 150
+
+
+def test_a_block_verifies_few_rows():
+    x = np.random.default_rng(1).normal(size=(4000, 64))
+    block = neighbours.Block(np.arange(4000), x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[:40] @ unit.T
+    s[np.arange(40), np.arange(40)] = -9
+    found = block.search(np.arange(40), x[:40], -np.sort(-s, axis=1)[:, 4], 5)
+    truth = {(q, v) for q in range(40) for v in np.argsort(-s[q])[:5].tolist()}
+    assert len(truth & {(q, v) for q, v, _ in found}) >= 0.9 * len(truth)
+    assert block.verified < 0.15 * 40 * 4000
+
+
+def test_url_edges(spark):
+    rng = random.Random(1)
+    urls = [f"https://{rng.choice('abcdef')}{i}.{rng.choice(('com', 'net', 'org', 'info'))}/{rng.choice(('es', 'fr', 'de', 'en'))}/{i}?q={i}" for i in range(600)] + ["http://a.net/es/" + "x" * 100_000, None, ""]
+    pages = spark.createDataFrame([(i if i % 50 else None, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("blocked", "features", "suffix", "fit", "pages")})
+    rows = urlfilter.judge(pages.union(pages.limit(20)), URL_RULES).collect()
+    assert len(rows) == len(urls) + 20 and {r.verdict for r in rows} <= {"allow", "block"}
+    for r in rows:
+        if r.rule:
+            assert r.verdict == {u.text: u.verdict for u in URL_RULES}[r.rule]
+    assert len({(r.host, r.path): r.verdict for r in rows}) == len({(r.host, r.path, r.verdict) for r in rows})
+
+
+def test_samples_are_bounded_and_even(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("text_key"))
+    got = common.sampled(rows, 500, 50_000, "doc_id", "text_key")
+    ids = [r.doc_id for r in got.collect()]
+    assert len(ids) == 500 and 20_000 < np.mean(ids) < 30_000
+    assert common.sampled(rows.limit(40), 500, 40, "doc_id", "text_key").count() == 40
+    assert quality.sampled(rows.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("which", [quality.score, rules.judge])
+def test_judges_of_long_and_tied_texts(spark, which):
+    rows = [(i, "good words in a row here now " * (1 + i % 4)) for i in range(30)] + [(30, "word, " * 300_000), (31, "# " * 5000)] + [(5, "other text"), (5, "good words in a row here now ")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit("clash"), "held_out": F.lit(1), "shares": F.lit(0), "n_words": F.lit("x"), "label": F.lit(2)})
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(32)], "doc_id long, quality int, toxic int")
+    first, again = (sorted(map(tuple, which(docs.repartition(n), labels).collect()), key=repr) for n in (2, 5))
+    assert len(first) == len(rows)
+    assert [r[:2] for r in first] == [r[:2] for r in again]
+    assert all(a == pytest.approx(b) if isinstance(a, float) else a == b for x, y in zip(first, again, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_counts_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(("", "\n", "a | b\n")).join(" ".join(rng.choice(("a", "b", "c#", "é", "$%", "long-word", "x")) for _ in range(rng.randrange(12))) + rng.choice(("\n", " ", "\n\n")) for _ in range(rng.randrange(8)))) for i in range(120)] + [(200, None)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for r in rules.judge(spark.createDataFrame(rows, SCHEMA), labels).collect():
+        text = dict(rows)[r.doc_id] or ""
+        words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text)]
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside))
+        assert tuple(r[c] for c in textstats.COUNTS) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+
+
+def test_mixing_with_nulls_and_clashes(spark):
+    rows = [(i, None if i % 9 == 0 else "word " * (1 + i % 5), None if i % 4 == 0 else "en", ["a", None, "b"][i % 3]) for i in range(300)] + [(5, "again", "en", "a")] * 3 + [(None, "none", "de", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"mix_kept": F.lit("clash"), "tokens": F.lit("clash"), "mix_topic": F.lit(1)})
+    out = mixing.mix(docs)
+    assert out.count() == len(rows) and out.where("mix_probability > 1 OR mix_probability < 0").count() == 0
+    assert out.where("doc_id = 5 AND text = 'again'").select("mix_kept").distinct().count() == 1
+    for d in mixing.DIMENSIONS:
+        expected = {r[0]: r[1] for r in out.groupBy(f"mix_{d}").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).collect()}
+        cells = mixing.with_cells(docs.drop("mix_kept", "mix_topic")).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
+        for value, share in mixing.targets(cells, d).collect():
+            assert abs(expected[value] / sum(expected.values()) - share) <= 2 * mixing.TOLERANCE
+
+
+def test_bpe_of_empty_tables_and_long_texts(spark):
+    path, pattern = tokenizer()
+    docs = spark.createDataFrame([(1, "ab c " * 100_000), (2, "x" * 100_000)], SCHEMA)
+    assert bpe.round_trip(docs.limit(0), path, pattern).count() == 0
+    import hashlib
+
+    for r in bpe.round_trip(docs, path, pattern).collect():
+        assert r.decoded_sha256 == hashlib.sha256(("ab c " * 100_000 if r.doc_id == 1 else "x" * 100_000).encode()).hexdigest()

@@ -16,11 +16,15 @@ TEXT_KEY = "text_key"
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage, in the folder that spark.checkpoint.dir names.
 
-    A temporary folder is used only in sessions that name none (tests on one machine).
+    A temporary folder is used only where none is named and everything runs on one machine (tests); on a cluster that is
+    an error, as executors wouldn't share it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="volmesh-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="volmesh-"))
     return df.checkpoint()
 
 
