@@ -115,12 +115,18 @@ def mixed(rows):
             sums[c[d]] += n
         powers = {v: n**mixing.TEMPERATURE for v, n in sums.items() if n}
         shares.append({v: p / sum(powers.values()) for v, p in powers.items()})
-    for _ in range(mixing.ROUNDS):
-        for d in range(3):
-            sums = Counter()
-            for c, w in weight.items():
-                sums[c[d]] += w
-            weight = {c: w * shares[d].get(c[d], 0) * total / sums[c[d]] if sums[c[d]] else 0 for c, w in weight.items()}
+    before = None
+    for _ in range(mixing.LOOKS):
+        for _ in range(mixing.ROUNDS):
+            for d in range(3):
+                sums = Counter()
+                for c, w in weight.items():
+                    sums[c[d]] += w
+                weight = {c: w * shares[d].get(c[d], 0) * total / sums[c[d]] if sums[c[d]] else 0 for c, w in weight.items()}
+        gap = max(abs(sum(w for c, w in weight.items() if c[d] == v) / total - shares[d].get(v, 0)) for d in range(3) for v in {c[d] for c in weight})
+        if gap <= mixing.TOLERANCE or before is not None and gap > 0.9 * before:
+            break
+        before = gap
     keep = min(mixing.KEEP, *(n / weight[c] for c, n in tokens.items() if n))
     chance = lambda i: int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:8], 16) / 2**32
     return [r for r in rows if chance(r[0]) < round(min(1.0, keep * weight[cell(r)] / tokens[cell(r)]) if tokens[cell(r)] else keep, 9)]
