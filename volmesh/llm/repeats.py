@@ -198,21 +198,38 @@ def removed_tokens(spans: np.ndarray, n_tokens: int, length: int) -> np.ndarray:
     return np.cumsum(edge)[:n_tokens] > 0
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_bytes, packed: texts compressed for their way through a shuffle; null texts are empty."""
+    arrow = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("n_bytes", pa.int64()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole):
+                raw = [t.encode() for t in part.column(1).to_pylist()]
+                yield batch_of(arrow, [part.column(0), part.column(2), [len(r) for r in raw], [pa.compress(r, "zstd", asbytes=True) if r else b"" for r in raw]])
+
+    return keyed_texts(docs).mapInArrow(run, f"doc_id long, {TEXT_KEY} long, n_bytes long, packed binary")
+
+
+def unpacked_text(packed: bytes, n_bytes: int) -> bytes:
+    return pa.decompress(packed, n_bytes, "zstd", asbytes=True) if n_bytes else b""
+
+
 def rewritten(docs: DataFrame, spans: DataFrame, row: Callable[[int, int, bytes, np.ndarray], tuple], arrow: pa.Schema, schema: str) -> DataFrame:
     """``row`` (doc_id, text_key, text's bytes, spans) of every row of docs, as columns of ``schema``.
 
     spans: rows of doc_id, text_key, span.
     """
     of_documents = spans.groupBy("doc_id", TEXT_KEY).agg(F.collect_list("span").alias("spans"))
-    joined = keyed_texts(docs).join(of_documents, ["doc_id", TEXT_KEY], "left").select("doc_id", TEXT_KEY, "text", "spans")
+    joined = packed_texts(docs).join(of_documents, ["doc_id", TEXT_KEY], "left").select("doc_id", TEXT_KEY, "packed", "n_bytes", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
-                ids, keys, texts = (part.column(i).to_pylist() for i in range(3))
-                ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy(zero_copy_only=False))
-                flat = part.column(3).flatten().to_numpy(zero_copy_only=False)
-                rows = [row(i, k, t.encode(), flat[a:b]) for i, k, t, a, b in zip(ids, keys, texts, [0, *ends.tolist()], ends.tolist(), strict=False)]
+                ids, keys, texts, sizes = (part.column(i).to_pylist() for i in range(4))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(4)), 0).to_numpy(zero_copy_only=False))
+                flat = part.column(4).flatten().to_numpy(zero_copy_only=False)
+                rows = [row(i, k, unpacked_text(t, n), flat[a:b]) for i, k, t, n, a, b in zip(ids, keys, texts, sizes, [0, *ends.tolist()], ends.tolist(), strict=False)]
                 yield batch_of(arrow, [[r[i] for r in rows] for i in range(len(arrow))])
 
     return joined.mapInArrow(run, schema)

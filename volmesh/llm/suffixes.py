@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
-from .repeats import BATCH, CHUNK, DEALT, DEALT_ARROW, PASS_BITS, SPAN_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, passes, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack
+from .repeats import CHUNK, DEALT, DEALT_ARROW, PASS_BITS, SPAN_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, packed_texts, passes, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack, unpacked_text
 
-#: Windows of a document that are hashed as one piece; suffixes that are sorted at a time.
-PIECE, SORTED = 1 << 17, 1 << 20
+#: Windows of a document that are hashed as one piece; suffixes that are sorted at a time; runs in a batch that is sent.
+PIECE, SORTED, BATCH = 1 << 17, 1 << 20, 1 << 19
 #: Bytes of runs that a bucket may hold in a task before its largest digits are dealt out anew.
 HELD_BYTES = 192 << 20
 
@@ -326,7 +326,7 @@ def _ends_key(runs: Runs, depth: int) -> np.ndarray:
 def _with_bytes(open_: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     """DEALT of the open runs (of KNOWN), with their bytes."""
     of_documents = open_.groupBy("doc_id", TEXT_KEY).agg(F.collect_list(F.struct("span", "digit")).alias("runs"))
-    joined = of_documents.join(keyed_texts(docs), ["doc_id", TEXT_KEY]).select("doc_id", TEXT_KEY, "text", "runs")
+    joined = of_documents.join(packed_texts(docs), ["doc_id", TEXT_KEY]).select("doc_id", TEXT_KEY, "packed", "n_bytes", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[tuple[int, int]] = []
@@ -348,16 +348,16 @@ def _with_bytes(open_: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
 
         for whole in batches:
             for part in slices(whole):
-                for doc_id, key, text, runs in zip(*(part.column(i) for i in range(4)), strict=True):
+                for doc_id, key, text, n_bytes, runs in zip(*(part.column(i) for i in range(5)), strict=True):
                     span = runs.values.field("span").to_numpy()
-                    data = text.as_py().encode()
+                    data = unpacked_text(text.as_py(), n_bytes.as_py())
                     ids.append((doc_id.as_py(), key.as_py()))
                     start = span >> SPAN_BITS
                     parts.append((np.full(len(span), len(ids) - 1), start, span & ((1 << SPAN_BITS) - 1), runs.values.field("digit").to_numpy().astype(np.uint32), start + size))
                     bodies.append(data)
                     size += len(data)
                     n += len(span)
-                    if n >= BATCH or size >= 16 * BATCH:
+                    if n >= BATCH // 4 or size >= 16 * BATCH:
                         yield from send()
         yield from send()
 
