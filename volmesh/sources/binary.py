@@ -1,6 +1,7 @@
 """Readers of raw volumes and binary meshes by byte range: each task seeks to its part of the file.
 
-Files have to be readable at their path by every executor.
+A path with a scheme (s3://, hdfs:// and so on) is opened by Arrow's file systems; one without has to be readable by every
+executor and the driver, as shared folders are.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +25,32 @@ def _ranges(spark: SparkSession, n: int, rows_each: int) -> DataFrame:
     return spark.range(parts, numPartitions=min(parts, 4096)).select((F.col("id") * rows_each).alias("first"), F.least(F.lit(n), (F.col("id") + 1) * rows_each).alias("stop"))
 
 
-def _numbers(spark: SparkSession, path: str, dtype: str, offset: int, n: int, width: int, kind: pa.DataType, sql: str) -> DataFrame:
-    """row, values (an array of ``width`` numbers) of a table of numbers in a file."""
+def _file(path: str) -> pa.NativeFile:
+    found, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return found.open_input_file(name)
+
+
+def _read(path: str, dtype: str, count: int, offset: int = 0) -> np.ndarray:
+    with _file(path) as f:
+        return np.frombuffer(f.read_at(count * np.dtype(dtype).itemsize, offset), dtype)
+
+
+def _numbers(spark: SparkSession, path: str, dtype: str, offset: int, n: int, width: int, kind: pa.DataType, sql: str, part: int = 0, gap: int = 0) -> DataFrame:
+    """row, values (an array of ``width`` numbers) of a table of numbers in a file; after every ``part`` rows ``gap``
+    bytes are skipped."""
     item = np.dtype(dtype).itemsize * width
     arrow = pa.schema([("row", pa.int64()), ("values", pa.list_(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a in range(first, stop, BATCH_ROWS):
-                    b = min(stop, a + BATCH_ROWS)
-                    numbers = np.fromfile(path, dtype, (b - a) * width, offset=offset + a * item).astype(kind.to_pandas_dtype())
+                a = first
+                while a < stop:
+                    b = min(stop, a + BATCH_ROWS, (a // part + 1) * part if part else stop)
+                    numbers = _read(path, dtype, (b - a) * width, offset + a * item + (a // part * gap if part else 0)).astype(kind.to_pandas_dtype())
                     offsets = pa.array(np.arange(0, len(numbers) + 1, width, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.ListArray.from_arrays(offsets, pa.array(numbers)).cast(arrow.field(1).type)], schema=arrow)
+                    a = b
 
     return _ranges(spark, n, 1 << 22).mapInArrow(run, f"row long, values array<{sql}>")
 
@@ -55,7 +70,7 @@ SECTIONS = (("tri", 3, 5), ("quad", 4, 7), ("tet", 4, 10), ("pent", 5, 12), ("pr
 def read_ugrid(spark: SparkSession, path: str, byte_order: str = "<") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, cells, elements): a header of seven counts, nodes as three 32-bit floats, triangles, quads,
     surface ids, then volume elements. Vertices count from 1 in elements and from 0 in cells."""
-    nodes, *counts = (int(n) for n in np.fromfile(path, f"{byte_order}i4", 7))
+    nodes, *counts = (int(n) for n in _read(path, f"{byte_order}i4", 7))
     at = 28
     points = _numbers(spark, path, f"{byte_order}f4", at, nodes, 3, pa.float64(), "double").select(F.col("row").alias("point_id"), *(F.element_at("values", i + 1).alias(a) for i, a in enumerate("xyz")))
     at += 12 * nodes
@@ -74,18 +89,18 @@ def read_ugrid(spark: SparkSession, path: str, byte_order: str = "<") -> tuple[D
     return points, tetrahedra(elements), elements
 
 
-def read_volume_data(spark: SparkSession, path: str, names: list[str], byte_order: str = "<") -> DataFrame:
+def read_volume_data(spark: SparkSession, path: str, names: list[str], byte_order: str = "<", t_index: int | None = None) -> DataFrame:
     """t, point_id, name, value of a file of magic, version, variables and nodes (32-bit integers), then time steps
-    of one integer and the nodes' variables side by side as 32-bit floats."""
-    magic, _, variables, nodes = (int(n) for n in np.fromfile(path, f"{byte_order}i4", 4))
+    of one integer and the nodes' variables side by side as 32-bit floats. t_index: the only step that is read."""
+    magic, _, variables, nodes = (int(n) for n in _read(path, f"{byte_order}i4", 4))
     if magic != VOLUME_DATA_MAGIC:
         raise ValueError(f"{path} doesn't begin with {VOLUME_DATA_MAGIC}")
-    import os
-
     step = 4 + 4 * variables * nodes
-    out = None
-    for t in range((os.path.getsize(path) - 16) // step):
-        table = _numbers(spark, path, f"{byte_order}f4", 16 + t * step + 4, nodes, variables, pa.float64(), "double")
-        long = table.select(F.lit(t).alias("t"), F.col("row").alias("point_id"), F.posexplode("values").alias("i", "value")).select("t", "point_id", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("name"), "value")
-        out = long if out is None else out.union(long)
-    return out if out is not None else spark.createDataFrame([], "t int, point_id long, name string, value double")
+    with _file(path) as f:
+        steps = (f.size() - 16) // step
+    if t_index is not None and not 0 <= t_index < steps:
+        raise ValueError(f"{path} has {steps} time steps, not {t_index}")
+    first, n = (0, steps) if t_index is None else (t_index, 1)
+    table = _numbers(spark, path, f"{byte_order}f4", 20 + first * step, n * nodes, variables, pa.float64(), "double", nodes, 4)
+    t = (F.expr(f"row div {max(1, nodes)}") + first).cast("int")
+    return table.select(t.alias("t"), (F.col("row") % max(1, nodes)).alias("point_id"), F.posexplode("values").alias("i", "value")).select("t", "point_id", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("name"), "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATASET = "name string, path string, type string, size struct<x:int,y:int,z:int>, limits array<double>, dataType string, availableTrees array<struct<kdTreeType:string,maxTreeDepth:int,leafCells:int,nodesPath:string>>"
+DATASET = "name string, path string, type string, size struct<x:int,y:int,z:int>, limits array<double>, dataType string, availableTrees array<struct<kdTreeType:string,maxTreeDepth:int,leafCells:int,nodesPath:string>>, cornerValues array<struct<array:string,type:string,path:string>>"
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +20,12 @@ def find_tree(catalog: DataFrame, dataset: str, kind: str, depth: int, leaf_cell
     return trees.where((F.col("kdTreeType") == kind) & (F.col("maxTreeDepth") == depth) & (F.col("leafCells") == leaf_cells)).limit(1)
 
 
+def corner_path(catalog: DataFrame, dataset: str, array: str, kind: str) -> DataFrame:
+    """id, path of the corner values of a dataset's array that are of a kind, if there are any."""
+    found = catalog.where(F.col("id") == dataset).select("id", F.explode("cornerValues").alias("c")).select("id", "c.*")
+    return found.where((F.col("array") == array) & (F.col("type") == kind)).select("id", "path").limit(1)
+
+
 def write_tree(path: str, **tables: DataFrame) -> None:
     """Each table (nodes, corner_values, node_ranges, limits, meta) in a folder of its name."""
     for name, table in tables.items():
