@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -28,6 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint. Shuffle files that nothing refers to any more go now, not whenever the driver happens to
+    collect its garbage, so that a long job doesn't hold those of all its steps."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

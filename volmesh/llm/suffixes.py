@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
+from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, released, slices
 from .repeats import CHUNK, DEALT, DEALT_ARROW, PASS_BITS, SPAN_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, packed_texts, passes, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack, unpacked_text
 
 #: Windows of a document that are hashed as one piece; suffixes that are sorted at a time; runs in a batch that is sent.
@@ -496,9 +496,9 @@ def repeated_suffixes(docs: DataFrame, depth: int = 50, held_bytes: int = HELD_B
     def split_sifting(n_pass: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield _sifting_rows(*_unsifted(data), n_pass)
 
-    known = checkpointed(_sifted(dealt_in_passes(_dealt(docs, depth), n, split_sifting), depth, held_runs))
+    known = released(checkpointed(_sifted(dealt_in_passes(_dealt(docs, depth), n, split_sifting), depth, held_runs)))
     opened = _with_bytes(known.where("digit IS NOT NULL"), docs, depth)
-    found = checkpointed(_resolved(dealt_in_passes(opened, n, split), depth, held_bytes))
+    found = released(checkpointed(_resolved(dealt_in_passes(opened, n, split), depth, held_bytes)))
     anew = found.where("data IS NOT NULL").select("bucket", F.lit(RUNS).alias("kind"), "data")
     again = _resolved(dealt_in_passes(anew, n, split), depth, 1 << 62)
     return reduce(DataFrame.union, (x.select("doc_id", TEXT_KEY, "span") for x in (known.where("digit IS NULL"), found.where("data IS NULL"), again)))
