@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, licenses, mixing, neighbours, quality, rules, simhash, suffixes, urlfilter
+from . import bpe, centroids, debruijn, decontaminate, licenses, manifest, mixing, neighbours, quality, rules, simhash, suffixes, urlfilter
 from .common import read
 
 
@@ -82,8 +82,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, with a fifth of them tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.verified(manifest.proofs(read(spark, sf_dir, "documents"), tampered))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What benchmark items' windows cover in every text."""
+    return decontaminate.report(decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after five rounds."""
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda v: v.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_simhash, op3_quality, op4_url_filter, op5_suffix_dedup, op6_licenses, op7_mixing, op8_substring_dedup, op9_neighbours, op10_quality_rules)
+    own = (op1_byte_bpe, op2_simhash, op3_quality, op4_url_filter, op5_suffix_dedup, op6_licenses, op7_mixing, op8_substring_dedup, op9_neighbours, op10_quality_rules, op11_manifest, op12_decontaminate, op13_centroids)
     return {f.__name__: f for f in own}
 
 
@@ -149,5 +167,83 @@ FROM n LEFT JOIN kept ON n.doc_id = kept.doc_id
 """
 
 
+#: Levels of a source's tree and of the tree over the subroots that the SQL unrolls: a million rows a source, 4096 sources.
+SOURCE_LEVELS, TOP_LEVELS = 5, 3
+
+
+def _manifest_sql() -> str:
+    """Levels unrolled: a tree with one node left stays as it is on the levels above. crc32 is computed bit by bit."""
+    token = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(token, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT), lambda c, b: {bits}))"
+
+    def levels(name: str, n: int) -> list[str]:
+        out = []
+        for i in range(n):
+            run = "PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+            out.append(f"{name}s{i} AS MATERIALIZED (SELECT tree, pos, n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}{i})")
+            out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, (max(n) + 15) // 16 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h FROM {name}{i} GROUP BY tree, pos // 16)")
+        return out
+
+    steps = [("a", i, "l.tree", f"l.pos // {16**i}") for i in range(SOURCE_LEVELS)] + [("t", i, "0", f"l.tree // {16**i}") for i in range(TOP_LEVELS)]
+    joins = "\n".join(f"JOIN {t}s{i} AS {t}s{i} ON {t}s{i}.tree = {tree} AND {t}s{i}.pos = {pos}" for t, i, tree, pos in steps)
+    proof = " || ".join(f"{t}s{i}.before || {t}s{i}.after" for t, i, _, _ in steps)
+    folds = ["p0 AS (SELECT p.*, tampered AS f FROM p)"] + [f"p{k + 1} AS (SELECT * EXCLUDE (f), CASE WHEN {t}n{i} > 1 THEN sha256({t}b{i} || f || {t}a{i}) ELSE f END AS f FROM p{k})" for k, (t, i, _, _) in enumerate(steps)]
+    carried = ", ".join(f"{t}s{i}.n AS {t}n{i}, {t}s{i}.before AS {t}b{i}, {t}s{i}.after AS {t}a{i}" for t, i, _, _ in steps)
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, {leaf("text")} AS h, CASE WHEN {crc} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf("text")} END AS tampered FROM documents
+), l AS MATERIALIZED (
+  SELECT doc_id, h, tampered, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d
+), a0 AS (SELECT tree, pos, n, h FROM l), {", ".join(levels("a", SOURCE_LEVELS))},
+t0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM a{SOURCE_LEVELS}), {", ".join(levels("t", TOP_LEVELS))},
+p AS (SELECT doc_id, l.h AS leaf, r.h AS subroot, (SELECT h FROM t{TOP_LEVELS}) AS root, sha256({proof}) AS proof_sha256, tampered, {carried}
+  FROM l JOIN a{SOURCE_LEVELS} AS r ON r.tree = l.tree
+  {joins}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM p{len(steps)}
+"""
+
+
+DECONTAMINATE_SQL = r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM lowered),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(words), 10) AS m, array_to_string(words[p:p + least(len(words), 10) - 1], ' ') AS gram
+  FROM i, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(p) WHERE len(words) > 0
+), s AS (
+  SELECT rid, p, m, array_to_string(words[p:p + m - 1], ' ') AS gram FROM d, (SELECT DISTINCT m FROM w) AS lengths, unnest(range(1, len(words) - m + 2)) AS u(p) WHERE len(words) >= m
+), h AS MATERIALIZED (SELECT rid, p, m, item_id FROM s JOIN w USING (m, gram)),
+hit AS (SELECT rid, count(DISTINCT p + k) AS n_hit FROM (SELECT DISTINCT rid, p, m FROM h), unnest(range(m)) AS u(k) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM h) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Rounds unrolled over one row for each vector and component; every distance is computed."""
+    nearest = lambda r: f"b{r} AS MATERIALIZED (SELECT rid, arg_min(cluster, d * 1000 + cluster) AS cluster, min(d) AS d FROM (SELECT rid, cluster, sum((v - c) * (v - c))::HUGEINT AS d FROM x JOIN c{r} USING (i) GROUP BY rid, cluster) GROUP BY rid)"
+    steps = []
+    for r in range(rounds):
+        steps += [
+            nearest(r),
+            f"m{r} AS (SELECT cluster, i, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM b{r} JOIN x USING (rid) GROUP BY cluster, i)",
+            f"c{r + 1} AS MATERIALIZED (SELECT o.cluster, o.i, CASE WHEN n IS NULL THEN o.c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{r} AS o LEFT JOIN m{r} USING (cluster, i))",
+        ]
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT rid, i, floor(256 * embedding[i]::DOUBLE)::HUGEINT AS v FROM e, unnest(range(1, 65)) AS u(i)),
+f AS (SELECT rid, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, embedding) - 1 AS cluster FROM e),
+c0 AS MATERIALIZED (SELECT cluster, i, v AS c FROM f JOIN x USING (rid) WHERE cluster < {k}),
+{", ".join(steps)}, {nearest(rounds)},
+g AS (SELECT cluster, sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, b{rounds}.cluster::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY b{rounds}.cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM b{rounds} JOIN e USING (rid) JOIN g ON g.cluster = b{rounds}.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_dedup": SUFFIX_SQL, "op7_mixing": _mixing_sql(), "op8_substring_dedup": WORDS_SQL}
+    return {"op5_suffix_dedup": SUFFIX_SQL, "op7_mixing": _mixing_sql(), "op8_substring_dedup": WORDS_SQL, "op11_manifest": _manifest_sql(), "op12_decontaminate": DECONTAMINATE_SQL, "op13_centroids": _centroids_sql()}
