@@ -105,3 +105,19 @@ def test_words_around_a_cycle_are_one_path(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffixes.remove_repeated_bytes(none).count() == 0 == debruijn.remove_repeated_words(none).count()
+
+
+def test_texts_whose_polynomial_digests_collide(spark):
+    """Blocks of one string with the least of all hashes, their numbers, and y or n in Thue-Morse order; the second text has
+    y and n the other way round. Any polynomial modulo 2 ** 64 takes the two for the same, and no 50 bytes are."""
+    letters = np.random.default_rng(5).integers(97, 123, 1 << 22, dtype=np.uint8)
+    hashes = repeats.digests_of_all(repeats.sums(suffixes._BYTE_HASHES[letters]), 20)
+    at = int(hashes.argmin())
+    least, names = letters[at : at + 20].tobytes(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ012345"
+    blocks = lambda odd: b"".join(least + (names[i // 32] + names[i % 32] + "yn"[(i.bit_count() + odd) % 2]).encode() for i in range(1024))
+    texts_ = [blocks(0), blocks(1)]
+    runs = [suffixes._runs_of(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 50, 20) for t in texts_]
+    assert len(runs[0][1]) == 1 and runs[0][4] == runs[1][4]
+    docs = spark.createDataFrame([(i + 1, t.decode()) for i, t in enumerate(texts_)] + [(3, texts_[0].decode())], SCHEMA).repartition(3)
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_repeated_bytes(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 23_552}

@@ -141,7 +141,10 @@ DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data",
 
 def passes(docs: DataFrame) -> int:
     """How many passes leave at most about BUCKET_BYTES of text in a bucket."""
-    total = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return passes_for(docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+
+
+def passes_for(total: int) -> int:
     return next(n for n in range(1, MOST_PASSES + 1) if total <= BUCKET_BYTES << PASS_BITS * n or n == MOST_PASSES)
 
 

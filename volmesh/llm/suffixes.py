@@ -5,8 +5,8 @@ of two or more are the repeated windows. Passes go from the most significant dig
 
 1. Spark deals suffixes out by their window's minimizer, which neighbours share: they travel as one run. Equal windows
    have equal minimizers. Digits that only one document has are done. Runs of one digit that have one digest of their
-   bytes are the same; all but the first document's are repeats. (These digests have 64 bits and are only compared
-   within a digit of 32: of 100 TB, 2e-4 pairs of different runs are expected to be taken for the same.)
+   bytes are the same; all but the first document's are repeats. These digests are 96 bits of BLAKE2b under a key that is
+   drawn anew for every job, so no text can be made to collide; by chance, 5e-14 pairs of 100 TB are expected to.
 2. What is left are mostly runs at the ends of passages. They are dealt out again by their digits, with the bytes that
    they span. In a bucket, runs with the very same bytes are one. Every suffix of the others is sorted by its own
    bytes, eight at a time, from the first on. After each pass only groups with suffixes of several documents stay, so
@@ -21,6 +21,7 @@ of its window's bytes.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, released, slices
-from .repeats import CHUNK, DEALT, DEALT_ARROW, PASS_BITS, SPAN_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, packed_texts, passes, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack, unpacked_text
+from .repeats import CHUNK, DEALT, DEALT_ARROW, PASS_BITS, SPAN_BITS, U, bucket_of, compared, dealt_in_passes, digest, digests_of_all, heads_of, mixed, pack, packed_texts, passes, passes_for, removed_tokens, rewritten, runs_of, sliding_least, spans_of, spread, sums, unpack, unpacked_text
 
 #: Windows of a document that are hashed as one piece; suffixes that are sorted at a time; runs in a batch that is sent.
 PIECE, SORTED, BATCH = 1 << 17, 1 << 20, 1 << 19
@@ -142,8 +143,9 @@ def _runs_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth: int
     return piece[first], first, count, least[first].astype(np.uint32), digest(prefix, first, first + count + depth - 1)
 
 
-#: Packed: ids and keys of documents, the number of runs of each; start, windows, digit and digest of the runs.
-SIFTED = (np.int64, np.int64, np.int32, np.int32, np.uint16, np.uint32, np.uint64)
+#: Packed: ids and keys of documents, the number of runs of each; start, windows, digit and the digest's two parts of the runs.
+SIFTED = (np.int64, np.int64, np.int32, np.int32, np.uint16, np.uint32, np.uint64, np.uint32)
+DIGEST = np.dtype([("high", np.uint64), ("low", np.uint32)])
 #: A span that is repeated; with a digit, a run whose suffixes have to be sorted.
 KNOWN = f"doc_id long, {TEXT_KEY} long, span long, digit long"
 KNOWN_ARROW = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("span", pa.int64()), ("digit", pa.int64())])
@@ -151,13 +153,24 @@ KNOWN_ARROW = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), ("span"
 HELD_RUNS = 1 << 22
 
 
+def strong_digests(data: np.ndarray, at: np.ndarray, length: np.ndarray, key: bytes) -> np.ndarray:
+    """DIGEST of each stretch of bytes."""
+    view, keyed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b(key=key, digest_size=DIGEST.itemsize)
+    out = []
+    for a, b in zip(at.tolist(), (at + length).tolist(), strict=True):
+        h = keyed.copy()
+        h.update(view[a:b])
+        out.append(h.digest())
+    return np.frombuffer(b"".join(out), DIGEST)
+
+
 def _repeats_row(runs: Runs, repeated: np.ndarray, depth: int) -> pa.RecordBatch:
     gone = runs[np.flatnonzero(repeated)]
     gone = gone[np.argsort(gone.doc, kind="stable")]
     return batch_of(DEALT_ARROW, [[int(gone.ids[gone.doc[0], 1]) % (1 << PASS_BITS)], [REPEATS], [gone.packed(depth, with_bytes=False)]])
 
 
-def _sifting_rows(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray, digests: np.ndarray, n_pass: int) -> pa.RecordBatch:
+def _sifting_rows(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray, high: np.ndarray, low: np.ndarray, n_pass: int) -> pa.RecordBatch:
     """Rows of SIFTED by the buckets of a pass."""
     bucket = bucket_of(digit, n_pass)
     order = np.lexsort((start, doc, bucket))
@@ -167,12 +180,12 @@ def _sifting_rows(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows:
         own = order[a:b]
         head = np.flatnonzero(heads_of(doc[own]))
         of = ids[doc[own[head]]]
-        data.append(pack((of[:, 0].copy(), of[:, 1].copy(), np.diff(head, append=len(own)).astype(np.int32), start[own].astype(np.int32), windows[own].astype(np.uint16), digit[own], digests[own])))
+        data.append(pack((of[:, 0].copy(), of[:, 1].copy(), np.diff(head, append=len(own)).astype(np.int32), start[own].astype(np.int32), windows[own].astype(np.uint16), digit[own], high[own], low[own])))
     return batch_of(DEALT_ARROW, [bucket[order][cut], np.full(len(cut), RUNS, np.int32), data])
 
 
 def _unsifted(data: list[bytes]) -> tuple[np.ndarray, ...]:
-    """ids; document, start, windows, digit, digest of runs."""
+    """ids; document, start, windows, digit, both parts of the digest of runs."""
     ids, doc, fields, n = [], [], [], 0
     for d in data:
         own, keys, runs, *rest = unpack(d, SIFTED)
@@ -180,13 +193,14 @@ def _unsifted(data: list[bytes]) -> tuple[np.ndarray, ...]:
         doc.append(np.repeat(np.arange(n, n + len(own)), runs))
         n += len(own)
         fields.append(rest)
-    start, windows, digit, digests = (np.concatenate(x) for x in zip(*fields, strict=True))
-    return np.concatenate(ids), np.concatenate(doc), start.astype(np.int64), windows.astype(np.int64), digit, digests
+    start, windows, digit, high, low = (np.concatenate(x) for x in zip(*fields, strict=True))
+    return np.concatenate(ids), np.concatenate(doc), start.astype(np.int64), windows.astype(np.int64), digit, high, low
 
 
 def _dealt(docs: DataFrame, depth: int) -> DataFrame:
     """DEALT of the runs of all documents, without their bytes; rows without doc_id take no part."""
     gram = max(1, 2 * depth // 5)
+    secret = secrets.token_bytes(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[tuple[int, int]] = []
@@ -218,7 +232,8 @@ def _dealt(docs: DataFrame, depth: int) -> DataFrame:
                 if repeated.any():
                     yield _repeats_row(runs, repeated, depth)
                 rest = ~repeated
-                yield _sifting_rows(runs.ids, doc[rest], start[rest], count[rest], digit[rest], digests[rest], 1)
+                strong = strong_digests(runs.bytes, at[rest], count[rest] + depth - 1, secret)
+                yield _sifting_rows(runs.ids, doc[rest], start[rest], count[rest], digit[rest], strong["high"], strong["low"], 1)
             ids.clear(), parts.clear(), bodies.clear()
             n_runs = 0
 
@@ -251,12 +266,12 @@ def _known(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndar
 def _sifted(dealt: DataFrame, depth: int, held_runs: int) -> DataFrame:
     """KNOWN of sorted rows of DEALT: runs that repeat another document's, and runs of digits that several have."""
 
-    def settled(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settled(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, digit: np.ndarray, high: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(doc):
             return
-        order = np.lexsort((start, ids[doc, 1], ids[doc, 0], digests, digit))
-        doc, start, windows, digit, digests = doc[order], start[order], windows[order], digit[order], digests[order]
-        new = heads_of(digit, digests)
+        order = np.lexsort((start, ids[doc, 1], ids[doc, 0], low, high, digit))
+        doc, start, windows, digit, high, low = (x[order] for x in (doc, start, windows, digit, high, low))
+        new = heads_of(digit, high, low)
         own = ids[doc, 0]
         repeated = own != own[np.flatnonzero(new)[np.cumsum(new) - 1]]
         yield _known(ids, doc[repeated], start[repeated], windows[repeated])
@@ -294,7 +309,7 @@ def _sifted(dealt: DataFrame, depth: int, held_runs: int) -> DataFrame:
                     yield from close()
                     bucket = at
                 held.append(data)
-                n += int(np.frombuffer(data[:8], np.int64)[0]) // 18
+                n += int(np.frombuffer(data[:8], np.int64)[0]) // 22
                 if n > held_runs:
                     runs = _unsifted(held)
                     digits, count = np.unique(runs[4], return_counts=True)
@@ -303,13 +318,13 @@ def _sifted(dealt: DataFrame, depth: int, held_runs: int) -> DataFrame:
                     hot = np.union1d(hot, digits[order[: int(np.searchsorted(np.cumsum(count[order]), len(runs[1]) - held_runs // 2)) + 1]])
                     sent, rest = without_hot(runs)
                     yield sent
-                    ids, doc, start, windows, digit, digests = rest
+                    ids, doc, start, windows, digit, high, low = rest
                     own, doc = np.unique(doc, return_inverse=True)
                     held, n = [], len(doc)
                     if n:
                         head = np.flatnonzero(heads_of(doc))
                         of = ids[own]
-                        held = [pack((of[:, 0].copy(), of[:, 1].copy(), np.diff(head, append=n).astype(np.int32), start.astype(np.int32), windows.astype(np.uint16), digit, digests))]
+                        held = [pack((of[:, 0].copy(), of[:, 1].copy(), np.diff(head, append=n).astype(np.int32), start.astype(np.int32), windows.astype(np.uint16), digit, high, low))]
         yield from close()
 
     return dealt.mapInArrow(run, KNOWN)
@@ -500,7 +515,9 @@ def repeated_suffixes(docs: DataFrame, depth: int = 50, held_bytes: int = HELD_B
     opened = _with_bytes(known.where("digit IS NOT NULL"), docs, depth)
     found = released(checkpointed(_resolved(dealt_in_passes(opened, n, split), depth, held_bytes)))
     anew = found.where("data IS NOT NULL").select("bucket", F.lit(RUNS).alias("kind"), "data")
-    again = _resolved(dealt_in_passes(anew, n, split), depth, 1 << 62)
+    # Windows dealt out by a hash of all their bytes spread evenly; as many passes as leave a bucket little of them.
+    n_anew = passes_for(anew.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
+    again = _resolved(dealt_in_passes(anew, n_anew, split), depth, 1 << 62)
     return reduce(DataFrame.union, (x.select("doc_id", TEXT_KEY, "span") for x in (known.where("digit IS NULL"), found.where("data IS NULL"), again)))
 
 
