@@ -23,8 +23,8 @@ from .common import checkpointed
 FAN = 16
 #: The tree of subroots; sources' trees are numbered from 0 on.
 TOP = -1
-#: Ancestors that are broadcast at most, with a segment each.
-FEW = 1000
+#: Ancestors that are broadcast at most, with a segment each; rows of digests in a partition.
+FEW, PART_ROWS = 1000, 1 << 15
 
 KEY = ("tree", "level", "pos")
 
@@ -44,7 +44,13 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, in no more partitions than they fill: digests are little of
+    their texts, and an exchange of few rows from each of many partitions would be made of tiny blocks."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, count: int) -> DataFrame:
     """rows with ``name``: their place within their group (from 0 on, nulls first) and ``n``, the group's rows.
 
     Ranges of rows go to tasks, however few groups they are in; a row's place is that in its task and what its group
@@ -52,7 +58,7 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> Da
     """
     keys = [F.col(c).asc_nulls_first() for c in (*group, *order, "tie")]
     dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = checkpointed(dealt.drop("tie").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    dealt = gathered(checkpointed(dealt.drop("tie").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})), count)
     counts = dealt.groupBy(*group, "part").agg(F.count("*").alias("n_part"), F.min("at").alias("first"))
     of_group = Window.partitionBy(*(group or [F.lit(0)]))
     before = F.coalesce(F.sum("n_part").over(of_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -76,14 +82,16 @@ def _runs(nodes: DataFrame) -> DataFrame:
     return of_run.select("tree", "pos", F.ceil(F.col("n") / FAN).alias("n"), "hashes", F.sha2(_joined(F.col("hashes")), 256).alias("hash"))
 
 
-def _hashed_up(nodes: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(tree, level, hash of the roots; by level, from 0 on, the runs of its nodes) of trees of at most ``most`` nodes."""
+def _hashed_up(nodes: DataFrame, most: int, rows: int, trees: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, level, hash of the roots; by level, from 0 on, the runs of its nodes) of so many trees that have ``rows``
+    nodes together and ``most`` at most."""
     runs, roots, level = [], [], 0
     while True:
         roots.append(nodes.where("n = 1").select("tree", F.lit(level).alias("level"), "hash"))
         if most <= 1:
             return reduce(DataFrame.union, roots), runs
-        runs.append(checkpointed(_runs(nodes.where("n > 1"))))
+        rows = rows // FAN + trees
+        runs.append(gathered(checkpointed(_runs(nodes.where("n > 1"))), rows))
         nodes, most, level = runs[-1].drop("hashes"), -(-most // FAN), level + 1
 
 
@@ -96,17 +104,17 @@ def _pointers(runs: list[DataFrame], first: int) -> list[DataFrame]:
     return out
 
 
-def _jumped(pointers: DataFrame, height: int) -> DataFrame:
+def _jumped(pointers: DataFrame, height: int, rows: int) -> DataFrame:
     """KEY, subroot, segment of every node, through to the root, by doubling the distance to the ancestor in ``up``."""
     reach = 1
-    now = checkpointed(pointers)
+    now = gathered(checkpointed(pointers), rows)
     while reach < height:
         live = now.where("up IS NOT NULL")
         wanted = live.select("up.*").distinct()
         above = now.join(wanted, list(KEY), "left_semi").select(F.struct(*KEY).alias("up"), F.col("up").alias("further"), F.col("subroot").alias("its"), F.col("segment").alias("more"))
         few = above.limit(FEW + 1).count() <= FEW
         joined = live.join(F.broadcast(above) if few else above, "up").select(*KEY, F.col("further").alias("up"), F.coalesce("subroot", "its").alias("subroot"), F.concat("segment", "more").alias("segment"))
-        now = checkpointed(now.where("up IS NULL").select(*KEY, "up", "subroot", "segment").union(joined))
+        now = gathered(checkpointed(now.where("up IS NULL").select(*KEY, "up", "subroot", "segment").union(joined)), rows)
         reach *= 2
     return now
 
@@ -135,21 +143,20 @@ def proofs(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     leaf = lambda t: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col(t))
     other = F.lit(None).cast("string") if tampered is None else F.when(tampered, leaf("changed"))
     leaves = checkpointed(given.select("doc_id", "source", leaf("text").alias("hash"), other.alias("other")))
-    sources = ranked(leaves.groupBy("source").agg(F.count("*").alias("rows")), [], ["source"], "tree").drop("n")
-    placed = ranked(leaves, ["source"], ["doc_id", "hash"], "pos")
-    # A source may hold a third of all rows: few sources are broadcast, and more are joined in ranges of their rows.
+    n_rows = leaves.count()
+    leaves = gathered(leaves, n_rows)
+    of_source = checkpointed(leaves.groupBy("source").agg(F.count("*").alias("rows")))
+    n_trees, most = of_source.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    sources = ranked(gathered(of_source, n_trees), [], ["source"], "tree", n_trees).drop("n")
+    placed = ranked(leaves, ["source"], ["doc_id", "hash"], "pos", n_rows)
+    # A source may hold a third of all rows: few sources are broadcast, and the rows of more spread over many.
     numbers = sources.select(F.struct("source").alias("of"), F.col("tree").cast("long").alias("tree"))
-    few = numbers.limit(FEW + 1).count() <= FEW
-    nodes = checkpointed(placed.withColumn("of", F.struct("source")).join(F.broadcast(numbers) if few else numbers, "of").select("tree", "pos", "n", "doc_id", "hash", "other"))
-    most = nodes.agg(F.max("n"), F.max("tree")).first()
-    if most[0] is None:
-        most = (0, -1)
+    nodes = checkpointed(placed.withColumn("of", F.struct("source")).join(F.broadcast(numbers) if n_trees <= FEW else numbers, "of").select("tree", "pos", "n", "doc_id", "hash", "other"))
     whole = nodes.groupBy("tree", F.floor(F.col("pos") / FAN).alias("run")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "doc_id", "hash", "other"))).alias("leaves"))
-    roots, runs = _hashed_up(nodes.select("tree", "pos", "n", "hash"), most[0])
-    n_trees = most[1] + 1
-    subroots = checkpointed(roots)
+    roots, runs = _hashed_up(nodes.select("tree", "pos", "n", "hash"), most, n_rows, n_trees)
+    subroots = gathered(checkpointed(roots), n_trees)
     tops = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(n_trees).cast("long").alias("n"), "hash")
-    top_roots, top_runs = _hashed_up(tops, n_trees)
+    top_roots, top_runs = _hashed_up(tops, n_trees, n_trees, 1)
     # A subroot is the top tree's leaf: its pointer leads on from there.
     at_top = _pointers(top_runs, 0)
     tree_key = subroots.select("tree", "level", F.lit(0).cast("long").alias("pos"), F.col("hash").alias("subroot"))
@@ -164,7 +171,7 @@ def proofs(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     parts = [crossing, *map(without, (*_pointers(runs, 1), *at_top[1:]))]
     if at_top:
         parts.append(top_roots.select("tree", "level", F.lit(0).cast("long").alias("pos"), no_way.alias("up"), F.lit(None).cast("string").alias("subroot"), none.alias("segment")))
-    ways = _jumped(reduce(DataFrame.union, parts), len(runs) + len(top_runs) + 1)
+    ways = _jumped(reduce(DataFrame.union, parts), len(runs) + len(top_runs) + 1, n_rows // 8 + 2 * n_trees)
     root = top_roots.select(F.col("hash").alias("root"))
     alone = F.col("n") == 1
     of_run = whole.select(F.col("tree"), F.when(alone, 0).otherwise(1).alias("level"), F.col("run").alias("pos"), "leaves").join(ways.select(*KEY, "subroot", "segment"), list(KEY))
