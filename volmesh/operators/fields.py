@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volmesh.operators.structured import grid_derivative
+from volmesh.operators.structured import difference
 
 
 @dataclass(frozen=True)
@@ -50,11 +50,12 @@ def possible(available: list[str], known: dict[str, Derived] | None = None) -> l
 
 
 def derive(grid: DataFrame, names: list[str], known: dict[str, Derived] | None = None) -> DataFrame:
-    """A wide grid (x, y, z and fields) with the named fields; shared derivatives are computed once."""
+    """A wide grid (x, y, z and fields) with the named fields. Shared derivatives are computed once, and all of an axis in
+    one pass over the rows along it."""
     known = known or registry()
     needed = dict.fromkeys(d for n in names for d in known[n].derivatives)
-    for field, axis in needed:
-        grid = grid_derivative(grid.withColumn("value_", F.col("value") if "value" in grid.columns else F.lit(0.0)).withColumn("value", F.col(field).cast("double")), axis).withColumn(f"d{field}_d{axis}", F.col("d")).drop("d").withColumn("value", F.col("value_")).drop("value_")
+    for axis in "xyz":
+        grid = grid.withColumns({f"d{field}_d{a}": difference(F.col(field).cast("double"), axis) for field, a in needed if a == axis})
     return grid.withColumns({n: known[n].formula for n in names}).drop(*(f"d{f}_d{a}" for f, a in needed))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volmesh.common import broadcast_if_few
+from volmesh.common import broadcast_if_few, checkpointed
 from volmesh.functions.geometry import hashed_unit
 
 
@@ -22,43 +22,145 @@ def active_nodes(ranges: DataFrame, iso: float) -> DataFrame:
     return ranges.where((F.col("lo") <= iso) & (F.col("hi") >= iso))
 
 
+def clipped(matrix: Column) -> Column:
+    """The corners of the box x0 .. z1 under a 4 x 4 matrix (16 numbers, by columns): array of struct<x, y, z, w>."""
+    corners = F.array(*(F.struct(*(F.col(f"{a}{c >> i & 1}").alias(a) for i, a in enumerate("xyz"))) for c in range(8)))
+    row = lambda p, r: F.element_at(matrix, r + 1) * p["x"] + F.element_at(matrix, r + 5) * p["y"] + F.element_at(matrix, r + 9) * p["z"] + F.element_at(matrix, r + 13)
+    return F.transform(corners, lambda p: F.struct(*(row(p, r).alias(n) for r, n in enumerate("xyzw"))))
+
+
+def in_sight(clip: Column) -> Column:
+    inside = lambda c: (F.abs(F.try_divide(c["x"], c["w"])) <= 1) & (F.abs(F.try_divide(c["y"], c["w"])) <= 1) & (F.try_divide(c["z"], c["w"]) >= 0)
+    return F.exists(clip, lambda c: F.coalesce(inside(c), F.lit(False)))
+
+
 def visible(matrix: Column) -> Column:
-    """Whether some corner of the box x0 .. z1 is inside the view of a 4 x 4 matrix (16 numbers, by columns)."""
-    seen = F.lit(False)
-    for c in range(8):
-        p = [F.col(f"{a}{c >> i & 1}") for i, a in enumerate("xyz")]
-        x, y, z, w = (sum((F.element_at(matrix, 4 * k + r + 1) * p[k] for k in range(3)), F.element_at(matrix, 12 + r + 1)) for r in range(4))
-        seen = seen | F.coalesce((F.abs(F.try_divide(x, w)) <= 1) & (F.abs(F.try_divide(y, w)) <= 1) & (F.try_divide(z, w) >= 0), F.lit(False))
-    return seen
+    """Whether some corner of the box x0 .. z1 is inside the view of a matrix."""
+    return in_sight(clipped(matrix))
 
 
-def box_score(eye: tuple[Column, ...], matrix: Column) -> Column:
-    """(largest extent / distance from the eye to the middle) squared; 0 out of sight, infinite at the middle."""
+def box_score(eye: tuple[Column, ...], seen: Column) -> Column:
+    """(largest extent / distance from the eye to the middle) squared; 0 unless seen, infinite at the middle."""
     extent = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"))
     away = sum((((F.col(f"{a}0") + F.col(f"{a}1")) / 2 - e) * ((F.col(f"{a}0") + F.col(f"{a}1")) / 2 - e) for a, e in zip("xyz", eye, strict=True)), F.lit(0.0))
-    return F.when(visible(matrix), F.coalesce(F.try_divide(extent * extent, away), F.lit(float("inf")))).otherwise(0.0)
+    return F.when(seen, F.coalesce(F.try_divide(extent * extent, away), F.lit(float("inf")))).otherwise(0.0)
 
 
-def scores(views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame, seed: int = 1) -> DataFrame:
-    """view_id, node_key, is_leaf, score: views (view_id, ex, ey, ez, mat, iso_name, iso) against all nodes.
+#: A node's box.
+BOX = [f"{a}{i}" for a in "xyz" for i in "01"]
+
+
+def scores_of(front: DataFrame, views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame, seed: int = 1) -> DataFrame:
+    """view_id, node_key, is_leaf, score of pairs of views and nodes: front (view_id, node_key, is_leaf, x0 .. z1),
+    views (view_id, ex, ey, ez, mat, iso_name, iso).
 
     A score is that of the node's box in the view, times that of its range of the view's field. The fields x, y and z
     are the axes themselves: a node's range is its box's extent. Without a field, or if the nodes have no ranges of it,
-    the box alone counts; without a field and a matrix the score is a number that depends on view and node alone. Few
-    views are broadcast; more are joined by a shuffle.
+    the box alone counts; without a field and a matrix the score is a number that depends on view and node alone.
+    """
+    return _scored(_of_views(front, views, nodes, ranges, limits), seed).select("view_id", "node_key", "is_leaf", "score")
+
+
+def _of_views(front: DataFrame, views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame) -> DataFrame:
+    """front with its views' columns, lo, hi, limit_lo, limit_hi of the view's field. Few views are broadcast."""
+    asked = views.select("view_id", "ex", "ey", "ez", "mat", "iso_name", "iso")
+    return _with_ranges(front.select("view_id", "node_key", "is_leaf", *BOX).join(broadcast_if_few(asked, 10_000), "view_id"), nodes, ranges, limits)
+
+
+def _with_ranges(base: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame) -> DataFrame:
+    fields = ranges.select("node_key", F.col("name").alias("iso_name"), F.col("lo").alias("field_lo"), F.col("hi").alias("field_hi"))
+    bounds = limits.select(F.col("name").alias("iso_name"), F.col("lo").alias("least"), F.col("hi").alias("most"))
+    root = nodes.where("node_key = 1").select(*(F.col(c).alias(f"root_{c}") for c in BOX))  # one row
+    both = base.join(fields, ["node_key", "iso_name"], "left").join(broadcast_if_few(bounds, 10_000), "iso_name", "left").join(F.broadcast(root), how="left")
+
+    def of(axis: str, other: str) -> Column:
+        found = F.col(other)
+        for a in "xyz":
+            found = F.when(F.col("iso_name") == a, F.col(axis.format(a))).otherwise(found)
+        return found
+
+    names = {"lo": of("{}0", "field_lo"), "hi": of("{}1", "field_hi"), "limit_lo": of("root_{}0", "least"), "limit_hi": of("root_{}1", "most")}
+    return both.withColumns(names).drop("field_lo", "field_hi", "least", "most", *(f"root_{c}" for c in BOX))
+
+
+def _field_score() -> Column:
+    return F.when(F.col("lo").isNull(), 1.0).otherwise(iso_score(F.col("lo"), F.col("hi"), F.col("iso"), F.col("limit_lo"), F.col("limit_hi")))
+
+
+def _scored(base: DataFrame, seed: int) -> DataFrame:
+    base = base.withColumns({"clip": clipped(F.col("mat")), "of_field": _field_score()})
+    of_box = box_score((F.col("ex"), F.col("ey"), F.col("ez")), in_sight(F.col("clip")))
+    hashed = F.col("iso_name").isNull() & F.col("mat").isNull()
+    return base.withColumn("score", F.when(hashed, hashed_unit(F.lit(seed), F.col("view_id"), F.col("node_key"))).otherwise(of_box * F.col("of_field")))
+
+
+def scores(views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame, seed: int = 1) -> DataFrame:
+    """view_id, node_key, is_leaf, score (see ``scores_of``) of all views and all nodes: their product. What only wants
+    the best of them takes ``best_leaves``. Few views are broadcast; more are joined by a shuffle."""
+    few = broadcast_if_few(views.select("view_id", "ex", "ey", "ez", "mat", "iso_name", "iso"), 10_000)
+    every = nodes.select("node_key", "is_leaf", *BOX).crossJoin(few)
+    return _scored(_with_ranges(every, nodes, ranges, limits), seed).select("view_id", "node_key", "is_leaf", "score")
+
+
+def may_see(clip: Column) -> Column:
+    """Whether a corner of some box inside that of ``clip`` could be visible: false only if the whole box lies beyond one
+    side of the view, before and behind the eye alike."""
+    some = lambda f: F.exists(clip, lambda c: f(c) >= -SLACK)
+    before = some(lambda c: c["w"]) & some(lambda c: c["w"] - c["x"]) & some(lambda c: c["w"] + c["x"]) & some(lambda c: c["w"] - c["y"]) & some(lambda c: c["w"] + c["y"]) & some(lambda c: c["z"])
+    behind = some(lambda c: -c["w"]) & some(lambda c: c["x"] - c["w"]) & some(lambda c: -c["w"] - c["x"]) & some(lambda c: c["y"] - c["w"]) & some(lambda c: -c["w"] - c["y"]) & some(lambda c: -c["z"])
+    return F.coalesce(before | behind, F.lit(False))
+
+
+#: What rounding may add to a bound, absolute for planes and by share for scores.
+SLACK = 1e-6
+
+
+def score_bound() -> Column:
+    """No leaf below a node has a higher score: its box is smaller, its middle is in the node's box and its range in the
+    node's range. From columns of ``_scored``; null if there is no bound (scores that are hashes)."""
+    extent = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"))
+    off = [F.greatest(F.col(f"{a}0") - F.col(f"e{a}"), F.col(f"e{a}") - F.col(f"{a}1"), F.lit(0.0)) for a in "xyz"]
+    away = sum((d * d for d in off), F.lit(0.0))
+    of_box = F.coalesce(F.try_divide(extent * extent, away), F.lit(float("inf")))
+    # What is out of sight or range has 0, even where the eye is inside the box.
+    bound = F.when(~may_see(F.col("clip")) | (F.col("of_field") == 0), 0.0).otherwise(of_box * F.col("of_field") * (1 + SLACK))
+    return F.when(F.col("iso_name").isNull() & F.col("mat").isNull(), None).otherwise(bound)
+
+
+def best_leaves(views: DataFrame, nodes: DataFrame, ranges: DataFrame, limits: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """(view_id, leaf_key, score: each view's best ``budget`` leaves with a score over 0, ties to the smaller key; how
+    many pairs of a view and a node were looked at).
+
+    The tree is searched from its root, a round at a time, in place of scoring every leaf for every view: of the nodes
+    that are open for a view those with the highest bounds are expanded, leaves among their children are scored, and
+    whatever cannot reach the view's last place any more is cut. Rounds end when no node is open. Views whose scores are
+    hashes have no bounds and expand every node.
     """
-    box = [f"{a}{i}" for a in "xyz" for i in "01"]
-    axes = nodes.select("node_key", F.explode(F.array(*(F.struct(F.lit(a).alias("iso_name"), F.col(f"{a}0").alias("lo"), F.col(f"{a}1").alias("hi")) for a in "xyz"))).alias("r")).select("node_key", "r.*")
-    whole = axes.where("node_key = 1").select("iso_name", F.col("lo").alias("limit_lo"), F.col("hi").alias("limit_hi"))
-    every = ranges.select("node_key", F.col("name").alias("iso_name"), "lo", "hi").where(~F.col("iso_name").isin(list("xyz"))).unionByName(axes)
-    bounds = limits.select(F.col("name").alias("iso_name"), F.col("lo").alias("limit_lo"), F.col("hi").alias("limit_hi")).where(~F.col("iso_name").isin(list("xyz"))).unionByName(whole)
-    few = broadcast_if_few(views, 10_000)
-    base = nodes.select("node_key", "is_leaf", *box).crossJoin(few)
-    base = base.join(every, ["node_key", "iso_name"], "left").join(F.broadcast(bounds), "iso_name", "left")
-    of_box = box_score((F.col("ex"), F.col("ey"), F.col("ez")), F.col("mat"))
-    of_field = F.when(F.col("lo").isNull(), 1.0).otherwise(iso_score(F.col("lo"), F.col("hi"), F.col("iso"), F.col("limit_lo"), F.col("limit_hi")))
-    score = F.when(F.col("iso_name").isNull() & F.col("mat").isNull(), hashed_unit(F.lit(seed), F.col("view_id"), F.col("node_key"))).otherwise(of_box * of_field)
-    return base.select("view_id", "node_key", "is_leaf", score.alias("score"))
+    asked = checkpointed(views.select("view_id", "ex", "ey", "ez", "mat", "iso_name", "iso").dropDuplicates(["view_id"]))
+    limits = checkpointed(limits)  # a row for each field, wanted in every round
+    keyed = nodes.select("node_key", "is_leaf", *BOX)
+    root = keyed.where("node_key = 1").crossJoin(broadcast_if_few(asked.select("view_id"), 10_000))
+    width = max(budget, 32)
+    fresh, open_, found, looked = root.select("view_id", "node_key", "is_leaf", *BOX), None, None, 0
+    by_score = Window.partitionBy("view_id").orderBy(F.desc("score"), "leaf_key")
+    by_bound = Window.partitionBy("view_id").orderBy(F.desc_nulls_first("bound"), "node_key")
+    while True:
+        about = checkpointed(_scored(_of_views(fresh, asked, nodes, ranges, limits), 1).withColumn("bound", score_bound()).select("view_id", "node_key", "is_leaf", "score", "bound"))
+        looked += about.count()
+        leaves = about.where("is_leaf AND score > 0").select("view_id", F.col("node_key").alias("leaf_key"), "score")
+        every = leaves if found is None else found.unionByName(leaves)
+        found = checkpointed(every.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= budget).drop("place"))
+        last = found.groupBy("view_id").agg(F.min("score").alias("last"), F.count("*").alias("n")).where(F.col("n") >= budget).drop("n")
+        inner = about.where("NOT is_leaf").select("view_id", "node_key", "bound")
+        still = (inner if open_ is None else open_.unionByName(inner)).join(last, "view_id", "left")
+        still = still.where("bound IS NULL OR (bound > 0 AND (last IS NULL OR bound >= last))").drop("last")
+        ranked = checkpointed(still.withColumn("place", F.row_number().over(by_bound)))
+        now = ranked.where((F.col("place") <= width) | F.col("bound").isNull())
+        if now.isEmpty():
+            return found, looked
+        open_ = ranked.where((F.col("place") > width) & F.col("bound").isNotNull()).drop("place")
+        below = now.select("view_id", F.explode(F.array(F.col("node_key") * 2, F.col("node_key") * 2 + 1)).alias("node_key"))
+        fresh = broadcast_if_few(below, 100_000).join(keyed, "node_key").select("view_id", "node_key", "is_leaf", *BOX)
 
 
 def sorted_scores(frontier_scores: DataFrame) -> DataFrame:
@@ -74,7 +176,7 @@ def frontier(nodes: DataFrame, budget: int, *, depth_first: bool = False) -> Dat
     """
     expand = max(0, math.ceil((budget - 3) / 2))
     order = [F.translate(F.substring(F.bin("node_key"), 2, 64), "01", "10")] if depth_first else ["node_key"]
-    inner = nodes.where("NOT is_leaf").orderBy(*order).limit(expand).select("node_key")
+    inner = nodes.where("NOT is_leaf").orderBy(*order).limit(expand).select("node_key")  # half the budget's rows
     children = inner.select(F.explode(F.array(F.col("node_key") * 2, F.col("node_key") * 2 + 1)).alias("node_key"))
     root = nodes.where("node_key = 1").select("node_key")
     return nodes.select("node_key", "is_leaf").join(root.union(children).distinct().join(inner, "node_key", "left_anti"), "node_key", "left_semi")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volmesh.common import checkpointed
@@ -74,26 +76,30 @@ def to_unstructured(voxels: DataFrame, size: Size, tets: int = 5) -> tuple[DataF
 
 
 def trilinear(points: DataFrame, voxels: DataFrame, size: Size, *, swapped_weights: bool = False) -> DataFrame:
-    """points (key columns, x, y, z) with sample: the trilinear value, null outside the volume.
+    """points (x, y, z and any columns) with sample: the trilinear value, null outside the volume; every row of points,
+    repeated ones too, is a row.
 
     swapped_weights: the lower corner gets the fraction and the upper one its complement, as in transferred fields
     of older data.
     """
+    # A sample depends on the place alone: repeated places are looked up once, and no other column takes part.
     inside = " AND ".join(f"{a} BETWEEN 0 AND {s - 1}" for a, s in zip("xyz", size, strict=True))
-    keys = [c for c in points.columns]
+    places = points.where(inside).select(*(F.col(a).cast("double").alias(f"at_{a}") for a in "xyz")).distinct()
     corners = F.array(*(F.struct(*(F.lit(c >> i & 1).alias(f"d{a}") for i, a in enumerate("xyz"))) for c in range(8)))
-    wide = points.where(inside).select(*keys, F.explode(corners).alias("c"))
-    base = lambda a, s: F.least(F.floor(a), F.lit(max(0, s - 2)))
+    wide = places.select("*", F.explode(corners).alias("c"))
+    base = lambda a, s: F.least(F.floor(f"at_{a}"), F.lit(max(0, s - 2)))
     weight = F.lit(1.0)
     for a, s in zip("xyz", size, strict=True):
-        part = F.col(a) - base(a, s)
+        part = F.col(f"at_{a}") - base(a, s)
         upper = F.col(f"c.d{a}") == 1
         weight = weight * F.when(upper != F.lit(swapped_weights), part).otherwise(1 - part)
-    wide = wide.select(*keys, weight.alias("w"), *((base(a, s) + F.col(f"c.d{a}")).cast("long").alias(f"g{a}") for a, s in zip("xyz", size, strict=True)))
+    at = [f"at_{a}" for a in "xyz"]
+    wide = wide.select(*at, weight.alias("w"), *((base(a, s) + F.col(f"c.d{a}")).cast("long").alias(f"g{a}") for a, s in zip("xyz", size, strict=True)))
     grid = voxels.select(*(F.col(a).cast("long").alias(f"g{a}") for a in "xyz"), F.col("value").cast("double").alias("corner"))
     # Corners with weight 0 may lie outside a volume that is one voxel thick.
-    summed = wide.where("w <> 0").join(grid, ["gx", "gy", "gz"], "left").groupBy(*keys).agg(F.sum(F.col("w") * F.col("corner")).alias("sample"))
-    return points.join(summed, keys, "left")
+    summed = wide.where("w <> 0").join(grid, ["gx", "gy", "gz"], "left").groupBy(*at).agg(F.sum(F.col("w") * F.col("corner")).alias("its_sample"))
+    same = reduce(lambda p, q: p & q, (F.col(a).cast("double") == F.col(f"at_{a}") for a in "xyz"))
+    return points.join(summed, same, "left").select(*(c for c in points.columns if c != "sample"), F.col("its_sample").alias("sample"))
 
 
 def transfer(points: DataFrame, box: tuple[tuple, tuple], voxels: DataFrame, size: Size, *, swapped_weights: bool = False) -> DataFrame:
@@ -108,7 +114,7 @@ def decimation_map(spark: SparkSession, size: Size, share: float, seed: int = 1)
     """src, dst: inner vertices that collapse onto one of their six neighbours.
 
     Each vertex has a hashed rank, the boundary below all; a vertex goes to a hashed choice of its lower-ranked
-    neighbours, so there are no cycles. The round(share * all) sources of the least second hash are taken.
+    neighbours, so there are no cycles. The round(share * all) sources of the least second hash are taken, by a cutoff.
     """
     sx, sy, sz = size
     steps = (1, -1, sx, -sx, sx * sy, -sx * sy)
@@ -123,8 +129,36 @@ def decimation_map(spark: SparkSession, size: Size, share: float, seed: int = 1)
     choices = F.array(*(F.col("src") + s for s in steps))
     lower = F.filter(choices, lambda n: rank(n) < rank(F.col("src")))
     pick = F.element_at("lower", (hashed_number(F.lit(seed + 1), F.col("src")) % F.size("lower") + 1).cast("int"))
-    chosen = points.withColumn("lower", lower).where("size(lower) > 0").select("src", pick.alias("dst"))
-    return chosen.orderBy(hashed_number(F.lit(seed + 2), F.col("src")), "src").limit(round(sx * sy * sz * share))
+    chosen = points.withColumn("lower", lower).where("size(lower) > 0").select("src", pick.alias("dst"), hashed_number(F.lit(seed + 2), F.col("src")).alias("order"))
+    return least_rows(chosen, "order", "src", round(sx * sy * sz * share)).drop("order")
+
+
+def least_rows(rows: DataFrame, order: str, tie: str, count: int, bits: int = 32) -> DataFrame:
+    """The ``count`` rows of least ``order`` (from 0 to 2 ** bits - 1), ties by ``tie``; all, if there are no more.
+
+    A cutoff is found by counting: rows by the leading half of their order's bits, then those of the bin where the count
+    is reached by the other half. Rows below it stay where they are; only those of one order are ranked.
+    """
+    half = bits // 2
+    rows = checkpointed(rows)
+
+    def cut(some: DataFrame, bin_: Column, want: int) -> tuple[int, int]:
+        """The bin where ``want`` rows are reached (-1: none), and how many of them it has to give."""
+        counts = some.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        row = counts.withColumn("upto", before).where(F.col("upto") >= want).orderBy("bin").limit(1).first()  # at most 2 ** half bins
+        return (row["bin"], want - (row.upto - row.n)) if row else (-1, 0)
+
+    if count <= 0:
+        return rows.limit(0)
+    high, rest = F.shiftright(order, half), F.col(order).bitwiseAND(F.lit((1 << half) - 1))
+    first, left = cut(rows, high, count)
+    if first < 0:
+        return rows
+    second, left = cut(rows.where(high == first), rest, left)
+    value = first << half | second
+    ties = rows.where(F.col(order) == value).withColumn("place", F.row_number().over(Window.orderBy(tie))).where(F.col("place") <= left).drop("place")
+    return rows.where(F.col(order) < value).unionByName(ties)
 
 
 def resolved_map(collapses: DataFrame) -> DataFrame:
@@ -146,24 +180,27 @@ def collapsed(cells: DataFrame, resolved: DataFrame) -> DataFrame:
     return wide.where(F.size(F.array_distinct(F.array("v0", "v1", "v2", "v3"))) == 4)
 
 
-def grid_derivative(voxels: DataFrame, axis: str) -> DataFrame:
-    """voxels with d: the forward difference along an axis, the backward one at the far side."""
-    from pyspark.sql import Window
+def difference(value: Column, axis: str) -> Column:
+    """The forward difference of a column along an axis of a grid, the backward one at the far side."""
+    along = Window.partitionBy(*(a for a in "xyz" if a != axis)).orderBy(axis)
+    return F.coalesce(F.lead(value).over(along) - value, value - F.lag(value).over(along), F.lit(0.0))
 
-    others = [a for a in "xyz" if a != axis]
-    along = Window.partitionBy(*others).orderBy(axis)
-    after, before = F.lead("value").over(along), F.lag("value").over(along)
-    return voxels.withColumn("d", F.coalesce(after - F.col("value"), F.col("value") - before, F.lit(0.0)))
+
+def grid_derivative(voxels: DataFrame, axis: str) -> DataFrame:
+    """voxels with d: the difference of value along an axis."""
+    return voxels.withColumn("d", difference(F.col("value"), axis))
 
 
 def _shifted(points: DataFrame, voxels: DataFrame, size: Size, moves: list[tuple[str, float]]) -> DataFrame:
     """points with s0, s1 ...: the volume's value at each point and moved along an axis by so much; null outside."""
-    key, rest = points.columns[0], list(points.columns)
-    at = lambda a, m: F.col(a) + m[1] if m and m[0] == a else F.col(a)
+    of = [f"of_{a}" for a in "xyz"]
+    places = points.select(*(F.col(a).cast("double").alias(f"of_{a}") for a in "xyz")).dropna().distinct()
+    at = lambda a, m: F.col(f"of_{a}") + m[1] if m and m[0] == a else F.col(f"of_{a}")
     every = F.array(*(F.struct(F.lit(i).alias("move"), *(at(a, m).alias(a) for a in "xyz")) for i, m in enumerate([None, *moves])))
-    long = points.select(key, F.explode(every).alias("p")).select(key, "p.move", "p.x", "p.y", "p.z")
-    found = trilinear(long, voxels, size).groupBy(key).agg(*(F.max(F.when(F.col("move") == i, F.col("sample"))).alias(f"s{i}") for i in range(len(moves) + 1)))
-    return points.select(*rest).join(found, key)
+    long = places.select(*of, F.explode(every).alias("p")).select(*of, "p.move", "p.x", "p.y", "p.z")
+    found = trilinear(long, voxels, size).groupBy(*of).agg(*(F.max(F.when(F.col("move") == i, F.col("sample"))).alias(f"s{i}") for i in range(len(moves) + 1)))
+    same = reduce(lambda p, q: p & q, (F.col(a).cast("double") == F.col(f"of_{a}") for a in "xyz"))
+    return points.join(found, same, "left").drop(*of)
 
 
 #: Steps of the derivative at points, and of the gradient that shades surfaces; fixed values.

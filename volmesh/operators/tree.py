@@ -1,14 +1,18 @@
-"""k-d trees over cells: five split strategies, level by level.
+"""k-d trees over cells: five split strategies.
 
-Node keys are heap paths: the root is 1, children of k are 2k (left) and 2k + 1. The axis of a split is the
+A node-median split depends on the node's box alone, so every task can follow its cells down on its own: those trees take
+a pass over the cells for each STRIDE levels, which only sends counts. The other strategies go level by level. Node keys are heap paths: the root is 1, children of k are 2k (left) and 2k + 1. The axis of a split is the
 depth modulo 3. A cell that straddles a plane goes to both sides. A level only counts per node (combined before
 the shuffle) and joins the decisions back; finished leaves leave the active set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,137 @@ LEAF_PART = 1 << 16
 MOST_BROADCAST = 200_000
 
 
+#: Levels that a pass over the cells counts below the nodes that are known to be split; nodes of one level, and of all,
+#: that tasks may be given (16 bytes each).
+STRIDE, MOST_OPEN, MOST_SPLIT = 6, 1 << 20, 1 << 22
+
+
+def _descended(cells: np.ndarray, key: np.ndarray, boxes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of its cell, key and box of every copy one level below copies of cells (rows of x0 .. z1) in nodes."""
+    axis = depth % 3
+    s = ((boxes[:, axis] + boxes[:, axis + 3]) / 2).astype(np.float32).astype(np.float64)
+    left, right = np.flatnonzero(cells[:, axis] <= s), np.flatnonzero(cells[:, axis + 3] > s)
+    below = [boxes[left], boxes[right]]
+    below[0][:, axis + 3], below[1][:, axis] = s[left], s[right]
+    return np.concatenate([left, right]), np.concatenate([2 * key[left], 2 * key[right] + 1]), np.concatenate(below)
+
+
+def _held(keys: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_, keys)
+    return (at < len(sorted_)) & (sorted_[np.minimum(at, len(sorted_) - 1)] == keys) if len(sorted_) else np.zeros(len(keys), bool)
+
+
+def _ancestors(keys: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Those of nodes of one depth, by depth, themselves last."""
+    return [np.unique(keys >> (depth - d)) for d in range(depth + 1)]
+
+
+_COUNTS = pa.schema([("node_key", pa.int64()), ("cell_count", pa.int64())])
+#: Cells that a task follows down together.
+_CELLS = 1 << 14
+
+
+def _batches(batches: Iterator[pa.RecordBatch], box: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """cell_ids and bounds, and keys and boxes of the root, of some cells at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _CELLS):
+            part = whole.slice(at, _CELLS)
+            cells = np.stack([part.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(6)], axis=1)
+            yield part.column(0).to_numpy(), cells, np.ones(len(cells), np.int64), np.repeat(box, len(cells), axis=0)
+
+
+def _counted(bounds: DataFrame, box: np.ndarray, opened: np.ndarray, depth: int, levels: int) -> DataFrame:
+    """node_key, cell_count of the nodes of so many levels, from ``depth`` on, at and below the opened nodes there."""
+    above = bounds.sparkSession.sparkContext.broadcast(_ancestors(opened, depth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cells, key, boxes in _batches(batches, box):
+            for d in range(depth + levels):
+                if d <= depth:
+                    on = np.flatnonzero(_held(key, above.value[d]))
+                    cells, key, boxes = cells[on], key[on], boxes[on]
+                if d >= depth:
+                    nodes, count = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(count)], schema=_COUNTS)
+                if d < depth + levels - 1:
+                    of, key, boxes = _descended(cells, key, boxes, d)
+                    cells = cells[of]
+
+    counts = bounds.select("cell_id", *BOUNDS).mapInArrow(run, "node_key long, cell_count long")
+    return counts.groupBy("node_key").agg(F.sum("cell_count").alias("cell_count"))
+
+
+def _boxed(keys: DataFrame, box: np.ndarray) -> DataFrame:
+    """keys (node_key) with depth, x0 .. z1: the path alone tells a node's box."""
+    arrow = pa.schema([("node_key", pa.int64()), ("depth", pa.int32()), *((b, pa.float64()) for b in BOUNDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            depth = np.frexp(key.astype(np.float64))[1] - 1
+            boxes = np.repeat(box, len(key), axis=0)
+            for d in range(int(depth.max()) if len(key) else 0):
+                on, axis = np.flatnonzero(depth > d), d % 3
+                s = ((boxes[on, axis] + boxes[on, axis + 3]) / 2).astype(np.float32).astype(np.float64)
+                right = (key[on] >> (depth[on] - d - 1) & 1).astype(bool)
+                boxes[on[right], axis], boxes[on[~right], axis + 3] = s[right], s[~right]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depth.astype(np.int32)), *map(pa.array, boxes.T.copy())], schema=arrow)
+
+    return keys.mapInArrow(run, "node_key long, depth int, " + ", ".join(f"{b} double" for b in BOUNDS))
+
+
+def median_tree(bounds: DataFrame, box: tuple[tuple, tuple], max_cells: int, max_depth: int) -> tuple[DataFrame, DataFrame] | None:
+    """``build_tree`` by node medians without moving cells: a node is split if its count is over ``max_cells``, and its
+    ancestors then are too. None if more nodes are split than tasks may be given."""
+    spark = bounds.sparkSession
+    sides = np.array([[float(v) for v in (*box[0], *box[1])]])
+    opened, depth, counts = np.array([1], np.int64), 0, []
+    while True:
+        levels = min(STRIDE, max_depth - depth + 1)
+        counts.append(checkpointed(_counted(bounds, sides, opened, depth, levels)))
+        if depth + levels > max_depth:
+            break
+        # Nodes of the lowest counted level that are over the limit are counted again as the first level of the next pass.
+        deepest = counts[-1].where((F.col("node_key") >= 1 << (depth + levels - 1)) & (F.col("cell_count") > max_cells)).select("node_key")
+        rows = deepest.limit(MOST_OPEN + 1).collect()
+        if len(rows) > MOST_OPEN:
+            return None
+        if not rows:
+            break
+        opened, depth = np.sort(np.array([r.node_key for r in rows], np.int64)), depth + levels - 1
+        if levels == 1:
+            break
+    counted = reduce(DataFrame.unionByName, counts).groupBy("node_key").agg(F.max("cell_count").alias("cell_count"))
+    splits = checkpointed(counted.where((F.col("cell_count") > max_cells) & (F.col("node_key") < 1 << max_depth)).select("node_key"))
+    inner = splits.limit(MOST_SPLIT + 1).toArrow()["node_key"].to_numpy()
+    if len(inner) > MOST_SPLIT:
+        return None
+    root = spark.createDataFrame([(1,)], "node_key long")
+    keys = root.union(splits.select(F.explode(F.array(F.col("node_key") * 2, F.col("node_key") * 2 + 1))))
+    whole = _boxed(keys, sides).join(counted, "node_key", "left").join(splits.withColumn("split", F.lit(True)), "node_key", "left")
+    dim, leaf = F.col("depth") % 3, F.col("split").isNull()
+    pick = lambda names: F.element_at(F.array(*names), dim + 1)
+    middle = ((pick(LOW) + pick(HIGH)) / 2).cast("float")
+    nodes = whole.select("node_key", F.expr("node_key div 2").alias("parent_key"), "depth", F.when(~leaf, dim).alias("split_dim"), F.when(~leaf, middle).alias("split_val"), leaf.alias("is_leaf"), F.coalesce("cell_count", F.lit(0)).alias("cell_count"), *BOUNDS)
+    inner = np.sort(inner)
+    split = spark.sparkContext.broadcast(inner)
+    arrow = pa.schema([("leaf_key", pa.int64()), ("cell_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, cells, key, boxes in _batches(batches, sides):
+            for d in range(max_depth + 1):
+                on = _held(key, split.value)
+                yield pa.RecordBatch.from_arrays([pa.array(key[~on]), pa.array(ids[~on])], schema=arrow)
+                at = np.flatnonzero(on)
+                if not len(at):
+                    break
+                of, key, boxes = _descended(cells[at], key[at], boxes[at], d)
+                cells, ids = cells[at][of], ids[at][of]
+
+    leaves = bounds.select(F.col("cell_id").cast("long").alias("cell_id"), *BOUNDS).mapInArrow(run, "leaf_key long, cell_id long")
+    return checkpointed(nodes), checkpointed(leaves)
+
+
 def _child(side: int, axis: int) -> Column:
     """The child's struct<node_key, x0 .. z1> from a node's columns."""
     at = F.col("split_val").cast("double")
@@ -84,6 +219,15 @@ def build_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str = NODE
         raise ValueError(f"no such strategy: {strategy}; there are {', '.join(STRATEGIES)}")
     if points is None and strategy in (VERT_MEDIAN, VERT_AVERAGE):
         raise ValueError(f"{strategy} needs points")
+    if strategy == NODE_MEDIAN:
+        found = median_tree(bounds, box, max_cells, max_depth)
+        if found:
+            return found
+    return level_tree(bounds, box, strategy, max_cells, max_depth, points)
+
+
+def level_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str, max_cells: int, max_depth: int, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``build_tree`` a level at a time, for trees of any size."""
     spark = bounds.sparkSession
     root = [(1, *(float(v) for v in (*box[0], *box[1])))]
     nodes = spark.createDataFrame(root, "node_key long, " + ", ".join(f"{b} double" for b in BOUNDS))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from volmesh.common import checkpointed
 from volmesh.functions import geometry as geo
-from volmesh.operators import blocks, fields, lod, mesh, nodevalues, probe, reports, sampling, structured, tree
+from volmesh.operators import blocks, fields, lod, mesh, meshfields, meshrays, nodevalues, probe, reports, sampling, structured, tree
 from volmesh.operators import ingest as _ingest
 from volmesh.plans import fixtures as fx
-from volmesh.plans import node_oracles, oracles
+from volmesh.plans import mesh_oracles, node_oracles, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -693,9 +693,89 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(out["leaf_cells"].agg(F.countDistinct("cell_id").alias("cells"))).select("points", "cells", "lo", "hi")
 
 
+#: Length of a step along rays through the mesh.
+RAY_STEP = 0.75
+
+
+def _mesh_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slanting ray from before the volume for each supplier."""
+    k = F.col("s_suppkey")
+    of = lambda **c: [v.cast("double").alias(n) for n, v in c.items()]
+    return fx.table(spark, sf_dir, "supplier").select(k.alias("ray_id"), *of(ox=F.lit(-2), oy=k % 41 / 4, oz=k % 33 / 4, dx=F.lit(1), dy=(k % 5 - 2) / 16, dz=(k % 3 - 1) / 16))
+
+
+@query
+def mesh_line_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in the cells along rays through the mesh."""
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    found = meshrays.line_samples(_mesh_rays(spark, sf_dir), nodes, leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir), RAY_STEP)
+    return found.select("ray_id", "step", "name", F.round("value", 6).alias("value"))
+
+
+@query
+def mesh_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where rays first cross the iso-value in the mesh."""
+    nodes, leaf_cells, ranges = _ranges(spark, sf_dir)
+    found, _ = meshrays.first_crossing(_mesh_rays(spark, sf_dir), nodes, leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir), ranges, fx.iso_value(spark, sf_dir), RAY_STEP)
+    return found.withColumn("t", F.round("t", 6))
+
+
+@query
+def mesh_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, leaf_cells = _tree(spark, sf_dir)
+    found = meshrays.light(_mesh_rays(spark, sf_dir), nodes, leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir), RAY_STEP)
+    return found.select("ray_id", F.round("light", 6).alias("light"), F.round("transmittance", 9).alias("transmittance"))
+
+
+def _flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow of derived_fields as fields of the mesh's points."""
+    v = fx.volume(spark, sf_dir)
+    made = {"value": F.col("value"), "vx": F.col("value"), "vy": -F.col("x").cast("double"), "vz": F.col("z") * F.col("value"), "sound2": F.col("value") + 1}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in made.items()))).alias("f")
+    return v.select(fx.point_id(fx.size(spark, sf_dir)).alias("point_id"), each).select("point_id", "f.*")
+
+
+@query
+def mesh_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of the volume's field at the vertices of the mesh."""
+    found = meshfields.vertex_gradients(_geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir))
+    return found.select("point_id", "name", *(F.round(f"g{a}", 6).alias(f"g{a}") for a in "xyz"))
+
+
+@query
+def mesh_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All derived fields of a flow on the mesh."""
+    names = list(fields.registry())
+    found = meshfields.derive(_geometry(spark, sf_dir), _flow_fields(spark, sf_dir), names)
+    return found.select("point_id", *(F.round(n, 5).alias(n) for n in names))
+
+
+@query
+def mesh_derived_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = list(fields.registry())
+    found = meshfields.derive(_geometry(spark, sf_dir), _flow_fields(spark, sf_dir), names)
+    return fields.limits(found, names).select("name", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
+
+
+@query
+def mesh_derivative_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivative along x at the probes, in a mesh with holes."""
+    nodes, leaf_cells = _held_tree(spark, sf_dir)
+    found = meshfields.derivative_at(fx.probes(spark, sf_dir), nodes, leaf_cells, _geometry(spark, sf_dir), fx.volume_fields(spark, sf_dir), "x")
+    return found.select("probe_id", "name", F.round("d", 5).alias("d"))
+
+
+@query
+def best_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best leaves of each view, without scoring every node for it."""
+    nodes, _, ranges = _ranges(spark, sf_dir)
+    found, _ = lod.best_leaves(_views(spark, sf_dir), checkpointed(nodes), checkpointed(ranges), mesh.limits(fx.volume_fields(spark, sf_dir)), 3)
+    return found.withColumn("score", F.round("score", 9))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in {**oracles.SQL, **node_oracles.SQL}.items() if name in _QUERIES}
+    return {name: sql for name, sql in {**oracles.SQL, **node_oracles.SQL, **mesh_oracles.SQL}.items() if name in _QUERIES}
