@@ -116,9 +116,8 @@ def test_overlaps_against_all_pairs(spark):
     left, right = [box(i, 1) for i in range(30)], [box(i, 2) for i in range(30, 70)]
     schema = "id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
     want = {(a[0], b[0]) for a in left for b in right if all(a[1 + k] <= b[4 + k] and b[1 + k] <= a[4 + k] for k in range(3))}
-    for cell in (1.0, 4.0, 50.0):
-        got = [tuple(r) for r in sampling.overlapping(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), cell).collect()]
-        assert sorted(got) == sorted(want)
+    got = [tuple(r) for r in sampling.overlapping(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_treelets_and_rebuilt_trees(spark, small):

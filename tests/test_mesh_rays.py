@@ -180,3 +180,52 @@ def test_decimation_takes_a_cutoff(spark):
     ties = spark.range(100).select(F.col("id").alias("src"), (F.col("id") % 3 * (1 << 20)).alias("h"))
     assert sorted(r.src for r in structured.least_rows(ties, "h", "src", 40).collect()) == sorted([*range(0, 100, 3), 1, 4, 7, 10, 13, 16])
     assert [structured.least_rows(ties, "h", "src", n).count() for n in (0, 1, 99, 100, 500)] == [0, 1, 99, 100, 100]
+
+
+def test_lower_medians_are_exact(spark):
+    rng = random.Random(6)
+    sets = {1: [5.0], 2: [1.0, 2.0], 3: [2.0] * 9, 4: [rng.gauss(0, 1) for _ in range(3001)], 5: [10.0**i for i in range(-200, 200)], 6: [-1e308, 1e308, 0.5, 0.25], 7: [float(i % 3) for i in range(100)], 8: [2.0**-i for i in range(60)] + [0.0, -0.0]}
+    values = spark.createDataFrame([(k, v) for k, own in sets.items() for v in own], "node_key long, v double").repartition(3)
+    got = {r.node_key: r.v for r in tree.lower_medians(values).collect()}
+    assert got == {k: sorted(own)[len(own) // 2 - 1] for k, own in sets.items() if len(own) > 1}
+    assert tree.lower_medians(values.limit(0)).count() == 0
+
+
+def test_boxes_of_all_sizes_overlap_as_in_all_pairs(spark):
+    rng = random.Random(7)
+
+    def boxes(n, first):
+        out = []
+        for i in range(n):
+            low = [rng.uniform(-50, 50) for _ in range(3)]
+            size = [rng.choice([0.0, 0.01, 1.0, 8.0, 40.0]) * rng.random() for _ in range(3)]
+            out.append((first + i, *low, *(a + s for a, s in zip(low, size, strict=True))))
+        return out
+
+    schema = "id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
+    left = [*boxes(150, 0), (900, -1e6, -1e6, -1e6, 1e6, 1e6, 1e6), (901, None, 0.0, 0.0, 1.0, 1.0, 1.0), (902, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (903, 5.0, 5.0, 5.0, 4.0, 6.0, 6.0)]
+    right = [*boxes(150, 0), (902, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (904, 0.0, -3.0, -3.0, 4.0, 3.0, 3.0), (905, -1e-9, 0.0, 0.0, 0.0, 1e-9, 0.0)]
+    meets = lambda a, b: None not in (*a, *b) and a[1] <= a[4] and all(a[i + 1] <= b[i + 4] and b[i + 1] <= a[i + 4] for i in range(3))
+    want = sorted((a[0], b[0]) for a in left for b in right if meets(a, b))
+    found = sampling.overlapping(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    assert sorted(map(tuple, found.collect())) == want
+    assert sampling.overlapping(spark.createDataFrame(left, schema).limit(0), spark.createDataFrame(right, schema)).count() == 0
+
+
+def test_a_box_over_everything_does_not_explode(spark):
+    small = spark.range(100_000).select("id", *((F.col("id") % n * 0.5 + i * 0.25).alias(f"{a}{i}") for a, n in (("x", 100), ("y", 101), ("z", 10)) for i in (0, 1)))
+    whole = spark.createDataFrame([(1, *(-1e9,) * 3, *(1e9,) * 3)], "id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    assert sampling.overlapping(small, whole).count() == 100_000
+
+
+def test_camera_segments_may_overlap_and_leave_gaps(spark):
+    from volmesh.operators import reports
+
+    rng = random.Random(8)
+    rows = [(a, a + rng.choice([0.001, 0.7, 1.0, 30.0, 500.0]), 1.0 + i, 2.0, 0.0, 1.0, 0.0, 0.5) for i, a in enumerate(rng.uniform(-100, 100) for _ in range(60))] + [(3.0, 3.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0), (-900.0, -899.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0)]
+    segments = spark.createDataFrame(rows, "t0 double, t1 double, r0 double, r1 double, az0 double, az1 double, el0 double, el1 double")
+    at = [rng.uniform(-950, 650) for _ in range(300)] + [r[0] for r in rows] + [r[1] for r in rows]
+    found = reports.camera_at(spark.createDataFrame([(t,) for t in at], "t double"), segments)
+    assert sorted(r.t for r in found.collect()) == sorted(t for t in at for r in rows if r[0] <= t < r[1])
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()

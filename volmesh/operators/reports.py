@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volmesh.common import broadcast_if_few
 from volmesh.functions.geometry import spherical
 
 #: Newest frames that are kept, and metrics of a frame; fixed values.
@@ -49,10 +48,18 @@ def frame_table(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def camera_at(times: DataFrame, segments: DataFrame) -> DataFrame:
-    """t, x, y, z: cameras move evenly from segment start to stop (t0, t1, r0, r1, az0, az1, el0, el1)."""
+    """t, x, y, z: cameras move evenly from segment start to stop (t0, t1, r0, r1, az0, az1, el0, el1). A time that several
+    segments hold gives a row for each, one that none holds none.
+
+    Segments and times meet in buckets of time. A segment's buckets are as long as the next power of two over its own
+    length, so it lies in two at most; times are looked up in the buckets of every length that occurs.
+    """
+    own = segments.where("t1 > t0").withColumn("level", F.ceil(F.log2(F.col("t1") - F.col("t0"))).cast("int"))
+    levels = [r.level for r in own.select("level").distinct().collect()]  # exponents of lengths
+    width = lambda: F.pow(F.lit(2.0), F.col("level"))
+    buckets = own.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / width()), F.floor(F.col("t1") / width()))))
+    asked = times.select("t", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level")).withColumn("bucket", F.floor(F.col("t") / width()))
+    found = asked.join(buckets, ["level", "bucket"]).where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     part = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     now = lambda n: F.col(f"{n}0") + (F.col(f"{n}1") - F.col(f"{n}0")) * part
-    found = times.join(broadcast_if_few(segments, 10_000), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     return found.select("t", *(c.alias(a) for a, c in zip("xyz", spherical(now("r"), now("az"), now("el")), strict=True)))
-
-

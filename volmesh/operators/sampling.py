@@ -5,6 +5,8 @@ geometry: cell_id, v (array of the four point ids), corners (array of struct<x,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,20 +99,35 @@ def leaves_at(located: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFra
     return located.join(about, "leaf_key", "left")
 
 
-def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """left_id, right_id: boxes (id, x0 .. z1) that overlap, touching included.
+def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id: boxes (id, x0 .. z1) that overlap, touching included. Boxes with nulls overlap nothing.
 
-    Boxes meet in the cells of a grid that they cover; a pair comes from the first cell that both cover, once.
+    A box's level is that of the grid whose cells are as large as its longest side, the next power of two, so it lies in
+    eight cells at most. Two boxes meet in the grid of the larger one: each box is dealt to its own level and to the
+    coarser ones that the other table has. A pair comes from the first cell that both cover, once.
     """
-    def covered(df: DataFrame, name: str) -> DataFrame:
-        over = lambda a: F.sequence(F.floor(F.col(f"{a}0") / cell), F.floor(F.col(f"{a}1") / cell))
-        wide = df.select(F.col("id").alias(f"{name}_id"), *(F.col(f"{a}{i}").alias(f"{name}_{a}{i}") for a in "xyz" for i in "01"), *(over(a).alias(f"g{a}") for a in "xyz"))
+    bounds = [f"{a}{i}" for a in "xyz" for i in "01"]
+    sides = [df.select("id", *(F.col(b).cast("double").alias(b) for b in bounds)).dropna().where(" AND ".join(f"{a}0 <= {a}1" for a in "xyz")) for df in (left, right)]
+    extent = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"))
+    widest = [df.agg(F.max(F.greatest(*(F.abs(b) for b in bounds)))).first()[0] or 1.0 for df in sides]
+    # Cells that are numbered by more than 50 bits would not be told apart.
+    least = math.ceil(math.log2(max(*widest, 1e-300))) - 50
+    level = F.greatest(F.lit(least), F.ceil(F.log2(F.when(extent > 0, extent)))).cast("int")
+    graded = [df.withColumn("own", level) for df in sides]
+    levels = [[r.own for r in df.select("own").distinct().collect()] for df in graded]  # at most 51 and the exponents over them
+
+    def dealt(df: DataFrame, others: list[int], name: str) -> DataFrame:
+        up = F.array_union(F.array("own"), F.filter(F.array(*(F.lit(v) for v in others)).cast("array<int>"), lambda v: v > F.col("own")))
+        wide = df.select("*", F.explode(up).alias("level")).withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
+        over = lambda a: F.sequence(F.floor(F.col(f"{a}0") / F.col("cell")), F.floor(F.col(f"{a}1") / F.col("cell")))
         for a in "xyz":
-            wide = wide.withColumn(f"g{a}", F.explode(f"g{a}"))
-        return wide
+            wide = wide.withColumn(f"g{a}", F.explode(over(a)))
+        return wide.select("level", "gx", "gy", "gz", F.col("own").alias(f"{name}_own"), F.col("id").alias(f"{name}_id"), *(F.col(b).alias(f"{name}_{b}") for b in bounds))
 
-    meet = all_of([(F.col(f"l_{a}0") <= F.col(f"r_{a}1")) & (F.col(f"r_{a}0") <= F.col(f"l_{a}1")) & (F.col(f"g{a}") == F.floor(F.greatest(f"l_{a}0", f"r_{a}0") / cell)) for a in "xyz"])
-    return covered(left, "l").join(covered(right, "r"), ["gx", "gy", "gz"]).where(meet).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
+    first = lambda a: F.floor(F.greatest(f"l_{a}0", f"r_{a}0") / F.pow(F.lit(2.0), F.col("level")))
+    meet = all_of([(F.col(f"l_{a}0") <= F.col(f"r_{a}1")) & (F.col(f"r_{a}0") <= F.col(f"l_{a}1")) & (F.col(f"g{a}") == first(a)) for a in "xyz"])
+    both = dealt(graded[0], levels[1], "l").join(dealt(graded[1], levels[0], "r"), ["level", "gx", "gy", "gz"])
+    return both.where(meet & (F.col("level") == F.greatest("l_own", "r_own"))).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
 def nearest_in_leaf(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame) -> DataFrame:

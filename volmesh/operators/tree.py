@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volmesh.common import checkpointed
+from volmesh.common import broadcast_if_few, checkpointed
 from volmesh.functions.geometry import HIGH, LOW, box_surface, box_volume
 
 NODE_MEDIAN, VERT_MEDIAN, VERT_AVERAGE, SURFACE_AREA, VOLUME = "NODE_MEDIAN", "VERT_MEDIAN", "VERT_AVERAGE", "SURFACE_AREA_HEURISTIC", "VOLUME_HEURISTIC"
@@ -195,16 +195,41 @@ def _heuristic(nodes: DataFrame, active: DataFrame, axis: int, strategy: str, ne
     return counted.select("n.*", F.coalesce("cell_count", F.lit(0)).alias("cell_count"), best["split_val"].alias("split_val"), best["cost"].alias("cost"))
 
 
+#: Bins that a node's values are counted in at a time.
+BINS = 1024
+
+
+def lower_medians(values: DataFrame) -> DataFrame:
+    """node_key, v: value number floor(n / 2) in ascending order of each node's values (node_key, v) of two or more.
+
+    Values are counted in BINS bins between the least and the largest of a node, all nodes at once; then those of the bin
+    that holds the median, between the least and the largest there, and so on until they are one. Only counts are
+    shuffled, and a node's bins are all that is ranked.
+    """
+    now = checkpointed(values.groupBy("node_key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.expr("count(v) div 2").alias("rank")).where("rank > 0"))
+    by_bin = Window.partitionBy("node_key").orderBy("bin")
+    done = []
+    while True:
+        done.append(now.where("lo = hi").select("node_key", F.col("lo").alias("v")))
+        open_ = now.where("lo < hi")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        # Halved first, so that differences of large values stay finite.
+        at = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)
+        held = values.join(broadcast_if_few(open_, MOST_BROADCAST), "node_key").where("v BETWEEN lo AND hi").withColumn("bin", F.least(F.lit(BINS - 1), at))
+        counts = held.groupBy("node_key", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("rank").alias("rank"))
+        upto = counts.withColumn("upto", F.sum("n").over(by_bin)).where("upto >= rank")
+        first = upto.groupBy("node_key").agg(F.min_by(F.struct("lo", "hi", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "bin").alias("m"))
+        now = checkpointed(first.select("node_key", "m.*"))
+
+
 def _vertex_pivot(nodes: DataFrame, vertices: DataFrame, axis: int, strategy: str) -> DataFrame:
     """nodes with split_val from their vertices; null where a side would have none."""
     a = "xyz"[axis]
     if strategy == VERT_AVERAGE:
         pivots = vertices.groupBy("node_key").agg(((F.min(a) + F.max(a)) / 2).cast("float").alias("split_val"))
-    else:  # The lower median: value number floor(n / 2) in ascending order.
-        by_value = vertices.groupBy("node_key", F.col(a).alias("v")).agg(F.count("*").alias("n"))
-        ranked = by_value.withColumn("upto", F.sum("n").over(Window.partitionBy("node_key").orderBy("v")))
-        totals = by_value.groupBy("node_key").agg(F.sum("n").alias("total"))
-        pivots = ranked.join(totals, "node_key").where("total > 1 AND upto >= total div 2").groupBy("node_key").agg(F.min("v").cast("float").alias("split_val"))
+    else:
+        pivots = lower_medians(vertices.select("node_key", F.col(a).alias("v"))).select("node_key", F.col("v").cast("float").alias("split_val"))
     sides = vertices.join(pivots, "node_key").groupBy("node_key").agg(F.max(F.col(a) > F.col("split_val").cast("double")).alias("above"), F.max(F.col(a) <= F.col("split_val").cast("double")).alias("below"))
     return nodes.join(pivots.join(sides.where("above AND below"), "node_key").select("node_key", "split_val"), "node_key", "left")
 

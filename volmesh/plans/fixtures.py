@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from volmesh.operators.structured import grid_points
 
 #: Steps of quantity, discount and tax; order lines for which the grid has one step along x in each of quantity.
 QUANTITIES, DISCOUNTS, TAXES, LINES = 50, 11, 9, 60_000
+T = TypeVar("T")
 METRICS = ("click", "error", "purchase", "signup", "view")
 
 
@@ -16,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_known: dict[tuple[str, str, str], object] = {}
+
+
+def _once(f: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, str], T]:
+    """``f`` for a folder is computed once in an application."""
+
+    @functools.wraps(f)
+    def found(spark: SparkSession, sf_dir: str) -> T:
+        key = spark.sparkContext.applicationId, sf_dir, f.__name__
+        if key not in _known:
+            _known[key] = f(spark, sf_dir)
+        return _known[key]
+
+    return found
+
+
+@_once
 def steps(spark: SparkSession, sf_dir: str) -> int:
     """Steps along x in each step of quantity: more, the more order lines there are."""
     return max(1, table(spark, sf_dir, "lineitem").count() // LINES)
@@ -38,6 +60,7 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_points(spark, size(spark, sf_dir)).join(counts, ["x", "y", "z"], "left").select(*(F.col(a).cast("int").alias(a) for a in "xyz"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
 
 
+@_once
 def iso_value(spark: SparkSession, sf_dir: str) -> float:
     """Two deviations over the mean of the volume."""
     return volume(spark, sf_dir).agg(F.round(F.avg("value") + 2 * F.stddev_pop("value"), 3)).first()[0]

@@ -206,10 +206,10 @@ SQL = {
     "vert_average_nodes": _strategy("average", True),
     "surface_area_nodes": _strategy("surface"),
     "volume_heuristic_nodes": _strategy("volume"),
-    "decimation_map": f"WITH {GRID}, {COLLAPSES} SELECT src, dst FROM dm",
-    "resolved_map": f"WITH {GRID}, {COLLAPSES} SELECT src, dst FROM rm",
+    "decimation_map": f"WITH {GRID}, {COLLAPSES} SELECT src, dst, b.value - a.value AS change FROM dm JOIN v AS a ON a.point_id = src JOIN v AS b ON b.point_id = dst",
+    "resolved_map": f"WITH {GRID}, {COLLAPSES} SELECT src, dst, b.value - a.value AS change FROM rm JOIN v AS a ON a.point_id = src JOIN v AS b ON b.point_id = dst",
     "decimate": f"WITH {GRID}, {COLLAPSES} SELECT cell_id, v0, v1, v2, v3, a.value + b.value + c.value + d.value AS total FROM whole JOIN v a ON a.point_id = v0 JOIN v b ON b.point_id = v1 JOIN v c ON c.point_id = v2 JOIN v d ON d.point_id = v3",
-    "removed_share": f"WITH {GRID}, {COLLAPSES} SELECT (SELECT count(*) FROM cc) AS cells, (SELECT count(*) FROM cc) - (SELECT count(*) FROM whole) AS removed, round(1 - (SELECT count(*) FROM whole)::DOUBLE / (SELECT count(*) FROM cc), 9) AS share",
+    "removed_share": f"WITH {GRID}, {CV}, {BOUNDS}, {HELD}, {COLLAPSES}, k AS (SELECT count(*) AS cells, count(*) FILTER (h.cell_id IN (SELECT cell_id FROM whole)) AS stay FROM h) SELECT cells, cells - stay AS removed, round(1 - stay::DOUBLE / cells, 9) AS share FROM k",
     "corner_values": f"WITH {CORNERS} SELECT node_key, 'count' AS name, corner, round(value, 6) AS value FROM nc",
     "sample_cells": f"WITH {FULL}, {PROBES}, {LOCATED}, {PLACED}, {GEOMETRY}, {_sampled('sm', 'pl')} SELECT probe_id, cell_id, round(sample, 6) AS sample FROM sm",
     "nearest_vertex": f"WITH {FULL}, {BLOCKS}, {PROBES}, {LOCATED}, {PLACED}, {NEAREST.format('pl')} SELECT probe_id, point_id, round(distance, 6) AS distance FROM nv",
@@ -218,7 +218,7 @@ SQL = {
     "leaf_index": f"WITH {PART}, {ORDERED} SELECT node_key, this_ptr, row_number() OVER (ORDER BY this_ptr) - 1 AS leaf_index FROM p WHERE is_leaf",
     "rebuilt_nodes": f"WITH {PART}, {ORDERED} SELECT node_key, this_ptr, depth, is_leaf, {', '.join(BOX)} FROM p",
     "treelets": f"WITH {TREELETS} {_treelet_nodes(1, False)} UNION ALL {_treelet_nodes(2, True)}",
-    "random_points": f"WITH {FULL}, {RANDOM(3, 1)} SELECT probe_id, leaf_key, i, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pr",
+    "random_points": f"WITH {PART}, {RANDOM(3, 1)} SELECT probe_id, leaf_key, i, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pr",
     "random_vertices": f"WITH {PART}, {BLOCKS}, n AS (SELECT leaf_key, floor(count(*) * {_unit(repr('1'), 'leaf_key')})::BIGINT AS local_id FROM bp GROUP BY leaf_key) SELECT leaf_key, local_id, point_id FROM bp JOIN n USING (leaf_key, local_id)",
     "sampled_averages": f"WITH {FULL}, {BLOCKS}, {RANDOM(10, 1)}, {GEOMETRY}, {_sampled('sm', 'pr')}, {NEAREST.format('pr')}, la AS (SELECT leaf_key, avg(coalesce(sample, value, 0)) AS average FROM pr LEFT JOIN sm USING (probe_id) LEFT JOIN nv USING (probe_id) LEFT JOIN v ON v.point_id = nv.point_id GROUP BY leaf_key), w AS (SELECT la.*, (x1 - x0) * (y1 - y0) * (z1 - z0) AS vol FROM la JOIN nodes ON node_key = leaf_key) SELECT leaf_key >> k AS node_key, 'count' AS name, round(sum(average * vol) / sum(vol), 5) AS average FROM w, range(8) AS r(k) WHERE leaf_key >> k > 0 GROUP BY ALL",
     "node_interpolation": f"WITH {CORNERS}, {ARRAYS}, {PROBES}, {LOCATED}, {PLACED} SELECT probe_id, 'count' AS name, round({_between(('pl.x', 'pl.y', 'pl.z'), 'n', 'ca.c')} + 1e-7, 4) AS sample FROM pl JOIN nodes AS n ON n.node_key = leaf_key JOIN ca ON ca.node_key = leaf_key",
@@ -244,17 +244,17 @@ gone AS (SELECT view_id, node_key FROM ok UNION ALL SELECT view_id, unnest([2 *
 SELECT view_id, node_key, 'NONE' AS state FROM fs ANTI JOIN gone USING (view_id, node_key) UNION ALL SELECT view_id, unnest([2 * node_key, 2 * node_key + 1]), 'SPLIT' FROM ok UNION ALL SELECT view_id, parent_key, 'MERGED' FROM ok""",
     "blocks_to_load": f"WITH {SCORES}, fa AS (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, node_key) AS r FROM sc WHERE is_leaf AND score > 0 AND node_key % 2 = 0) SELECT view_id, node_key AS leaf_key, round(score, 9) AS score FROM fa WHERE r <= 10 AND NOT (view_id = 1 AND node_key % 5 = 0)",
     "resident_scores": f"WITH {SCORES}, {FRONT} SELECT 1::BIGINT AS view_id, n.node_key AS leaf_key, coalesce(round(fs.score, 9), '-infinity'::DOUBLE) AS score FROM nodes AS n LEFT JOIN fs ON fs.node_key = n.node_key AND fs.view_id = 1 WHERE n.is_leaf",
-    "states_reset": f"WITH {FULL}, {FRONT.split(', fs AS')[0]} SELECT view_id::BIGINT AS view_id, node_key, CASE WHEN view_id = 1 THEN 'SPLIT' ELSE 'NONE' END AS state FROM fr, (VALUES (1), (2)) AS w(view_id)",
+    "states_reset": f"WITH {PART}, {FRONT.split(', fs AS')[0]} SELECT view_id::BIGINT AS view_id, node_key, CASE WHEN view_id = 1 THEN 'SPLIT' ELSE 'NONE' END AS state FROM fr, (VALUES (1), (2)) AS w(view_id)",
     "padded_positions": f"WITH {PART}, {BLOCKS} SELECT leaf_key, (3 * (SELECT max(verts) FROM bs))::INT AS length, sum((local_id * 3 + 1) * x + (local_id * 3 + 2) * y + (local_id * 3 + 3) * z)::DOUBLE AS total FROM bp JOIN v USING (point_id) GROUP BY leaf_key",
     "padded_values": f"WITH {PART}, {BLOCKS} SELECT leaf_key, 'count' AS name, (SELECT max(verts) FROM bs)::INT AS length, sum((local_id + 1) * value)::DOUBLE AS total FROM bp JOIN v USING (point_id) GROUP BY leaf_key",
     "block_requests": f"WITH {FULL}, {BLOCKS}, r AS (SELECT c_custkey AS leaf_key FROM customer), rb AS (SELECT (row_number() OVER (ORDER BY leaf_key) - 1) // 1000 AS batch FROM r) SELECT batch, count(*) AS blocks, (count(*) * 4 * (3 * (SELECT max(verts) FROM bs) + 4 * (SELECT max(cells) FROM bs) + 2 * (SELECT max(verts) FROM bs)))::BIGINT AS bytes FROM rb GROUP BY batch",
     "interior_vertices": f"WITH {PART}, {BLOCKS} SELECT leaf_key, count(*) FILTER (v.x BETWEEN x0 AND x1 AND v.y BETWEEN y0 AND y1 AND v.z BETWEEN z0 AND z1) AS interior FROM bp JOIN v USING (point_id) JOIN nodes ON node_key = leaf_key GROUP BY leaf_key",
-    "function_volume": f"WITH {VOLUME} SELECT x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, greatest(0.0::DOUBLE, 20 - x + 0.5::DOUBLE * y * z) AS value FROM v",
+    "function_volume": f"WITH {VOLUME}, m AS (SELECT *, greatest(0.0::DOUBLE, 20 - x + 0.5::DOUBLE * y * z) AS f FROM v) SELECT x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, f AS value, f - value AS over FROM m",
     "unstructured": f"WITH {VOLUME} SELECT x::DOUBLE * 2 AS x, y::DOUBLE * 0.5::DOUBLE AS y, z::DOUBLE AS z, point_id, value FROM v",
-    "axis_limits": f"WITH {VOLUME} SELECT 'x' AS name, min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM v UNION ALL SELECT 'y', min(y)::DOUBLE, max(y)::DOUBLE FROM v UNION ALL SELECT 'z', min(z)::DOUBLE, max(z)::DOUBLE FROM v",
-    "size_labels": f"WITH {VOLUME} SELECT {SX} || 'x11x9' AS structured, (480 * ({SX} - 1)) || ' u' AS unstructured",
+    "axis_limits": f"WITH {VOLUME}, q AS (SELECT * FROM v WHERE value > {ISO}) " + " UNION ALL ".join(f"SELECT '{a}' AS name, min({a})::DOUBLE AS lo, max({a})::DOUBLE AS hi FROM q" for a in "xyz"),
+    "size_labels": f"WITH {GRID}, {CV}, {BOUNDS}, {HELD} SELECT {SX} || 'x11x9' AS structured, (SELECT count(*) FROM h) || ' u' AS unstructured",
     "scalar_choices": "WITH k AS (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1) SELECT 'all' AS choice, name, n FROM k UNION ALL SELECT 'first', name, n FROM k WHERE name = (SELECT min(name) FROM k)",
-    "plane_sides": f"WITH {VOLUME},{T6}, {CV}, {BOUNDS} SELECT cell_id, (CASE WHEN x0 <= ({SX} - 1) / 2.0 THEN 1 ELSE 0 END + CASE WHEN x1 > ({SX} - 1) / 2.0 THEN 2 ELSE 0 END)::INT AS side FROM b",
+    "plane_sides": f"WITH {VOLUME},{T6}, {CV}, {BOUNDS}, m AS (SELECT floor(4 * sum(x * value) / sum(value)) / 4 AS p FROM v) SELECT cell_id, (CASE WHEN x0 <= p THEN 1 ELSE 0 END + CASE WHEN x1 > p THEN 2 ELSE 0 END)::INT AS side FROM b, m",
     "derived_limits": f"WITH {VOLUME}, f AS (SELECT sqrt(value * value + x * x::DOUBLE + z * z * value * value) AS m FROM v) SELECT 'magnitude' AS name, round(min(m), 6) AS lo, round(max(m), 6) AS hi FROM f",
     "ingest": f"""WITH {VOLUME}, s AS (SELECT sx // 2 AS n FROM gs), d AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, value FROM v, s WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0 AND x < 2 * n AND y < 10 AND z < 8)
 SELECT (SELECT count(*) FROM d) AS points, (SELECT (n - 1) * 4 * 3 * 5 FROM s)::BIGINT AS cells, min(value) AS lo, max(value) AS hi FROM d""",

@@ -174,11 +174,15 @@ def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.statistics(_held_tree(spark, sf_dir)[0]).withColumn("avg_cells", F.round("avg_cells", 6))
 
 
+def _held_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_id of the cells that touch a voxel over the iso-value."""
+    held = fx.volume_fields(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}").select("point_id")
+    return _cells(spark, sf_dir).select("cell_id", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id").distinct()
+
+
 def _held_tree(spark: SparkSession, sf_dir: str, strategy: str = tree.NODE_MEDIAN, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A tree over the cells that touch a voxel over the iso-value."""
-    held = fx.volume_fields(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}").select("point_id")
-    touched = _cells(spark, sf_dir).select("cell_id", F.explode(F.array(*mesh.VERTICES)).alias("point_id")).join(held, "point_id", "left_semi").select("cell_id").distinct()
-    bounds = structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)).join(touched, "cell_id", "left_semi")
+    bounds = structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)).join(_held_cells(spark, sf_dir), "cell_id", "left_semi")
     return tree.build_tree(bounds, fx.box(spark, sf_dir), strategy, 256, MAX_DEPTH, points)
 
 
@@ -405,32 +409,43 @@ def _frontier_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 @query
 def decimation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.decimation_map(spark, fx.size(spark, sf_dir), 0.1)
+    """Which vertices collapse onto which, and by how much their values differ."""
+    return _with_values(spark, sf_dir, structured.decimation_map(spark, fx.size(spark, sf_dir), 0.1))
+
+
+def _with_values(spark: SparkSession, sf_dir: str, collapses: DataFrame) -> DataFrame:
+    of = lambda name: fx.volume_fields(spark, sf_dir).select(F.col("point_id").alias(name), F.col("value").alias(f"{name}_value"))
+    return collapses.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", (F.col("dst_value") - F.col("src_value")).alias("change"))
 
 
 @query
 def resolved_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.resolved_map(decimation_map(spark, sf_dir))
+    return _with_values(spark, sf_dir, structured.resolved_map(structured.decimation_map(spark, fx.size(spark, sf_dir), 0.1)))
 
 
 @query
 def removed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many cells a decimation makes degenerate."""
-    cells = _cells(spark, sf_dir)
-    whole = structured.collapsed(cells, resolved_map(spark, sf_dir))
+    """How many of the cells that touch a voxel over the iso-value a decimation makes degenerate."""
+    cells = checkpointed(_cells(spark, sf_dir).join(_held_cells(spark, sf_dir), "cell_id", "left_semi"))
+    whole = structured.collapsed(cells, structured.resolved_map(structured.decimation_map(spark, fx.size(spark, sf_dir), 0.1)))
     both = cells.agg(F.count("*").alias("cells")).join(whole.agg(F.count("*").alias("whole")))
     return both.select("cells", (F.col("cells") - F.col("whole")).alias("removed"), F.round(1 - F.col("whole") / F.col("cells"), 9).alias("share"))
 
 
 @query
 def plane_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    middle = F.lit((fx.size(spark, sf_dir)[0] - 1) / 2)
+    """On which sides of the plane through the volume's centre of mass (its x, in quarters) each cell lies."""
+    mass = fx.volume(spark, sf_dir).agg(F.floor(4 * F.sum(F.col("x") * F.col("value")) / F.sum("value")) / 4).first()[0]
+    middle = F.lit(mass)
     return structured.grid_cell_bounds(spark, fx.size(spark, sf_dir)).select("cell_id", geo.plane_side(F.col("x0"), F.col("x1"), middle).alias("side"))
 
 
 @query
 def function_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.function_volume(spark, fx.size(spark, sf_dir), 20 - F.col("x") + 0.5 * F.col("y") * F.col("z"))
+    """A function's volume, and how far it is over the volume of order lines."""
+    made = structured.function_volume(spark, fx.size(spark, sf_dir), 20 - F.col("x") + 0.5 * F.col("y") * F.col("z"))
+    lines = fx.volume(spark, sf_dir).select("x", "y", "z", F.col("value").alias("lines"))
+    return made.join(lines, ["x", "y", "z"]).select("x", "y", "z", "value", (F.col("value") - F.col("lines")).alias("over"))
 
 
 @query
@@ -442,13 +457,15 @@ def unstructured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def axis_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = structured.grid_points(spark, fx.size(spark, sf_dir))
+    """Limits of the axes over the voxels over the iso-value."""
+    points = fx.volume(spark, sf_dir).where(f"value > {fx.iso_value(spark, sf_dir)}").select(fx.point_id(fx.size(spark, sf_dir)).alias("point_id"), "x", "y", "z")
     return mesh.limits(reduce(DataFrame.unionByName, (structured.axis_source(points, a) for a in "xyz")))
 
 
 @query
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir).agg(F.count("*").alias("n"))
+    """Labels of the volume's size and of the number of cells that touch a voxel over the iso-value."""
+    cells = _held_cells(spark, sf_dir).agg(F.count("*").alias("n"))
     return cells.select(mesh.size_label(F.array(*map(F.lit, fx.size(spark, sf_dir)))).alias("structured"), mesh.size_label(None, F.col("n")).alias("unstructured"))
 
 
@@ -483,7 +500,7 @@ def treelets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = nodevalues.random_points(_tree(spark, sf_dir)[0].where("is_leaf"), 3)
+    at = nodevalues.random_points(_held_tree(spark, sf_dir)[0].where("is_leaf"), 3)
     return at.select("probe_id", "leaf_key", "i", *(F.round(a, 6).alias(a) for a in "xyz"))
 
 
@@ -577,7 +594,7 @@ def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves that a box of one voxel around each probe touches."""
     around = fx.probes(spark, sf_dir).select(F.col("probe_id").alias("id"), *((F.col(a) + (i - 0.5)).alias(f"{a}{i}") for a in "xyz" for i in (0, 1)))
     leaves = _held_tree(spark, sf_dir)[0].where("is_leaf").select(F.col("node_key").alias("id"), *tree.BOUNDS)
-    return sampling.overlapping(around, leaves, 8.0)
+    return sampling.overlapping(around, leaves)
 
 
 @query
@@ -629,7 +646,7 @@ def frontier_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def states_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states of two views' frontiers after the second one's camera has moved."""
-    nodes = _tree(spark, sf_dir)[0]
+    nodes = _held_tree(spark, sf_dir)[0]
     views = _views(spark, sf_dir)
     front = lod.frontier(nodes, 15).select("node_key", F.lit("SPLIT").alias("state")).crossJoin(F.broadcast(views.select("view_id")))
     return lod.reset(front, views.drop("seq"), views.drop("seq").withColumn("ex", F.when(F.col("view_id") == 2, 9.0).otherwise(F.col("ex"))))
