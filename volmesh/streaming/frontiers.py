@@ -170,7 +170,7 @@ class Frontiers(StatefulProcessor):
         self.last = handle.getValueState("last", "seq long, " + CAMERA_TYPES)
         self.waiting = handle.getMapState("waiting", "seq long", "ts long, " + CAMERA_TYPES)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for batch in rows:
             for r in batch.to_dict("records"):
                 seq, due = int(r["seq"]), int(pd.Timestamp(r["ts"]).timestamp() * 1000)
@@ -180,8 +180,8 @@ class Frontiers(StatefulProcessor):
                         self.handle.registerTimer(due)
         yield from self._answered(key, None)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield from self._answered(key, expired.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._answered(key, expiredTimerInfo.getExpiryTimeInMs())
 
     def _seq(self) -> int:
         return int(self.last.get()[0]) if self.last.exists() else 0
