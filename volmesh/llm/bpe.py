@@ -175,7 +175,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers in one binary) of every whole text.
 
     vocabulary: a rank file that every executor can open at this path. pattern: splits text into pre-tokens.
-    Null and empty texts have no ids; repeated rows give repeated rows; a null doc_id stays null.
+    Null and empty texts have no ids; repeated rows give repeated rows; a null doc_id stays null. Texts of any length are
+    encoded whole; of pairs of one rank the first is merged first. An empty table gives no rows. Other columns take no
+    part, whatever their names.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     return _map(docs, vocabulary, pattern, "doc_id long, n_tokens long, ids binary", arrow, lambda enc, text: (len(ids := enc.encode(text)) // 4, ids))
@@ -195,7 +197,8 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str = "") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways in one pass, so that ids needn't be moved."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways in one pass, so that ids needn't be moved. Nulls, long texts,
+    repeated rows, empty tables and other columns are as in ``encode``."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def row(enc: Encoder, text: str) -> tuple[int, str, str]:

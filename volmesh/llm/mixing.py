@@ -98,8 +98,9 @@ def mix(docs: DataFrame, marginals: dict[str, DataFrame] | None = None, keep: fl
     marginals: per dimension mix_<dimension>, share; by default ``targets``. A cell's probability is keep times its
     weight over its tokens. keep is lowered until no probability is over 1, so that the expected shares of what is kept
     are the raked ones. Cells without tokens (empty texts) have probability keep. Repeated rows share their fate.
-    Null sources, languages and texts count as ''. An empty table gives no rows. Columns of docs with these names are
-    replaced.
+    Null sources, languages and texts count as ''. Texts of any length are counted whole. Rows of one doc_id share their
+    random number, and one that equals the probability isn't kept. An empty table gives no rows. Columns of docs with these
+    names are replaced.
     """
     rows = with_cells(docs.drop(*(f"mix_{x}" for x in (*DIMENSIONS, "tokens", "probability", "kept"))))
     names = [f"mix_{d}" for d in DIMENSIONS]

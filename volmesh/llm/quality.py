@@ -126,7 +126,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_key, held_out, score, predicted of every whole text; nothing but the text enters a score.
 
     score: 0 to 1, higher where label 1 is likelier; predicted: 1 from THRESHOLD on. Null texts count as empty.
-    Without positive labels every score is the prior (0.5 without any labels). Repeated rows score alike.
+    Without positive labels every score is the prior (0.5 without any labels). Repeated rows score alike. Texts of any
+    length are read whole. An empty table gives no rows. Other columns take no part, whatever their names.
     """
     stats = checkpointed(text_statistics(docs))
     net = train(stats, labels)

@@ -120,7 +120,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     linked, and component_id is the smallest doc_id reachable.
 
     Texts without words share fingerprint 0 and link like any other; a null doc_id is reached but never the
-    smallest unless there is no other. class_size counts the rows that have the very fingerprint.
+    smallest unless there is no other. class_size counts the rows that have the very fingerprint. Repeated rows are rows of
+    their own in one class. Texts of any length are hashed whole; a bit that just half of the hashes have is 0. An empty
+    table gives no rows. Other columns take no part, whatever their names.
     """
     rows = checkpointed(fingerprints(docs, words))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size")))
