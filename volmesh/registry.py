@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volmesh.common import checkpointed
+from volmesh.common import checkpointed, shared_path
 from volmesh.functions import geometry as geo
 from volmesh.operators import blocks, fields, lod, mesh, meshfields, meshrays, nodevalues, probe, reports, sampling, structured, tree
 from volmesh.operators import ingest as _ingest
 from volmesh.plans import fixtures as fx
 from volmesh.plans import mesh_oracles, node_oracles, oracles
+from volmesh.sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}

@@ -1,7 +1,7 @@
 """Readers of raw volumes and binary meshes by byte range: each task seeks to its part of the file.
 
 A path with a scheme (s3://, hdfs:// and so on) is opened by Arrow's file systems; one without has to be readable by every
-executor and the driver, as shared folders are.
+executor and the driver, as shared folders are. A path may also be a folder of parts (``parts``).
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volmesh.sources.parts import Bytes
+
 #: First number of a solver's volume-data file; fixed value.
 VOLUME_DATA_MAGIC = 305419896
 #: Rows that a reader's task yields at a time.
@@ -25,14 +26,8 @@ def _ranges(spark: SparkSession, n: int, rows_each: int) -> DataFrame:
     return spark.range(parts, numPartitions=min(parts, 4096)).select((F.col("id") * rows_each).alias("first"), F.least(F.lit(n), (F.col("id") + 1) * rows_each).alias("stop"))
 
 
-def _file(path: str) -> pa.NativeFile:
-    found, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return found.open_input_file(name)
-
-
 def _read(path: str, dtype: str, count: int, offset: int = 0) -> np.ndarray:
-    with _file(path) as f:
-        return np.frombuffer(f.read_at(count * np.dtype(dtype).itemsize, offset), dtype)
+    return np.frombuffer(Bytes(path).read_at(count * np.dtype(dtype).itemsize, offset), dtype)
 
 
 def _numbers(spark: SparkSession, path: str, dtype: str, offset: int, n: int, width: int, kind: pa.DataType, sql: str, part: int = 0, gap: int = 0) -> DataFrame:
@@ -96,8 +91,7 @@ def read_volume_data(spark: SparkSession, path: str, names: list[str], byte_orde
     if magic != VOLUME_DATA_MAGIC:
         raise ValueError(f"{path} doesn't begin with {VOLUME_DATA_MAGIC}")
     step = 4 + 4 * variables * nodes
-    with _file(path) as f:
-        steps = (f.size() - 16) // step
+    steps = (Bytes(path).size - 16) // step
     if t_index is not None and not 0 <= t_index < steps:
         raise ValueError(f"{path} has {steps} time steps, not {t_index}")
     first, n = (0, steps) if t_index is None else (t_index, 1)
