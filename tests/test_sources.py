@@ -50,3 +50,17 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/report", header=True).count() == nodes.select("depth").distinct().count()
     values = structured.grid_points(spark, size).select("point_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"), F.lit(1.0).alias("value"))
     assert sorted(map(tuple, mesh.arrays(values).collect())) == [("a", "data"), ("b", "data")]
+
+
+def test_blocks_are_read_from_their_files(spark, tmp_path):
+    table = spark.range(1000).select((F.col("id") % 50 + 1).alias("leaf_key"), F.col("id").alias("local_cell"), F.lit("x").alias("other"))
+    catalog.write_blocks(str(tmp_path), 10, cells=table)
+    wanted = spark.createDataFrame([(7,), (7,), (8,), (99,), (None,)], "leaf_key long")
+    found = catalog.read_blocks(spark, str(tmp_path), "cells", wanted, ["local_cell"])
+    assert found.exceptAll(table.where("leaf_key IN (7, 8)").select("leaf_key", "local_cell")).count() == 0 and found.count() == 40
+    held = {f.split("/")[-1] for f in spark.read.parquet(f"{tmp_path}/cells").inputFiles()}
+    opened = {f.split("/")[-1] for f in found.inputFiles() if "part-" in f}
+    assert len(held) == 10 and 1 <= len(opened & held) <= 2
+    assert catalog.read_blocks(spark, str(tmp_path), "cells", wanted.where("leaf_key > 50")).count() == 0
+    catalog.write_blocks(str(tmp_path), 10, none=table.limit(0))
+    assert catalog.read_blocks(spark, str(tmp_path), "none", wanted).count() == 0

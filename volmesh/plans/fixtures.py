@@ -74,6 +74,15 @@ def volume_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume(spark, sf_dir).select(point_id(size(spark, sf_dir)).alias("point_id"), F.lit("count").alias("name"), "value")
 
 
+def lines_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t (line number from 0), point_id, lines, suppliers (different ones) of each voxel that has any."""
+    k = steps(spark, sf_dir)
+    x = (F.col("l_quantity") - 1).cast("int") * k + F.col("l_partkey") % k
+    placed = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).cast("int").alias("t"), x.alias("x"), F.round(F.col("l_discount") * 100).cast("int").alias("y"), F.round(F.col("l_tax") * 100).cast("int").alias("z"), "l_suppkey")
+    counts = placed.groupBy("t", point_id(size(spark, sf_dir)).alias("point_id")).agg(F.count("*").alias("lines"), F.countDistinct("l_suppkey").alias("suppliers"))
+    return counts.select("t", "point_id", F.col("lines").cast("double").alias("lines"), F.col("suppliers").cast("double").alias("suppliers"))
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """point_id, x, y, z, value from the first four numbers of each embedding."""
     e = table(spark, sf_dir, "embeddings")

@@ -13,8 +13,8 @@ from volmesh.functions import geometry as geo
 from volmesh.operators import blocks, fields, lod, mesh, meshfields, meshrays, nodevalues, probe, reports, sampling, structured, tree
 from volmesh.operators import ingest as _ingest
 from volmesh.plans import fixtures as fx
-from volmesh.plans import mesh_oracles, node_oracles, oracles
-from volmesh.sources import formats
+from volmesh.plans import mesh_oracles, node_oracles, oracles, source_oracles
+from volmesh.sources import catalog, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -791,9 +791,49 @@ def best_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
+@query
+def raw_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume is written as a raw file; of its slabs 2 to 5 the voxels over the iso-value are read back."""
+    size, path = fx.size(spark, sf_dir), shared_path(spark, "volume")
+    formats.write_raw_volume(fx.volume(spark, sf_dir), path, size)
+    slabs = formats.load(spark, "volmesh_raw", path, size=",".join(map(str, size)), z_from=2, z_to=5)
+    return slabs.where(F.col("value") > fx.iso_value(spark, sf_dir))
+
+
+@query
+def mesh_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh is written as a mesh file; its tetrahedra are read back with the places of their first vertex."""
+    path = shared_path(spark, "mesh")
+    formats.write_ugrid(structured.grid_points(spark, fx.size(spark, sf_dir)), _cells(spark, sf_dir), path)
+    cells = mesh.tetrahedra(formats.load(spark, "volmesh_ugrid", path, table="elements").where("section = 'tet'"))
+    points = formats.load(spark, "volmesh_ugrid", path).withColumnRenamed("point_id", "v0")
+    return cells.join(points, "v0").select("cell_id", *mesh.VERTICES, "x", "y", "z")
+
+
+@query
+def volume_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines and their suppliers on each voxel, a time step for each line number, as a volume-data file; the
+    lines of steps 2 to 4 are read back."""
+    size, path = fx.size(spark, sf_dir), shared_path(spark, "steps")
+    counts = fx.lines_by_number(spark, sf_dir).select("t", "point_id", F.expr("stack(2, 'lines', lines, 'suppliers', suppliers) AS (name, value)"))
+    steps = (counts.agg(F.max("t")).first()[0] or 0) + 1
+    formats.write_volume_data(counts, path, ["lines", "suppliers"], size[0] * size[1] * size[2], steps)
+    return formats.load(spark, "volmesh_data", path, names="lines,suppliers", t_from=2, t_to=4).where("name = 'lines'")
+
+
+@query
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks are written, and those of the leaves that hold the iso-value are read from the files that hold them."""
+    path = shared_path(spark, "blocks")
+    _, leaf_cells, ranges = _ranges(spark, sf_dir)
+    wanted = checkpointed(lod.active_nodes(ranges, fx.iso_value(spark, sf_dir)).select(F.col("node_key").alias("leaf_key")))
+    catalog.write_blocks(path, 32, cells=blocks.split_blocks(leaf_cells, _cells(spark, sf_dir))[1])
+    return catalog.read_blocks(spark, path, "cells", wanted)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in {**oracles.SQL, **node_oracles.SQL, **mesh_oracles.SQL}.items() if name in _QUERIES}
+    return {name: sql for name, sql in {**oracles.SQL, **node_oracles.SQL, **mesh_oracles.SQL, **source_oracles.SQL}.items() if name in _QUERIES}

@@ -33,9 +33,28 @@ def write_tree(path: str, **tables: DataFrame) -> None:
 
 
 def write_blocks(path: str, partitions: int, **tables: DataFrame) -> None:
-    """Block tables in ranges of leaf_key, sorted, so that a fetch of some leaves reads few row groups."""
+    """Block tables in ranges of leaf_key, sorted, and beside each the least and largest leaf_key of its files, so that
+    ``read_blocks`` opens the files of the wanted leaves alone."""
     for name, table in tables.items():
         table.repartitionByRange(partitions, "leaf_key").sortWithinPartitions("leaf_key").write.mode("overwrite").parquet(f"{path}/{name}")
+        files = table.sparkSession.read.parquet(f"{path}/{name}").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("leaf_key").alias("lo"), F.max("leaf_key").alias("hi"))
+        files.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}-files")
+
+
+def read_blocks(spark: SparkSession, path: str, name: str, wanted: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows of the wanted leaves (leaf_key) from a table of ``write_blocks``; leaves that have none give no rows.
+
+    The driver gets the bounds of the files, as many as were asked for in writing, and which of them hold a wanted leaf;
+    the leaves themselves are matched by a join.
+    """
+    ids = wanted.select("leaf_key").distinct()
+    bounds = spark.read.parquet(f"{path}/{name}-files").orderBy("lo", "file").collect()
+    known = F.lit(None).cast("array<struct<i:int,lo:bigint,hi:bigint>>") if not bounds else F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f.lo).alias("lo"), F.lit(f.hi).alias("hi")) for i, f in enumerate(bounds)))
+    holding = F.filter(known, lambda f: (f["lo"] <= F.col("leaf_key")) & (f["hi"] >= F.col("leaf_key")))
+    hit = sorted(r.i for r in ids.select(F.explode(F.transform(holding, lambda f: f["i"])).alias("i")).distinct().collect())
+    whole = spark.read.parquet(f"{path}/{name}")
+    table = spark.read.schema(whole.schema).parquet(*(bounds[i].file for i in hit)) if hit else whole.limit(0)
+    return (table if columns is None else table.select("leaf_key", *columns)).join(ids, "leaf_key", "left_semi")
 
 
 def write_report(table: DataFrame, path: str) -> None:
