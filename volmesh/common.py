@@ -32,6 +32,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, whose next join is by a shuffle: Spark takes exploded or mapped rows for as few as those that they are made
+    of, and would broadcast them whole through the driver."""
+    return df.hint("merge")
+
+
 def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
     """``df``, broadcast if a count shows at most so many rows; else, and for streams, the join is left to Spark."""
     return F.broadcast(df) if not df.isStreaming and df.limit(most + 1).count() <= most else df

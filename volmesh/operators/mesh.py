@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volmesh.common import shuffled
+
 VERTICES = ("v0", "v1", "v2", "v3")
 #: Boundary parts that aren't shown unless asked for; fixed values.
 HIDDEN_PARTS = ("symmetry", "downstream", "upstream", "side", "lower", "upper")
@@ -64,14 +66,14 @@ def _place(corner: Column) -> Column:
 def cell_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
     """cell_id and an array ``corners`` of struct<x, y, z>, by one join on points for all four vertices."""
     long = cells.select("cell_id", F.posexplode(F.array(*VERTICES)).alias("i", "point_id"))
-    found = long.join(points.select("point_id", "x", "y", "z"), "point_id").groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y", "z"))).alias("c"))
+    found = shuffled(long).join(points.select("point_id", "x", "y", "z"), "point_id").groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y", "z"))).alias("c"))
     return found.select("cell_id", F.transform("c", _place).alias("corners"))
 
 
 def cell_bounds(cells: DataFrame, points: DataFrame) -> DataFrame:
     """cell_id, x0 .. z1."""
     long = cells.select("cell_id", F.explode(F.array(*VERTICES)).alias("point_id"))
-    return long.join(points.select("point_id", "x", "y", "z"), "point_id").groupBy("cell_id").agg(*(F.min(a).cast("double").alias(f"{a}0") for a in "xyz"), *(F.max(a).cast("double").alias(f"{a}1") for a in "xyz"))
+    return shuffled(long).join(points.select("point_id", "x", "y", "z"), "point_id").groupBy("cell_id").agg(*(F.min(a).cast("double").alias(f"{a}0") for a in "xyz"), *(F.max(a).cast("double").alias(f"{a}1") for a in "xyz"))
 
 
 def boundary_geometry(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volmesh.common import shuffled
+
 
 def box_interval(low: tuple, high: tuple) -> tuple[Column, Column]:
     """(near, far) along a ray (ox .. dz) through a box; the ray misses if near > far or far < 0.
@@ -31,7 +33,7 @@ def steps(rays: DataFrame, box: tuple[tuple, tuple], length: float, offset: Colu
     hit = rays.withColumns({"begin": begin, "far": far}).where("begin <= far AND far < double('Infinity')")
     last = F.floor((F.col("far") - F.col("begin")) / length).cast("int")
     t = F.col("begin") + F.col("step") * length
-    return hit.select("*", F.explode(F.sequence(F.lit(0), last)).alias("step")).select("ray_id", "step", *((F.col(f"o{a}") + t * F.col(f"d{a}")).alias(a) for a in "xyz"))
+    return shuffled(hit.select("*", F.explode(F.sequence(F.lit(0), last)).alias("step"))).select("ray_id", "step", *((F.col(f"o{a}") + t * F.col(f"d{a}")).alias(a) for a in "xyz"))
 
 
 def first_crossing(samples: DataFrame, iso: float, length: float) -> DataFrame:

@@ -10,13 +10,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volmesh.common import broadcast_if_few
+from volmesh.common import broadcast_if_few, shuffled
 from volmesh.functions.geometry import tet_volume
 from volmesh.operators.mesh import VERTICES, all_of, cell_corners
 
 
 def geometry_of(cells: DataFrame, points: DataFrame) -> DataFrame:
-    return cells.select("cell_id", F.array(*VERTICES).alias("v")).join(cell_corners(cells, points), "cell_id")
+    return shuffled(cells.select("cell_id", F.array(*VERTICES).alias("v"))).join(cell_corners(cells, points), "cell_id")
 
 
 def locate(probes: DataFrame, nodes: DataFrame, tie: str = "left") -> DataFrame:
@@ -79,7 +79,7 @@ def containing_cell(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFram
 def sampled(held: DataFrame, fields: DataFrame) -> DataFrame:
     """probe_id, name, sample: the vertices' values by the weights."""
     long = held.select("probe_id", F.explode(F.arrays_zip("v", "weights")).alias("z")).select("probe_id", F.col("z.v").alias("point_id"), F.col("z.weights").alias("w"))
-    return long.join(fields, "point_id").groupBy("probe_id", "name").agg(F.sum(F.col("w") * F.col("value")).alias("sample"))
+    return shuffled(long).join(fields, "point_id").groupBy("probe_id", "name").agg(F.sum(F.col("w") * F.col("value")).alias("sample"))
 
 
 def sampled_or_nearest(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, eps: float = 0.005) -> DataFrame:
@@ -126,7 +126,7 @@ def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
 
     first = lambda a: F.floor(F.greatest(f"l_{a}0", f"r_{a}0") / F.pow(F.lit(2.0), F.col("level")))
     meet = all_of([(F.col(f"l_{a}0") <= F.col(f"r_{a}1")) & (F.col(f"r_{a}0") <= F.col(f"l_{a}1")) & (F.col(f"g{a}") == first(a)) for a in "xyz"])
-    both = dealt(graded[0], levels[1], "l").join(dealt(graded[1], levels[0], "r"), ["level", "gx", "gy", "gz"])
+    both = shuffled(dealt(graded[0], levels[1], "l")).join(dealt(graded[1], levels[0], "r"), ["level", "gx", "gy", "gz"])
     return both.where(meet & (F.col("level") == F.greatest("l_own", "r_own"))).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volmesh.common import checkpointed
+from volmesh.common import checkpointed, shuffled
 from volmesh.functions.geometry import hashed_number
 
 Size = tuple[int, int, int]
@@ -40,9 +40,10 @@ def grid_tets(spark: SparkSession, size: Size, tets: int = 6) -> DataFrame:
     first = F.col("cx") + F.col("cy") * sx + F.col("cz") * sx * sy
     offset = lambda c: (c & 1) + (c >> 1 & 1) * sx + (c >> 2) * sx * sy
     shapes = F.array(*(F.struct(*(F.lit(offset(c)).cast("long").alias(f"o{i}") for i, c in enumerate(p))) for p in patterns))
-    return cubes.select("cube", "cx", "cy", "cz", first.alias("first"), F.posexplode(shapes).alias("pattern", "o")).select(
+    each = cubes.select("cube", "cx", "cy", "cz", first.alias("first"), F.posexplode(shapes).alias("pattern", "o")).select(
         (F.col("cube") * tets + F.col("pattern")).alias("cell_id"), *((F.col("first") + F.col(f"o.o{i}")).alias(f"v{i}") for i in range(4)), "cx", "cy", "cz", "pattern"
     )
+    return shuffled(each)
 
 
 def grid_cell_bounds(spark: SparkSession, size: Size) -> DataFrame:
@@ -97,9 +98,9 @@ def trilinear(points: DataFrame, voxels: DataFrame, size: Size, *, swapped_weigh
     wide = wide.select(*at, weight.alias("w"), *((base(a, s) + F.col(f"c.d{a}")).cast("long").alias(f"g{a}") for a, s in zip("xyz", size, strict=True)))
     grid = voxels.select(*(F.col(a).cast("long").alias(f"g{a}") for a in "xyz"), F.col("value").cast("double").alias("corner"))
     # Corners with weight 0 may lie outside a volume that is one voxel thick.
-    summed = wide.where("w <> 0").join(grid, ["gx", "gy", "gz"], "left").groupBy(*at).agg(F.sum(F.col("w") * F.col("corner")).alias("its_sample"))
+    summed = shuffled(wide.where("w <> 0")).join(grid, ["gx", "gy", "gz"], "left").groupBy(*at).agg(F.sum(F.col("w") * F.col("corner")).alias("its_sample"))
     same = reduce(lambda p, q: p & q, (F.col(a).cast("double") == F.col(f"at_{a}") for a in "xyz"))
-    return points.join(summed, same, "left").select(*(c for c in points.columns if c != "sample"), F.col("its_sample").alias("sample"))
+    return shuffled(points).join(summed, same, "left").select(*(c for c in points.columns if c != "sample"), F.col("its_sample").alias("sample"))
 
 
 def transfer(points: DataFrame, box: tuple[tuple, tuple], voxels: DataFrame, size: Size, *, swapped_weights: bool = False) -> DataFrame:
@@ -175,7 +176,7 @@ def resolved_map(collapses: DataFrame) -> DataFrame:
 def collapsed(cells: DataFrame, resolved: DataFrame) -> DataFrame:
     """cells with vertices replaced; those with two equal vertices go."""
     long = cells.select("cell_id", F.posexplode(F.array("v0", "v1", "v2", "v3")).alias("i", "src"))
-    moved = long.join(resolved, "src", "left").select("cell_id", "i", F.coalesce("dst", "src").alias("v"))
+    moved = shuffled(long).join(resolved, "src", "left").select("cell_id", "i", F.coalesce("dst", "src").alias("v"))
     wide = moved.groupBy("cell_id").agg(*(F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"v{i}") for i in range(4)))
     return wide.where(F.size(F.array_distinct(F.array("v0", "v1", "v2", "v3"))) == 4)
 
@@ -200,7 +201,7 @@ def _shifted(points: DataFrame, voxels: DataFrame, size: Size, moves: list[tuple
     long = places.select(*of, F.explode(every).alias("p")).select(*of, "p.move", "p.x", "p.y", "p.z")
     found = trilinear(long, voxels, size).groupBy(*of).agg(*(F.max(F.when(F.col("move") == i, F.col("sample"))).alias(f"s{i}") for i in range(len(moves) + 1)))
     same = reduce(lambda p, q: p & q, (F.col(a).cast("double") == F.col(f"of_{a}") for a in "xyz"))
-    return points.join(found, same, "left").drop(*of)
+    return shuffled(points).join(found, same, "left").drop(*of)
 
 
 #: Steps of the derivative at points, and of the gradient that shades surfaces; fixed values.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volmesh.common import broadcast_if_few, checkpointed
+from volmesh.common import broadcast_if_few, checkpointed, shuffled
 from volmesh.functions.geometry import HIGH, LOW, box_surface, box_volume
 
 NODE_MEDIAN, VERT_MEDIAN, VERT_AVERAGE, SURFACE_AREA, VOLUME = "NODE_MEDIAN", "VERT_MEDIAN", "VERT_AVERAGE", "SURFACE_AREA_HEURISTIC", "VOLUME_HEURISTIC"
@@ -247,8 +247,9 @@ def build_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str = NODE
     if strategy == NODE_MEDIAN:
         found = median_tree(bounds, box, max_cells, max_depth)
         if found:
-            return found
-    return level_tree(bounds, box, strategy, max_cells, max_depth, points)
+            return found[0], shuffled(found[1])
+    nodes, leaves = level_tree(bounds, box, strategy, max_cells, max_depth, points)
+    return nodes, shuffled(leaves)
 
 
 def level_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str, max_cells: int, max_depth: int, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
