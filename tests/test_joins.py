@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from volmesh.common import shuffled
 from volmesh.operators import mesh, probe, sampling, structured, tree
 
 SIZE = (6, 5, 4)
@@ -22,6 +23,32 @@ def test_exploded_rows_are_not_broadcast(spark):
     long = cells.select("cell_id", F.explode(F.array(*mesh.VERTICES)).alias("point_id"))
     made = {
         "line_probe": structured.trilinear(steps, volume, SIZE), "overlapping_boxes": sampling.overlapping(boxes, boxes), "leaf_values": leaf_cells.join(long, "cell_id"),
-        "mesh_gradients": sampling.geometry_of(cells, points), "cell_bounds": mesh.cell_bounds(cells, points), "cell sums": long.join(points, "point_id"),
+        "mesh_gradients": sampling.geometry_of(cells, points), "cell_bounds": mesh.cell_bounds(cells, points), "cell sums": shuffled(long).join(points, "point_id"),
     }
     assert [name for name, df in made.items() if "Broadcast" in plan_of(df)] == []
+
+
+def _leaf(spark, n):
+    """n cells in a row in one leaf."""
+    points = structured.grid_points(spark, (n, 2, 2))
+    cells = structured.grid_tets(spark, (n, 2, 2)).select("cell_id", *mesh.VERTICES)
+    return cells.select(F.lit(1).cast("long").alias("leaf_key"), "cell_id"), sampling.geometry_of(cells, points)
+
+
+def test_cells_meet_probes_in_grids_within_a_leaf(spark):
+    leaf_cells, geometry = _leaf(spark, 2)
+    assert "at_x" in plan_of(sampling.containing_cell(spark.createDataFrame([(1, 1, 0.5, 0.5, 0.5)], "probe_id long, leaf_key long, x double, y double, z double"), leaf_cells, geometry)).split("SortMergeJoin")[1].split("\n")[0]
+
+
+def test_nearest_vertices_against_all_pairs(spark):
+    leaf_cells, geometry = _leaf(spark, 12)
+    rows = [(i, 1 if i % 9 else 2, (i * 7 % 40) / 2.0 - 5, (i % 11) - 4.0, (i * i % 60) / 4.0) for i in range(120)] + [(500, 1, 900.0, 0.5, -700.0), (501, 1, 0.5, 0.5, 0.5), (502, None, 1.0, 1.0, 1.0)]
+    probes = spark.createDataFrame(rows, "probe_id long, leaf_key long, x double, y double, z double")
+    got = {r.probe_id: (r.point_id, round(r.distance, 9)) for r in sampling.nearest_in_leaf(probes, leaf_cells, geometry).collect()}
+    vertices = [(x + 12 * y + 24 * z, (x, y, z)) for x in range(12) for y in range(2) for z in range(2)]
+    want = {}
+    for i, leaf, *p in rows:
+        if leaf == 1:
+            d, point = min((sum((a - b) ** 2 for a, b in zip(p, v, strict=True)) ** 0.5, k) for k, v in vertices)
+            want[i] = point, round(d, 9)
+    assert got == want

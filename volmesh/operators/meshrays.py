@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volmesh.common import checkpointed
+from volmesh.common import checkpointed, shuffled
 from volmesh.operators.probe import box_interval, gathered
 from volmesh.operators.sampling import containing_cell, sampled
 from volmesh.operators.tree import BOUNDS
@@ -75,15 +75,35 @@ def _samples(steps: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry
     return found.select("probe_id.ray_id", "probe_id.step", "name", F.col("sample").alias("value"))
 
 
+def _once(rays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rays: those that lack no number, each place and direction once, with a ray_id of their own; rows: ray_id, of)."""
+    whole = rays.select("ray_id", *(F.col(c).cast("double").alias(c) for c in RAY)).dropna(subset=list(RAY))
+    rows = checkpointed(whole.distinct())
+    each = checkpointed(rows.select(*RAY).distinct().withColumn("of", F.monotonically_increasing_id()))
+    return each.withColumnRenamed("of", "ray_id"), checkpointed(rows.join(each, list(RAY)).select("ray_id", "of"))
+
+
+def _for_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """What was found for rays (ray_id: of) for every row of them."""
+    return shuffled(rows).join(found.withColumnRenamed("ray_id", "of"), "of").drop("of")
+
+
 def line_samples(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, eps: float = 0.005) -> DataFrame:
-    """ray_id, step, name, value: the fields along every ray; places that no cell holds have none."""
+    """ray_id, step, name, value: the fields along every ray; places that no cell holds have none. Rays that are there more
+    than once are sampled once."""
+    each, rows = _once(rays)
+    return _for_rows(_line_samples(each, nodes, leaf_cells, geometry, fields, length, eps), rows)
+
+
+def _line_samples(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, eps: float = 0.005) -> DataFrame:
     steps = leaf_steps(rays, nodes, length).withColumn("steps", F.sequence("first", "last"))
     return _samples(steps, nodes, leaf_cells, geometry, fields, length, eps)
 
 
 def light(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, opacity: float = 32.0) -> DataFrame:
     """ray_id, light, transmittance of one field's values along every ray (see ``probe.gathered``); holes give nothing."""
-    return gathered(line_samples(rays, nodes, leaf_cells, geometry, fields, length), length, opacity)
+    each, rows = _once(rays)
+    return _for_rows(gathered(_line_samples(each, nodes, leaf_cells, geometry, fields, length), length, opacity), rows)
 
 
 def first_crossing(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, ranges: DataFrame, iso: float, length: float, eps: float = 0.005) -> tuple[DataFrame, int]:
@@ -93,9 +113,11 @@ def first_crossing(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geo
 
     fields: point_id, name, value of one field; ranges: node_key, lo, hi of its leaves. A leaf whose range doesn't hold
     the iso-value can only be crossed at its border, so of its steps the first and the last are sampled. Leaves are taken
-    along the ray, FIRST_LEAVES of them and twice as many in each round after; rays that have crossed are left out.
+    along the ray, FIRST_LEAVES of them and twice as many in each round after; rays that have crossed are left out. Rays
+    that are there more than once are sampled, and their leaves counted, once.
     """
     order = Window.partitionBy("ray_id").orderBy("first")
+    rays, rows = _once(rays)
     own = ranges.select(F.col("node_key").alias("leaf_key"), ((F.col("lo") <= iso) & (F.col("hi") >= iso)).alias("holds"))
     steps = leaf_steps(rays, nodes, length).join(own, "leaf_key", "left").withColumn("place", F.row_number().over(order) - 1)
     wanted = F.when(F.coalesce("holds", F.lit(True)), F.sequence("first", "last")).otherwise(F.array_distinct(F.array("first", "last")))
@@ -119,4 +141,5 @@ def first_crossing(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geo
         done = rays.sparkSession.createDataFrame([], f"ray_id {rays.schema['ray_id'].dataType.simpleString()}, step int, before double, value double")
     f1, f2 = F.col("before") - iso, F.col("value") - iso
     x1, x2 = (F.col("step") - 1) * length, F.col("step") * length
-    return done.select("ray_id", "step", F.when(F.col("value") > iso, 1).otherwise(-1).alias("direction"), ((x2 * f1 - x1 * f2) / (f1 - f2)).alias("t")), sampled_leaves
+    crossed = done.select("ray_id", "step", F.when(F.col("value") > iso, 1).otherwise(-1).alias("direction"), ((x2 * f1 - x1 * f2) / (f1 - f2)).alias("t"))
+    return _for_rows(crossed, rows), sampled_leaves

@@ -6,11 +6,12 @@ geometry: cell_id, v (array of the four point ids), corners (array of struct<x,
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volmesh.common import broadcast_if_few, shuffled
+from volmesh.common import broadcast_if_few, checkpointed, shuffled
 from volmesh.functions.geometry import tet_volume
 from volmesh.operators.mesh import VERTICES, all_of, cell_corners
 
@@ -51,28 +52,52 @@ def _weights() -> Column:
     return F.element_at(F.transform(F.array(F.array(*parts, tet_volume(*v))), _divided), 1)
 
 
-def cells_of_leaves(leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
-    """leaf_key, cell_id, v, corners and low and high (arrays): where a weight of -eps may lie at most."""
+def _wide(geometry: DataFrame, eps: float) -> DataFrame:
+    """geometry with low and high (arrays): where a weight of -eps may lie at most."""
     least = lambda a: F.array_min(F.transform("corners", lambda c: c[a]))
     most = lambda a: F.array_max(F.transform("corners", lambda c: c[a]))
     # A weight of -eps lies within eps times the cell's extent of its bounds, three times over at the corners.
     wide = geometry.select("cell_id", "v", "corners", F.array(*(least(a) for a in "xyz")).alias("l"), F.array(*(most(a) for a in "xyz")).alias("h"))
     low, high = (F.zip_with("l", "h", f) for f in (lambda l, h: l - 4 * eps * (h - l), lambda l, h: h + 4 * eps * (h - l)))
-    return leaf_cells.join(wide.select("cell_id", "v", "corners", low.alias("low"), high.alias("high")), "cell_id").select("leaf_key", "cell_id", "v", "corners", "low", "high")
+    return wide.select("cell_id", "v", "corners", low.alias("low"), high.alias("high"))
+
+
+def cells_of_leaves(leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
+    """leaf_key, cell_id, v, corners and low and high (arrays): where a weight of -eps may lie at most."""
+    return leaf_cells.join(_wide(geometry, eps), "cell_id").select("leaf_key", "cell_id", "v", "corners", "low", "high")
+
+
+#: Exponent of the least step of a grid: places under 2 ** 13 are told apart by 53 bits.
+LEAST_LEVEL = -40
+
+
+def _step(level: str = "level") -> Column:
+    return F.pow(F.lit(2.0), F.col(level))
 
 
 def containing_cell(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
     """probe_id, cell_id, v, weights of the cell with the smallest id that holds each probe (with leaf_key).
 
     eps: how far below zero a barycentric weight may be. Cells without volume hold nothing. Cells are brought to
-    their leaves first; the box test is part of the join of probes and leaves, so only cells near a probe come out.
+    their leaves first, and there they meet probes in grids, however many cells a leaf has: a cell lies in the grid whose
+    step is the power of two from its longest side on, at its low corner, which is one step at most before a probe that it
+    holds. The box test is part of the join, so only cells near a probe come out.
     """
     cells = cells_of_leaves(leaf_cells, geometry, eps)
-    p = probes.select("probe_id", F.col("leaf_key").alias("in_leaf"), "x", "y", "z")
+    longest = F.greatest(*(F.element_at("high", i) - F.element_at("low", i) for i in (1, 2, 3))) * (1 + 1e-9)
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.when(longest > 0, longest)))).cast("int")
+    cells = cells.withColumn("level", level).withColumns({f"g{a}": F.floor(F.element_at("low", i + 1) / _step()) for i, a in enumerate("xyz")})
+    levels = F.broadcast(_wide(geometry, eps).select(level.alias("level")).distinct())  # as many as there are exponents
+    p = probes.where("leaf_key IS NOT NULL").select("probe_id", F.col("leaf_key").alias("in_leaf"), *(F.col(a).cast("double").alias(a) for a in "xyz")).join(levels.withColumnRenamed("level", "at_level"))
+    for a in "xyz":
+        here = F.floor(F.col(a) / _step("at_level"))
+        p = p.withColumn(f"at_{a}", F.explode(F.sequence(here - 1, here)))
+    p = shuffled(p)
     near = all_of([F.col(a).between(F.element_at("low", i + 1), F.element_at("high", i + 1)) for i, a in enumerate("xyz")])
     # The weights are generated, not filtered, so that they are computed once and after the box test of the join.
     inside = F.filter(F.array(_weights()), lambda w: F.forall(w, lambda x: x >= -eps))
-    held = p.join(cells, (F.col("in_leaf") == F.col("leaf_key")) & near).select("probe_id", "cell_id", "v", F.explode(inside).alias("weights"))
+    meet = all_of([F.col("in_leaf") == F.col("leaf_key"), F.col("at_level") == F.col("level"), *(F.col(f"at_{a}") == F.col(f"g{a}") for a in "xyz")])
+    held = p.join(cells, meet & near).select("probe_id", "cell_id", "v", F.explode(inside).alias("weights"))
     return held.groupBy("probe_id").agg(F.min(F.struct("cell_id", "v", "weights")).alias("m")).select("probe_id", "m.cell_id", "m.v", "m.weights")
 
 
@@ -85,9 +110,12 @@ def sampled(held: DataFrame, fields: DataFrame) -> DataFrame:
 def sampled_or_nearest(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, eps: float = 0.005) -> DataFrame:
     """probe_id, name, sample, found: the value in the cell that holds a probe (found: cell), else that of the nearest
     vertex in its leaf (vertex), else 0 (none), for every probe and field."""
-    inside = sampled(containing_cell(probes, leaf_cells, geometry, eps), fields)
-    near = nearest_in_leaf(probes, leaf_cells, geometry).join(fields, "point_id").select("probe_id", "name", F.col("value").alias("near"))
-    every = probes.select("probe_id").join(broadcast_if_few(fields.select("name").distinct(), 1000))
+    inside = checkpointed(sampled(containing_cell(probes, leaf_cells, geometry, eps), fields))
+    every = shuffled(probes.select("probe_id").join(broadcast_if_few(fields.select("name").distinct(), 1000)))
+    # Only probes that lack the sample of some field are brought to vertices.
+    lacking = every.join(inside.where("sample IS NOT NULL"), ["probe_id", "name"], "left_anti").select("probe_id").distinct()
+    alone = probes.join(lacking, "probe_id", "left_semi")
+    near = nearest_in_leaf(alone, leaf_cells, geometry).join(fields, "point_id").select("probe_id", "name", F.col("value").alias("near"))
     both = every.join(inside, ["probe_id", "name"], "left").join(near, ["probe_id", "name"], "left")
     found = F.when(F.col("sample").isNotNull(), "cell").when(F.col("near").isNotNull(), "vertex").otherwise("none")
     return both.select("probe_id", "name", F.coalesce("sample", "near", F.lit(0.0)).alias("sample"), found.alias("found"))
@@ -131,8 +159,38 @@ def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def nearest_in_leaf(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame) -> DataFrame:
-    """probe_id, point_id, distance of the nearest vertex among the cells of the probe's leaf."""
-    vertices = leaf_cells.join(geometry, "cell_id").select("leaf_key", F.explode(F.arrays_zip("v", "corners")).alias("c")).select("leaf_key", F.col("c.v").alias("point_id"), *(F.col(f"c.corners.{a}").alias(f"v{a}") for a in "xyz")).distinct()
+    """probe_id, point_id, distance of the nearest vertex among the cells of the probe's leaf; ties by point_id.
+
+    Vertices lie in a grid, and a probe sees the grid's cells around it. What it finds within a step is nearest; others
+    are looked up again in a grid of twice the step, until all are found. The first step is such that a grid's cell has
+    about one vertex.
+    """
+    cast = [F.col(f"c.corners.{a}").cast("double").alias(f"v{a}") for a in "xyz"]
+    vertices = checkpointed(leaf_cells.join(geometry, "cell_id").select("leaf_key", F.explode(F.arrays_zip("v", "corners")).alias("c")).select("leaf_key", F.col("c.v").alias("point_id"), *cast).distinct())
+    n = vertices.agg(F.count("*").alias("n"), *(f(f"v{a}").alias(f"{k}{a}") for a in "xyz" for k, f in (("l", F.min), ("h", F.max)))).first()
+    some = vertices.select("leaf_key").distinct()
+    left = checkpointed(probes.select("probe_id", "leaf_key", *(F.col(a).cast("double").alias(a) for a in "xyz")).where(all_of([F.abs(F.col(a)) < F.lit(math.inf) for a in "xyz"])).join(some, "leaf_key", "left_semi"))
+    if not n.n or left.isEmpty():
+        return left.select("probe_id", F.lit(None).cast(vertices.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    sides = [n[f"h{a}"] - n[f"l{a}"] for a in "xyz"]
+    wide = [s for s in sides if s > 0]
+    far = left.agg(*(F.max(F.greatest(F.abs(F.col(a) - n[f"l{a}"]), F.abs(F.col(a) - n[f"h{a}"]))).alias(a) for a in "xyz")).first()
+    furthest = math.sqrt(sum(v * v for v in far)) * 2
+    step = 2.0 ** math.ceil(math.log2((math.prod(wide) / n.n) ** (1 / len(wide)))) if wide else 1.0
     away = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) * (F.col(a) - F.col(f"v{a}")) for a in "xyz"), F.lit(0.0)))
-    pairs = probes.select("probe_id", "leaf_key", "x", "y", "z").join(vertices, "leaf_key").withColumn("distance", away)
-    return pairs.groupBy("probe_id").agg(F.min(F.struct("distance", "point_id")).alias("m")).select("probe_id", "m.point_id", "m.distance")
+    done = []
+    while True:
+        whole = step > furthest  # a ball of this radius holds all vertices
+        around = left
+        for a in "xyz":
+            around = around.withColumn(f"g{a}", F.explode(F.sequence(F.floor((F.col(a) - step) / step), F.floor((F.col(a) + step) / step))))
+        placed = vertices.withColumns({f"g{a}": F.floor(F.col(f"v{a}") / step) for a in "xyz"})
+        pairs = shuffled(around).join(placed, ["leaf_key", "gx", "gy", "gz"]).withColumn("distance", away)
+        if not whole:
+            pairs = pairs.where(F.col("distance") <= step * (1 - 1e-9))
+        found = checkpointed(pairs.groupBy("probe_id").agg(F.min(F.struct("distance", "point_id")).alias("m")).select("probe_id", "m.point_id", "m.distance"))
+        done.append(found)
+        left = checkpointed(left.join(found.select("probe_id"), "probe_id", "left_anti"))
+        if whole or left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        step *= 2
