@@ -31,3 +31,15 @@ def test_moments_and_samples_of_all_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "word " * i + "," * (i % 7)) for i in range(40)], "doc_id long, text string")
     rules.judge(docs, labels)
     assert np.allclose(seen[0], np.array([textstats.statistics("word " * i + "," * (i % 7))[1] for i in range(40)]).std(axis=0), atol=1e-4)
+
+
+def test_the_threshold_is_that_of_all_labelled_rows(spark):
+    rng = np.random.default_rng(3)
+    for many, some in ((21_000, 300), (5, 4), (1, 1)):
+        good, bad = np.round(rng.beta(3, 6, many), 4), np.round(rng.beta(5, 5, some), 4)
+        rows = [(1, v) for v in good.tolist()] + [(0, v) for v in bad.tolist()]
+        least = np.quantile(good, rules.KEEP_GOOD)
+        tries = np.unique(np.r_[least, bad[bad > least], good[good > least]])
+        want = tries[np.argmax([(bad > t).mean() - 3 * (good > t).mean() for t in tries])]
+        assert rules.threshold(spark.createDataFrame(rows, "label int, score double")) == want
+    assert rules.threshold(spark.createDataFrame([(1, 0.5)], "label int, score double")) == np.inf

@@ -1,7 +1,7 @@
 """Quality rules, and an isolation forest on their statistics.
 
 Trees split a sample of texts that labels call good, at random places of random statistics; a text that few
-splits set apart is unlike them. Labelled rows set the threshold.
+splits set apart is unlike them. All labelled rows set the threshold.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TEXT_KEY, batch_of, checkpointed
@@ -19,8 +19,8 @@ from .quality import held_out, labels_of, moments, sampled, shares_of
 from .textstats import COUNTS, matrix, text_statistics
 
 TREES, TREE_ROWS = 200, 256
-#: Texts that the forest is grown on, and labelled ones of either kind that set the threshold, at most.
-MOST_GROWN, MOST_CALIBRATED = 20_000, 20_000
+#: Texts that the trees draw their TREE_ROWS from, at most.
+MOST_GROWN = 20_000
 #: Share of the texts with label 1 that the threshold keeps at least.
 KEEP_GOOD = 0.995
 
@@ -90,14 +90,29 @@ def grow(x: np.ndarray, spread: np.ndarray, trees: int = TREES, rows: int = TREE
     return Forest(np.array(roots, int), np.array(columns[0], int), np.array(columns[1], float), np.stack([np.array(columns[2], int), np.array(columns[3], int)], axis=1), np.array(columns[4], float), max(1e-9, float(unsuccessful(max(2, rows)))), depth)
 
 
-def threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score that rejects most of ``bad`` for the good ones it costs, and at most 1 - KEEP_GOOD of these."""
-    if not len(good) or not len(bad):
-        return np.inf
-    least = np.quantile(good, KEEP_GOOD)
-    tries = np.unique(np.r_[least, bad[bad > least], good[good > least]])
-    caught = np.array([(bad > t).mean() - 3 * (good > t).mean() for t in tries])
-    return float(tries[caught.argmax()])
+def threshold(scores: DataFrame) -> float:
+    """The score that rejects most of the bad texts for the good ones it costs, and at most 1 - KEEP_GOOD of these, over all
+    rows of scores (label, score); infinite without both kinds.
+
+    Scores are ranked within ranges of them, plus what stands before, so no task ranks all.
+    """
+    good, bad = F.sum((F.col("label") == 1).cast("long")), F.sum((F.col("label") == 0).cast("long"))
+    counted = checkpointed(scores.groupBy("score").agg(good.alias("g"), bad.alias("b")).repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    sums = counted.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = sums.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "gb"))
+    along = Window.partitionBy("part").orderBy("score")
+    upto = checkpointed(counted.join(F.broadcast(starts), "part").select("score", "g", "b", *((F.sum(c).over(along) + F.col(f"{c}_before")).alias(f"{c}_upto") for c in "gb")))
+    n, m = (v or 0 for v in counted.agg(F.sum("g"), F.sum("b")).first())
+    if not n or not m:
+        return float("inf")
+    place = KEEP_GOOD * (n - 1)
+    low, high = upto.agg(*(F.min(F.when(F.col("g_upto") > k, F.col("score"))) for k in (int(np.floor(place)), int(np.ceil(place))))).first()
+    least = float(np.quantile(np.array([low, high]), place - np.floor(place)))
+    caught = lambda g, b: (m - b) / F.lit(float(m)) - 3 * ((n - g) / F.lit(float(n)))
+    at_least = upto.where(F.col("score") <= least).agg(caught(F.sum("g"), F.sum("b"))).first()[0]
+    best = upto.where(F.col("score") > least).select("score", caught(F.col("g_upto"), F.col("b_upto")).alias("caught")).orderBy(F.desc("caught"), "score").first()
+    return best.score if best and best.caught > at_least else least
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -111,10 +126,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     stats = checkpointed(text_statistics(docs))
     known = stats.join(labels_of(labels), "doc_id").where(~held_out(F.col("doc_id")))
-    good = shares_of(sampled(known.where("label = 1"), MOST_CALIBRATED))
-    bad = shares_of(sampled(known.where("label = 0"), MOST_CALIBRATED))
+    good = shares_of(sampled(known.where("label = 1"), MOST_GROWN))
     forest = grow(good if len(good) else shares_of(sampled(stats, MOST_GROWN)), moments(stats)[1])
-    limit = threshold(forest.score(good), forest.score(bad))
     arrow = pa.schema([("doc_id", pa.int64()), (TEXT_KEY, pa.int64()), *((c, pa.int64()) for c in COUNTS), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +135,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield batch_of(arrow, [*batch.columns[:-1], pa.array(forest.score(matrix(batch)))])
 
-    scored = stats.mapInArrow(run, f"doc_id long, {TEXT_KEY} long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
+    schema = f"doc_id long, {TEXT_KEY} long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
+    scored = checkpointed(stats.mapInArrow(run, schema))
+    known = scored.join(labels_of(labels), "doc_id").where(~held_out(F.col("doc_id")))
+    limit = threshold(known.select("label", "score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") <= F.lit(float(limit))))
