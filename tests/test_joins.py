@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from volmesh import registry
 from volmesh.common import shuffled
 from volmesh.operators import mesh, probe, sampling, structured, tree
+from volmesh.plans import fixtures
 
 SIZE = (6, 5, 4)
 
@@ -52,3 +54,10 @@ def test_nearest_vertices_against_all_pairs(spark):
             d, point = min((sum((a - b) ** 2 for a, b in zip(p, v, strict=True)) ** 0.5, k) for k, v in vertices)
             want[i] = point, round(d, 9)
     assert got == want
+
+
+def test_the_removed_share_is_of_all_cells(spark):
+    folder = "/root/testdata/sf0.001"
+    sx, sy, sz = fixtures.size(spark, folder)
+    row = registry.removed_share(spark, folder).first()
+    assert row.cells == 6 * (sx - 1) * (sy - 1) * (sz - 1) and 0 < row.removed < row.cells
