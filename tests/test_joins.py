@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from volmesh import registry
 from volmesh.common import shuffled
-from volmesh.operators import mesh, probe, sampling, structured, tree
+from volmesh.operators import blocks, mesh, probe, sampling, structured, tree
 from volmesh.plans import fixtures
 
 SIZE = (6, 5, 4)
@@ -61,3 +61,16 @@ def test_the_removed_share_is_of_all_cells(spark):
     sx, sy, sz = fixtures.size(spark, folder)
     row = registry.removed_share(spark, folder).first()
     assert row.cells == 6 * (sx - 1) * (sy - 1) * (sz - 1) and 0 < row.removed < row.cells
+
+
+def test_blocks_are_ranked_in_buckets(spark, monkeypatch):
+    leaf_cells, _ = _leaf(spark, 9)
+    cells = structured.grid_tets(spark, (9, 2, 2)).select("cell_id", *mesh.VERTICES)
+    monkeypatch.setattr(blocks, "RANKED", 7)
+    points, local = blocks.split_blocks(leaf_cells, cells)
+    assert "[leaf_key#" in plan_of(points) and "bucket#" in [line for line in plan_of(points).split("\n") if "Window [row_number" in line][0]
+    order, want = {}, []
+    for r in sorted(cells.collect()):
+        want.append(tuple(order.setdefault(v, len(order)) for v in r[1:]))
+    assert {r.point_id: r.local_id for r in points.collect()} == order
+    assert [tuple(r[2:]) for r in sorted(local.collect())] == want and sorted(r.local_cell for r in local.collect()) == list(range(len(want)))

@@ -10,17 +10,33 @@ from volmesh.functions.geometry import in_box
 
 #: Blocks in a request at most; fixed value.
 BATCH = 1000
+#: Numbers of cells that a task ranks together.
+RANKED = 1 << 16
+
+
+def _ranks(rows: DataFrame, counted: DataFrame, order: Column, bucket: Column, name: str) -> DataFrame:
+    """rows with ``name``: their place from 0 on within their leaf_key by ``order``, whose leading part ``bucket`` is.
+    counted: the same rows' leaf_key and bucket.
+
+    Ranks are those within a bucket of a leaf plus what stands before, so no task ranks a whole leaf.
+    """
+    before = Window.partitionBy("leaf_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.groupBy("leaf_key", "bucket").agg(F.count("*").alias("n")).select("leaf_key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = rows.withColumn("bucket", bucket)
+    local = placed.withColumn(name, F.row_number().over(Window.partitionBy("leaf_key", "bucket").orderBy(order)) - 1)
+    return local.join(starts, ["leaf_key", "bucket"]).withColumn(name, (F.col(name) + F.col("start")).cast("int")).drop("bucket", "start")
 
 
 def split_blocks(leaf_cells: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block_points: leaf_key, local_id, point_id; block_cells: leaf_key, local_cell, v0 .. v3, all local)."""
     ordered = leaf_cells.join(cells.select("cell_id", "v0", "v1", "v2", "v3"), "cell_id")
     long = ordered.select("leaf_key", "cell_id", F.posexplode(F.array("v0", "v1", "v2", "v3")).alias("i", "point_id"))
-    first = long.groupBy("leaf_key", "point_id").agg(F.min(F.struct("cell_id", "i")).alias("at"))
-    points = first.select("leaf_key", (F.row_number().over(Window.partitionBy("leaf_key").orderBy("at")) - 1).alias("local_id"), "point_id")
+    first = checkpointed(long.groupBy("leaf_key", "point_id").agg(F.min(F.struct("cell_id", "i")).alias("at")))
+    bucket = lambda c: F.floor(F.col(c) / RANKED)
+    points = _ranks(first, first.select("leaf_key", bucket("at.cell_id").alias("bucket")), F.col("at"), bucket("at.cell_id"), "local_id").select("leaf_key", "local_id", "point_id")
     local = long.join(points, ["leaf_key", "point_id"]).groupBy("leaf_key", "cell_id").agg(*(F.max(F.when(F.col("i") == i, F.col("local_id"))).alias(f"v{i}") for i in range(4)))
-    in_leaf = Window.partitionBy("leaf_key").orderBy("cell_id")
-    return points, local.select("leaf_key", (F.row_number().over(in_leaf) - 1).alias("local_cell"), "v0", "v1", "v2", "v3")
+    ranked = _ranks(local, ordered.select("leaf_key", bucket("cell_id").alias("bucket")), F.col("cell_id"), bucket("cell_id"), "local_cell")
+    return points, ranked.select("leaf_key", "local_cell", "v0", "v1", "v2", "v3")
 
 
 def block_values(block_points: DataFrame, fields: DataFrame) -> DataFrame:
