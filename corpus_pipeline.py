@@ -39,8 +39,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each group of near duplicates one document stays, once: that with the smallest doc_id (of several texts
     under it the one with the least key), or with none if no document of the group has an id.
 
-    Near duplicates share 0.8 of their five-word shingles (Jaccard), or are joined by others that do; a few pairs near 0.8
-    are missed (see the README). Texts without words are one group, of those under five words the whole counts as a
+    Near duplicates share 0.8 of their five-word shingles (Jaccard), or are joined by others that do. Those whose SimHash
+    fingerprints differ in at most two bits meet in the grid of segment bit counts; the rest meet in bands, where a few
+    pairs near 0.8 are missed (see the README). Texts without words are one group, of those under five words the whole counts as a
     shingle, and long ones are compared whole. An empty table gives an empty one, and other columns go along whatever their
     names.
     """

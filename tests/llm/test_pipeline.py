@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from volmesh.llm import bpe, mixing, quality, similar, textstats
+from volmesh.llm import bpe, mixing, quality, similar, simhash, textstats
 from volmesh.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,6 +61,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert len(got) < len(rows) / 2
 
 
+def test_fingerprints_in_the_grid_link_near_duplicates(spark, monkeypatch):
+    rows = planted(5, 60, 6)
+    sketches = similar._sketches
+    # No text meets another in a band: links come from fingerprints alone.
+    monkeypatch.setattr(similar, "_sketches", lambda docs: sketches(docs).withColumn("bands", F.when(F.col("size") > 0, F.array("shape")).otherwise(F.array().cast("array<long>"))))
+    sets, fps = [shingles(t) for _, t in rows], [simhash.votes(similar.shingle_set(t or "")) for _, t in rows]
+    group, links = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and alike(sets[i], sets[j]):
+                links += sets[i] != sets[j]
+                x, y = group[i], group[j]
+                group = [y if g == x else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(i, least.get(g, i))
+    assert links > 20
+    assert {r.doc_id for r in pipeline.near_duplicates_stage(spark, frame(spark, rows), "").collect()} == set(least.values())
+
+
 def test_texts_under_null_and_repeated_ids_stay(spark):
     text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " end"), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("d")), (None, text("e")), (None, None)]

@@ -88,11 +88,8 @@ def _cells(fps: DataFrame) -> DataFrame:
     return fps.select("fp", point.alias("point")).select("fp", F.explode(F.array_compact(F.array(*steps))).alias("s")).select("fp", "s.axis", "s.step", "s.cell")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: links between distinct fingerprints (fp) that join all those that differ in at most two bits.
-
-    Fingerprints around a value are linked to the least of them; all of them are within two bits of each other.
-    """
+def _values(fps: DataFrame) -> DataFrame:
+    """fp, value, once each: the values within one bit of distinct fingerprints (fp) that fall in cells where several met."""
     cells = _cells(fps)
     met = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     near = cells.join(met, "cell")
@@ -103,14 +100,28 @@ def links(fps: DataFrame) -> DataFrame:
             j,
         ),
     )
-    values = near.select(
+    return near.select(
         "fp",
         F.explode(F.when(F.col("step") == 0, F.array(F.col("fp"))).otherwise(F.transform(F.array_compact(flips), lambda j: F.col("fp").bitwiseXOR(F.element_at(_powers(), F.col("axis") * SEGMENT_BITS + j + 1))))).alias("value"),
     )
-    around = values.groupBy("value").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """a, b: links between distinct fingerprints (fp) that join all those that differ in at most two bits.
+
+    Fingerprints around a value are linked to the least of them; all of them are within two bits of each other.
+    """
+    around = _values(fps).groupBy("value").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     return around.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
+def shared_values(fps: DataFrame) -> DataFrame:
+    """fp, value: values within one bit of several of the distinct fingerprints (fp), by which any two that differ in at
+    most two bits meet. At most 65 share a value."""
+    around = _values(fps).groupBy("value").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
+    return around.select(F.explode("fps").alias("fp"), "value")
+
+
 def _powers() -> Column:
     return F.array(*(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
 

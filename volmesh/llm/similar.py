@@ -1,11 +1,13 @@
-"""Texts whose sets of word shingles overlap by a share, found whole: signatures, SimHash, exact test.
-
-SimHash over five words lies 10 of 64 bits apart on average at Jaccard 0.8, and up to 20: no grid over segment bit
-counts is selective there. Candidates therefore meet in bands of least hashes; those whose sizes and
-fingerprints allow the similarity are tested on their whole sets. A band's texts are first tested against its least
-one, in joins. Bands that still hold several components (large groups of copies that are less alike to each other
-than 0.8) are then tested whole, in blocks of bounded size: a task counts what all texts of two blocks share by a
-matrix product over their shingles, and gives only links that join components. No pairs are listed.
+"""Texts whose sets of word shingles overlap by a share: SimHash in the grid of segment bit counts, exact test.
+
+Texts whose fingerprints differ in at most two bits meet in the grid of ``simhash`` and are tested on their whole sets.
+SimHash over five words lies 10 of 64 bits apart on average at Jaccard 0.8, and up to 20, where no grid over segment bit
+counts is selective. What the grid leaves apart therefore also meets in bands of least hashes; pairs there whose sizes and
+fingerprints allow the similarity are tested in the same way. A bucket's texts (those around a fingerprint value, or of a
+band) are first tested against its least one, in joins. Buckets that still hold several components (large groups of
+copies that are less alike to each other than 0.8) are then tested whole, in blocks of bounded size: a task counts what
+all texts of two blocks share by a matrix product over their shingles, and gives only links that join components. No
+pairs are listed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
 from .components import components
-from .simhash import shingle_hashes, votes
+from .simhash import shared_values, shingle_hashes, votes
 
 WORDS = 5
 #: Bands of a signature and least hashes in each: a pair of Jaccard 0.8 misses all bands in 0.04 % of the cases.
@@ -180,25 +182,48 @@ def _links_in_bands(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "shape").groupBy("band", "i", "j").applyInArrow(group, "a long, b long")
 
 
+def _with_hubs(buckets: DataFrame) -> DataFrame:
+    """Texts (band, shape, size, fp) of buckets that hold several, with the least text of each."""
+    hubs = buckets.groupBy("band").agg(F.min(F.struct("shape", "size", "fp")).alias("h"), F.count("*").alias("n")).where("n > 1")
+    return checkpointed(buckets.join(hubs, "band").select("band", "shape", "size", "fp", F.col("h.shape").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.fp").alias("hub_fp")))
+
+
+def _around_values(classes: DataFrame) -> DataFrame:
+    """band, shape, size, fp: texts by the values that their fingerprints meet around, or by the one that they share."""
+    texts = classes.where("size > 0").select("shape", "size", "fp")
+    same = texts.groupBy("fp").agg(F.count("*").alias("n"))
+    met = shared_values(same.select("fp")).union(same.where("n > 1").select("fp", F.col("fp").alias("value"))).distinct()
+    return texts.join(met, "fp").select(F.xxhash64("value", F.lit("value")).alias("band"), "shape", "size", "fp")
+
+
+def _to_hubs(near: DataFrame) -> DataFrame:
+    return near.where((F.col("shape") != F.col("hub")) & _may_be("", "hub_")).select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, component per row: texts with a Jaccard similarity of 0.8 or more over sets of five-word
     shingles are linked, and a component is what links reach. Texts of fewer words have one shingle of all of them;
     texts without words are alike. Null ids need no care here, as only texts are linked.
 
-    What is linked is compared exactly, but not all pairs are looked at: those that share none of BANDS bands (0.04 % of
-    pairs at 0.8, fewer above), or whose fingerprints lie over RADIUS bits apart, are missed.
+    What is linked is compared exactly. Of texts whose fingerprints differ in at most two bits no link is missed. Of others
+    not all pairs are looked at: those that share none of BANDS bands (0.04 % of pairs at 0.8, fewer above), or whose
+    fingerprints lie over RADIUS bits apart, are missed.
     """
     rows = checkpointed(_sketches(docs))
     classes = checkpointed(rows.select("shape", "size", "fp", "bands", _row_key().alias("row_key")).dropDuplicates(["shape"]))
-    bands = classes.select("shape", "size", "fp", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min(F.struct("shape", "size", "fp")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    near = checkpointed(bands.join(hubs, "band").select("band", "shape", "size", "fp", F.col("h.shape").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.fp").alias("hub_fp")))
+    around = _with_hubs(_around_values(classes))
+    banded = _with_hubs(classes.select("shape", "size", "fp", F.explode("bands").alias("band")).select("band", "shape", "size", "fp"))
+    near = around.union(banded)
     sets = _sets(docs, classes.join(near.select("shape").distinct(), "shape", "left_semi").select("row_key"))
-    to_hubs = checkpointed(near.where((F.col("shape") != F.col("hub")) & _may_be("", "hub_")).select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct())
-    links = _verified(to_hubs, sets)
+    links = _verified(checkpointed(_to_hubs(around)), sets)
+    parts = checkpointed(components(links))
+    # Bands need not test what fingerprints have joined.
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    apart = _to_hubs(banded).join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b")
+    links = links.union(_verified(checkpointed(apart), sets))
     parts = checkpointed(components(links))
     placed = near.join(parts, F.col("shape") == F.col("node"), "left").withColumn("component", F.coalesce("component", "shape"))
-    # All texts of a band have been tested against its hub.
+    # All texts of a bucket have been tested against its hub, or are joined with it.
     others = placed.where(F.col("shape") != F.col("hub"))
     mixed = others.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
     open_ = checkpointed(others.join(mixed, "band").select("band", "shape", "size", "component"))
