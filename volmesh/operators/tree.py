@@ -253,12 +253,13 @@ def build_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str = NODE
 
 
 def level_tree(bounds: DataFrame, box: tuple[tuple, tuple], strategy: str, max_cells: int, max_depth: int, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``build_tree`` a level at a time, for trees of any size."""
+    """``build_tree`` a level at a time, for trees of any size. Cells and vertices are written once at the root, as each level
+    reads them several times and what they are made of may cost more."""
     spark = bounds.sparkSession
     root = [(1, *(float(v) for v in (*box[0], *box[1])))]
     nodes = spark.createDataFrame(root, "node_key long, " + ", ".join(f"{b} double" for b in BOUNDS))
-    active = bounds.select(F.lit(1).cast("long").alias("node_key"), "cell_id", *BOUNDS)
-    vertices = None if points is None else points.select(F.lit(1).cast("long").alias("node_key"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
+    active = checkpointed(bounds.select(F.lit(1).cast("long").alias("node_key"), "cell_id", *BOUNDS))
+    vertices = None if points is None else checkpointed(points.select(F.lit(1).cast("long").alias("node_key"), *(F.col(a).cast("double").alias(a) for a in "xyz")))
     done, leaves, depth = [], [], 0
     while True:
         axis = depth % 3
