@@ -37,6 +37,16 @@ def released(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows of digests, links or hashes in a partition.
+PART_ROWS = 1 << 15
+
+
+def gathered(df: DataFrame, rows: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """df, of so many short rows at most, in no more partitions than they fill: such rows are little of their texts, and
+    a task, an exchange or a checkpoint for few of them in each of many partitions would be made of tiny blocks."""
+    return df.coalesce(max(1, -(-rows // part_rows)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,14 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, gathered
 
 #: Nodes in a run.
 FAN = 16
 #: The tree of subroots; sources' trees are numbered from 0 on.
 TOP = -1
-#: Ancestors that are broadcast at most, with a segment each; rows of digests in a partition.
-FEW, PART_ROWS = 1000, 1 << 15
+#: Ancestors that are broadcast at most, with a segment each.
+FEW = 1000
 
 KEY = ("tree", "level", "pos")
 
@@ -44,12 +44,6 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def gathered(df: DataFrame, rows: int) -> DataFrame:
-    """df, of so many rows, in no more partitions than they fill: digests are little of
-    their texts, and an exchange of few rows from each of many partitions would be made of tiny blocks."""
-    return df.coalesce(max(1, -(-rows // PART_ROWS)))
-
-
 def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, count: int) -> DataFrame:
     """rows with ``name``: their place within their group (from 0 on, nulls first) and ``n``, the group's rows.
 

@@ -21,15 +21,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
+from .common import TEXT_KEY, batch_of, checkpointed, column, gathered, keyed_texts, released, slices
 from .components import components
 from .simhash import shared_values, shingle_hashes, votes
 
 WORDS = 5
 #: Bands of a signature and least hashes in each: a pair of Jaccard 0.8 misses all bands in 0.04 % of the cases.
 BANDS, BAND_HASHES = 20, 5
+#: Values that a fingerprint may meet others around: those within one bit of it.
+AROUND = 65
 #: Fingerprints that differ in more bits aren't tested: at Jaccard 0.8 the mean is 9.7, the deviation 2.9.
 RADIUS = 24
+#: Texts in a partition of classes, each of which is exploded to its cells and bands.
+CLASS_ROWS = 1 << 13
 #: Up to so many texts are broadcast by their keys to find their words; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 200_000
 #: Texts, and shingles in all, that a block of a band has about; numbers in a matrix of texts by shingles.
@@ -96,6 +100,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [shingle_set(t) for t in column(batch, "text")]
                 yield batch_of(arrow, [[shape_of(f) for f in found], [f.view(np.int64) for f in found]])
 
+    wanted = checkpointed(wanted)
     few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rows = keyed_texts(docs).withColumn("row_key", _row_key()).join(F.broadcast(wanted) if few else wanted, "row_key", "left_semi")
     return checkpointed(rows.select("text").mapInArrow(run, "shape long, hashes array<long>").dropDuplicates(["shape"]))
@@ -182,10 +187,11 @@ def _links_in_bands(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "shape").groupBy("band", "i", "j").applyInArrow(group, "a long, b long")
 
 
-def _with_hubs(buckets: DataFrame) -> DataFrame:
-    """Texts (band, shape, size, fp) of buckets that hold several, with the least text of each."""
+def _with_hubs(buckets: DataFrame, most: int) -> DataFrame:
+    """Texts (band, shape, size, fp; so many rows at most) of buckets that hold several, with the least text of each."""
     hubs = buckets.groupBy("band").agg(F.min(F.struct("shape", "size", "fp")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    return checkpointed(buckets.join(hubs, "band").select("band", "shape", "size", "fp", F.col("h.shape").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.fp").alias("hub_fp")))
+    found = buckets.join(hubs, "band").select("band", "shape", "size", "fp", F.col("h.shape").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.fp").alias("hub_fp"))
+    return checkpointed(gathered(found, most))
 
 
 def _around_values(classes: DataFrame) -> DataFrame:
@@ -210,24 +216,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     fingerprints lie over RADIUS bits apart, are missed.
     """
     rows = checkpointed(_sketches(docs))
-    classes = checkpointed(rows.select("shape", "size", "fp", "bands", _row_key().alias("row_key")).dropDuplicates(["shape"]))
-    around = _with_hubs(_around_values(classes))
-    banded = _with_hubs(classes.select("shape", "size", "fp", F.explode("bands").alias("band")).select("band", "shape", "size", "fp"))
+    n_rows = rows.count()
+    classes = checkpointed(gathered(rows.select("shape", "size", "fp", "bands", _row_key().alias("row_key")).dropDuplicates(["shape"]), n_rows, CLASS_ROWS))
+    around = released(_with_hubs(_around_values(classes), AROUND * n_rows))
+    banded = released(_with_hubs(classes.select("shape", "size", "fp", F.explode("bands").alias("band")).select("band", "shape", "size", "fp"), BANDS * n_rows))
     near = around.union(banded)
-    sets = _sets(docs, classes.join(near.select("shape").distinct(), "shape", "left_semi").select("row_key"))
-    links = _verified(checkpointed(_to_hubs(around)), sets)
+    sets = released(_sets(docs, gathered(classes.join(near.select("shape").distinct(), "shape", "left_semi").select("row_key"), n_rows)))
+    links = released(_verified(checkpointed(gathered(_to_hubs(around), AROUND * n_rows)), sets))
     parts = checkpointed(components(links))
     # Bands need not test what fingerprints have joined.
     of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     apart = _to_hubs(banded).join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b")
-    links = links.union(_verified(checkpointed(apart), sets))
+    links = links.union(released(_verified(checkpointed(gathered(apart, BANDS * n_rows)), sets)))
     parts = checkpointed(components(links))
     placed = near.join(parts, F.col("shape") == F.col("node"), "left").withColumn("component", F.coalesce("component", "shape"))
     # All texts of a bucket have been tested against its hub, or are joined with it.
     others = placed.where(F.col("shape") != F.col("hub"))
     mixed = others.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
     open_ = checkpointed(others.join(mixed, "band").select("band", "shape", "size", "component"))
-    across = checkpointed(_links_in_bands(open_, sets).distinct())
+    across = released(checkpointed(_links_in_bands(open_, sets).distinct()))
     if not across.isEmpty():
         parts = checkpointed(components(links.union(across)))
     whole = classes.select("shape").join(parts, F.col("shape") == F.col("node"), "left").select("shape", F.coalesce("component", "shape").alias("component"))
