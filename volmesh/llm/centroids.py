@@ -107,7 +107,7 @@ def fit(rows: DataFrame, k: int = 40, rounds: int = 5, seed: int = 2) -> np.ndar
     """
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.orderBy(order.asc_nulls_last(), "vector").limit(k).collect()
-    centroids = np.array([[int(np.floor(v * SCALE)) for v in r.vector] for r in first], object).reshape(len(first), -1)
+    centroids = np.array([[int(np.floor(v * SCALE)) for v in r.vector] for r in first], object).reshape(len(first), len(first[0].vector) if first else 0)
     for _ in range(rounds if first else 0):
         centroids = centroids.copy()
         for r in _summed(rows, centroids).collect():
