@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from volmesh.llm import common, components, similar
+from volmesh.llm import common, components, similar, simhash
 
 
 @pytest.fixture
@@ -63,3 +64,21 @@ def test_near_copies_of_few_texts_take_few_tasks(spark, tasks):
     got, n = tasks(lambda: similar.near_copies(docs).collect())
     assert len({r.component for r in got}) == 5
     assert n < 5000  # 3212; 8424 before
+
+
+def test_exploded_cells_and_bands_are_not_broadcast(spark, monkeypatch):
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan_of(simhash._values(spark.range(50).select(F.col("id").alias("fp"))))
+    monkeypatch.setattr(similar, "checkpointed", lambda df: df)
+    of = lambda name: F.col("id").alias(name)
+    bands = spark.range(50).select(of("shape"), of("size"), of("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id"))).alias("band"))
+    assert "Broadcast" not in plan_of(similar._with_hubs(bands, 50))
+    sets = spark.range(50).select(of("shape"), F.array("id").alias("hashes"))
+    pairs = spark.range(50).select(of("a"), (F.col("id") + 1).alias("b"))
+    assert plan_of(similar._verified(pairs, sets)).count("SortMergeJoin") == 2  # only the counts of copies are broadcast
+
+
+def test_cells_stay_in_tasks_when_their_fingerprints_are_few(spark):
+    found = simhash.links(spark.range(3000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp"))
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

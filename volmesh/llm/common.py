@@ -47,6 +47,12 @@ def gathered(df: DataFrame, rows: int, part_rows: int = PART_ROWS) -> DataFrame:
     return df.coalesce(max(1, -(-rows // part_rows)))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, whose next join is by a shuffle: Spark sizes exploded rows by those that they are made of, also while a query
+    runs, and would broadcast many times its threshold through the driver."""
+    return df.hint("merge")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

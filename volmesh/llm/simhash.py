@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, slices
+from .common import TEXT_KEY, batch_of, checkpointed, column, keyed_texts, shuffled, slices
 from .components import components
 
 SEED = 42
@@ -92,7 +92,7 @@ def _values(fps: DataFrame) -> DataFrame:
     """fp, value, once each: the values within one bit of distinct fingerprints (fp) that fall in cells where several met."""
     cells = _cells(fps)
     met = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    near = cells.join(met, "cell")
+    near = shuffled(cells).join(met, "cell")
     flips = F.transform(
         F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)),
         lambda j: F.when(

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, batch_of, checkpointed, column, gathered, keyed_texts, released, slices
+from .common import TEXT_KEY, batch_of, checkpointed, column, gathered, keyed_texts, released, shuffled, slices
 from .components import components
 from .simhash import shared_values, shingle_hashes, votes
 
@@ -114,7 +114,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     copies = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("long").alias("copies")).where("copies > 1"))
     dealt = pairs.join(copies, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).alias("copy"))
     left = sets.select(F.col("shape").alias("a"), F.col("hashes").alias("x")).join(copies, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("copy"))
-    both = dealt.join(sets.select(F.col("shape").alias("b"), F.col("hashes").alias("y")), "b").join(left, ["a", "copy"])
+    both = dealt.join(shuffled(sets.select(F.col("shape").alias("b"), F.col("hashes").alias("y"))), "b").join(shuffled(left), ["a", "copy"])
     shared = F.size(F.array_intersect("x", "y"))
     return checkpointed(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
@@ -184,13 +184,13 @@ def _links_in_bands(open_: DataFrame, sets: DataFrame) -> DataFrame:
         links = joining_links(shapes, groups, blocks, [np.asarray(h.values) for h in table["hashes"]]) if table.num_rows > 1 else []
         return pa.table([[x[i] for x in links] for i in range(2)], schema=arrow)
 
-    return dealt.join(sets, "shape").groupBy("band", "i", "j").applyInArrow(group, "a long, b long")
+    return shuffled(dealt).join(sets, "shape").groupBy("band", "i", "j").applyInArrow(group, "a long, b long")
 
 
 def _with_hubs(buckets: DataFrame, most: int) -> DataFrame:
     """Texts (band, shape, size, fp; so many rows at most) of buckets that hold several, with the least text of each."""
     hubs = buckets.groupBy("band").agg(F.min(F.struct("shape", "size", "fp")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    found = buckets.join(hubs, "band").select("band", "shape", "size", "fp", F.col("h.shape").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.fp").alias("hub_fp"))
+    found = shuffled(buckets).join(hubs, "band").select("band", "shape", "size", "fp", F.col("h.shape").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.fp").alias("hub_fp"))
     return checkpointed(gathered(found, most))
 
 
