@@ -7,17 +7,23 @@ a descent of its place would find, and a leaf comes once for each ray, in the or
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volmesh.common import checkpointed, shuffled
-from volmesh.operators.probe import box_interval, gathered
-from volmesh.operators.sampling import containing_cell, sampled
+from volmesh.common import broadcast_if_few, checkpointed, shuffled
+from volmesh.operators.probe import LEAST_LIGHT, absorption, box_interval, gathered
+from volmesh.operators.sampling import cell_levels, containing_cell, near_cells, sampled
 from volmesh.operators.tree import BOUNDS
 
 RAY = tuple(f"{n}{a}" for n in "od" for a in "xyz")
-#: Leaves of each ray that are sampled in the first round; twice as many in each one after.
-FIRST_LEAVES = 4
+#: Leaves of each ray, and steps in them, that are sampled in the first round; four times as many in each one after.
+FIRST_LEAVES, FIRST_STEPS = 4, 512
+#: Up to so many cells, vertices or rays are broadcast by their keys.
+MOST_BROADCAST = 1 << 20
 
 
 def _place(step: Column, axis: str, length: float) -> Column:
@@ -62,17 +68,63 @@ def leaf_steps(rays: DataFrame, nodes: DataFrame, length: float) -> DataFrame:
     return at
 
 
-def _samples(steps: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, eps: float) -> DataFrame:
-    """ray_id, step, name, value in the cells that hold the places of ``steps`` (leaf_steps with an array, steps)."""
-    each = steps.select("ray_id", *RAY, "begin", "leaf_key", F.explode("steps").alias("step"))
+def _places(steps: DataFrame, nodes: DataFrame, length: float) -> DataFrame:
+    """probe_id (struct: ray_id, step), leaf_key, x, y, z of ``steps`` (leaf_steps with an array, steps) in the root's box."""
+    # Few rows have many steps: they are dealt to all tasks first.
+    tasks = 4 * steps.sparkSession.sparkContext.defaultParallelism
+    each = steps.repartition(tasks).select("ray_id", *RAY, "begin", "leaf_key", F.explode("steps").alias("step"))
     places = each.select(F.struct("ray_id", "step").alias("probe_id"), "leaf_key", *(_place(F.col("step"), a, length).alias(a) for a in "xyz"))
     root = nodes.where("node_key = 1").select(*(F.col(b).alias(f"r{b}") for b in BOUNDS))
     inside = " AND ".join(f"{a} BETWEEN r{a}0 AND r{a}1" for a in "xyz")
-    places = places.join(F.broadcast(root)).where(inside).select("probe_id", "leaf_key", "x", "y", "z")  # one row
-    # Only cells of leaves that some ray passes are brought to their leaves.
-    passed = leaf_cells.join(steps.select("leaf_key").distinct(), "leaf_key", "left_semi")
-    found = sampled(containing_cell(places, passed, geometry, eps), fields)
-    return found.select("probe_id.ray_id", "probe_id.step", "name", F.col("sample").alias("value"))
+    return places.join(F.broadcast(root)).where(inside).select("probe_id", "leaf_key", "x", "y", "z")  # one row
+
+
+def _samples(steps: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, eps: float, levels: DataFrame | None = None) -> DataFrame:
+    """ray_id, step, name, value in the cells that hold the places of ``steps`` (leaf_steps with an array, steps).
+
+    levels (of cell_levels): the places are few, so cells and values are looked for by them, and no others are moved.
+    """
+    places = _places(steps, nodes, length)
+    near = None if levels is None else near_cells(places, geometry, levels, eps)
+    if near is None:
+        # Only cells of leaves that some ray passes are brought to their leaves.
+        leaves = broadcast_if_few(steps.select("leaf_key").distinct(), MOST_BROADCAST)
+        held = containing_cell(places, shuffled(leaf_cells.join(leaves, "leaf_key", "left_semi")), geometry, eps)
+    else:
+        cells = broadcast_if_few(near.select("cell_id"), MOST_BROADCAST)
+        held = checkpointed(containing_cell(places, shuffled(leaf_cells.join(cells, "cell_id", "left_semi")), near, eps))
+        fields = fields.join(broadcast_if_few(held.select(F.explode("v").alias("point_id")).distinct(), MOST_BROADCAST), "point_id", "left_semi")
+    return sampled(held, fields).select("probe_id.ray_id", "probe_id.step", "name", F.col("sample").alias("value"))
+
+
+def _in_order(steps: DataFrame) -> DataFrame:
+    """steps (leaf_steps) with place: a leaf's number along the ray."""
+    return steps.withColumn("place", F.row_number().over(Window.partitionBy("ray_id").orderBy("first")) - 1)
+
+
+def _rounds() -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+    """How many leaves and steps of each ray are sampled before and after each round."""
+    before, now = (0, 0), (FIRST_LEAVES, FIRST_STEPS)
+    while True:
+        yield before, now
+        before, now = now, (4 * now[0], 4 * now[1])
+
+
+def _part(left: DataFrame, before: tuple[int, int], now: tuple[int, int], again: int = 0) -> DataFrame:
+    """The leaves (of _in_order) that a round takes, with start and stop, the first and the last step that it takes there.
+    again: 1 if the last step of the round before comes along."""
+    first, last, place = (F.col(c) for c in ("first", "last", "place"))
+    after = F.greatest(first, F.lit(before[1] - again))
+    start = F.when(place >= before[0], first)
+    start = (start.when(place == before[0] - 1, F.least(last, after)) if again else start).otherwise(after)
+    return left.where(place < now[0]).withColumns({"start": start, "stop": F.least(last, F.lit(now[1] - 1))}).where("start <= stop")
+
+
+def _going_on(left: DataFrame, now: tuple[int, int], ended: DataFrame) -> DataFrame:
+    """What rounds have left of the rays that have further steps and are not among the ended (ray_id), checkpointed."""
+    further = left.where((F.col("place") >= now[0]) | (F.col("last") >= now[1])).select("ray_id").distinct()
+    rest = left.where((F.col("place") >= now[0] - 1) | (F.col("last") >= now[1] - 1))
+    return checkpointed(rest.join(further, "ray_id", "left_semi").join(ended.select("ray_id"), "ray_id", "left_anti"))
 
 
 def _once(rays: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +136,8 @@ def _once(rays: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _for_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """What was found for rays (ray_id: of) for every row of them."""
-    return shuffled(rows).join(found.withColumnRenamed("ray_id", "of"), "of").drop("of")
+    """What was found for rays (ray_id: of) for every row of them. What was found stays where it is while rays are few."""
+    return shuffled(found.withColumnRenamed("ray_id", "of")).join(broadcast_if_few(rows, MOST_BROADCAST), "of").select("ray_id", *(c for c in found.columns if c != "ray_id"))
 
 
 def line_samples(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, eps: float = 0.005) -> DataFrame:
@@ -100,10 +152,32 @@ def _line_samples(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geom
     return _samples(steps, nodes, leaf_cells, geometry, fields, length, eps)
 
 
-def light(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, opacity: float = 32.0) -> DataFrame:
-    """ray_id, light, transmittance of one field's values along every ray (see ``probe.gathered``); holes give nothing."""
-    each, rows = _once(rays)
-    return _for_rows(gathered(_line_samples(each, nodes, leaf_cells, geometry, fields, length), length, opacity), rows)
+def light(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, length: float, opacity: float = 32.0, eps: float = 0.005) -> DataFrame:
+    """ray_id, light, transmittance of one field's values along every ray (see ``probe.gathered``); holes give nothing.
+
+    Steps are taken along the ray in rounds. A ray ends where so little light comes through that the rest of its steps
+    can't be seen, even if each of them had the least value that the field and weights of -eps allow.
+    """
+    rays, rows = _once(rays)
+    fields, levels = checkpointed(fields), checkpointed(cell_levels(geometry, eps))
+    lo, hi = fields.agg(F.min("value").cast("double"), F.max("value").cast("double")).first()
+    known = lo is not None and math.isfinite(lo) and math.isfinite(hi)
+    least = (1 + 3 * eps) * min(lo, 0.0) - 3 * eps * max(hi, 0.0) if known else 0.0
+    left = checkpointed(_in_order(leaf_steps(rays, nodes, length)))
+    furthest = checkpointed(left.groupBy("ray_id").agg(F.max("last").alias("end")))
+    found = []
+    for before, now in _rounds():
+        if left.isEmpty():
+            break
+        steps = _part(left, before, now).withColumn("steps", F.sequence("start", "stop"))
+        found.append(checkpointed(_samples(steps, nodes, leaf_cells, geometry, fields, length, eps, levels)))
+        depths = reduce(DataFrame.unionByName, found).groupBy("ray_id").agg((F.sum("value") * absorption(opacity) * length).alias("depth"))
+        to = left.groupBy("ray_id").agg(F.max(F.when(F.col("place") < now[0], F.least("last", F.lit(now[1] - 1)))).alias("to"))
+        steps_left = (F.col("end") - F.col("to")).cast("double")
+        hidden = F.lit(known) & (F.col("depth") + steps_left * F.lit(least * absorption(opacity) * length) > -math.log2(LEAST_LIGHT) + 1e-6)
+        left = _going_on(left, now, furthest.join(to, "ray_id").join(depths, "ray_id").where(hidden))
+    every = reduce(DataFrame.unionByName, found) if found else rays.sparkSession.createDataFrame([], f"ray_id {rays.schema['ray_id'].dataType.simpleString()}, step int, name string, value double")
+    return _for_rows(gathered(every, length, opacity), rows)
 
 
 def first_crossing(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, fields: DataFrame, ranges: DataFrame, iso: float, length: float, eps: float = 0.005) -> tuple[DataFrame, int]:
@@ -111,32 +185,33 @@ def first_crossing(rays: DataFrame, nodes: DataFrame, leaf_cells: DataFrame, geo
     values lie on two sides of the iso-value, and how far from the ray's entry the value is reached by secant; how many
     leaves of rays were sampled).
 
-    fields: point_id, name, value of one field; ranges: node_key, lo, hi of its leaves. A leaf whose range doesn't hold
-    the iso-value can only be crossed at its border, so of its steps the first and the last are sampled. Leaves are taken
-    along the ray, FIRST_LEAVES of them and twice as many in each round after; rays that have crossed are left out. Rays
-    that are there more than once are sampled, and their leaves counted, once.
+    fields: point_id, name, value of one field; ranges: node_key, lo, hi of its leaves. A leaf whose range (and what
+    weights of -eps add to it) doesn't hold the iso-value can only be crossed at its border, so of its steps the first and
+    the last are sampled. Steps are taken along the ray: those in FIRST_LEAVES leaves, FIRST_STEPS at most, and four times as many in each
+    round after; rays that have crossed are left out. Rays that are there more than once are sampled, and their leaves
+    counted, once.
     """
-    order = Window.partitionBy("ray_id").orderBy("first")
     rays, rows = _once(rays)
-    own = ranges.select(F.col("node_key").alias("leaf_key"), ((F.col("lo") <= iso) & (F.col("hi") >= iso)).alias("holds"))
-    steps = leaf_steps(rays, nodes, length).join(own, "leaf_key", "left").withColumn("place", F.row_number().over(order) - 1)
-    wanted = F.when(F.coalesce("holds", F.lit(True)), F.sequence("first", "last")).otherwise(F.array_distinct(F.array("first", "last")))
-    left = checkpointed(steps.withColumn("steps", wanted).drop("holds"))
-    done, begin, size, sampled_leaves = None, 0, FIRST_LEAVES, 0
+    fields, levels = checkpointed(fields), checkpointed(cell_levels(geometry, eps))
+    more = 3 * eps * (F.col("hi") - F.col("lo"))
+    own = ranges.select(F.col("node_key").alias("leaf_key"), ((F.col("lo") - more <= iso) & (F.col("hi") + more >= iso)).alias("holds"))
+    left = checkpointed(_in_order(leaf_steps(rays, nodes, length).join(own, "leaf_key", "left")))
+    done, sampled_leaves = None, 0
     along = Window.partitionBy("ray_id").orderBy("step")
-    while not left.isEmpty():
-        # The last step before these leaves goes along: the ray may cross at the border.
-        now = left.where(F.col("place") < begin + size).withColumn("steps", F.when(F.col("place") < begin, F.array("last")).otherwise(F.col("steps")))
-        values = _samples(now, nodes, leaf_cells, geometry, fields, length, eps)
+    for before, now in _rounds():
+        if left.isEmpty():
+            break
+        ends = F.filter(F.array_distinct(F.array("first", "last")), lambda s: (s >= F.col("start")) & (s <= F.col("stop")))
+        # The last step before these goes along: the ray may cross next to it.
+        steps = _part(left, before, now, again=1).withColumn("steps", F.when(F.coalesce("holds", F.lit(True)), F.sequence("start", "stop")).otherwise(ends))
+        values = _samples(steps, nodes, leaf_cells, geometry, fields, length, eps, levels)
         pairs = values.withColumns({"before": F.lag("value").over(along), "step_before": F.lag("step").over(along)}).where("step_before = step - 1")
         flips = pairs.where((F.col("before") > iso) != (F.col("value") > iso))
         first = flips.groupBy("ray_id").agg(F.min(F.struct("step", "before", "value")).alias("m")).select("ray_id", "m.*")
         found = checkpointed(first)
-        sampled_leaves += now.where(F.col("place") >= begin).count()
+        sampled_leaves += _part(left, before, now).where("start = first").count()
         done = found if done is None else done.unionByName(found)
-        begin, size = begin + size, 2 * size
-        left = checkpointed(left.where(F.col("place") >= begin - 1).join(found.select("ray_id"), "ray_id", "left_anti"))
-        left = left.join(left.groupBy("ray_id").agg(F.max("place").alias("furthest")).where(F.col("furthest") >= begin).select("ray_id"), "ray_id", "left_semi")
+        left = _going_on(left, now, found)
     if done is None:
         done = rays.sparkSession.createDataFrame([], f"ray_id {rays.schema['ray_id'].dataType.simpleString()}, step int, before double, value double")
     f1, f2 = F.col("before") - iso, F.col("value") - iso

@@ -47,14 +47,21 @@ def first_crossing(samples: DataFrame, iso: float, length: float) -> DataFrame:
     return first.select("ray_id", "step", F.when(F.col("value") > iso, 1).otherwise(-1).alias("direction"), ((x2 * f1 - x1 * f2) / (f1 - f2)).alias("t"))
 
 
+#: Share of the light under which nothing more is gathered.
+LEAST_LIGHT = 0.005
+
+
+def absorption(opacity: float) -> float:
+    return (opacity / 64) ** 4
+
+
 def gathered(samples: DataFrame, length: float, opacity: float = 32.0) -> DataFrame:
     """ray_id, light, transmittance: values gathered front to back until under 0.005 of the light comes through."""
     along = Window.partitionBy("ray_id").orderBy("step")
-    absorption = (opacity / 64) ** 4
-    depth = F.col("value") * absorption * length
+    depth = F.col("value") * absorption(opacity) * length
     upto = F.sum(depth).over(along)
     through = samples.withColumn("after", F.pow(F.lit(2.0), -upto)).withColumn("before", F.pow(F.lit(2.0), -(upto - depth)))
-    seen = through.where("before >= 0.005")
+    seen = through.where(F.col("before") >= LEAST_LIGHT)
     return seen.groupBy("ray_id").agg(F.sum(F.col("value") * (F.col("before") - F.col("after"))).alias("light"), F.min("after").alias("transmittance"))
 
 

@@ -40,31 +40,35 @@ def locate(probes: DataFrame, nodes: DataFrame, tie: str = "left") -> DataFrame:
     return at
 
 
-def _divided(parts: Column) -> Column:
-    return F.when(parts[4] != 0, F.array(*(parts[i] / parts[4] for i in range(4))))
+def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """df with these (named) columns, computed once: filters that Spark infers from later joins stop at a generator, and
+    don't compute them again."""
+    return df.withColumn("once", F.explode(F.array(F.struct(*columns)))).select(*df.columns, "once.*")
 
 
-def _weights() -> Column:
-    """The four weights of the point x, y, z in the cell of ``corners`` as an array; null in a cell without volume."""
-    p = tuple(F.col(a) for a in "xyz")
-    v = [tuple(F.element_at("corners", i + 1)[a] for a in "xyz") for i in range(4)]
-    parts = [tet_volume(*(p if i == j else v[j] for j in range(4))) for i in range(4)]
-    return F.element_at(F.transform(F.array(F.array(*parts, tet_volume(*v))), _divided), 1)
+_CORNER = [tuple(f"{a}_{i}" for a in "xyz") for i in range(4)]
+
+
+def _volumes() -> list[Column]:
+    """p_0 .. p_3, whole: six times the signed volumes of a cell (x_0 .. z_3) with the point x, y, z for each of its corners
+    in turn, and its own; plain arithmetic, for which Spark generates code."""
+    p, v = tuple(F.col(a) for a in "xyz"), [tuple(map(F.col, c)) for c in _CORNER]
+    return [*(tet_volume(*(p if i == j else v[j] for j in range(4))).alias(f"p_{i}") for i in range(4)), tet_volume(*v).alias("whole")]
 
 
 def _wide(geometry: DataFrame, eps: float) -> DataFrame:
-    """geometry with low and high (arrays): where a weight of -eps may lie at most."""
-    least = lambda a: F.array_min(F.transform("corners", lambda c: c[a]))
-    most = lambda a: F.array_max(F.transform("corners", lambda c: c[a]))
+    """cell_id, v, x_0 .. z_3 (the corners), lx .. hz: where a weight of -eps may lie at most."""
+    flat = _once(geometry.select("cell_id", "v", "corners"), [F.col("corners")[i][a].alias(_CORNER[i][k]) for i in range(4) for k, a in enumerate("xyz")]).drop("corners")
+    least, most = ([f(*(c[k] for c in _CORNER)) for k in range(3)] for f in (F.least, F.greatest))
     # A weight of -eps lies within eps times the cell's extent of its bounds, three times over at the corners.
-    wide = geometry.select("cell_id", "v", "corners", F.array(*(least(a) for a in "xyz")).alias("l"), F.array(*(most(a) for a in "xyz")).alias("h"))
-    low, high = (F.zip_with("l", "h", f) for f in (lambda l, h: l - 4 * eps * (h - l), lambda l, h: h + 4 * eps * (h - l)))
-    return wide.select("cell_id", "v", "corners", low.alias("low"), high.alias("high"))
+    low, high = ([f(p, q) for p, q in zip(least, most, strict=True)] for f in (lambda l, h: l - 4 * eps * (h - l), lambda l, h: h + 4 * eps * (h - l)))
+    return _once(flat, [c.alias(f"{n}{a}") for n, side in (("l", low), ("h", high)) for a, c in zip("xyz", side, strict=True)])
 
 
 def cells_of_leaves(leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
-    """leaf_key, cell_id, v, corners and low and high (arrays): where a weight of -eps may lie at most."""
-    return leaf_cells.join(_wide(geometry, eps), "cell_id").select("leaf_key", "cell_id", "v", "corners", "low", "high")
+    """leaf_key and what _wide gives of the leaves' cells."""
+    wide = _wide(geometry, eps)
+    return leaf_cells.join(wide, "cell_id").select("leaf_key", *wide.columns)
 
 
 #: Exponent of the least step of a grid: places under 2 ** 13 are told apart by 53 bits.
@@ -75,6 +79,51 @@ def _step(level: str = "level") -> Column:
     return F.pow(F.lit(2.0), F.col(level))
 
 
+def _level() -> Column:
+    """The exponent of the step of a cell's grid: the power of two from its longest side on."""
+    longest = F.greatest(*(F.col(f"h{a}") - F.col(f"l{a}") for a in "xyz")) * (1 + 1e-9)
+    return F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.when(longest > 0, longest)))).cast("int")
+
+
+def _placed(cells: DataFrame) -> DataFrame:
+    """cells (of _wide) with level and gx, gy, gz: their grid, and the grid's cell that holds their low corner."""
+    return _once(_once(cells, [_level().alias("level")]), [F.floor(F.col(f"l{a}") / _step()).alias(f"g{a}") for a in "xyz"])
+
+
+def cell_levels(geometry: DataFrame, eps: float = 0.005) -> DataFrame:
+    """level: the grids that cells lie in, as many as there are exponents."""
+    return _wide(geometry, eps).select(_level().alias("level")).distinct()
+
+
+def _dealt(probes: DataFrame, levels: DataFrame) -> DataFrame:
+    """in_leaf, probe_id, x, y, z of probes (with leaf_key) with at_level, at_x, at_y, at_z: where cells that hold them may
+    lie in each grid."""
+    p = probes.where("leaf_key IS NOT NULL").select("probe_id", F.col("leaf_key").alias("in_leaf"), *(F.col(a).cast("double").alias(a) for a in "xyz")).join(F.broadcast(levels.withColumnRenamed("level", "at_level")))
+    for a in "xyz":
+        here = F.floor(F.col(a) / _step("at_level"))
+        p = p.withColumn(f"at_{a}", F.explode(F.sequence(here - 1, here)))
+    return p
+
+
+def _meets() -> list[Column]:
+    return [F.col("at_level") == F.col("level"), *(F.col(f"at_{a}") == F.col(f"g{a}") for a in "xyz")]
+
+
+#: Up to so many places of grids are broadcast to find the cells there.
+MOST_PLACES = 200_000
+
+
+def near_cells(probes: DataFrame, geometry: DataFrame, levels: DataFrame, eps: float = 0.005) -> DataFrame | None:
+    """The cells of geometry that may hold some probe (with leaf_key), by their place in their grid (levels: of cell_levels).
+    No cell is moved for that; None where probes are in over MOST_PLACES places."""
+    places = checkpointed(_dealt(probes, levels).select("at_level", *(f"at_{a}" for a in "xyz")).distinct())
+    if places.limit(MOST_PLACES + 1).count() > MOST_PLACES:
+        return None
+    near = _placed(_wide(geometry, eps)).join(F.broadcast(places), all_of(_meets()), "left_semi")
+    corners = F.array(*(F.struct(*(F.col(n).alias(a) for n, a in zip(c, "xyz", strict=True))) for c in _CORNER))
+    return checkpointed(near.select("cell_id", "v", corners.alias("corners")))
+
+
 def containing_cell(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFrame, eps: float = 0.005) -> DataFrame:
     """probe_id, cell_id, v, weights of the cell with the smallest id that holds each probe (with leaf_key).
 
@@ -83,21 +132,13 @@ def containing_cell(probes: DataFrame, leaf_cells: DataFrame, geometry: DataFram
     step is the power of two from its longest side on, at its low corner, which is one step at most before a probe that it
     holds. The box test is part of the join, so only cells near a probe come out.
     """
-    cells = cells_of_leaves(leaf_cells, geometry, eps)
-    longest = F.greatest(*(F.element_at("high", i) - F.element_at("low", i) for i in (1, 2, 3))) * (1 + 1e-9)
-    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.when(longest > 0, longest)))).cast("int")
-    cells = cells.withColumn("level", level).withColumns({f"g{a}": F.floor(F.element_at("low", i + 1) / _step()) for i, a in enumerate("xyz")})
-    levels = F.broadcast(_wide(geometry, eps).select(level.alias("level")).distinct())  # as many as there are exponents
-    p = probes.where("leaf_key IS NOT NULL").select("probe_id", F.col("leaf_key").alias("in_leaf"), *(F.col(a).cast("double").alias(a) for a in "xyz")).join(levels.withColumnRenamed("level", "at_level"))
-    for a in "xyz":
-        here = F.floor(F.col(a) / _step("at_level"))
-        p = p.withColumn(f"at_{a}", F.explode(F.sequence(here - 1, here)))
-    p = shuffled(p)
-    near = all_of([F.col(a).between(F.element_at("low", i + 1), F.element_at("high", i + 1)) for i, a in enumerate("xyz")])
-    # The weights are generated, not filtered, so that they are computed once and after the box test of the join.
-    inside = F.filter(F.array(_weights()), lambda w: F.forall(w, lambda x: x >= -eps))
-    meet = all_of([F.col("in_leaf") == F.col("leaf_key"), F.col("at_level") == F.col("level"), *(F.col(f"at_{a}") == F.col(f"g{a}") for a in "xyz")])
-    held = p.join(cells, meet & near).select("probe_id", "cell_id", "v", F.explode(inside).alias("weights"))
+    cells = _placed(cells_of_leaves(leaf_cells, geometry, eps))
+    p = shuffled(_dealt(probes, cell_levels(geometry, eps)))
+    near = all_of([F.col(a).between(F.col(f"l{a}"), F.col(f"h{a}")) for a in "xyz"])
+    met = p.join(cells, all_of([F.col("in_leaf") == F.col("leaf_key"), *_meets()]) & near)
+    weights = [F.col(f"p_{i}") / F.col("whole") for i in range(4)]
+    # The volumes are computed after the box test of the join.
+    held = _once(met, _volumes()).where("whole <> 0").where(all_of([w >= -eps for w in weights])).select("probe_id", "cell_id", "v", F.array(*weights).alias("weights"))
     return held.groupBy("probe_id").agg(F.min(F.struct("cell_id", "v", "weights")).alias("m")).select("probe_id", "m.cell_id", "m.v", "m.weights")
 
 

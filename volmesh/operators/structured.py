@@ -55,6 +55,14 @@ def grid_cell_bounds(spark: SparkSession, size: Size) -> DataFrame:
     return cells.select("cell_id", *((F.col(f"c{a}") + F.element_at(low[a], at)).cast("double").alias(f"{a}0") for a in "xyz"), *((F.col(f"c{a}") + F.element_at(high[a], at)).cast("double").alias(f"{a}1") for a in "xyz"))
 
 
+def grid_geometry(spark: SparkSession, size: Size) -> DataFrame:
+    """cell_id, v, corners (see ``sampling``) of six tetrahedra a cube, from the cube alone: no vertex is looked up."""
+    at = F.col("pattern") + 1
+    bit = lambda i, axis: F.element_at(F.array(*(F.lit(p[i] >> axis & 1) for p in SIX_TETS)), at)
+    corner = lambda i: F.struct(*((F.col(f"c{a}") + bit(i, axis)).cast("double").alias(a) for axis, a in enumerate("xyz")))
+    return grid_tets(spark, size, 6).select("cell_id", F.array(*(f"v{i}" for i in range(4))).alias("v"), F.array(*map(corner, range(4))).alias("corners"))
+
+
 def downsample(voxels: DataFrame, size: Size, scale: int) -> tuple[DataFrame, Size]:
     """Every scale-th voxel along each axis; the size is divided and rounded down."""
     new = tuple(s // scale for s in size)
